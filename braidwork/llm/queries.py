@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, sharding
+from . import line_dedup, packing, sharding, simhash, toxicity
 from .common import table
 
 
@@ -10,6 +10,9 @@ def queries() -> dict:
     return {
         "op1_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
         "op4_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
+        "op7_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op8_simhash_dedup": lambda spark, d: simhash.digest(table(spark, d, "documents")),
+        "op10_packing": lambda spark, d: packing.digest(table(spark, d, "documents")),
     }
 
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, sharding, simhash, toxicity
+from . import embed_dedup, kdtree, line_dedup, packing, recompress, sharding, simhash, toxicity
 from .common import table
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
+        "op3_top_k": lambda spark, d: kdtree.digest(table(spark, d, "embeddings")),
         "op4_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
+        "op6_substring_dedup": lambda spark, d: recompress.digest(table(spark, d, "documents")),
         "op7_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
         "op8_simhash_dedup": lambda spark, d: simhash.digest(table(spark, d, "documents")),
+        "op9_embedding_dedup": lambda spark, d: embed_dedup.digest(table(spark, d, "embeddings")),
         "op10_packing": lambda spark, d: packing.digest(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op3_top_k": kdtree.SQL, "op9_embedding_dedup": embed_dedup.SQL}

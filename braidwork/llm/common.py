@@ -54,12 +54,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of :func:`materialize` that nothing will read again."""
+    for spark, path in [w for w in _written if any(w[1].rpartition("/")[2] in f for f in df.inputFiles()[:1])]:
+        _delete(spark, path)
+        _written.remove((spark, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _drop_all() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended already
             return
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, kdtree, line_dedup, packing, recompress, sharding, simhash, toxicity
+from . import embed_dedup, katz, kdtree, line_dedup, packing, recompress, sharding, simhash, toxicity
 from .common import table
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": lambda spark, d: line_dedup.digest(table(spark, d, "documents")),
+        "op2_lm_scoring": lambda spark, d: katz.digest(table(spark, d, "documents")),
         "op3_top_k": lambda spark, d: kdtree.digest(table(spark, d, "embeddings")),
         "op4_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
         "op6_substring_dedup": lambda spark, d: recompress.digest(table(spark, d, "documents")),

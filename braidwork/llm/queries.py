@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, katz, kdtree, line_dedup, packing, recompress, sharding, simhash, toxicity
+from . import embed_dedup, katz, kdtree, line_dedup, mixing, packing, recompress, sharding, simhash, toxicity
 from .common import table
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_lm_scoring": lambda spark, d: katz.digest(table(spark, d, "documents")),
         "op3_top_k": lambda spark, d: kdtree.digest(table(spark, d, "embeddings")),
         "op4_sharding": lambda spark, d: sharding.digest(table(spark, d, "documents")),
+        "op5_mixing": lambda spark, d: mixing.digest(table(spark, d, "documents")),
         "op6_substring_dedup": lambda spark, d: recompress.digest(table(spark, d, "documents")),
         "op7_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
         "op8_simhash_dedup": lambda spark, d: simhash.digest(table(spark, d, "documents")),
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op3_top_k": kdtree.SQL, "op9_embedding_dedup": embed_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op3_top_k": kdtree.SQL, "op5_mixing": mixing.SQL, "op9_embedding_dedup": embed_dedup.SQL}

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, text_key
 
 #: A pair of nodes with at most so many pairs of leaves is compared leaf by leaf.
 LEAF_PAIRS = 256
@@ -47,12 +47,30 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(_bits(hashes))
 
 
-def with_fingerprints(df: DataFrame, words: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key`` and ``fp`` (signed 64 bits) of each row."""
+def word_fingerprint(text: str | None) -> int:
+    """Unsigned SimHash of a whole text's distinct words, the longer ones weighing more; 0 where it has none.
+
+    A changed word changes one feature, not one for each shingle over it, and function words hardly
+    weigh: texts whose five-word shingles are 0.8 similar differ in few bits.
+    """
+    found = list(dict.fromkeys((text or "").encode("utf-8", "surrogatepass").lower().split()))
+    if not found:
+        return 0
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in found), dtype=np.uint64, count=len(found))
+    weight = np.fromiter((max(len(w) - 3, 0.01) for w in found), dtype=np.float64, count=len(found))
+    for_one = np.zeros(64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        for_one += weight[at : at + (1 << 16)] @ np.unpackbits(part, axis=1)
+    return int(np.packbits(for_one * 2 > weight.sum()).view(">u8")[0])
+
+
+def with_fingerprints(df: DataFrame, words: int | None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key`` and ``fp`` (signed 64 bits) of each row: over shingles of so many words, or None: distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
+            fps = np.array([word_fingerprint(t) if words is None else fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["key", "fp"])
 
     kind = df.schema[key].dataType.simpleString()
@@ -247,7 +265,7 @@ def _split(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, shared: np.ndarray) ->
     return lo
 
 
-def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words: int | None = 4, bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, fp, component_id`` of each row: rows are linked where fingerprints differ in ``bits`` or fewer.
 
     A fingerprint is the SimHash of the lower-cased text's word shingles, repeats included, by
@@ -269,15 +287,71 @@ def near_duplicates(df: DataFrame, words: int = 4, bits: int = 4, key: str = "do
     return prints.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, words: int = 5, bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row of each group of near-duplicates: the one with the group's least key.
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(found) <= words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found))], dtype=np.uint64)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i : i + words])) for i in range(len(found) - words + 1)), dtype=np.uint64, count=len(found) - words + 1))
 
-    Of rows that repeat that key, one with the least text stays; rows with a null key all stay if
-    their group has none but null keys.
+
+def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with one document of each group of near-duplicates.
+
+    Equal texts are a group; of them the least key stands for all. Those are linked where the SimHash
+    of their distinct words differs in ``bits`` or fewer, and what is linked is verified: in each
+    component the least key stays, whatever has a Jaccard ``similarity`` of word shingles with it
+    goes, and the rest begin again. So each document that goes is that similar to one that
+    stays, and of a component none that stay are. A round compares each document once, with one other.
+
+    Rows equal in key and text are one document and share its fate. Rows with a null key always stay.
+    Null and empty texts are equal texts. Texts of fewer words than a shingle are one shingle. Other
+    columns pass through. Empty input: no rows.
     """
-    groups = near_duplicates(df, words, bits, key, text)
-    kept = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_bw_key")).distinct()
-    return df.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("_bw_key")), "left_semi")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = df.select(F.col(f"`{key}`").alias("key"), body.alias("text")).where("key IS NOT NULL")
+    copies = materialize(rows.select("key", *[h.alias(f"h{i}") for i, h in enumerate(text_key("text"))]), "keep-copies")
+    firsts = materialize(copies.groupBy("h0", "h1").agg(F.min("key").alias("first")), "keep-firsts")
+    lost = copies.join(firsts, ["h0", "h1"]).where("key <> first").select("key", "h0", "h1")
+    groups = near_duplicates(rows.select(F.col("key").alias(key), F.col("text").alias(text)), None, bits, key, text)
+    groups = materialize(groups.select(F.col(key).alias("key"), F.col("component_id").alias("root")).distinct(), "keep-groups")
+    reps = firsts.select(F.col("first").alias("key"), "h0", "h1").join(groups, "key")
+    shared = reps.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    members = materialize(reps.join(shared, "root").select("key", "h0", "h1", "root"), "keep-members")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                made = [shingle_set(t, words).tobytes() for t in part.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(made, pa.binary())], names=["key", "h0", "h1", "root", "shingles"])
+
+    kind = df.schema[key].dataType.simpleString()
+    texted = rows.select("key", *[h.alias(f"h{i}") for i, h in enumerate(text_key("text"))], "text")
+    held = texted.join(members, ["key", "h0", "h1"]).select("key", "h0", "h1", "root", "text")
+    left = materialize(held.mapInArrow(sets, f"key {kind}, h0 long, h1 long, root {kind}, shingles binary"), "keep-sets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = []
+            for x, y in zip(b.column(5).to_pylist(), b.column(6).to_pylist()):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                hit.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(hit, pa.bool_())], names=["key", "h0", "h1", "root", "shingles", "hit"])
+
+    while not left.isEmpty():
+        heads = left.groupBy("root").agg(F.min(F.struct("key", "h0", "h1")).alias("head"))
+        heads = materialize(heads.select("root", F.col("head.key").alias("k"), F.col("head.h0").alias("a"), F.col("head.h1").alias("b")), "keep-heads")
+        against = materialize(left.join(heads, "root").where("key = k AND h0 = a AND h1 = b").select("root", F.col("shingles").alias("theirs")).dropDuplicates(["root"]), "keep-against")
+        rest = left.join(heads, "root").where("NOT (key = k AND h0 = a AND h1 = b)").drop("k", "a", "b")
+        judged = rest.join(against, "root").select("key", "h0", "h1", "root", "shingles", "shingles", "theirs")
+        judged = materialize(judged.toDF("key", "h0", "h1", "root", "shingles", "mine", "theirs").mapInArrow(compare, f"key {kind}, h0 long, h1 long, root {kind}, shingles binary, hit boolean"), "keep-judged")
+        lost = lost.unionByName(judged.where("hit").select("key", "h0", "h1"))
+        left = judged.where("NOT hit").drop("hit")
+    lost = materialize(lost.distinct(), "keep-lost").toDF("_bw_key", "_bw_h0", "_bw_h1")
+    h0, h1 = text_key(body)
+    return df.join(lost, (F.col(f"`{key}`") == F.col("_bw_key")) & (h0 == F.col("_bw_h0")) & (h1 == F.col("_bw_h1")), "left_anti")
 
 
 def digest(documents: DataFrame) -> DataFrame:

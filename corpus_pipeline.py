@@ -1,2 +1,64 @@
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage is a function (spark, docs, sf_dir) that returns a DataFrame. ``run`` writes what each
+returns as Parquet in the cluster's shared folder and gives it, read again, to the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from braidwork.llm import line_dedup, mixing, packing, simhash, toxicity
+from braidwork.llm.common import materialize, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _as_documents(df: DataFrame) -> DataFrame:
+    """The columns of documents, with n_chars as the text is now."""
+    return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled rows outside the held-out fold."""
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of later occurrences of a three-line window go; every document stays."""
+    return _as_documents(line_dedup.line_dedup(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: candidates by SimHash, verified at 0.8 on five-word shingles."""
+    return simhash.keep_one(docs).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights ask for."""
+    return mixing.mix(docs).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    return packing.digest(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("near-duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: No SQL can fit the classifier.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return docs

@@ -148,7 +148,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     shards, blocks = max(1, -(-total // SHARD_ROWS)), max(1, -(-asking // BLOCK_ROWS))
     in_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     points = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")).withColumn("block", in_block).drop("asks")
-    asked = rows.where("asks").drop("asks").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("floor", F.lit(float("-inf")))
+    asked = materialize(rows.where("asks").drop("asks").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("floor", F.lit(float("-inf"))), "topk-queries")
     found = materialize(_searched(points.where("shard = 0"), asked.withColumn("shard", F.lit(0)), k), "topk-first")
     if shards > 1:
         by_score = Window.partitionBy("query_id").orderBy(F.desc("score"))

@@ -1,0 +1 @@
+"""Counting and comparing the length-k substrings of sequence reads, on Spark."""

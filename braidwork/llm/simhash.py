@@ -295,61 +295,112 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i : i + words])) for i in range(len(found) - words + 1)), dtype=np.uint64, count=len(found) - words + 1))
 
 
-def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one document of each group of near-duplicates.
+#: Distinct texts of a component that are compared in one task, on either side; and min-hashes of a text's sketch.
+VERIFY_ROWS, SKETCH = 4096, 128
+_MULTIPLIERS = np.random.default_rng(12).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    Equal texts are a group; of them the least key stands for all. Those are linked where the SimHash
-    of their distinct words differs in ``bits`` or fewer, and what is linked is verified: in each
-    component the least key stays, whatever has a Jaccard ``similarity`` of word shingles with it
-    goes, and the rest begin again. So each document that goes is that similar to one that
-    stays, and of a component none that stay are. A round compares each document once, with one other.
+
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """Low bytes of the least of each of SKETCH scramblings."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 4096):
+        x = shingles[at : at + 4096, None] * _MULTIPLIERS
+        least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
+    return least.astype(np.uint8)
+
+
+def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest that connects the texts of ``left`` and ``right`` (all pairs of one side, if they are the same) whose Jaccard similarity reaches ``similarity``.
+
+    Sketches tell which pairs may reach it, with five standard deviations to spare; those are looked at
+    exactly, the likeliest first, unless they are connected by then.
+    """
+    sketch = np.array([_sketch(s) for s in sets]).reshape(-1, SKETCH)
+    spare = similarity - 5 * np.sqrt(similarity * (1 - similarity) / SKETCH)
+    least = int(np.floor(SKETCH * spare))
+    first, second, alike = [], [], []
+    for at in range(0, len(left), 64):
+        rows = left[at : at + 64]
+        same = (sketch[rows][:, None, :] == sketch[right][None, :, :]).sum(axis=2)
+        i, j = np.nonzero(same >= least)
+        ok = rows[i] != right[j] if left is not right else rows[i] < right[j]
+        first.append(rows[i[ok]])
+        second.append(right[j[ok]])
+        alike.append(same[i[ok], j[ok]])
+    first, second, alike = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (first, second, alike))
+    order = np.argsort(-alike, kind="stable")
+    first, second = first[order], second[order]
+    forest, links = _Forest(len(sets)), []
+    while len(first):
+        batch = slice(0, 1024)
+        for a, b in zip(first[batch].tolist(), second[batch].tolist()):
+            if forest.label[a] != forest.label[b]:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                    links.append((a, b))
+                    forest.join(np.array([a]), np.array([b]))
+        first, second = first[1024:], second[1024:]
+        open_ = forest.label[first] != forest.label[second]
+        first, second = first[open_], second[open_]
+    src, dst = zip(*links) if links else ((), ())
+    return np.array(src, dtype=np.int64), np.array(dst, dtype=np.int64)
+
+
+def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with one document of each group of near-duplicates: the one with the least key.
+
+    Equal texts are a group; the least key stands for all. Those are candidates where the SimHash of
+    their distinct words differs in ``bits`` or fewer; candidates are linked where the Jaccard
+    similarity of their sets of word shingles, looked at exactly, is ``similarity`` or more. Only
+    texts that share a component with another are looked at, in tasks of bounded size, which return a
+    forest of links.
 
     Rows equal in key and text are one document and share its fate. Rows with a null key always stay.
-    Null and empty texts are equal texts. Texts of fewer words than a shingle are one shingle. Other
+    Null and empty texts are equal texts. A text of fewer words than a shingle is one shingle. Other
     columns pass through. Empty input: no rows.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(f"`{key}`").alias("key"), body.alias("text")).where("key IS NOT NULL")
-    copies = materialize(rows.select("key", *[h.alias(f"h{i}") for i, h in enumerate(text_key("text"))]), "keep-copies")
-    firsts = materialize(copies.groupBy("h0", "h1").agg(F.min("key").alias("first")), "keep-firsts")
-    lost = copies.join(firsts, ["h0", "h1"]).where("key <> first").select("key", "h0", "h1")
+    hashed = rows.select("key", *[h.alias(f"h{i}") for i, h in enumerate(text_key("text"))], "text")
+    copies = materialize(hashed.drop("text"), "keep-copies")
+    firsts = materialize(copies.groupBy("h0", "h1").agg(F.min("key").alias("key")), "keep-firsts")
     groups = near_duplicates(rows.select(F.col("key").alias(key), F.col("text").alias(text)), None, bits, key, text)
-    groups = materialize(groups.select(F.col(key).alias("key"), F.col("component_id").alias("root")).distinct(), "keep-groups")
-    reps = firsts.select(F.col("first").alias("key"), "h0", "h1").join(groups, "key")
-    shared = reps.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    members = materialize(reps.join(shared, "root").select("key", "h0", "h1", "root"), "keep-members")
+    groups = groups.select(F.col(key).alias("key"), F.col("component_id").alias("root")).distinct()
+    reps = materialize(firsts.join(groups, "key"), "keep-reps")
+    shared = materialize(reps.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "keep-shared")
+    members = reps.join(shared, "root").select("key", "h0", "h1", "root", F.ceil(F.col("n") / VERIFY_ROWS).cast("int").alias("parts"))
+    members = materialize(members.withColumn("m", F.monotonically_increasing_id()), "keep-members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                made = [shingle_set(t, words).tobytes() for t in part.column(4).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(made, pa.binary())], names=["key", "h0", "h1", "root", "shingles"])
-
-    kind = df.schema[key].dataType.simpleString()
-    texted = rows.select("key", *[h.alias(f"h{i}") for i, h in enumerate(text_key("text"))], "text")
-    held = texted.join(members, ["key", "h0", "h1"]).select("key", "h0", "h1", "root", "text")
-    left = materialize(held.mapInArrow(sets, f"key {kind}, h0 long, h1 long, root {kind}, shingles binary"), "keep-sets")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hit = []
-            for x, y in zip(b.column(5).to_pylist(), b.column(6).to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(hit, pa.bool_())], names=["key", "h0", "h1", "root", "shingles", "hit"])
-
-    while not left.isEmpty():
-        heads = left.groupBy("root").agg(F.min(F.struct("key", "h0", "h1")).alias("head"))
-        heads = materialize(heads.select("root", F.col("head.key").alias("k"), F.col("head.h0").alias("a"), F.col("head.h1").alias("b")), "keep-heads")
-        against = materialize(left.join(heads, "root").where("key = k AND h0 = a AND h1 = b").select("root", F.col("shingles").alias("theirs")).dropDuplicates(["root"]), "keep-against")
-        rest = left.join(heads, "root").where("NOT (key = k AND h0 = a AND h1 = b)").drop("k", "a", "b")
-        judged = rest.join(against, "root").select("key", "h0", "h1", "root", "shingles", "shingles", "theirs")
-        judged = materialize(judged.toDF("key", "h0", "h1", "root", "shingles", "mine", "theirs").mapInArrow(compare, f"key {kind}, h0 long, h1 long, root {kind}, shingles binary, hit boolean"), "keep-judged")
-        lost = lost.unionByName(judged.where("hit").select("key", "h0", "h1"))
-        left = judged.where("NOT hit").drop("hit")
-    lost = materialize(lost.distinct(), "keep-lost").toDF("_bw_key", "_bw_h0", "_bw_h1")
+                made = [shingle_set(t, words).tobytes() for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(made, pa.binary())], names=["m", "root", "parts", "shingles"])
+
+    held = hashed.join(members, ["key", "h0", "h1"]).select("m", "root", "parts", "text").mapInArrow(sets, f"m long, root {kind}, parts int, shingles binary")
+    held = held.dropDuplicates(["m"]).withColumn("i", F.pmod(F.xxhash64("m"), F.col("parts")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("i", j).alias("a"), F.greatest("i", j).alias("b"))))
+    dealt = held.select("m", "root", "shingles", "i", pair.alias("t")).select("m", "root", "shingles", "i", "t.a", "t.b")
+
+    def verify(t: pa.Table) -> pa.Table:
+        made = [np.frombuffer(s, dtype=np.uint64) for s in t["shingles"].to_pylist()]
+        m, a, b = t["m"].to_numpy(), t["a"][0].as_py(), t["b"][0].as_py()
+        side = t["i"].to_numpy() == a
+        left = np.flatnonzero(side)
+        src, dst = verified_links(made, left, left if a == b else np.flatnonzero(~side), similarity)
+        return pa.table({"src": m[src], "dst": m[dst]})
+
+    found = materialize(dealt.groupBy("root", "a", "b").applyInArrow(verify, "src long, dst long"), "keep-links")
+    member = materialize(connected_components(found), "keep-components")
+    named = members.join(member, F.col("m") == F.col("node")).select("key", "h0", "h1", "component")
+    least = materialize(named.groupBy("component").agg(F.min("key").alias("stays")), "keep-least")
+    near = named.join(least, "component").where("key <> stays").select("h0", "h1", F.lit(True).alias("near"))
+    # a text that goes takes all its copies along
+    fate = materialize(firsts.select("h0", "h1", F.col("key").alias("first")).join(materialize(near, "keep-near"), ["h0", "h1"], "left"), "keep-fate")
+    lost = copies.join(fate, ["h0", "h1"]).where("near OR key <> first").select("key", "h0", "h1").distinct()
+    lost = materialize(lost, "keep-lost").toDF("_bw_key", "_bw_h0", "_bw_h1")
     h0, h1 = text_key(body)
     return df.join(lost, (F.col(f"`{key}`") == F.col("_bw_key")) & (h0 == F.col("_bw_h0")) & (h1 == F.col("_bw_h1")), "left_anti")
 

@@ -27,12 +27,12 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 def _packed(x: np.ndarray) -> bytes:
     """Whole numbers, byte plane by byte plane: the high planes of small numbers are zero and cost nothing."""
     x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def _unpacked(b: bytes, kind: str) -> np.ndarray:
     raw, width = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8), np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(kind).reshape(-1)
 
 
 def _rising(x: np.ndarray) -> bytes:

@@ -90,7 +90,7 @@ def _exact(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.nda
     for row, (q, me) in enumerate(zip(queries, own)):
         q = [int(x) for x in q]
         best = heapq.nsmallest(k, ((-sum(x * y for x, y in zip(p, q)), int(i)) for p, i in zip(whole, ids) if i != me))
-        out += [(row, -s, i) for s, i in best]
+        out += [(row, max(min(-s, (1 << 63) - 1), -(1 << 63)), i) for s, i in best]
     return out
 
 
@@ -140,7 +140,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     Vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows with
     a null key; vectors of another length than the query's are no candidates. A row is never its own
     candidate, nor are rows with its key. Rows that repeat are candidates each. No rows or fewer
-    than k: as many as there are. Other columns do not matter.
+    than k: as many as there are. A score that 64 bits cannot hold counts as the nearest that they can.
+    Other columns do not matter.
     """
     rows = vectors.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.withColumn("dim", F.size("v"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .words import chunks, split
+from .words import Hasher, chunks, mix, split
 
 WINDOW = 20
 #: Rounds of naming; symbols of more words than a window holds are of no use.
@@ -18,13 +18,6 @@ ROUNDS = 6
 #: Windows of a run at most, so that a run never meets itself from afar.
 RUN = 20
 _M = np.uint64(0x9E3779B97F4A7C15)
-_M_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
 
 
 def symbols(words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -40,7 +33,7 @@ def symbols(words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, n
     a reach beyond the edge.
     """
     n = len(words)
-    name, size = _mix(words), np.ones(n, dtype=np.int64)
+    name, size = mix(words), np.ones(n, dtype=np.int64)
     lo, hi = np.arange(n), np.arange(n) + 1
     edge = np.zeros(n + 1, dtype=bool)
     edge[ends] = True
@@ -61,9 +54,9 @@ def symbols(words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, n
             run_lo = np.where(left_edge[first], -far, lo[np.maximum(first - 1, 0)])
             run_hi = np.where(right_edge[last], far, hi[np.minimum(last + 1, len(name) - 1)])
             run_size = np.minimum(size[first] * length, WINDOW + 1)
-            yield _mix(name[first] + _M * length.astype(np.uint64)), run_size, np.minimum(run_lo, lo[first]), np.maximum(run_hi, hi[last])
+            yield mix(name[first] + _M * length.astype(np.uint64)), run_size, np.minimum(run_lo, lo[first]), np.maximum(run_hi, hi[last])
         # pairs
-        right = (_mix(name + np.uint64(k + 1)) & np.uint64(1)).astype(bool)
+        right = (mix(name + np.uint64(k + 1)) & np.uint64(1)).astype(bool)
         joins = np.zeros(len(name), dtype=bool)
         joins[:-1] = ~right[:-1] & right[1:] & ~right_edge[:-1]
         taken = np.zeros(len(name), dtype=bool)
@@ -77,7 +70,7 @@ def symbols(words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, n
         hi_after = np.where(right_edge, far, np.concatenate([hi[1:], [0]]))
         new_lo = np.where(pair, np.minimum(lo[at], lo[mate]), np.where(right[at], np.minimum(lo[at], lo_before[at]), np.where(right_edge[at], lo[at], np.minimum(lo[at], lo[mate]))))
         new_hi = np.where(pair, np.maximum(hi[at], hi[mate]), np.where(right[at], np.where(left_edge[at], hi[at], np.maximum(hi[at], hi[np.maximum(at - 1, 0)])), np.maximum(hi[at], hi_after[at])))
-        new_name = np.where(pair, _mix(name[at] * _M + name[mate] + np.uint64(k)), name[at])
+        new_name = np.where(pair, mix(name[at] * _M + name[mate] + np.uint64(k)), name[at])
         new_size = np.where(pair, size[at] + size[mate], size[at])
         left_edge, right_edge = left_edge[at], np.where(pair, right_edge[mate], right_edge[at])
         name, size, lo, hi = new_name, new_size, new_lo, new_hi
@@ -110,19 +103,6 @@ def anchors(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return best
 
 
-class Hasher:
-    """Hashes of any run of words of a chunk."""
-
-    def __init__(self, words: np.ndarray):
-        n = len(words)
-        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _M)]), dtype=np.uint64)
-        inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _M_INVERSE)]), dtype=np.uint64)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * inverse[:n], dtype=np.uint64)])
-
-    def __call__(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return _mix((self.sums[start + length] - self.sums[start]) * self.power[start])
-
-
 def runs(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, first word in the row, windows, name, span, meets itself) of the runs of windows that share an anchor.
 
@@ -186,7 +166,7 @@ def _found(docs: DataFrame) -> DataFrame:
             head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
             kept = first | (doc != doc[head]) | (at != at[head])  # rows that repeat are one document
             state = np.where(first, np.where(itself, SINGLE, OPEN), LATER)
-            deal = np.where(first, name, _mix(doc.astype(np.uint64) * _M + at.astype(np.uint64)))
+            deal = np.where(first, name, mix(doc.astype(np.uint64) * _M + at.astype(np.uint64)))
             columns = (deal.view(np.int64), name.view(np.int64), span.view(np.int64), doc, at, n.astype(np.int32), state.astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(v[kept]) for v in columns], names=["deal", *_COLUMNS])
 

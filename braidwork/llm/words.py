@@ -6,23 +6,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
-#: Words that a chunk holds, about; a longer text is a chunk of its own.
-CHUNK_WORDS = 1_500_000
+#: Words that a chunk holds, about, and bytes that are hashed at a time; a longer text is a chunk of its own.
+CHUNK_WORDS, BLOCK_BYTES = 1_500_000, 1 << 19
+_BASE = 0x9E3779B97F4A7C15
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: A random number for each byte, and the same with A-Z lowered.
+_VALUE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+_LOWERED = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.roll(_VALUE, -32), _VALUE)
+_powers: dict[str, np.ndarray] = {}
 
 
-class _Hashes(dict):
-    """XXH64 of each word seen, kept for a bounded number of words."""
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse modulo 2^64, for n places and one more."""
+    if len(_powers.get("up", ())) <= n:
+        n = max(n, 2 * BLOCK_BYTES) if n < BLOCK_BYTES else n
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            _powers[name] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(base))]), dtype=np.uint64)
+    return _powers["up"], _powers["down"]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-_HASHES = _Hashes()
+
+class Hasher:
+    """Hashes of any run of the numbers of an array, from sums of the numbers times powers of a base."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.up, down = _power(len(numbers))
+        self.sums = np.zeros(len(numbers) + 1, dtype=np.uint64)
+        np.cumsum(numbers * down[: len(numbers)], out=self.sums[1:])
+
+    def __call__(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        return mix((self.sums[start + length] - self.sums[start]) * self.up[start] + np.asarray(length).astype(np.uint64))
 
 
 def split(text: str | None) -> list[bytes]:
@@ -30,27 +51,43 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+def hash_block(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie one after another, and how many each text has."""
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    n = len(data)
+    if not n:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets) - 1, dtype=np.int64)
+    ink = ~_WHITE[data]
+    begins = np.zeros(n + 1, dtype=bool)
+    begins[offsets] = True
+    before = np.zeros(n, dtype=bool)
+    before[1:] = ink[:-1]
+    start = np.flatnonzero(ink & (~before | begins[:-1]))
+    after = np.zeros(n, dtype=bool)
+    after[:-1] = ink[1:]
+    end = np.flatnonzero(ink & (~after | begins[1:])) + 1
+    words = Hasher((_LOWERED if lower else _VALUE)[data])(start, end - start)
+    return words, np.diff(np.searchsorted(start, offsets))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: int, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of a batch, the hashes of all their words in a row, and where each row's begin (one more: the end)."""
     for b in batches:
-        first, held, ends = 0, [], [0]
-        for i in range(b.num_rows):
-            t = b.column(text)[i].as_py()
-            found = split(t if not lower or t is None else _lower(t))
-            held.append(hashed(found))
-            ends.append(ends[-1] + len(found))
-            if ends[-1] >= CHUNK_WORDS or i == b.num_rows - 1:
-                yield b.slice(first, i + 1 - first), np.concatenate(held), np.array(ends)
-                first, held, ends = i + 1, [], [0]
-
-
-_LOWER = str.maketrans({c: chr(ord(c) + 32) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-
-
-def _lower(text: str) -> str:
-    """A-Z only."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+        column = b.column(text)
+        if column.null_count:
+            column = column.fill_null("")
+        wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+        first = at = held = 0
+        words: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, side="right")) - 1)
+            found, size = hash_block(data, offsets[at : to + 1], lower)
+            words.append(found)
+            sizes.append(size)
+            held, at = held + len(found), to
+            if held >= CHUNK_WORDS or at == b.num_rows:
+                yield b.slice(first, at - first), np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+                first, held, words, sizes = at, 0, [], []

@@ -16,7 +16,7 @@ from .common import connected_components, materialize, text_key
 #: A pair of nodes with at most so many pairs of leaves is compared leaf by leaf.
 LEAF_PAIRS = 256
 #: Pairs of nodes walked at a time, and pairs of leaves compared at a time; bound the memory.
-BATCH = 1 << 18
+BATCH = 1 << 16
 #: Fingerprints that share a block's value and are joined in one group; larger ones are split.
 GROUP_ROWS = 1 << 16
 
@@ -318,30 +318,24 @@ def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     sketch = np.array([_sketch(s) for s in sets]).reshape(-1, SKETCH)
     spare = similarity - 5 * np.sqrt(similarity * (1 - similarity) / SKETCH)
     least = int(np.floor(SKETCH * spare))
-    first, second, alike = [], [], []
+    forest, links = _Forest(len(sets)), []
     for at in range(0, len(left), 64):
         rows = left[at : at + 64]
-        same = (sketch[rows][:, None, :] == sketch[right][None, :, :]).sum(axis=2)
+        same = (sketch[rows][:, None, :] == sketch[right][None, :, :]).sum(axis=2, dtype=np.int16)
         i, j = np.nonzero(same >= least)
         ok = rows[i] != right[j] if left is not right else rows[i] < right[j]
-        first.append(rows[i[ok]])
-        second.append(right[j[ok]])
-        alike.append(same[i[ok], j[ok]])
-    first, second, alike = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (first, second, alike))
-    order = np.argsort(-alike, kind="stable")
-    first, second = first[order], second[order]
-    forest, links = _Forest(len(sets)), []
-    while len(first):
-        batch = slice(0, 1024)
-        for a, b in zip(first[batch].tolist(), second[batch].tolist()):
-            if forest.label[a] != forest.label[b]:
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
-                    links.append((a, b))
-                    forest.join(np.array([a]), np.array([b]))
-        first, second = first[1024:], second[1024:]
-        open_ = forest.label[first] != forest.label[second]
-        first, second = first[open_], second[open_]
+        order = np.argsort(-same[i[ok], j[ok]], kind="stable")
+        first, second = rows[i[ok]][order], right[j[ok]][order]
+        while len(first):
+            for a, b in zip(first[:256].tolist(), second[:256].tolist()):
+                if forest.label[a] != forest.label[b]:
+                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                        links.append((a, b))
+                        forest.join(np.array([a]), np.array([b]))
+            first, second = first[256:], second[256:]
+            open_ = forest.label[first] != forest.label[second]
+            first, second = first[open_], second[open_]
     src, dst = zip(*links) if links else ((), ())
     return np.array(src, dtype=np.int64), np.array(dst, dtype=np.int64)
 

@@ -37,7 +37,7 @@ class Model:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 17:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 7)
         return h

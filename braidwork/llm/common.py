@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Used only where the cluster names no folder in ``spark.checkpoint.dir`` (tests, one machine).
 FALLBACK_CHECKPOINT_DIR = "file:///tmp/checkpoints"
+#: Rows that go to Python at a time; texts are long, and a batch is held on both sides.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
@@ -46,7 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/braidwork/{name}-{uuid.uuid4().hex}"
-    with _session_setting(spark, _CLEANUP, "true"):
+    with _session_setting(spark, _CLEANUP, "true"), _session_setting(spark, _BATCH, str(BATCH_ROWS)):
         df.write.parquet(path)
     if not _written:
         atexit.register(_drop_all)

@@ -295,49 +295,38 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i : i + words])) for i in range(len(found) - words + 1)), dtype=np.uint64, count=len(found) - words + 1))
 
 
-#: Distinct texts of a component that are compared in one task, on either side; and min-hashes of a text's sketch.
-VERIFY_ROWS, SKETCH = 4096, 128
-_MULTIPLIERS = np.random.default_rng(12).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _sketch(shingles: np.ndarray) -> np.ndarray:
-    """Low bytes of the least of each of SKETCH scramblings."""
-    least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 4096):
-        x = shingles[at : at + 4096, None] * _MULTIPLIERS
-        least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
-    return least.astype(np.uint8)
+#: Distinct texts of a component that are compared in one task, on either side; and shingles counted at a time.
+VERIFY_ROWS, VERIFY_COLUMNS = 2048, 1024
 
 
 def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """A forest that connects the texts of ``left`` and ``right`` (all pairs of one side, if they are the same) whose Jaccard similarity reaches ``similarity``.
 
-    Sketches tell which pairs may reach it, with five standard deviations to spare; those are looked at
-    exactly, the likeliest first, unless they are connected by then.
+    What two sets share is counted exactly, in products of blocks of the 0-1 matrix of sets and those shingles
+    that more than one set has.
     """
-    sketch = np.array([_sketch(s) for s in sets]).reshape(-1, SKETCH)
-    spare = similarity - 5 * np.sqrt(similarity * (1 - similarity) / SKETCH)
-    least = int(np.floor(SKETCH * spare))
-    forest, links = _Forest(len(sets)), []
-    for at in range(0, len(left), 64):
-        rows = left[at : at + 64]
-        same = (sketch[rows][:, None, :] == sketch[right][None, :, :]).sum(axis=2, dtype=np.int16)
-        i, j = np.nonzero(same >= least)
-        ok = rows[i] != right[j] if left is not right else rows[i] < right[j]
-        order = np.argsort(-same[i[ok], j[ok]], kind="stable")
-        first, second = rows[i[ok]][order], right[j[ok]][order]
-        while len(first):
-            for a, b in zip(first[:256].tolist(), second[:256].tolist()):
-                if forest.label[a] != forest.label[b]:
-                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
-                        links.append((a, b))
-                        forest.join(np.array([a]), np.array([b]))
-            first, second = first[256:], second[256:]
-            open_ = forest.label[first] != forest.label[second]
-            first, second = first[open_], second[open_]
-    src, dst = zip(*links) if links else ((), ())
-    return np.array(src, dtype=np.int64), np.array(dst, dtype=np.int64)
+    sizes = np.array([len(s) for s in sets], dtype=np.float64)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    owner, column = owner[shared], (np.cumsum(counts > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for lo in range(0, width, VERIFY_COLUMNS):
+        at = slice(np.searchsorted(column, lo), np.searchsorted(column, lo + VERIFY_COLUMNS))
+        has = np.zeros((len(sets), VERIFY_COLUMNS), dtype=np.float32)
+        has[owner[at], column[at] - lo] = 1
+        both += has[left] @ has[right].T
+    forest = _Forest(len(sets))
+    for at in range(0, len(left), 256):
+        rows = left[at : at + 256]
+        part = both[at : at + 256].astype(np.float64)
+        i, j = np.nonzero(part >= similarity * (sizes[rows][:, None] + sizes[right][None, :] - part))
+        forest.join(rows[i], right[j])
+    moved = np.flatnonzero(forest.label != np.arange(len(sets)))
+    return moved, forest.label[moved]
 
 
 def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, text_key
+from .common import connected_components, discard, materialize, text_key
 
 #: A pair of nodes with at most so many pairs of leaves is compared leaf by leaf.
 LEAF_PAIRS = 256
@@ -328,14 +329,196 @@ def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     return moved, forest.label[moved]
 
 
+def _in_groups(held: DataFrame, similarity: float) -> DataFrame:
+    """``src, dst``: a forest over the ``m`` of each ``root``'s rows (m, root, parts, shingles), all of whose pairs are looked at."""
+    held = held.withColumn("i", F.pmod(F.xxhash64("m"), F.col("parts")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("i", j).alias("a"), F.greatest("i", j).alias("b"))))
+    dealt = held.select("m", "root", "shingles", "i", pair.alias("t")).select("m", "root", "shingles", "i", "t.a", "t.b")
+
+    def verify(t: pa.Table) -> pa.Table:
+        made = [np.frombuffer(s, dtype=np.uint64) for s in t["shingles"].to_pylist()]
+        m, a, b = t["m"].to_numpy(), t["a"][0].as_py(), t["b"][0].as_py()
+        side = t["i"].to_numpy() == a
+        left = np.flatnonzero(side)
+        src, dst = verified_links(made, left, left if a == b else np.flatnonzero(~side), similarity)
+        return pa.table({"src": m[src], "dst": m[dst]})
+
+    return dealt.groupBy("root", "a", "b").applyInArrow(verify, "src long, dst long")
+
+
+#: Texts with one shingle in their prefixes whose pairs are written out; larger groups are compared in blocks.
+PAIR_ROWS = 64
+#: The order is made from one text in so many, in so many rounds; each moves so many shingles to its end at most.
+SAMPLE, ROUNDS, LATE = 8, 2, 1 << 20
+#: Bits of a set's sketch.
+SKETCH = 4096
+
+
+def prefix(shingles: np.ndarray, similarity: float, late: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, in an order that all sets have in common: those of ``late`` (sorted) come last.
+
+    Of two sets whose Jaccard similarity reaches ``similarity``, one has at least that share of the other,
+    so what each has in front of its last ``ceil(similarity * n) - 1`` shingles must meet.
+    """
+    n = len(shingles)
+    if len(late):
+        at = np.minimum(np.searchsorted(late, shingles), len(late) - 1)
+        last = late[at] == shingles
+        shingles = np.concatenate([shingles[~last], shingles[last]])
+    return shingles[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def close_rows(group: np.ndarray, m: np.ndarray, part: np.ndarray, place: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``m`` of one group (rows sorted by group) and of different parts that sizes and places do not rule out."""
+    src, dst = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for d in range(1, len(group)):
+        i = np.flatnonzero(group[d:] == group[:-d])
+        if not len(i):
+            break
+        j = i + d
+        a, b = size[i].astype(np.float64), size[j].astype(np.float64)
+        # if it is the first that they share, they share it and at most what comes after it in both
+        most = 1 + np.minimum(a - place[i] - 1, b - place[j] - 1)
+        open_ = (part[i] != part[j]) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6) & (most >= similarity / (1 + similarity) * (a + b) - 1e-6)
+        i, j = i[open_], j[open_]
+        src.append(np.minimum(m[i], m[j]))
+        dst.append(np.maximum(m[i], m[j]))
+    both = np.unique(np.stack([np.concatenate(src), np.concatenate(dst)], axis=1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Whether the shingles of each remainder are an odd number: two sets differ in no fewer shingles than their sketches do in bits."""
+    return np.packbits(np.bincount((shingles % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
+def prefix_links(texts: Callable[[DataFrame], DataFrame], named: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``src, dst``: links that join all ``m`` of ``named`` (m, part) of different parts whose similarity reaches ``similarity``.
+
+    ``texts`` gives rows (m, ..., text) of a table with ``m``. No pair is left out: any shares a shingle of
+    its prefixes, whatever the order. The order only decides the cost: shingles that many prefixes have
+    are moved to its end. Pairs that already are of one part are not looked at.
+    """
+    spark = named.sparkSession
+
+    def rows(of: DataFrame, late: np.ndarray) -> DataFrame:
+        told = spark.sparkContext.broadcast(late)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    some = b.slice(at, 256)
+                    sets = [shingle_set(t, words) for t in some.column(2).to_pylist()]
+                    cut = [prefix(s, similarity, told.value) for s in sets]
+                    n = np.array([len(c) for c in cut], dtype=np.int64)
+                    own = np.repeat(np.arange(len(cut)), n)
+                    place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                    size = np.array([len(s) for s in sets], dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cut).view(np.int64)), some.column(0).take(pa.array(own)), some.column(1).take(pa.array(own)), pa.array(place.astype(np.int32)), pa.array(size[own])], names=["shingle", "m", "part", "place", "size"])
+
+        return materialize(texts(of).select("m", "part", "text").mapInArrow(run, "shingle long, m long, part long, place int, size int"), "prefix-rows")
+
+    def met(made: DataFrame) -> DataFrame:
+        all_ = made.groupBy("shingle").agg(F.count("*").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+        return all_.where("lo <> hi").select("shingle", "n")
+
+    late = np.zeros(0, dtype=np.uint64)
+    for _ in range(ROUNDS):
+        some = rows(named.where(F.pmod(F.xxhash64("m"), F.lit(SAMPLE)) == 0), late)
+        often = met(some).where(F.col("n") > max(1, PAIR_ROWS // SAMPLE // 2)).orderBy(F.desc("n"), "shingle").limit(LATE).select("shingle").toPandas()
+        discard(some)
+        before, late = len(late), np.union1d(late, often["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
+        if len(late) == before:
+            break
+    made = rows(named, late)
+    groups = materialize(met(made), "prefix-met")
+    hot = groups.where(F.col("n") > PAIR_ROWS)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for b in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            cut = int(np.flatnonzero(held[0] == held[0][-1])[0]) if len(held[0]) else 0  # the last group may go on
+            if cut:
+                src, dst = close_rows(*[x[:cut] for x in held], similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+                held = [x[cut:] for x in held]
+        if held is not None:
+            src, dst = close_rows(*held, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+
+    few = made.join(groups.where(F.col("n") <= PAIR_ROWS).select("shingle"), "shingle").select("shingle", "m", "part", "place", "size")
+    few = few.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(pairs, "src long, dst long")
+    asked = materialize(few.distinct(), "prefix-pairs")
+    # groups of equal members are one; all pairs of a larger one are looked at, in blocks
+    many = materialize(made.join(hot.select("shingle"), "shingle").select("shingle", "m"), "prefix-many")
+    discard(made)
+    lists = many.groupBy("shingle").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("m")).alias("x0"), F.bit_xor(F.xxhash64(F.lit("second"), "m")).alias("x1"))
+    lists = materialize(lists.groupBy("n", "x0", "x1").agg(F.min("shingle").alias("shingle")), "prefix-lists")
+    dealt = many.join(lists, "shingle").select("m", F.col("shingle").alias("root"), F.ceil(F.col("n") / VERIFY_ROWS).cast("int").alias("parts"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, words).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["m", "shingles"])
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [shingle_set(t, words) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in held], pa.int32()), pa.array([sketch(x) for x in held], pa.binary())], names=["m", "size", "sketch"])
+
+    def of(ids: DataFrame) -> DataFrame:
+        return texts(materialize(named.join(ids, "m"), "prefix-wanted")).select("m", "text")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("src").alias("m")).union(pairs.select(F.col("dst").alias("m"))).distinct()
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1) for k in (3, 5))
+            size = b.column(2).to_numpy().astype(np.float64) + b.column(4).to_numpy()
+            # what similar sets differ in, at most
+            at = pa.array(np.flatnonzero(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * size + 1e-6))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["src", "dst"])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(both >= similarity * (len(x) + len(y) - both))
+            at = pa.array(np.flatnonzero(same))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["src", "dst"])
+
+    short = materialize(of(ends(asked)).mapInArrow(sketches, "m long, size int, sketch binary"), "prefix-sketches")
+    seen = asked.join(short.toDF("src", "a", "x"), "src").join(short.toDF("dst", "b", "y"), "dst").select("src", "dst", "a", "x", "b", "y")
+    left = materialize(seen.mapInArrow(open_, "src long, dst long"), "prefix-open")
+    discard(short)
+    held = materialize(of(ends(left)).mapInArrow(sets, "m long, shingles binary"), "prefix-sets")
+    both = left.join(held.toDF("src", "x"), "src").join(held.toDF("dst", "y"), "dst").select("src", "dst", "x", "y")
+    near = materialize(both.mapInArrow(agree, "src long, dst long"), "prefix-near")
+    discard(held)
+    if not lists.isEmpty():
+        held = materialize(of(dealt.select("m").distinct()).mapInArrow(sets, "m long, shingles binary"), "prefix-block-sets")
+        near = near.unionByName(materialize(_in_groups(dealt.join(held, "m"), similarity), "prefix-blocks"))
+        discard(held)
+    return near
+
+
 def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one document of each group of near-duplicates: the one with the least key.
 
-    Equal texts are a group; the least key stands for all. Those are candidates where the SimHash of
-    their distinct words differs in ``bits`` or fewer; candidates are linked where the Jaccard
-    similarity of their sets of word shingles, looked at exactly, is ``similarity`` or more. Only
-    texts that share a component with another are looked at, in tasks of bounded size, which return a
-    forest of links.
+    Equal texts are a group; the least key stands for all. Texts are linked where the Jaccard similarity
+    of their sets of word shingles, looked at exactly, is ``similarity`` or more. Candidates come
+    on two ways. First those where the SimHash of their distinct words differs in ``bits`` or fewer, which
+    unites dense groups at little cost: texts that share a component are looked at in tasks of bounded
+    size, which return a forest of links. Then, of texts not yet united, all that share a shingle
+    of their prefixes (:func:`prefix_links`), so that no pair is missed.
 
     Rows equal in key and text are one document and share its fate. Rows with a null key always stay.
     Null and empty texts are equal texts. A text of fewer words than a shingle is one shingle. Other
@@ -346,13 +529,20 @@ def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int =
     rows = df.select(F.col(f"`{key}`").alias("key"), body.alias("text")).where("key IS NOT NULL")
     hashed = rows.select("key", *[h.alias(f"h{i}") for i, h in enumerate(text_key("text"))], "text")
     copies = materialize(hashed.drop("text"), "keep-copies")
-    firsts = materialize(copies.groupBy("h0", "h1").agg(F.min("key").alias("key")), "keep-firsts")
+    firsts = copies.groupBy("h0", "h1").agg(F.min("key").alias("key")).withColumn("m", F.monotonically_increasing_id())
+    firsts = materialize(firsts, "keep-firsts")
+    repeated = copies.count() > copies.distinct().count()
+
+    def texts(of: DataFrame) -> DataFrame:
+        found = hashed.join(of, ["key", "h0", "h1"])
+        return found.dropDuplicates([c for c in ("m", "root") if c in of.columns]) if repeated else found
+
     groups = near_duplicates(rows.select(F.col("key").alias(key), F.col("text").alias(text)), None, bits, key, text)
     groups = groups.select(F.col(key).alias("key"), F.col("component_id").alias("root")).distinct()
     reps = materialize(firsts.join(groups, "key"), "keep-reps")
     shared = materialize(reps.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "keep-shared")
-    members = reps.join(shared, "root").select("key", "h0", "h1", "root", F.ceil(F.col("n") / VERIFY_ROWS).cast("int").alias("parts"))
-    members = materialize(members.withColumn("m", F.monotonically_increasing_id()), "keep-members")
+    members = reps.join(shared, "root").select("key", "h0", "h1", "m", "root", F.ceil(F.col("n") / VERIFY_ROWS).cast("int").alias("parts"))
+    members = materialize(members, "keep-members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -361,22 +551,14 @@ def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int =
                 made = [shingle_set(t, words).tobytes() for t in part.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(made, pa.binary())], names=["m", "root", "parts", "shingles"])
 
-    held = hashed.join(members, ["key", "h0", "h1"]).select("m", "root", "parts", "text").mapInArrow(sets, f"m long, root {kind}, parts int, shingles binary")
-    held = held.dropDuplicates(["m"]).withColumn("i", F.pmod(F.xxhash64("m"), F.col("parts")).cast("int"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("i", j).alias("a"), F.greatest("i", j).alias("b"))))
-    dealt = held.select("m", "root", "shingles", "i", pair.alias("t")).select("m", "root", "shingles", "i", "t.a", "t.b")
-
-    def verify(t: pa.Table) -> pa.Table:
-        made = [np.frombuffer(s, dtype=np.uint64) for s in t["shingles"].to_pylist()]
-        m, a, b = t["m"].to_numpy(), t["a"][0].as_py(), t["b"][0].as_py()
-        side = t["i"].to_numpy() == a
-        left = np.flatnonzero(side)
-        src, dst = verified_links(made, left, left if a == b else np.flatnonzero(~side), similarity)
-        return pa.table({"src": m[src], "dst": m[dst]})
-
-    found = materialize(dealt.groupBy("root", "a", "b").applyInArrow(verify, "src long, dst long"), "keep-links")
+    held = texts(members).select("m", "root", "parts", "text").mapInArrow(sets, f"m long, root {kind}, parts int, shingles binary")
+    found = materialize(_in_groups(held, similarity), "keep-links")
+    member = materialize(connected_components(found), "keep-components")
+    parts = firsts.join(member, F.col("m") == F.col("node"), "left").select("key", "h0", "h1", "m", F.coalesce("component", "m").alias("part"))
+    parts = materialize(parts, "keep-parts")
+    found = found.unionByName(prefix_links(texts, parts, words, similarity))
     member = materialize(connected_components(found), "keep-components")
-    named = members.join(member, F.col("m") == F.col("node")).select("key", "h0", "h1", "component")
+    named = firsts.join(member, F.col("m") == F.col("node")).select("key", "h0", "h1", "component")
     least = materialize(named.groupBy("component").agg(F.min("key").alias("stays")), "keep-least")
     near = named.join(least, "component").where("key <> stays").select("h0", "h1", F.lit(True).alias("near"))
     # a text that goes takes all its copies along

@@ -31,7 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: candidates by SimHash, verified at 0.8 on five-word shingles."""
+    """One document of each group stays: candidates by SimHash and by prefixes, verified at 0.8 on five-word shingles."""
     return simhash.keep_one(docs).select(*COLUMNS)
 
 

@@ -122,6 +122,39 @@ def test_keep_one(spark):
     assert simhash.keep_one(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_keep_one_misses_no_pair(spark, monkeypatch, small):
+    """Copies that SimHash sets far apart: a long token more, words put before or behind, cut off, replaced in a block."""
+    if small:
+        monkeypatch.setattr(simhash, "PAIR_ROWS", 2)
+        monkeypatch.setattr(simhash, "VERIFY_ROWS", 3)
+    draw = random.Random(9)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(3000)]
+    some = lambda n: [draw.choice(words) for _ in range(n)]
+    token = lambda n: "".join(draw.choices("klmnopqrst", k=n))
+    texts = []
+    for n in (6, 25, 40, 100, 300):
+        for share in (0.05, 0.1, 0.15, 0.19, 0.24, 0.3):
+            t, k = some(n), max(1, int(n * share))
+            at = draw.randrange(n - k + 1)
+            texts += [t, [*t, *some(k)], [*some(k), *t], t[: n - k], [*t[:at], *some(k), *t[at + k :]], [*t, token(60)]]
+    t = some(40)
+    texts += [[*t, token(60)] for _ in range(12)] + [[token(60), *t[4:]] for _ in range(3)]
+    passage = some(15)
+    texts += [[*some(30), *passage, *some(30)] for _ in range(10)]
+    draw.shuffle(texts)
+    sets = [{" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = simhash.keep_one(docs(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, score string"
 
 

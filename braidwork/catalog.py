@@ -1,7 +1,7 @@
 """Queries over the driver's tables, by name, and SQL with the same rows.
 
 Texts become reads letter by letter, the same way in both. Sets of k-mers are those of texts of one
-language or of the others.
+language or of the others; those of queries named whole_... are of all texts.
 """
 
 from __future__ import annotations
@@ -30,8 +30,11 @@ def _slices(spark: SparkSession, d: str) -> DataFrame:
     return readers.slices(_reads(spark, d), 100)
 
 
-def _set(spark: SparkSession, d: str, english: bool, k: int = SET_K, ci: int = 1, cs: int = 255) -> KmerSet:
+def _set(spark: SparkSession, d: str, english: bool | None, k: int = SET_K, ci: int = 1, cs: int = 255) -> KmerSet:
+    """Of the English texts, the others, or (None) all."""
     reads = _reads(spark, d)
+    if english is None:
+        return KmerSet.count(reads, k, ci=ci, cs=cs)
     return KmerSet.count(reads.where(F.col("lang") == "en" if english else F.col("lang") != "en"), k, ci=ci, cs=cs)
 
 
@@ -125,6 +128,11 @@ def _value(rows: str) -> str:
     return "(VALUES " + ", ".join(str(r) for r in RUNS) + ") r(tool, n, t, k, rep, user_s, cpu_pct, max_rss_kb) " + rows
 
 
+def _sql_whole(sql: str) -> str:
+    """Over all texts, where ``sql`` has the English ones."""
+    return sql.replace("WHERE lang = 'en'", "WHERE true")
+
+
 def catalog() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """Each query with its SQL; a few without, where only Spark can make the rows."""
     q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -157,21 +165,27 @@ def catalog() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
     # one set
     en = lambda s, d, **o: _set(s, d, True, **o)
     one = lambda select: f"WITH {_SETS} {select}"
-    add("histogram", lambda s, d: en(s, d).histogram(), one("SELECT cnt, count(*) AS n_kmers FROM a GROUP BY cnt"))
-    add("histogram_dense", lambda s, d: en(s, d).histogram(1, 255, dense=True), one("SELECT r.cnt, count(a.kmer) AS n_kmers FROM range(1, 256) r(cnt) LEFT JOIN a USING (cnt) GROUP BY r.cnt"))
-    add("reduce", lambda s, d: en(s, d).reduce(2, 100, 10).df, one("SELECT kmer, least(cnt, 10) AS cnt FROM a WHERE cnt BETWEEN 2 AND 100"))
-    add("compact", lambda s, d: en(s, d).compact(2).df, one("SELECT kmer, CAST(1 AS BIGINT) AS cnt FROM a WHERE cnt >= 2"))
-    add("sort", lambda s, d: en(s, d).sort().df, one("SELECT kmer, cnt FROM a ORDER BY kmer"))
-    add("with_cutoffs", lambda s, d: en(s, d).with_cutoffs(3, 9).df, one("SELECT kmer, cnt FROM a WHERE cnt BETWEEN 3 AND 9"))
-    add("set_size", lambda s, d: en(s, d).with_cutoffs(2, 9).df.agg(F.count("*").alias("n_kmers")), one("SELECT count(*) AS n_kmers FROM a WHERE cnt BETWEEN 2 AND 9"))
-    add("info", lambda s, d: en(s, d).info(), one(f"SELECT {SET_K}::BIGINT AS k, 0::BIGINT AS mode, 1::BIGINT AS counter_size, 1::BIGINT AS min_count, 1000000000::BIGINT AS max_count, count(*) AS total_kmers, true AS both_strands FROM a"))
-    add("check", lambda s, d: en(s, d).lookup(["AAAAAAAAAAA", "acgtacgtacg", "CCCCCCCCCCC", "TTTTTTTTTTT"]), one("SELECT x.kmer, coalesce(a.cnt, 0) AS cnt FROM (VALUES ('AAAAAAAAAAA'), ('ACGTACGTACG'), ('CCCCCCCCCCC'), ('TTTTTTTTTTT')) x(kmer) LEFT JOIN a USING (kmer)"))
-    add("dump", lambda s, d: writers.dump_lines(en(s, d).df, 2, 50), one("SELECT kmer || chr(9) || cnt AS value FROM a WHERE cnt BETWEEN 2 AND 50"))
-    add("dump_sorted", lambda s, d: writers.dump_lines(en(s, d).df, in_order=True), one("SELECT kmer || chr(9) || cnt AS value FROM a ORDER BY kmer"))
-    add("dump_blank", lambda s, d: writers.dump_lines(en(s, d).df, separator=" "), one("SELECT kmer || ' ' || cnt AS value FROM a"))
-    add("dump_fasta", lambda s, d: writers.fasta_count_lines(en(s, d).df), one("SELECT '>' || cnt || chr(10) || kmer AS value FROM a"))
-    add("dump_weighted", lambda s, d: writers.dump_lines(en(s, d).df.withColumn("cnt", F.col("cnt") / 4), 0, weighted=True), one("SELECT kmer || chr(9) || printf('%.6f', cnt / 4.0) AS value FROM a"))
-    add("histogram_lines", lambda s, d: writers.histogram_lines(en(s, d).histogram()), one("SELECT cnt || chr(9) || count(*) AS value FROM a GROUP BY cnt"))
+
+    def of_one_set(prefix: str, en: Callable[..., KmerSet], one: Callable[[str], str]) -> None:
+        add(prefix + "histogram", lambda s, d: en(s, d).histogram(), one("SELECT cnt, count(*) AS n_kmers FROM a GROUP BY cnt"))
+        add(prefix + "histogram_dense", lambda s, d: en(s, d).histogram(1, 255, dense=True), one("SELECT r.cnt, count(a.kmer) AS n_kmers FROM range(1, 256) r(cnt) LEFT JOIN a USING (cnt) GROUP BY r.cnt"))
+        add(prefix + "reduce", lambda s, d: en(s, d).reduce(2, 100, 10).df, one("SELECT kmer, least(cnt, 10) AS cnt FROM a WHERE cnt BETWEEN 2 AND 100"))
+        add(prefix + "compact", lambda s, d: en(s, d).compact(2).df, one("SELECT kmer, CAST(1 AS BIGINT) AS cnt FROM a WHERE cnt >= 2"))
+        add(prefix + "sort", lambda s, d: en(s, d).sort().df, one("SELECT kmer, cnt FROM a ORDER BY kmer"))
+        add(prefix + "with_cutoffs", lambda s, d: en(s, d).with_cutoffs(3, 9).df, one("SELECT kmer, cnt FROM a WHERE cnt BETWEEN 3 AND 9"))
+        add(prefix + "set_size", lambda s, d: en(s, d).with_cutoffs(2, 9).df.agg(F.count("*").alias("n_kmers")), one("SELECT count(*) AS n_kmers FROM a WHERE cnt BETWEEN 2 AND 9"))
+        add(prefix + "info", lambda s, d: en(s, d).info(), one(f"SELECT {SET_K}::BIGINT AS k, 0::BIGINT AS mode, 1::BIGINT AS counter_size, 1::BIGINT AS min_count, 1000000000::BIGINT AS max_count, count(*) AS total_kmers, true AS both_strands FROM a"))
+        add(prefix + "check", lambda s, d: en(s, d).lookup(["AAAAAAAAAAA", "acgtacgtacg", "CCCCCCCCCCC", "TTTTTTTTTTT"]), one("SELECT x.kmer, coalesce(a.cnt, 0) AS cnt FROM (VALUES ('AAAAAAAAAAA'), ('ACGTACGTACG'), ('CCCCCCCCCCC'), ('TTTTTTTTTTT')) x(kmer) LEFT JOIN a USING (kmer)"))
+        add(prefix + "dump", lambda s, d: writers.dump_lines(en(s, d).df, 2, 50), one("SELECT kmer || chr(9) || cnt AS value FROM a WHERE cnt BETWEEN 2 AND 50"))
+        add(prefix + "dump_sorted", lambda s, d: writers.dump_lines(en(s, d).df, in_order=True), one("SELECT kmer || chr(9) || cnt AS value FROM a ORDER BY kmer"))
+        add(prefix + "dump_blank", lambda s, d: writers.dump_lines(en(s, d).df, separator=" "), one("SELECT kmer || ' ' || cnt AS value FROM a"))
+        add(prefix + "dump_fasta", lambda s, d: writers.fasta_count_lines(en(s, d).df), one("SELECT '>' || cnt || chr(10) || kmer AS value FROM a"))
+        add(prefix + "dump_weighted", lambda s, d: writers.dump_lines(en(s, d).df.withColumn("cnt", F.col("cnt") / 4), 0, weighted=True), one("SELECT kmer || chr(9) || printf('%.6f', cnt / 4.0) AS value FROM a"))
+        add(prefix + "histogram_lines", lambda s, d: writers.histogram_lines(en(s, d).histogram()), one("SELECT cnt || chr(9) || count(*) AS value FROM a GROUP BY cnt"))
+        add(prefix + "kmer_functions", lambda s, d: en(s, d).df.select("kmer", K.reverse_complement("kmer").alias("rc"), K.packed("kmer").alias("packed"), K.symbol("kmer", 3).alias("symbol"), K.symbol_code("kmer", 3).cast("int").alias("code"), K.canonical("kmer", "CATG").alias("other_order")), one("SELECT kmer, " + _RC.format("kmer") + " AS rc, " + " + ".join(f"(instr('ACGT', substr(kmer, {i + 1}, 1)) - 1)::BIGINT * {4 ** (SET_K - 1 - i)}" for i in range(SET_K)) + " AS packed, substr(kmer, 4, 1) AS symbol, CAST(instr('ACGT', substr(kmer, 4, 1)) - 1 AS INTEGER) AS code, " + _sql_lesser("kmer", "CATG") + " AS other_order FROM a"))
+
+    of_one_set("", en, one)
+    of_one_set("whole_", lambda s, d, **o: _set(s, d, None, **o), lambda select: _sql_whole(one(select)))
     # two sets
     for rule in COUNTER_RULES:
         add(f"intersect_{rule}", lambda s, d, r=rule: (p := _both(s, d))[0].intersect(p[1], r).df, one(_sql_pair("inner", _RULE[rule])))
@@ -196,22 +210,26 @@ def catalog() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
     # reads
     kept = lambda s, d: _set(s, d, True, SLICE_K, 2)
     windows = lambda select: f"WITH {_WINDOWS} {select}"
-    add("read_counters", lambda s, d: R.counters(_slices(s, d), kept(s, d)).select("read_id", F.array_join(F.col("counters").cast("array<string>"), ",").alias("counters")), windows("SELECT s.read_id, coalesce(string_agg(CAST(cnt AS VARCHAR), ',' ORDER BY pos), '') AS counters FROM slices s LEFT JOIN seen USING (read_id) GROUP BY s.read_id"))
-    add("valid_windows", lambda s, d: R.valid_windows(_slices(s, d), kept(s, d)), windows("SELECT read_id, CAST(valid AS BIGINT) AS n_valid FROM met"))
-    add("filter_reads", lambda s, d: R.filter_reads(_slices(s, d), kept(s, d), 10, 80).select("read_id", "seq"), windows("SELECT read_id, seq FROM met WHERE valid BETWEEN 10 AND 80"))
-    add("filter_reads_fraction", lambda s, d: R.filter_reads(_slices(s, d), kept(s, d), 0.25, 0.75).select("read_id", "seq"), windows("SELECT read_id, seq FROM met WHERE valid >= floor(windows * 0.25::DOUBLE) AND valid <= floor(windows * 0.75::DOUBLE)"))
-    add("trim_reads", lambda s, d: R.trim_reads(_slices(s, d), kept(s, d), 3).select("read_id", "seq"), windows(f"SELECT read_id, CASE WHEN bad IS NULL THEN seq ELSE substr(seq, 1, CAST(bad AS BIGINT) + {SLICE_K - 1}) END AS seq FROM met WHERE windows > 0 AND (bad IS NULL OR bad > 0)"))
-    mask_sql = f""", base AS (SELECT s.read_id, i, substr(seq, CAST(i AS BIGINT) + 1, 1) AS c FROM (SELECT read_id, seq, unnest(range(0, length(seq))) AS i FROM slices) s),
+
+    def of_reads(prefix: str, kept: Callable[[SparkSession, str], KmerSet], windows: Callable[[str], str]) -> None:
+        add(prefix + "read_counters", lambda s, d: R.counters(_slices(s, d), kept(s, d)).select("read_id", F.array_join(F.col("counters").cast("array<string>"), ",").alias("counters")), windows("SELECT s.read_id, coalesce(string_agg(CAST(cnt AS VARCHAR), ',' ORDER BY pos), '') AS counters FROM slices s LEFT JOIN seen USING (read_id) GROUP BY s.read_id"))
+        add(prefix + "valid_windows", lambda s, d: R.valid_windows(_slices(s, d), kept(s, d)), windows("SELECT read_id, CAST(valid AS BIGINT) AS n_valid FROM met"))
+        add(prefix + "filter_reads", lambda s, d: R.filter_reads(_slices(s, d), kept(s, d), 10, 80).select("read_id", "seq"), windows("SELECT read_id, seq FROM met WHERE valid BETWEEN 10 AND 80"))
+        add(prefix + "filter_reads_fraction", lambda s, d: R.filter_reads(_slices(s, d), kept(s, d), 0.25, 0.75).select("read_id", "seq"), windows("SELECT read_id, seq FROM met WHERE valid >= floor(windows * 0.25::DOUBLE) AND valid <= floor(windows * 0.75::DOUBLE)"))
+        add(prefix + "trim_reads", lambda s, d: R.trim_reads(_slices(s, d), kept(s, d), 3).select("read_id", "seq"), windows(f"SELECT read_id, CASE WHEN bad IS NULL THEN seq ELSE substr(seq, 1, CAST(bad AS BIGINT) + {SLICE_K - 1}) END AS seq FROM met WHERE windows > 0 AND (bad IS NULL OR bad > 0)"))
+        mask_sql = f""", base AS (SELECT s.read_id, i, substr(seq, CAST(i AS BIGINT) + 1, 1) AS c FROM (SELECT read_id, seq, unnest(range(0, length(seq))) AS i FROM slices) s),
     masked AS (SELECT b.read_id, i, CASE WHEN max(CASE WHEN cnt < 3 THEN 1 ELSE 0 END) OVER (PARTITION BY b.read_id ORDER BY i ROWS BETWEEN {SLICE_K - 1} PRECEDING AND CURRENT ROW) = 1 THEN 'N' ELSE c END AS c FROM base b LEFT JOIN seen s ON b.read_id = s.read_id AND b.i = s.pos)
     SELECT read_id, string_agg(c, '' ORDER BY i) AS seq FROM masked GROUP BY read_id"""
-    add("mask_reads", lambda s, d: R.mask_reads(_slices(s, d), kept(s, d), 3).select("read_id", "seq"), windows(mask_sql))
+        add(prefix + "mask_reads", lambda s, d: R.mask_reads(_slices(s, d), kept(s, d), 3).select("read_id", "seq"), windows(mask_sql))
+
+    of_reads("", kept, windows)
+    of_reads("whole_", lambda s, d: _set(s, d, None, SLICE_K, 2), lambda select: _sql_whole(windows(select)))
     add("fasta_lines", lambda s, d: writers.read_lines(_slices(s, d), "fasta"), f"WITH {_READS}, {_SLICES} SELECT '>' || read_id || chr(10) || seq AS value FROM slices")
     # signatures
     add("signatures", lambda s, d: segments.read_signatures(_slices(s, d), LONG_K, P).select("read_id", "pos", "signature"), f"WITH {_SIGNATURES} SELECT read_id, CAST(pos AS INTEGER) AS pos, signature FROM sig")
     add("super_kmers", lambda s, d: segments.super_kmers(_slices(s, d), LONG_K, P), f"WITH {_SUPER} SELECT read_id, start, len, signature FROM super")
     add("signature_statistics", lambda s, d: segments.signature_statistics(_slices(s, d), LONG_K, P), f"WITH {_SIGNATURES} SELECT signature, count(*) AS n_kmers FROM sig GROUP BY signature")
     # functions
-    add("kmer_functions", lambda s, d: en(s, d).df.select("kmer", K.reverse_complement("kmer").alias("rc"), K.packed("kmer").alias("packed"), K.symbol("kmer", 3).alias("symbol"), K.symbol_code("kmer", 3).cast("int").alias("code"), K.canonical("kmer", "CATG").alias("other_order")), one("SELECT kmer, " + _RC.format("kmer") + " AS rc, " + " + ".join(f"(instr('ACGT', substr(kmer, {i + 1}, 1)) - 1)::BIGINT * {4 ** (SET_K - 1 - i)}" for i in range(SET_K)) + " AS packed, substr(kmer, 4, 1) AS symbol, CAST(instr('ACGT', substr(kmer, 4, 1)) - 1 AS INTEGER) AS code, " + _sql_lesser("kmer", "CATG") + " AS other_order FROM a"))
     add("base_probability", lambda s, d: s.range(0, 42).select(F.col("id").alias("q"), F.round(K.base_probability(F.char(F.col("id") + 33)), 12).alias("p")), "SELECT q, round(greatest(0.25, 1 - pow(10, -q / 10.0)), 12) AS p FROM range(0, 42) r(q)")
     # benchmark
     add("benchmark_averages", lambda s, d: readers.averages(_runs(s)), "SELECT tool, n, t::BIGINT AS t, k, count(*) AS n_runs, avg(user_s)::DOUBLE AS avg_user_s, min(user_s)::DOUBLE AS min_user_s, max(user_s)::DOUBLE AS max_user_s, avg(cpu_pct)::DOUBLE AS avg_cpu_pct, min(cpu_pct)::DOUBLE AS min_cpu_pct, max(cpu_pct)::DOUBLE AS max_cpu_pct, avg(max_rss_kb)::DOUBLE AS avg_max_rss_kb, min(max_rss_kb)::BIGINT AS min_max_rss_kb, max(max_rss_kb)::BIGINT AS max_max_rss_kb FROM " + _value("GROUP BY tool, n, t, k"))

@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 
 
@@ -9,3 +12,24 @@ def test_names():
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and sum(r.n_kmers for r in rows) > 0
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def same_rows(spark, names):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    queries, sql = entry.queries(), entry.oracle_sql()
+    for name in names:
+        got = sorted(map(str, (tuple(r) for r in queries[name](spark, SMALL).collect())))
+        assert got and got == sorted(map(str, con.execute(sql[name]).fetchall())), name
+
+
+def test_whole_sets_count_all_languages(spark):
+    queries = entry.queries()
+    total = lambda name: queries[name](spark, SMALL).agg(F.sum("n_kmers")).first()[0]
+    assert total("whole_histogram") > total("histogram")
+    assert {"whole_" + n for n in ("dump", "info", "check", "sort", "kmer_functions", "read_counters", "mask_reads")} <= set(queries)
+    same_rows(spark, ["whole_histogram", "whole_info", "whole_check", "whole_reduce", "whole_valid_windows"])

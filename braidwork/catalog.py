@@ -42,8 +42,8 @@ def _both(spark: SparkSession, d: str) -> tuple[KmerSet, KmerSet]:
     return _set(spark, d, True), _set(spark, d, False)
 
 
-def _weighted(spark: SparkSession, d: str) -> DataFrame:
-    cut = _slices(spark, d)
+def _weighted(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    cut = _reads(spark, d).where("length(seq) > 0") if whole else _slices(spark, d)
     qual = F.array_join(F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.char(33 + (F.col("read_id") * 31 + i * 7) % 41)), "")
     return cut.withColumn("qual", qual)
 
@@ -124,6 +124,11 @@ s2 AS (SELECT *, sum(new) OVER (PARTITION BY read_id, run ORDER BY pos) AS islan
 super AS (SELECT read_id, CAST(min(pos) AS INTEGER) AS start, CAST(count(*) + {LONG_K - 1} AS INTEGER) AS len, any_value(signature) AS signature FROM s2 GROUP BY read_id, run, island)"""
 
 
+#: Whole texts where the other queries have slices.
+_UNCUT = "slices AS (SELECT read_id, seq FROM reads WHERE length(seq) > 0)"
+_CUT_SUPER = _SUPER.replace("super AS (SELECT", f"s4 AS (SELECT *, (row_number() OVER (PARTITION BY read_id, run, island ORDER BY pos) - 1) // {segments.MOST_WINDOWS} AS part FROM s2),\nsuper AS (SELECT").replace("FROM s2 GROUP BY read_id, run, island", "FROM s4 GROUP BY read_id, run, island, part")
+
+
 def _value(rows: str) -> str:
     return "(VALUES " + ", ".join(str(r) for r in RUNS) + ") r(tool, n, t, k, rep, user_s, cpu_pct, max_rss_kb) " + rows
 
@@ -229,6 +234,13 @@ def catalog() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
     add("signatures", lambda s, d: segments.read_signatures(_slices(s, d), LONG_K, P).select("read_id", "pos", "signature"), f"WITH {_SIGNATURES} SELECT read_id, CAST(pos AS INTEGER) AS pos, signature FROM sig")
     add("super_kmers", lambda s, d: segments.super_kmers(_slices(s, d), LONG_K, P), f"WITH {_SUPER} SELECT read_id, start, len, signature FROM super")
     add("signature_statistics", lambda s, d: segments.signature_statistics(_slices(s, d), LONG_K, P), f"WITH {_SIGNATURES} SELECT signature, count(*) AS n_kmers FROM sig GROUP BY signature")
+    # over whole texts
+    uncut = lambda name: q[name][1].replace(_SLICES, _UNCUT)
+    add("uncut_count_weighted", lambda s, d: counting.count_weighted(_weighted(s, d, True), SET_K).select("kmer", F.round("cnt", 6).alias("cnt")), uncut("count_weighted"))
+    add("uncut_count_by_signature", lambda s, d: segments.count_by_signature(_reads(s, d), LONG_K, P), _counted(LONG_K, "SELECT kmer, cnt FROM counts"))
+    add("uncut_signatures", lambda s, d: segments.read_signatures(_reads(s, d), LONG_K, P).select("read_id", "pos", "signature"), uncut("signatures"))
+    add("uncut_super_kmers", lambda s, d: segments.super_kmers(_reads(s, d), LONG_K, P), f"WITH {_CUT_SUPER} SELECT read_id, start, len, signature FROM super".replace(_SLICES, _UNCUT))
+    add("uncut_signature_statistics", lambda s, d: segments.signature_statistics(_reads(s, d), LONG_K, P), uncut("signature_statistics"))
     # functions
     add("base_probability", lambda s, d: s.range(0, 42).select(F.col("id").alias("q"), F.round(K.base_probability(F.char(F.col("id") + 33)), 12).alias("p")), "SELECT q, round(greatest(0.25, 1 - pow(10, -q / 10.0)), 12) AS p FROM range(0, 42) r(q)")
     # benchmark

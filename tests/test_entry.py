@@ -33,3 +33,10 @@ def test_whole_sets_count_all_languages(spark):
     assert total("whole_histogram") > total("histogram")
     assert {"whole_" + n for n in ("dump", "info", "check", "sort", "kmer_functions", "read_counters", "mask_reads")} <= set(queries)
     same_rows(spark, ["whole_histogram", "whole_info", "whole_check", "whole_reduce", "whole_valid_windows"])
+
+
+def test_uncut_texts_lose_no_window(spark):
+    queries = entry.queries()
+    total = lambda name, column: queries[name](spark, SMALL).agg(F.sum(column)).first()[0]
+    assert total("uncut_count_by_signature", "cnt") == total("count", "cnt") > total("count_by_signature", "cnt")
+    same_rows(spark, ["uncut_count_by_signature", "uncut_signatures", "uncut_super_kmers", "uncut_signature_statistics"])

@@ -3,25 +3,31 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no folder in ``spark.checkpoint.dir`` (tests, one machine).
+#: Used only where ``spark.checkpoint.dir`` is unset and Spark runs on one machine, as in tests.
 FALLBACK_CHECKPOINT_DIR = "file:///tmp/checkpoints"
-#: Rows that go to Python at a time; texts are long, and a batch is held on both sides.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes that go to Python at a time, about; texts are long, and a batch is held on both sides.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; sets a folder of our own only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; sets a folder of our own only where it is unset.
+
+    On a cluster no folder of one machine will do, so there it must be set.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", FALLBACK_CHECKPOINT_DIR)
         root = FALLBACK_CHECKPOINT_DIR
     return root.rstrip("/")
@@ -40,6 +46,12 @@ def _session_setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on in this session, batches that go to Python are bounded by bytes, not only by rows."""
+    if int(spark.conf.get(_BATCH).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to shared storage and read back.
 
@@ -49,7 +61,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/braidwork/{name}-{uuid.uuid4().hex}"
-    with _session_setting(spark, _CLEANUP, "true"), _session_setting(spark, _BATCH, str(BATCH_ROWS)):
+    bound_batches(spark)
+    with _session_setting(spark, _CLEANUP, "true"):
         df.write.parquet(path)
     if not _written:
         atexit.register(_drop_all)
@@ -78,6 +91,7 @@ def _drop_all() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -103,19 +117,19 @@ def running_total(df: DataFrame, group: list[str], order: list[str], bucket: Col
     ``bucket`` must rise with ``order``. Only the sums of the buckets are added up across a group,
     so that a group of any size is spread over as many tasks as it has buckets.
     """
-    rows = df.withColumn("_bucket", bucket).withColumn("_value", value.cast("long"))
-    sums = materialize(rows.groupBy(*group, "_bucket").agg(F.sum("_value").alias("_sum")), name)
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    rows = df.withColumn("_bw_bucket", bucket).withColumn("_bw_value", value.cast("long"))
+    sums = materialize(rows.groupBy(*group, "_bw_bucket").agg(F.sum("_bw_value").alias("_bw_sum")), name)
+    before = Window.partitionBy(*group).orderBy("_bw_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_bw_start", F.coalesce(F.sum("_bw_sum").over(before), F.lit(0))).drop("_bw_sum")
+    inside = Window.partitionBy(*group, "_bw_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_bw_inside", F.coalesce(F.sum("_bw_value").over(inside), F.lit(0)))
     left, right = rows.alias("l"), starts.alias("r")
     same = F.lit(True)
-    for key in (*group, "_bucket"):
+    for key in (*group, "_bw_bucket"):
         same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
     joined = left.join(right, same, "inner")
     kept = [F.col(f"l.{c}") for c in df.columns]
-    return joined.select(*kept, (F.col("l._inside") + F.col("r._start")).alias(out))
+    return joined.select(*kept, (F.col("l._bw_inside") + F.col("r._bw_start")).alias(out))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def local_tokens(documents: DataFrame, trains: Column, key: str = "doc_id", text
             inner = np.ones(len(tokens), dtype=bool)
             inner[stops - 1] = False
             tokens[inner] = words
-            train = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            train = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             vocabulary, ids = np.unique(tokens, return_inverse=True)
             counts = np.bincount(ids, weights=np.repeat(train, size + 1), minlength=len(vocabulary)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([

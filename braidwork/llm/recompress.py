@@ -3,234 +3,363 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .words import Hasher, chunks, mix, split
+from .common import discard, materialize
+from .exchange import distinct, gathered, names, packed, parts_for, unpacked
+from .words import chunks, mix, split
 
 WINDOW = 20
-#: Rounds of naming; symbols of more words than a window holds are of no use.
-ROUNDS = 6
+#: Rounds that name pairs and runs; a round's symbols reach over twice the words or more, and ever fewer lie within a window.
+ROUNDS = 3
 #: Windows of a run at most, so that a run never meets itself from afar.
 RUN = 20
 _M = np.uint64(0x9E3779B97F4A7C15)
+#: Words before or after a symbol that put its reach beyond any window.
+_FAR = 4 * WINDOW
+#: A chunk between rounds, in columns of packed numbers.
+_STATE = {"docs": "i8", "ends": "i8", "name": "u8", "at": "i8", "size": "u1", "before": "u1", "after": "u1", "begins": "?", "window": "i8", "best": "u8"}
+_SCHEMA = "chunk long, symbols long, " + ", ".join(f"{c} binary" for c in _STATE)
 
 
-def symbols(words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(name, words in it, first and last word that decide on it) of the symbols that each round makes.
+@dataclass
+class State:
+    """What is left of a chunk: segments of symbols, and the windows that may still have an equal one elsewhere.
 
-    A round names each maximal run of a symbol by symbol and length, and replaces each pair of
-    neighbours of which the left symbol's coin is 0 and the right one's is 1 by one symbol. (Runs stay in
-    place: how long one is shows only beyond it, and pairs need not wait for that.) Names and coins
-    depend on content alone, so that all documents name alike, without a table. Whether a symbol is made depends on
-    what it is made of and, where a symbol stays as it was, on its neighbour; [lo, hi) are all the words
-    that had a say. Equal word sequences that contain them have the symbol at the same place. At an
-    edge of a document there is no neighbour; what depends on one is at no other place, and has
-    a reach beyond the edge.
+    A symbol stands for ``size`` words from ``at`` on (counted through the chunk); ``before`` and ``after``
+    are the further words that decided on it. ``begins`` marks the first symbol of a segment. ``window``
+    are first words of windows, rising, and ``best`` the anchor of each. Row r of the chunk has the words
+    from ends[r] to ends[r + 1].
     """
-    n = len(words)
-    name, size = mix(words), np.ones(n, dtype=np.int64)
-    lo, hi = np.arange(n), np.arange(n) + 1
-    edge = np.zeros(n + 1, dtype=bool)
-    edge[ends] = True
-    left_edge, right_edge = edge[:-1].copy(), edge[1:].copy()
-    far = 4 * (n + WINDOW)  # farther than any window reaches
-    yield name, size, lo, hi
-    for k in range(ROUNDS):
-        if len(name) < 2:
-            return
-        # runs
-        same = np.zeros(len(name), dtype=bool)
-        same[1:] = (name[1:] == name[:-1]) & ~left_edge[1:]
-        if same.any():
-            first = np.flatnonzero(~same)
-            length = np.diff(np.append(first, len(name)))
-            first, length = first[length > 1], length[length > 1]
-            last = first + length - 1
-            run_lo = np.where(left_edge[first], -far, lo[np.maximum(first - 1, 0)])
-            run_hi = np.where(right_edge[last], far, hi[np.minimum(last + 1, len(name) - 1)])
-            run_size = np.minimum(size[first] * length, WINDOW + 1)
-            yield mix(name[first] + _M * length.astype(np.uint64)), run_size, np.minimum(run_lo, lo[first]), np.maximum(run_hi, hi[last])
-        # pairs
-        right = (mix(name + np.uint64(k + 1)) & np.uint64(1)).astype(bool)
-        joins = np.zeros(len(name), dtype=bool)
-        joins[:-1] = ~right[:-1] & right[1:] & ~right_edge[:-1]
-        taken = np.zeros(len(name), dtype=bool)
-        taken[1:] = joins[:-1]
-        kept = ~taken
-        at = np.flatnonzero(kept)
-        pair = joins[at]
-        mate = np.minimum(at + 1, len(name) - 1)
-        # a left symbol that stays has asked its right neighbour; a right one its left neighbour
-        lo_before = np.where(left_edge, -far, np.concatenate([[0], lo[:-1]]))
-        hi_after = np.where(right_edge, far, np.concatenate([hi[1:], [0]]))
-        new_lo = np.where(pair, np.minimum(lo[at], lo[mate]), np.where(right[at], np.minimum(lo[at], lo_before[at]), np.where(right_edge[at], lo[at], np.minimum(lo[at], lo[mate]))))
-        new_hi = np.where(pair, np.maximum(hi[at], hi[mate]), np.where(right[at], np.where(left_edge[at], hi[at], np.maximum(hi[at], hi[np.maximum(at - 1, 0)])), np.maximum(hi[at], hi_after[at])))
-        new_name = np.where(pair, mix(name[at] * _M + name[mate] + np.uint64(k)), name[at])
-        new_size = np.where(pair, size[at] + size[mate], size[at])
-        left_edge, right_edge = left_edge[at], np.where(pair, right_edge[mate], right_edge[at])
-        name, size, lo, hi = new_name, new_size, new_lo, new_hi
-        yield name[pair], size[pair], lo[pair], hi[pair]
-
-
-def anchors(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each word the anchor of the window that starts there: its widest symbol, or of several the one whose name is highest.
-
-    Only symbols decided wholly inside the window count, so equal windows have equal anchors.
+
+    docs: np.ndarray
+    ends: np.ndarray
+    name: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    begins: np.ndarray
+    window: np.ndarray
+    best: np.ndarray
+
+    def row(self, chunk: int) -> pa.RecordBatch:
+        held = {c: getattr(self, c) for c in _STATE}
+        for c in ("at", "window", "ends"):
+            held[c] = np.diff(held[c], prepend=0)
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(self.name)]), *[pa.array([packed(held[c].astype(kind))], pa.binary()) for c, kind in _STATE.items()]], names=["chunk", "symbols", *_STATE])
+
+    @staticmethod
+    def of(b: pa.RecordBatch | pa.Table, i: int = 0) -> State:
+        held = {c: unpacked(b[c][i].as_py(), kind) for c, kind in _STATE.items()}
+        for c in ("at", "window", "ends"):
+            held[c] = np.cumsum(held[c])
+        return State(**{c: v.astype(np.int64) if v.dtype == np.uint8 else v for c, v in held.items()})
+
+
+@dataclass
+class Made:
+    """The next symbols, in the places of those they stand for: which of the old ones each begins with, whether it is new, and the key that will name it."""
+
+    first: np.ndarray
+    new: np.ndarray
+    key: np.ndarray
+    size: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+
+
+def compressed(s: State, k: int) -> Made:
+    """One round: pairs of neighbours of which the left one's coin is 0 and the right one's is 1, then maximal runs of what is left.
+
+    Coins depend on names alone. A pair is decided by its two symbols. A run, or a symbol that stays
+    alone, is decided by its neighbours as well: by a neighbour's name, and where that is the same, by the
+    pair that has taken the neighbour. At the edge of a segment there is no neighbour; what depends on
+    one there is within no window that is still looked at.
     """
-    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(WINDOW + 1)]
-    for name, size, lo, hi in symbols(words, ends):
-        reach = hi - lo
-        ok = np.flatnonzero((reach <= WINDOW) & (lo >= 0))
-        value = (size[ok].astype(np.uint64) << np.uint64(58)) | (name[ok] >> np.uint64(6))
-        order = np.argsort(reach[ok].astype(np.uint8), kind="stable")
-        cuts = np.searchsorted(reach[ok][order], np.arange(WINDOW + 2))
-        for r in range(1, WINDOW + 1):
-            if cuts[r] < cuts[r + 1]:
-                these = order[cuts[r] : cuts[r + 1]]
-                found[r].append((lo[ok][these], value[these]))
-    # best[p]: of all symbols decided within the r words from p on; from r - 1 words to r
-    best = np.zeros(len(words), dtype=np.uint64)
-    for r in range(1, WINDOW + 1):
+    n = len(s.name)
+    if not n:
+        return Made(s.at, s.begins, s.name, s.size, s.before, s.after)
+    right = (mix(s.name + np.uint64(k + 1)) & np.uint64(1)).astype(bool)
+    ends_here = np.ones(n, dtype=bool)
+    ends_here[:-1] = s.begins[1:]
+    left_of = np.zeros(n, dtype=bool)  # is the left one of a pair
+    left_of[:-1] = ~right[:-1] & right[1:] & ~s.begins[1:]
+    right_of = np.zeros(n, dtype=bool)
+    right_of[1:] = left_of[:-1]
+    lo, hi = s.at - s.before, s.at + s.size + s.after  # the words that decided on each
+    alone = ~left_of & ~right_of
+    joined = np.zeros(n, dtype=bool)  # to the one before, in a run
+    joined[1:] = alone[1:] & alone[:-1] & (s.name[1:] == s.name[:-1]) & ~s.begins[1:]
+    first = np.flatnonzero(~right_of & ~joined)
+    after_it = np.append(first[1:], n)
+    last = after_it - 1
+    pair, length = left_of[first], after_it - first
+    run = ~pair & (length > 1)
+    # what a run or single symbol at ``first`` .. ``last`` depends on at either side
+    prev, next_ = np.maximum(first - 1, 0), np.minimum(last + 1, n - 1)
+    prev_lo = np.where((s.name[prev] == s.name[first]) & right_of[prev], np.minimum(lo[prev], lo[np.maximum(prev - 1, 0)]), lo[prev])
+    next_hi = np.where((s.name[next_] == s.name[last]) & left_of[next_], np.maximum(hi[next_], hi[np.minimum(next_ + 1, n - 1)]), hi[next_])
+    new_lo = np.minimum(lo[first], lo[last])
+    new_hi = np.maximum(hi[first], hi[last])
+    new_lo = np.where(pair, new_lo, np.where(s.begins[first], s.at[first] - _FAR, np.minimum(new_lo, prev_lo)))
+    new_hi = np.where(pair, new_hi, np.where(ends_here[last], s.at[last] + _FAR, np.maximum(new_hi, next_hi)))
+    end = s.at[last] + s.size[last]
+    key = np.where(pair, mix(s.name[first] * _M + s.name[last] + np.uint64(k)), mix(s.name[first] + _M * length.astype(np.uint64)))
+    return Made(first, pair | run, key, end - s.at[first], s.at[first] - new_lo, new_hi - end)
+
+
+def _anchored(best: np.ndarray, at: np.ndarray, size: np.ndarray, before: np.ndarray, after: np.ndarray, name: np.ndarray, keep: np.ndarray) -> None:
+    """Raises ``best``, by first word of a window, to the widest symbol decided within the window; of several to the one whose name is highest."""
+    reach = before + size + after
+    ok = np.flatnonzero(keep & (reach <= WINDOW))
+    value = (size[ok].astype(np.uint64) << np.uint64(58)) | (mix(name[ok]) >> np.uint64(6))
+    lo, reach = (at - before)[ok], reach[ok]
+    order = np.argsort(reach.astype(np.uint8), kind="stable")
+    edge = np.searchsorted(reach[order], np.arange(WINDOW + 2))
+    held = np.zeros(len(best), dtype=np.uint64)
+    for r in range(1, WINDOW + 1):  # of symbols decided within r words from each on
         if r > 1:
-            best[:-1] = np.maximum(best[:-1], best[1:])
-        for lo, value in found[r]:
-            np.maximum.at(best, lo, value)
-    return best
+            held[:-1] = np.maximum(held[:-1], held[1:])
+        these = order[edge[r] : edge[r + 1]]
+        if len(these):
+            np.maximum.at(held, lo[these], value[these])
+    np.maximum(best, held, out=best)
 
 
-def runs(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, first word in the row, windows, name, span, meets itself) of the runs of windows that share an anchor.
+def advance(s: State, answers: np.ndarray | None, k: int, which: np.ndarray | None = None, made: Made | None = None) -> State:
+    """The chunk after round k, now that its symbols have names; a symbol named 0 occurs once in all texts.
 
-    ``span`` stands for all words of the run. A run meets itself if two of its windows are equal.
-    """
-    n = len(words)
-    start = np.repeat(ends[:-1], np.diff(ends))
-    stop = np.repeat(ends[1:], np.diff(ends))
-    at = np.arange(n)
-    live = at + WINDOW <= stop
-    anchor = anchors(words, ends)
-    new = np.ones(n, dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1]) | ~live[:-1]
-    head = np.maximum.accumulate(np.where(new, at, 0))
-    new |= (at - head) % RUN == 0
-    first = np.flatnonzero(new & live)
-    if not len(first):
-        empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty.astype(bool)
-    number = np.cumsum(new & live) - 1
-    windows = np.bincount(number[live], minlength=len(first))
-    whole = Hasher(words)
-    each = np.zeros(n, dtype=np.uint64)
-    each[live] = whole(at[live], WINDOW)
-    itself = np.zeros(len(first), dtype=bool)
-    for d in range(1, RUN):
-        twice = np.flatnonzero(live[d:] & live[:-d] & (number[d:] == number[:-d]) & (each[d:] == each[:-d]))
-        itself[number[twice]] = True
-    row = np.searchsorted(ends, first, side="right") - 1
-    return row, first - ends[row], windows, anchor[first], whole(first, windows + WINDOW - 1), itself
-
-
-def _firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by the keys, and which of the ordered rows are the first of their values of all but the last two keys."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), dtype=bool)
-    new[:1] = True
-    for k in keys[:-2]:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    return order, new
-
-
-_COLUMNS = ["name", "span", "doc", "at", "n", "state"]
-#: States of a run: to be judged among all equal ones; later than an equal run; to be looked at window by window.
-OPEN, LATER, SINGLE = 0, 1, 2
-
-
-def _found(docs: DataFrame) -> DataFrame:
-    """All runs; of equal ones within a chunk only the first is still open.
-
-    ``deal`` brings open runs of one name together. A name has at most as many of them as there are
-    chunks and contents of the run, however common it is; the rest are dealt out at random.
+    A window that holds all that decided on such a symbol is equal to no other, and goes. Symbols in no
+    window that is left go too, and those that no window can hold; what stands beside them is at an edge.
     """
+    words = int(s.ends[-1]) + 1
+    if made is None:  # the words themselves
+        first, new, name, size, before, after = np.arange(len(s.name)), np.ones(len(s.name), dtype=bool), s.name, s.size, s.before, s.after
+    else:
+        first, new, size, before, after = made.first, made.new, made.size, made.before, made.after
+        name = s.name[first].copy()
+        name[new] = answers[which]
+    at = s.at[first]
+    reach = before + size + after
+    near = reach <= WINDOW
+    once = np.flatnonzero((name == 0) & near)
+    count = lambda x: np.bincount(x, minlength=words + WINDOW)
+    dead = np.cumsum(count(np.maximum((at + size + after)[once] - WINDOW, 0)) - count((at - before)[once] + 1))
+    lives = dead[s.window] == 0
+    window = s.window[lives]
+    best = np.zeros(words, dtype=np.uint64)
+    best[window] = s.best[lives]
+    if k == 1 and len(window):  # the words themselves, for windows in which nothing wider is decided
+        _anchored(best, s.at, s.size, s.before, s.after, s.name, np.ones(len(s.name), dtype=bool))
+    if k and len(window):
+        _anchored(best, at, size, before, after, name, new & (name != 0))
+    covered = np.cumsum(count(window) - count(window + WINDOW)) > 0
+    covered = np.concatenate([[0], np.cumsum(covered)])
+    keep = (covered[at + size] - covered[at] == size) & (name != 0) & near
+    place = np.flatnonzero(keep)
+    begins = np.ones(len(place), dtype=bool)
+    begins[1:] = (np.diff(place) > 1) | s.begins[first[place[1:]]]
+    return State(s.docs, s.ends, name[place], at[place], size[place], before[place], after[place], begins, window, best[window])
+
+
+def _start(documents: DataFrame) -> DataFrame:
+    """Chunks of documents: words by their place in the chunk's own vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, words, ends in chunks(batches, 1):
-            row, at, n, name, span, itself = runs(words, ends)
-            doc = b.column(0).to_numpy(zero_copy_only=False)[row]
-            order, first = _firsts(name, span, doc, at)
-            name, span, doc, at, n, itself = (v[order] for v in (name, span, doc, at, n, itself))
-            head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-            kept = first | (doc != doc[head]) | (at != at[head])  # rows that repeat are one document
-            state = np.where(first, np.where(itself, SINGLE, OPEN), LATER)
-            deal = np.where(first, name, mix(doc.astype(np.uint64) * _M + at.astype(np.uint64)))
-            columns = (deal.view(np.int64), name.view(np.int64), span.view(np.int64), doc, at, n.astype(np.int32), state.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(v[kept]) for v in columns], names=["deal", *_COLUMNS])
+            vocabulary, ids = np.unique(words, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array([packed(b.column(0).to_numpy(zero_copy_only=False))], pa.binary()), pa.array([packed(np.diff(ends, prepend=0))], pa.binary()), pa.array([packed(vocabulary)], pa.binary()), pa.array([packed(ids.astype(np.uint32))], pa.binary()), pa.array([len(vocabulary)])], names=["docs", "ends", "vocabulary", "ids", "types"])
 
-    return docs.select("doc", "text").mapInArrow(run, "deal long, name long, span long, doc long, at long, n int, state int")
+    made = documents.select("doc", "text").mapInArrow(run, "docs binary, ends binary, vocabulary binary, ids binary, types long")
+    return materialize(made.withColumn("chunk", F.monotonically_increasing_id()), "recompress-words")
 
 
-def _judged(found: DataFrame) -> DataFrame:
-    """``doc, at, n, state, name`` of the runs that are later than an equal one, or need a look at their windows.
+def _joined(rows: DataFrame, answers: DataFrame, step, schema: str) -> DataFrame:
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(step, schema)
 
-    A name that one open run has is nobody else's. Of runs of equal content all but the first are
-    later, whole. If contents differ, the first of each is looked at.
-    """
+
+def _total(rows: DataFrame, column: str) -> int:
+    return rows.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0]
+
+
+def _compressed(documents: DataFrame) -> DataFrame:
+    """All chunks after the last round. Each round names what occurs, over all chunks, in one exchange."""
+    words = _start(documents)
+    parts = parts_for(_total(words, "types"))
+
+    def own(b: pa.RecordBatch | pa.Table, i: int) -> np.ndarray:
+        """The vocabulary, and once more those words that the chunk has several times."""
+        vocabulary, ids = unpacked(b["vocabulary"][i].as_py(), "u8"), unpacked(b["ids"][i].as_py(), "u4")
+        return np.concatenate([vocabulary, vocabulary[np.bincount(ids, minlength=len(vocabulary)) > 1]])
+
+    answers = names(words, own, parts, "recompress-word-names")
+
+    def begin(chunk: pa.Table, got: pa.Table) -> pa.Table:
+        _, _, _, which = distinct(own(chunk, 0), parts)
+        ids = unpacked(chunk["ids"][0].as_py(), "u4")
+        ends = np.cumsum(unpacked(chunk["ends"][0].as_py(), "i8"))
+        name = gathered(got, "names", "u8")[which][ids]
+        n = len(ids)
+        begins = np.zeros(n + 1, dtype=bool)
+        begins[ends] = True
+        stop = np.repeat(ends[1:], np.diff(ends))
+        at = np.arange(n)
+        window = at[at + WINDOW <= stop]
+        none, one = np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64)
+        s = State(unpacked(chunk["docs"][0].as_py(), "i8"), ends, name, at, one, none, none, begins[:-1], window, np.zeros(len(window), dtype=np.uint64))
+        return pa.Table.from_batches([advance(s, None, 0).row(chunk["chunk"][0].as_py())])
+
+    state = materialize(_joined(words, answers, begin, _SCHEMA), "recompress-state")
+    discard(words)
+    discard(answers)
+    for k in range(ROUNDS):
+        state = _round(state, k)
+    return state
+
+
+def _round(state: DataFrame, k: int) -> DataFrame:
+    parts = parts_for(_total(state, "symbols") // 3)
+
+    def keys(b: pa.RecordBatch, i: int) -> np.ndarray:
+        made = compressed(State.of(b, i), k)
+        return made.key[made.new]
+
+    def step(chunk: pa.Table, got: pa.Table) -> pa.Table:
+        s = State.of(chunk)
+        made = compressed(s, k)
+        _, _, _, which = distinct(made.key[made.new], parts)
+        return pa.Table.from_batches([advance(s, gathered(got, "names", "u8"), k + 1, which, made).row(chunk["chunk"][0].as_py())])
+
+    answers = names(state, keys, parts, f"recompress-names-{k}")
+    after = materialize(_joined(state, answers, step, _SCHEMA), "recompress-state")
+    discard(state)
+    discard(answers)
+    return after
+
+
+def runs(s: State) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word in the row, windows, name) of the runs of neighbouring windows that share an anchor."""
+    row = np.searchsorted(s.ends, s.window, side="right") - 1
+    new = np.ones(len(s.window), dtype=bool)
+    new[1:] = (s.best[1:] != s.best[:-1]) | (row[1:] != row[:-1]) | (np.diff(s.window) > 1)
+    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    new |= (np.arange(len(new)) - head) % RUN == 0
+    first = np.flatnonzero(new)
+    return row[first], s.window[first] - s.ends[row[first]], np.diff(np.append(first, len(new))), s.best[first]
+
+
+def _runs(state: DataFrame) -> DataFrame:
+    """``doc, runs`` (at, n, name) of the documents that have windows left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        name, span, doc, at, n, state = (t[c].to_numpy() for c in _COLUMNS)
-        done = state == LATER
-        names = ["doc", "at", "n", "state", "name"]
-        yield pa.RecordBatch.from_arrays([pa.array(v[done]) for v in (doc, at, n, state, name)], names=names)
-        name, span, doc, at, n, state = (v[~done] for v in (name, span, doc, at, n, state))
-        order, first = _firsts(name, span, doc, at)
-        name, span, doc, at, n, state = (v[order] for v in (name, span, doc, at, n, state))
-        new = np.ones(len(name), dtype=bool)
-        new[1:] = name[1:] != name[:-1]
-        group = np.cumsum(new) - 1
-        contents = np.bincount(group, weights=first)[group] if len(group) else group
-        head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        later = ~first & ((doc != doc[head]) | (at != at[head]))
-        single = first & ((contents > 1) | (state == SINGLE))
-        kept = later | single
-        yield pa.RecordBatch.from_arrays([pa.array(v[kept]) for v in (doc, at, n, np.where(later, LATER, SINGLE).astype(np.int32), name)], names=names)
-
-    return found.repartition("deal").select(*_COLUMNS).mapInArrow(run, "doc long, at long, n int, state int, name long")
-
-
-def _windows(docs: DataFrame, single: DataFrame) -> DataFrame:
-    """``doc, at, name, hash`` of each window of the runs that need a look."""
-    lists = single.groupBy("doc").agg(F.collect_list(F.struct(F.col("at"), F.col("n").cast("long").alias("n"), F.col("name"))).alias("runs"))
+        for b in batches:
+            for i in range(b.num_rows):
+                s = State.of(b, i)
+                if not len(s.window):
+                    continue
+                row, at, n, name = runs(s)
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]])
+                rows = pa.StructArray.from_arrays([pa.array(at), pa.array(n.astype(np.int64)), pa.array(name.view(np.int64))], names=["at", "n", "name"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.docs[row[cut[:-1]]]), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), rows)], names=["doc", "runs"])
+
+    return state.mapInArrow(run, "doc long, runs array<struct<at: long, n: long, name: long>>")
+
+
+def _digests(words: list[bytes], at: list[int], n: list[int]) -> np.ndarray:
+    """128 bits of the words themselves, joined, of each run of words: two numbers a row."""
+    made = b"".join(xxhash.xxh3_128_digest(b" ".join(words[a : a + c])) for a, c in zip(at, n))
+    return np.frombuffer(made, dtype=np.int64).reshape(-1, 2)
+
+
+#: Whether two windows of a run are equal, so that it must be looked at window by window.
+OPEN, SINGLE = 0, 1
+
+
+def _met(documents: DataFrame, lists: DataFrame, step, schema: str) -> DataFrame:
+    """``step`` of (doc, words, at, n, name) for each row of the documents that ``lists`` has runs of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, words, ends in chunks(batches, 1):
-            lists = b.column(2)
-            flat = lists.flatten()
-            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
-            at, n, name = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            row, place, name = np.repeat(row, n), np.repeat(at, n) + step, np.repeat(name, n)
-            each = Hasher(words)(ends[row] + place, WINDOW)
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy(zero_copy_only=False)[row]), pa.array(place), pa.array(name), pa.array(each.view(np.int64))], names=["doc", "at", "name", "hash"])
-
-    return docs.join(lists, "doc").select("doc", "text", "runs").mapInArrow(run, "doc long, at long, name long, hash long")
-
-
-def _spans(docs: DataFrame) -> DataFrame:
-    """``doc, spans``: runs of windows (first word, windows) each of which has an equal one that starts earlier."""
-    judged = materialize(_judged(_found(docs)), "recompress-judged")
-    windows = materialize(_windows(docs, judged.where(F.col("state") == SINGLE)), "recompress-windows")
-    first = windows.groupBy("name", "hash").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("count")).where("count > 1").drop("count")
+        for b in batches:
+            out = []
+            for i, text in enumerate(b.column(1).cast(pa.large_binary())):
+                held = b.column(2)[i].values
+                at, n, name = (held.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                out.append(step(b.column(0)[i].as_py(), split(text.as_py()), at, n, name))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=_arrow(schema))
+
+    return documents.join(lists, "doc").select("doc", "text", "runs").mapInArrow(run, schema)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+
+
+def _found(documents: DataFrame, lists: DataFrame) -> DataFrame:
+    """All runs, with a digest of their words; ``state`` tells whether two windows of the run are equal."""
+
+    def step(doc: int, words: list[bytes], at: np.ndarray, n: np.ndarray, name: np.ndarray) -> tuple:
+        span = _digests(words, at.tolist(), (n + WINDOW - 1).tolist())
+        number = {}
+        ids = np.array([number.setdefault(w, len(number)) for w in words])
+        itself = np.zeros(len(at), dtype=np.int32)
+        order = np.argsort(ids, kind="stable")
+        close = np.zeros(len(ids) + 1, dtype=np.int64)  # words that come again within fewer than RUN words
+        close[1:][order[1:][(ids[order[1:]] == ids[order[:-1]]) & (np.diff(order) < RUN)]] = 1
+        close = np.cumsum(close)
+        for d in range(1, RUN) if (close[WINDOW:] - close[:-WINDOW] == WINDOW).any() else ():  # windows d apart are equal where WINDOW words in a row equal those d on
+            same = np.append(0, np.cumsum(ids[d:] != ids[:-d])) if len(ids) > d else np.zeros(1, dtype=np.int64)
+            for j in range(RUN - d):
+                some = np.flatnonzero((n > j + d) & (itself == OPEN))
+                lo = at[some] + j
+                itself[some[same[np.minimum(lo + WINDOW, len(same) - 1)] == same[np.minimum(lo, len(same) - 1)]]] = SINGLE
+        return name, span[:, 0], span[:, 1], np.full(len(at), doc), at, n.astype(np.int32), itself
+
+    return _met(documents, lists, step, "name long, span0 long, span1 long, doc long, at long, n int, state int")
+
+
+def _spans(documents: DataFrame) -> DataFrame:
+    """``doc, spans``: runs of windows (first word, windows) each of which has an equal one that starts earlier.
+
+    Runs of equal words have one digest; all but the first of them are later, whole. Names of which more than
+    one digest is known have runs that may share some windows only: of each digest, the first is looked at
+    window by window, as are runs that meet themselves. All is aggregated map-side, so that a common
+    passage is one row from each task.
+    """
+    state = _compressed(documents)
+    lists = materialize(_runs(state), "recompress-lists")
+    discard(state)
+    found = materialize(_found(documents, lists), "recompress-found")
+    discard(lists)
+    place = F.struct("doc", "at")
+    spans = found.groupBy("name", "span0", "span1").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.max("state").alias("state"), F.count("*").alias("times"))
+    spans = materialize(spans, "recompress-contents")
+    several = materialize(spans.groupBy("name").agg(F.count("*").alias("contents")).where("contents > 1").select("name"), "recompress-several")
+    looked = spans.join(several.withColumn("mixed", F.lit(True)), "name", "left").where(f"mixed OR state = {SINGLE}")
+    runs = looked.select("name", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), F.col("n").cast("long").alias("n"))
+    runs = materialize(runs.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "name")).alias("runs")), "recompress-single")
+
+    def windows(doc: int, words: list[bytes], at: np.ndarray, n: np.ndarray, name: np.ndarray) -> tuple:
+        start = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        each = _digests(words, start.tolist(), [WINDOW] * len(start))
+        return np.repeat(name, n), each[:, 0], each[:, 1], np.full(len(start), doc), start
+
+    windows = materialize(_met(documents, runs, windows, "name long, hash0 long, hash1 long, doc long, at long"), "recompress-windows")
+    keys = ["name", "hash0", "hash1"]
+    first = windows.groupBy(*keys).agg(F.min(place).alias("first"), F.count("*").alias("count")).where("count > 1").drop("count")
     first = materialize(first, "recompress-firsts")
-    late = windows.join(first, ["name", "hash"]).where("NOT (struct(doc, at) <=> first)").select("doc", "at", F.lit(1).alias("n"))
-    both = judged.where(F.col("state") == LATER).select("doc", "at", "n").unionByName(late)
+    late = windows.join(first, keys).where("NOT (struct(doc, at) <=> first)").select("doc", "at", F.lit(1).alias("n"))
+    repeated = spans.where("times > 1").select("name", "span0", "span1", "first")
+    whole = found.join(repeated, ["name", "span0", "span1"]).where("NOT (struct(doc, at) <=> first)").select("doc", "at", "n")
+    both = whole.unionByName(late)
     return both.groupBy("doc").agg(F.collect_list(F.struct(F.col("at"), F.col("n").cast("long").alias("n"))).alias("spans"))
 
 
@@ -259,10 +388,12 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     text; a word goes if a window covers it whose words also start earlier (a smaller key, or the same
     document, earlier). Windows are judged on the input. The words that stay are joined by one space.
 
-    Recompression names word runs and pairs, round by round, by content alone, so equal passages have
-    equal symbols inside. Each window is filed under its widest symbol decided within it; runs of
-    windows filed alike meet all others of that name, and what has no match is done. Matches are
-    verified by hashes of the whole run, and where runs differ, of each window.
+    Recompression: each round replaces pairs and runs of symbols by one symbol each, which an exchange over
+    all chunks names, so equal passages have equal symbols inside. A symbol that occurs once proves all
+    windows around it unique; they drop out, and later rounds see what is left. Each window left is
+    filed under its widest symbol decided within it; runs of windows filed alike meet all others of that
+    name. What decides, at last, are 128-bit digests of the words themselves: of whole runs, and where those
+    differ, of each window.
 
     A null text has no words and stays null; texts of fewer words than a window stay but for their
     white space. Null keys come first; rows with one key but other texts follow their texts' hashes;

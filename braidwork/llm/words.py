@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-#: Words that a chunk holds, about, and bytes that are hashed at a time; a longer text is a chunk of its own.
-CHUNK_WORDS, BLOCK_BYTES = 1_500_000, 1 << 19
-_BASE = 0x9E3779B97F4A7C15
-_WHITE = np.zeros(256, dtype=bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
-#: A random number for each byte, and the same with A-Z lowered.
-_VALUE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
-_LOWERED = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.roll(_VALUE, -32), _VALUE)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the base and of its inverse modulo 2^64, for n places and one more."""
-    if len(_powers.get("up", ())) <= n:
-        n = max(n, 2 * BLOCK_BYTES) if n < BLOCK_BYTES else n
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            _powers[name] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(base))]), dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+#: Words that a chunk holds, about (a longer text is a chunk of its own), and bytes that are split at a time.
+CHUNK_WORDS, PIECE_BYTES = 150_000, 1 << 20
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,60 +21,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Hasher:
-    """Hashes of any run of the numbers of an array, from sums of the numbers times powers of a base."""
+def split(text: str | bytes | None) -> list[bytes]:
+    """What stands between the six ASCII white characters; null: none."""
+    return (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).split()
 
-    def __init__(self, numbers: np.ndarray):
-        self.up, down = _power(len(numbers))
-        self.sums = np.zeros(len(numbers) + 1, dtype=np.uint64)
-        np.cumsum(numbers * down[: len(numbers)], out=self.sums[1:])
 
-    def __call__(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return mix((self.sums[start + length] - self.sums[start]) * self.up[start] + np.asarray(length).astype(np.uint64))
+def hashes(text: bytes | None, lower: bool = False) -> np.ndarray:
+    """XXH64 of each word of a text, which is split a piece at a time."""
+    found, at, n = [], 0, len(text or b"")
+    while at < n:
+        cut = _WHITE.search(text, at + PIECE_BYTES) if at + PIECE_BYTES < n else None
+        end = cut.start() if cut else n
+        piece = text[at:end] if at or end < n else text
+        words = (piece.lower() if lower else piece).split()  # of bytes: A-Z and the six white characters
+        found.append(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)))
+        at = end
+    return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, dtype=np.uint64), *found])
 
 
-def split(text: str | None) -> list[bytes]:
-    """What stands between the six ASCII white characters; null: none."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
+def chunks(batches: Iterator[pa.RecordBatch], text: int, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows without their text, the hashes of all their words in a row, and where each row's begin (one more: the end).
 
-def hash_block(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts that lie one after another, and how many each text has."""
-    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    n = len(data)
-    if not n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets) - 1, dtype=np.int64)
-    ink = ~_WHITE[data]
-    begins = np.zeros(n + 1, dtype=bool)
-    begins[offsets] = True
-    before = np.zeros(n, dtype=bool)
-    before[1:] = ink[:-1]
-    start = np.flatnonzero(ink & (~before | begins[:-1]))
-    after = np.zeros(n, dtype=bool)
-    after[:-1] = ink[1:]
-    end = np.flatnonzero(ink & (~after | begins[1:])) + 1
-    words = Hasher((_LOWERED if lower else _VALUE)[data])(start, end - start)
-    return words, np.diff(np.searchsorted(start, offsets))
+    A chunk goes on over batches until it has CHUNK_WORDS.
+    """
+    rows: list[pa.RecordBatch] = []
+    words: list[np.ndarray] = []
+    held = 0
 
+    def made() -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        whole = pa.Table.from_batches(rows).combine_chunks().to_batches()[0] if len(rows) > 1 else rows[0]
+        return whole, np.concatenate(words), np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows of a batch, the hashes of all their words in a row, and where each row's begin (one more: the end)."""
     for b in batches:
-        column = b.column(text)
-        if column.null_count:
-            column = column.fill_null("")
-        wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-        offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
-        first = at = held = 0
-        words: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        while at < b.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, side="right")) - 1)
-            found, size = hash_block(data, offsets[at : to + 1], lower)
-            words.append(found)
-            sizes.append(size)
-            held, at = held + len(found), to
-            if held >= CHUNK_WORDS or at == b.num_rows:
-                yield b.slice(first, at - first), np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-                first, held, words, sizes = at, 0, [], []
+        if not b.num_rows:
+            continue
+        rest = b.select([i for i in range(b.num_columns) if i != text])
+        first = 0
+        for at, t in enumerate(b.column(text).cast(pa.large_binary())):
+            words.append(hashes(t.as_py(), lower))
+            held += len(words[-1])
+            if held >= CHUNK_WORDS:
+                rows.append(rest.slice(first, at + 1 - first))
+                yield made()
+                first, held = at + 1, 0
+                rows.clear()
+                words.clear()
+        if first < b.num_rows:
+            rows.append(rest.slice(first))
+    if rows:
+        yield made()

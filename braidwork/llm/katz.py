@@ -1,22 +1,23 @@
-"""Scores of texts under a Katz backoff bigram model with Good-Turing discounts."""
+"""Scores of texts under a Katz backoff n-gram model with Good-Turing discounts."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, running_total
-from .words import chunks
+from . import words as texts_of
+from .common import discard, materialize
+from .exchange import cuts, distinct, gathered, packed, part_of, parts_for, rising, risen, unpacked
 
-#: Tokens that a partition of the pair table holds, about.
-PARTITION_TOKENS = 4_000_000
+#: Words of the longest n-grams that are counted.
+ORDER = 3
+#: Tokens that a partition of the n-gram table holds, about; n-grams after a word more frequent than that are spread over several.
+PARTITION_TOKENS, LEAST_PARTS = 2_000_000, 64
 #: Counts above this are not discounted.
 K = 5
 #: Stands for the end of a text in the vocabulary: no word hashes to it but by a 2^-64 chance.
@@ -24,34 +25,16 @@ END = np.uint64(0xE0D0E0D0E0D0E0D0)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Whole numbers, byte plane by byte plane: the high planes of small numbers are zero and cost nothing."""
-    x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
-
-
-def _unpacked(b: bytes, kind: str) -> np.ndarray:
-    raw, width = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8), np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(kind).reshape(-1)
-
-
-def _rising(x: np.ndarray) -> bytes:
-    """Sorted numbers, by their differences."""
-    return _packed(np.diff(x.astype(np.int64), prepend=0))
-
-
-def _risen(b: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(b, "i8"))
-
-
 # Texts as numbers
 
 
 def local_tokens(documents: DataFrame, trains: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a chunk of documents: tokens by their place in the chunk's own vocabulary, and the counts of its training tokens."""
 
+    most = texts_of.CHUNK_WORDS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, words, ends in chunks(batches, 1, lower=True):
+        for b, words, ends in texts_of.chunks(batches, 1, lower=True, most=most):
             size = np.diff(ends)
             stops = np.cumsum(size + 1)  # with one end a text
             tokens = np.full(int(stops[-1]), END, dtype=np.uint64)
@@ -62,41 +45,32 @@ def local_tokens(documents: DataFrame, trains: Column, key: str = "doc_id", text
             vocabulary, ids = np.unique(tokens, return_inverse=True)
             counts = np.bincount(ids, weights=np.repeat(train, size + 1), minlength=len(vocabulary)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array([_packed(ids.astype(np.uint32))], pa.binary()), pa.array([_packed(size.astype(np.uint32) + 1)], pa.binary()), pa.array([_packed(train)], pa.binary()),
-                pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([_packed(vocabulary)], pa.binary()), pa.array([_packed(counts)], pa.binary()), pa.array([len(tokens)], pa.int64()),
-            ], names=["tokens", "sizes", "train", "keys", "vocabulary", "counts", "n"])
+                pa.array([packed(ids.astype(np.uint32))], pa.binary()), pa.array([packed(size.astype(np.uint32) + 1)], pa.binary()), pa.array([packed(train)], pa.binary()),
+                pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([packed(vocabulary)], pa.binary()), pa.array([packed(counts.astype(np.uint32))], pa.binary()), pa.array([len(tokens)]), pa.array([len(vocabulary)]),
+            ], names=["tokens", "sizes", "train", "keys", "vocabulary", "counts", "n", "types"])
 
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(trains, F.lit(False)).alias("train"))
-    made = rows.mapInArrow(run, f"tokens binary, sizes binary, train binary, keys array<{kind}>, vocabulary binary, counts binary, n long")
+    made = rows.mapInArrow(run, f"tokens binary, sizes binary, train binary, keys array<{kind}>, vocabulary binary, counts binary, n long, types long")
     return materialize(made.withColumn("chunk", F.monotonically_increasing_id()), "katz-local")
 
 
-def _words(local: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, v, c in zip(*(x.to_pylist() for x in b.columns)):
-                v, c = _unpacked(v, "u8"), _unpacked(c, "i8")
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(np.full(len(v), chunk)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(c)], names=["h", "chunk", "place", "c"])
-
-    return local.select("chunk", "vocabulary", "counts").mapInArrow(run, "h long, chunk long, place int, c long")
-
-
 @dataclass
 class Words:
     """The unigram model. Ids go from the most frequent training token down, so an id tells its count.
 
     ``counts`` and ``first`` have one entry for each count that occurs (at most the square root of
     twice the tokens): the count, falling, and the first id that has it. ``types`` is the id of all
-    tokens that training has not seen, and types + 1 stands for the beginning of a text.
+    tokens that training has not seen, and types + 1 stands for the beginning of a text. A word of
+    ``spread`` tokens or more has its n-grams in several partitions.
     """
 
-    table: DataFrame | None
     counts: np.ndarray
     first: np.ndarray
     types: int
     tokens: int
     texts: int
+    spread: int = PARTITION_TOKENS
     discount: np.ndarray = field(init=False)
     unknown: float = field(init=False)
 
@@ -134,293 +108,385 @@ def good_turing(n: np.ndarray) -> np.ndarray:
     return d
 
 
-def vocabulary(local: DataFrame) -> Words:
-    """Counts of all training tokens, and ids by falling count."""
-    seen = materialize(_words(local).groupBy("h").agg(F.sum("c").alias("c")).where("c > 0"), "katz-counts")
-    by_count = sorted(((r.c, r.n) for r in seen.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)  # at most sqrt(2 tokens) rows
-    counts, sizes = np.array([c for c, _ in by_count], dtype=np.int64), np.array([n for _, n in by_count], dtype=np.int64)
-    first = np.cumsum(sizes) - sizes
-    types, tokens = int(sizes.sum()), int((counts * sizes).sum())
-    texts = int(seen.where(F.col("h") == int(END.astype(np.int64))).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0])
-    spark = local.sparkSession
-    buckets = max(1, types // max(4096, math.isqrt(types)))
-    at = (F.shiftrightunsigned("h", 11) * F.lit(2.0**-53 * buckets)).cast("long")
-    ranked = running_total(seen, ["c"], [F.shiftrightunsigned("h", 11), "h"], at, F.lit(1), "rank", "katz-ids")
-    starts = spark.createDataFrame([(int(c), int(f)) for c, f in zip(counts, first)], "c long, first long")
-    table = ranked.join(F.broadcast(starts), "c").select("h", (F.col("first") + F.col("rank")).alias("id"), "c")
-    return Words(materialize(table, "katz-words"), counts, first, types, tokens, texts)
-
-
-def encode(local: DataFrame, words: Words) -> DataFrame:
-    """Chunks with their tokens as ids of the vocabulary."""
-    unknown = words.types
-    met = _words(local).select("h", "chunk", "place").join(words.table.select("h", "id"), "h", "left")
-
-    def gather(t: pa.Table) -> pa.Table:
-        ids = np.empty(t.num_rows, dtype=np.int64)
-        ids[t["place"].to_numpy()] = t["id"].to_numpy()
-        return pa.table({"chunk": t["chunk"][:1], "ids": pa.array([_packed(ids)], pa.binary())})
-
-    maps = met.select("chunk", "place", F.coalesce("id", F.lit(unknown)).alias("id")).groupBy("chunk").applyInArrow(gather, "chunk long, ids binary")
-    maps = materialize(maps, "katz-maps")
+def encode(local: DataFrame) -> tuple[DataFrame, Words]:
+    """Chunks with their tokens as ranks in the chunk's own sorted ids of the vocabulary; and the vocabulary's counts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A chunk's distinct words meet those of all others in one exchange. Types of one count get ids by
+    partition and then by hash; where those of a count begin in each partition is a running sum over
+    the partitions.
+    """
+    total = local.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+    parts = parts_for(total)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                chunk, tokens, ids = (b.column(k)[i].as_py() for k in (0, 1, 5))
-                made = _unpacked(ids, "i8")[_unpacked(tokens, "u4")]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([_packed(made)], pa.binary()), *[b.column(k).slice(i, 1) for k in (2, 3, 4)]], names=["chunk", "tokens", "sizes", "train", "keys"])
+                hashes, c = unpacked(b["vocabulary"][i].as_py(), "u8"), unpacked(b["counts"][i].as_py(), "u4")
+                part, key, _, which = distinct(hashes, parts)
+                dealt = np.empty_like(c)
+                dealt[which] = c
+                rows = [(p, rising(key[lo:hi]), packed(dealt[lo:hi])) for p, lo, hi in cuts(part)]
+                p, k, c = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), b["chunk"].take(pa.array([i] * len(p))), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["part", "chunk", "keys", "c"])
 
+    def merge(t: pa.Table) -> pa.Table:
+        keys = [risen(x) for x in t["keys"].to_pylist()]
+        c = np.concatenate([unpacked(x, "u4") for x in t["c"].to_pylist()])
+        key, which = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(which, weights=c).astype(np.int64)
+        value, n = np.unique(count, return_counts=True)
+        ends = int(np.bincount(which, weights=c * 1.0)[np.flatnonzero(key == END)].sum())
+        asked = [packed(x.astype(np.uint32)) for x in np.split(which, np.cumsum([len(k) for k in keys])[:-1])]
+        return pa.table({"part": t["part"][:1], "chunks": pa.array([t["chunk"].to_pylist()], pa.list_(pa.int64())), "asked": pa.array([asked], pa.list_(pa.binary())), "counts": pa.array([packed(count)], pa.binary()), "value": pa.array([value.tolist()], pa.list_(pa.int64())), "types": pa.array([n.tolist()], pa.list_(pa.int64())), "ends": pa.array([ends])})
+
+    asked = local.select("chunk", "vocabulary", "counts").mapInArrow(ask, "part int, chunk long, keys binary, c binary")
+    table = asked.groupBy("part").applyInArrow(merge, "part int, chunks array<long>, asked array<binary>, counts binary, value array<long>, types array<long>, ends long")
+    table = materialize(table, "katz-types")
+    per = table.select("part", F.inline(F.arrays_zip("value", "types"))).where("value > 0")
+    of = sorted(((r.value, r.n) for r in per.groupBy("value").agg(F.sum("types").alias("n")).collect()), reverse=True)  # at most sqrt(2 tokens) rows
+    counts, sizes = np.array([c for c, _ in of], dtype=np.int64), np.array([n for _, n in of], dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    words = Words(counts, first, int(sizes.sum()), int((counts * sizes).sum()), table.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0], PARTITION_TOKENS)
+    before = F.sum("types").over(Window.partitionBy("value").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = per.withColumn("before", F.coalesce(before, F.lit(0))).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("value", "before"))).alias("before"))
+    told = local.sparkSession.sparkContext.broadcast(words)  # sqrt(2 tokens) numbers
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = told.value
+        start = dict(zip(w.counts.tolist(), w.first.tolist()))
+        for b in batches:
+            for i in range(b.num_rows):
+                count, begun = unpacked(b["counts"][i].as_py(), "i8"), dict(b["before"][i].as_py() or [])
+                value, which, n = np.unique(count, return_inverse=True, return_counts=True)
+                order = np.argsort(which, kind="stable")
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+                base = np.array([start[c] + begun[c] if c else 0 for c in value.tolist()], dtype=np.int64)
+                ids = np.where(count > 0, base[which] + rank, w.types).astype(np.uint64)
+                for chunk, want in zip(b["chunks"][i].as_py(), b["asked"][i].as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk]), b["part"].slice(i, 1), pa.array([packed(ids[unpacked(want, "u4")])], pa.binary())], names=["chunk", "part", "ids"])
+
+    answers = table.join(starts, "part", "left").select("part", "chunks", "asked", "counts", "before").mapInArrow(answer, "chunk long, part int, ids binary")
+    answers = materialize(answers, "katz-ids")
+    discard(table)
     kind = local.schema["keys"].dataType.simpleString()
-    joined = local.select("chunk", "tokens", "sizes", "train", "keys").join(maps, "chunk")
-    out = materialize(joined.mapInArrow(run, f"chunk long, tokens binary, sizes binary, train binary, keys {kind}"), "katz-tokens")
-    discard(maps)
-    return out
 
+    def finish(chunk: pa.Table, got: pa.Table) -> pa.Table:
+        _, _, _, which = distinct(unpacked(chunk["vocabulary"][0].as_py(), "u8"), parts)
+        ids, rank = np.unique(gathered(got, "ids", "u8")[which], return_inverse=True)
+        tokens = rank.astype(np.uint32)[unpacked(chunk["tokens"][0].as_py(), "u4")]
+        return pa.table({"chunk": chunk["chunk"], "tokens": pa.array([packed(tokens)], pa.binary()), "ids": pa.array([rising(ids)], pa.binary()), "sizes": chunk["sizes"], "train": chunk["train"], "keys": chunk["keys"]})
+
+    rows = local.select("chunk", "tokens", "vocabulary", "sizes", "train", "keys")
+    encoded = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"chunk long, tokens binary, ids binary, sizes binary, train binary, keys {kind}")
+    encoded = materialize(encoded, "katz-tokens")
+    discard(answers)
+    return encoded, words
 
-# Pairs
+
+# N-grams
 
 
 @dataclass
-class Pairs:
-    """A chunk's distinct pairs (context, token), by partition of the pair table and then in order; and which one each token is."""
+class Grams:
+    """A chunk's distinct n-grams, by partition and then in order: ``columns`` are the last word of the context, the one before it, and so on, and then the token. ``which`` tells each token's, or -1 after an unknown word, when nothing longer than a word has a count."""
 
     part: np.ndarray
-    context: np.ndarray
-    token: np.ndarray
+    columns: list[np.ndarray]
     which: np.ndarray
 
-    def cuts(self) -> Iterator[tuple[int, int, int]]:
-        first = np.flatnonzero(np.append(True, self.part[1:] != self.part[:-1])) if len(self.part) else []
-        for lo, hi in zip(first, [*first[1:], len(self.part)]):
-            yield int(self.part[lo]), int(lo), int(hi)
-
 
-def salts(words: Words, contexts: np.ndarray, parts: int) -> np.ndarray:
-    """Over how many partitions a context's pairs are spread: more for the frequent, of which there are at most 2 parts."""
-    return 1 + words.count(contexts) * 2 * parts // max(words.tokens, 1)
-
-
-def pairs(tokens: np.ndarray, sizes: np.ndarray, words: Words, parts: int) -> Pairs:
-    context = np.empty_like(tokens)
-    context[1:] = tokens[:-1]
-    context[np.cumsum(sizes) - sizes] = words.types + 1
-    if words.types < 1 << 31:
-        key, which = np.unique((context.astype(np.uint64) << np.uint64(32)) | tokens.astype(np.uint64), return_inverse=True)
-        a, b = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    else:
-        both, which = np.unique(np.stack([context, tokens], axis=1), axis=0, return_inverse=True)
-        a, b, which = both[:, 0], both[:, 1], which.reshape(-1)
-    spread = (b.astype(np.uint64) * _SPREAD >> np.uint64(33)).astype(np.int64) % salts(words, a, parts)
-    part = (((a * 64 + spread % 64) + spread // 64).astype(np.uint64) * _SPREAD >> np.uint64(33)).astype(np.int64) % parts
-    order = np.argsort(part, kind="stable")
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    return Pairs(part[order], a[order], b[order], back[which])
-
-
-def _chunk(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _unpacked(b["tokens"][i].as_py(), "i8"), _unpacked(b["sizes"][i].as_py(), "u4").astype(np.int64), _unpacked(b["train"][i].as_py(), "?")
-
-
-def _sent(encoded: DataFrame, words, parts: int, training: bool) -> DataFrame:
-    """Each chunk's pairs, a row for each partition of the pair table: with their counts in training texts, or all, to be looked up."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tokens, sizes, train = _chunk(batch, i)
-                p = pairs(tokens, sizes, words.value, parts)
-                r = np.bincount(p.which, weights=np.repeat(train, sizes), minlength=len(p.part)).astype(np.int64)
-                rows = []
-                for part, lo, hi in p.cuts():
-                    some = slice(lo, hi)
-                    if training:
-                        some = lo + np.flatnonzero(r[lo:hi])
-                        if not len(some):
-                            continue
-                    rows.append((part, _rising(p.context[some]), _packed(p.token[some]), _packed(r[some].astype(np.uint32)) if training else None))
-                if rows:
-                    part, context, token, count = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch["chunk"].take(pa.array([i] * len(part))), pa.array(context, pa.binary()), pa.array(token, pa.binary()), pa.array(count, pa.binary())], names=["part", "chunk", "context", "token", "r"])
-
-    return encoded.select("chunk", "tokens", "sizes", "train").mapInArrow(run, "part int, chunk long, context binary, token binary, r binary")
+def salts(words: Words, last: np.ndarray) -> np.ndarray:
+    """Over how many partitions the n-grams are spread, by token, whose context ends in each word."""
+    return 1 + words.count(last) // words.spread
+
+
+def grams(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, words: Words, order: int, parts: int) -> Grams:
+    ids = np.append(ids.astype(np.int64), words.types + 1)
+    begin, n, v = len(ids) - 1, len(tokens), len(ids)
+    place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    columns = []
+    for back in range(1, order):
+        c = np.full(n, begin, dtype=np.int64)
+        c[back:] = np.where(place[back:] >= back, tokens[:-back], begin)
+        columns.append(c)
+    columns.append(tokens.astype(np.int64))
+    key, span = np.zeros(n, dtype=np.int64), 1
+    for c in columns:  # ranks order as ids do
+        if span * v >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+            span = int(key.max(initial=0)) + 1
+        key, span = key * v + c, span * v
+    asks = ids[columns[0]] != words.types
+    _, first, inverse = np.unique(key[asks], return_index=True, return_inverse=True)
+    first = np.flatnonzero(asks)[first]
+    columns = [ids[c[first]] for c in columns]
+    last, token = columns[0], columns[-1]
+    spread = ((token.astype(np.uint64) * _SPREAD) >> np.uint64(33)).astype(np.int64) % salts(words, last)
+    part = part_of((last.astype(np.uint64) << np.uint64(20)) + spread.astype(np.uint64), parts)
+    by_part = np.argsort(part.astype(np.int32), kind="stable")
+    back = np.empty_like(by_part)
+    back[by_part] = np.arange(len(by_part))
+    which = np.full(n, -1)
+    which[asks] = back[inverse]
+    return Grams(part[by_part], [c[by_part] for c in columns], which)
+
+
+def _chunk(b: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return unpacked(b["tokens"][i].as_py(), "u4").astype(np.int64), risen(b["ids"][i].as_py()), unpacked(b["sizes"][i].as_py(), "u4").astype(np.int64), unpacked(b["train"][i].as_py(), "?")
+
+
+def _sorted_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): where each distinct row of the columns is found, in order, and which one each row is."""
+    key, span = np.zeros(len(columns[0]), dtype=np.int64), 1
+    for c in columns:
+        width = int(c.max(initial=0)) + 1
+        if span * width >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+            span = int(key.max(initial=0)) + 1
+        if span * width >= 1 << 62:
+            c = np.unique(c, return_inverse=True)[1]
+            width = int(c.max(initial=0)) + 1
+        key, span = key * width + c, span * width
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    return first, which
 
 
 @dataclass
-class Model:
-    """Words, a table of pairs by partition, and what frequent contexts, which lie in several, have in all."""
+class Table:
+    """A partition's n-grams of all orders down to pairs, from its longest ones; the first entries are of ``order``.
 
-    words: Words
-    pairs: DataFrame
-    parts: int
-    discount: np.ndarray
-    frequent: dict[int, tuple[np.ndarray, float]]
+    For each order: ``context`` numbers the contexts in order, ``r`` are counts in training, ``lower``
+    leads to the n-gram without its first word, and for pairs to ``token``. ``names`` are the contexts'
+    words, the last one first.
+    """
 
+    context: list[np.ndarray]
+    r: list[np.ndarray]
+    lower: list[np.ndarray]
+    names: list[list[np.ndarray]]
+    token: np.ndarray
 
-def _order(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return np.lexsort((token, context))
+    @staticmethod
+    def of(columns: list[np.ndarray], r: np.ndarray) -> Table:
+        made = Table([], [], [], [], columns[-1])
+        for order in range(len(columns), 1, -1):
+            before = columns[:-1]
+            new = np.ones(len(r), dtype=bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in before], axis=0)
+            made.context.append(np.cumsum(new) - 1)
+            made.r.append(r)
+            made.names.append([c[new] for c in before])
+            if order == 2:
+                made.lower.append(np.arange(len(r)))
+                made.token = columns[-1]
+                break
+            columns = [*columns[: order - 2], columns[-1]]
+            first, which = _sorted_rows(columns)
+            made.lower.append(which)
+            r = np.bincount(which, weights=r, minlength=len(first)).astype(np.int64)
+            columns = [c[first] for c in columns]
+        return made
+
+    def counts_of_counts(self) -> list[list[int]]:
+        return [np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2].tolist() for r in self.r]
+
+    def sums(self, level: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each context: its tokens, how many of its n-grams have each count up to K, and the probability that the next lower order gives to what it has seen."""
+        context, r = self.context[level], self.r[level]
+        many = len(self.names[level][0])
+        n = np.stack([np.bincount(context, weights=r == c, minlength=many) for c in range(1, K + 1)], axis=1)
+        return np.bincount(context, weights=r, minlength=many), n, np.bincount(context, weights=np.where(r > 0, p, 0.0), minlength=many)
+
+
+def probabilities(t: Table, words: Words, discounts: list[np.ndarray], known: dict[tuple, tuple], until: int = 0) -> np.ndarray:
+    """Of the n-grams of the order at ``until`` (0: the longest): the discounted share of those seen in training, and else the context's weight times what the next lower order gives.
+
+    A context's weight is what its discounts have freed over what the lower order gives to all that it has not
+    seen, so that its probabilities sum to 1. ``known`` has the sums of contexts that are spread over several partitions.
+    """
+    p = words.probability(t.token)
+    for level in range(len(t.r) - 1, until - 1, -1):
+        p = p[t.lower[level]]
+        total, n, held = t.sums(level, p)
+        names = t.names[level]
+        for i in np.flatnonzero(salts(words, names[0]) > 1):
+            if (other := known.get(tuple(int(c[i]) for c in names))) is not None:
+                total[i], n[i], held[i] = other
+        d = discounts[level]
+        low = n @ np.arange(1, K + 1)
+        kept = ((n * d[1 : K + 1]) @ np.arange(1, K + 1) + (total - low)) / np.maximum(total, 1)
+        plain = n.sum(axis=1) == 0  # nothing to discount: as if seen once more, with a token of any kind
+        kept = np.where(plain, total / (total + 1), kept)
+        shrink = np.where(plain, total / (total + 1), 1.0) / np.maximum(total, 1)
+        weight = np.where(total > 0, (1 - kept) / np.maximum(1 - held, 1e-300), 1.0)
+        context, r = t.context[level], t.r[level]
+        p = np.where(r > 0, d[np.minimum(r, K + 1)] * r * shrink[context], weight[context] * p)
+    return p
 
 
-def _summed(context: np.ndarray, token: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = _order(context, token)
-    context, token, r = context[order], token[order], r[order]
-    first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (token[1:] != token[:-1])))
-    return context[first], token[first], np.add.reduceat(r, first)
+def _table(b: pa.RecordBatch | pa.Table, i: int, order: int) -> tuple[Table, list]:
+    columns = [risen(b["c0"][i].as_py()).astype(np.int64), *[unpacked(b[f"c{j}"][i].as_py(), "u8").astype(np.int64) for j in range(1, order)]]
+    return Table.of(columns, unpacked(b["r"][i].as_py(), "i8")), columns
 
 
-def _contexts(context: np.ndarray, token: np.ndarray, r: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each context: how many of its pairs have each count up to K, and the unigram probability of all its seen tokens."""
-    first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-    row = np.cumsum(np.append(0, context[1:] != context[:-1]))
-    n = np.zeros((len(first), K), dtype=np.int64)
-    low = r <= K
-    np.add.at(n, (row[low], r[low] - 1), 1)
-    return context[first], n, np.bincount(row, weights=words.probability(token), minlength=len(first))
+def fit(encoded: DataFrame, words: Words, order: int, total: int) -> tuple[DataFrame, list[np.ndarray]]:
+    """The table of n-grams, one row a partition, with what each chunk has asked it; and the discounts of each order.
 
+    All n-grams whose contexts end in one word are in one partition, so that each order is there
+    with all lower ones down to pairs, and what they come down to are single words, whose ids tell
+    their probability. A word that would fill a partition has its n-grams spread by token.
+    """
+    parts = max(LEAST_PARTS, -(-total // PARTITION_TOKENS))
+    told = encoded.sparkSession.sparkContext.broadcast(words)
+    names = [f"c{i}" for i in range(order)]
 
-def fit(encoded: DataFrame, words: Words, total: int) -> Model:
-    """The pair table: one row a partition, with pairs, counts, and the sums of each context."""
-    parts = max(4, -(-total // PARTITION_TOKENS))
-    spark = encoded.sparkSession
-    told = spark.sparkContext.broadcast(Words(None, words.counts, words.first, words.types, words.tokens, words.texts))  # sqrt(2 tokens) numbers
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                tokens, ids, sizes, train = _chunk(b, i)
+                g = grams(tokens, ids, sizes, told.value, order, parts)
+                asks = g.which >= 0
+                r = np.bincount(g.which[asks], weights=np.repeat(train, sizes)[asks], minlength=len(g.part)).astype(np.uint32)
+                rows = [(p, *[rising(c[lo:hi]) if not j else packed(c[lo:hi].astype(np.uint64)) for j, c in enumerate(g.columns)], packed(r[lo:hi])) for p, lo, hi in cuts(g.part)]
+                if rows:
+                    p, *c, r = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), b["chunk"].take(pa.array([i] * len(p))), *[pa.array(x, pa.binary()) for x in (*c, r)]], names=["part", "chunk", *names, "r"])
 
     def merge(t: pa.Table) -> pa.Table:
-        w = told.value
-        context = np.concatenate([_risen(x) for x in t["context"].to_pylist()])
-        token = np.concatenate([_unpacked(x, "i8") for x in t["token"].to_pylist()])
-        r = np.concatenate([_unpacked(x, "u4") for x in t["r"].to_pylist()]).astype(np.int64)
-        context, token, r = _summed(context, token, r)
-        of = np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2]
-        own, n, held = _contexts(context, token, r, w)
-        many = salts(w, own, parts) > 1
-        frequent = [(int(c), x.tolist(), float(h)) for c, x, h in zip(own[many], n[many], held[many])]
-        return pa.table({"part": t["part"][:1], "context": pa.array([_rising(context)], pa.binary()), "token": pa.array([_packed(token)], pa.binary()), "r": pa.array([_packed(r)], pa.binary()), "of": pa.array([of.tolist()], pa.list_(pa.int64())), "frequent": pa.array([[{"c": c, "n": x, "h": h} for c, x, h in frequent]], pa.list_(pa.struct([("c", pa.int64()), ("n", pa.list_(pa.int64())), ("h", pa.float64())])))})
-
-    schema = "part int, context binary, token binary, r binary, of array<long>, frequent array<struct<c: long, n: array<long>, h: double>>"
-    table = materialize(_sent(encoded, told, parts, True).drop("chunk").groupBy("part").applyInArrow(merge, schema), "katz-pairs")
-    n, frequent = np.zeros(K + 1), {}
-    for row in table.select("of", "frequent").collect():  # a row a partition, and the frequent contexts: at most 2 a partition
-        n += row["of"]
-        for c in row["frequent"]:
-            old = frequent.get(c["c"], (np.zeros(K), 0.0))
-            frequent[c["c"]] = (old[0] + c["n"], old[1] + c["h"])
-    return Model(words, table.select("part", "context", "token", "r"), parts, good_turing(n), frequent)
-
-
-def score(encoded: DataFrame, model: Model) -> DataFrame:
-    """A row each text: ``key, held_out, n_tokens, n_known, base_score, score``.
-
-    The log probability of a token after its context is that of its discounted pair count if training has
-    the pair, or else the context's backoff weight times the token's unigram probability. A context
-    unknown in training backs off with weight 1. A chunk asks for its distinct pairs, each once, and
-    gets their counts and what the weights of its backed-off contexts are made of.
-    """
-    words, parts, discount = model.words, model.parts, model.discount
-    spark = encoded.sparkSession
-    told = spark.sparkContext.broadcast(Words(None, words.counts, words.first, words.types, words.tokens, words.texts))
-    frequent = spark.sparkContext.broadcast(model.frequent)  # at most 2 a partition
-
-    def answer(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
-        w, rows = told.value, []
-        if table.num_rows:
-            context, token, r = _risen(table["context"][0].as_py()), _unpacked(table["token"][0].as_py(), "i8"), _unpacked(table["r"][0].as_py(), "i8")
-            own, n, held = _contexts(context, token, r, w)
+        columns = [np.concatenate([(unpacked(x, "u8") if j else risen(x)).astype(np.int64) for x in t[c].to_pylist()]) for j, c in enumerate(names)]
+        r = [unpacked(x, "u4") for x in t["r"].to_pylist()]
+        ends = np.cumsum([len(x) for x in r])
+        first, which = _sorted_rows(columns)
+        count = np.bincount(which, weights=np.concatenate(r), minlength=len(first)).astype(np.int64)
+        asked = [rising(x) for x in np.split(which, ends[:-1])]
+        columns = [c[first] for c in columns]
+        of = Table.of(columns, count).counts_of_counts()
+        made = {"part": t["part"][:1], "chunks": pa.array([t["chunk"].to_pylist()], pa.list_(pa.int64())), "asked": pa.array([asked], pa.list_(pa.binary()))}
+        made |= {c: pa.array([packed(x.astype(np.uint64)) if j else rising(x)], pa.binary()) for j, (c, x) in enumerate(zip(names, columns))}
+        return pa.table(made | {"r": pa.array([packed(count)], pa.binary()), "of": pa.array([of], pa.list_(pa.list_(pa.int64()))), "hot": pa.array([bool((salts(told.value, np.unique(columns[0])) > 1).any())])})
+
+    binary = ", ".join(f"{c} binary" for c in (*names, "r"))
+    asked = encoded.select("chunk", "tokens", "ids", "sizes", "train").mapInArrow(ask, f"part int, chunk long, {binary}")
+    table = materialize(asked.groupBy("part").applyInArrow(merge, f"part int, chunks array<long>, asked array<binary>, {binary}, of array<array<long>>, hot boolean"), "katz-table")
+    of = table.select(F.posexplode("of").alias("level", "n")).groupBy("level").agg(*[F.sum(F.get("n", F.lit(r))).alias(f"n{r}") for r in range(K + 1)]).collect()  # a row an order
+    by_level = {x.level: np.array([x[f"n{r}"] or 0 for r in range(K + 1)], dtype=np.float64) for x in of}
+    return table, [good_turing(by_level.get(level, np.zeros(K + 1))) for level in range(order - 1)]
+
+
+def _known(t: pa.Table, order: int) -> dict[tuple, tuple]:
+    """Sums of contexts that the exchange has brought to a partition."""
+    names = [t[f"x{i}"].to_numpy() for i in range(order - 1)]
+    total, n, held = t["total"].to_numpy(), [t[f"n{r}"].to_numpy() for r in range(1, K + 1)], t["held"].to_numpy()
+    size = t["size"].to_numpy()
+    return {tuple(int(c[i]) for c in names[: size[i]]): (total[i], np.array([x[i] for x in n]), held[i]) for i in range(t.num_rows)}
+
+
+def spread_contexts(table: DataFrame, words: Words, order: int, discounts: list[np.ndarray]) -> DataFrame:
+    """``part``, a context and its sums over all partitions, for each partition that has some of its n-grams; the shorter ones first, since the longer ones' sums rest on them."""
+    told = table.sparkSession.sparkContext.broadcast((words, discounts))
+    sums = ["total double", *[f"n{r} double" for r in range(1, K + 1)], "held double"]
+    schema = ", ".join(["part int", "size int", *[f"x{i} long" for i in range(order - 1)], *sums])
+    known = table.sparkSession.createDataFrame([], schema)
+    hot = table.where("hot").select("part", *[f"c{i}" for i in range(order)], "r")
+    for level in range(order - 2, -1, -1):
+        known = known.unionByName(materialize(_one_order(hot, known, told, level, order, schema), "katz-spread"))
+    return known
+
+
+def _one_order(hot: DataFrame, known: DataFrame, told, level: int, order: int, schema: str) -> DataFrame:
+    def partial(rows: pa.Table, given: pa.Table) -> pa.Table:
+        w, discounts = told.value
+        t, _ = _table(rows, 0, order)
+        if level + 1 < len(t.r):
+            p = probabilities(t, w, discounts, _known(given, order), level + 1)[t.lower[level]]
         else:
-            context = token = r = own = np.zeros(0, dtype=np.int64)
-            n, held = np.zeros((0, K), dtype=np.int64), np.zeros(0)
-        for chunk, c, t in zip(asked["chunk"].to_pylist(), asked["context"].to_pylist(), asked["token"].to_pylist()):
-            c, t = _risen(c), _unpacked(t, "i8")
-            at = _found(context, token, c, t, w.types)
-            got = np.where(at >= 0, r[at] if len(r) else 0, 0)
-            wanted = np.unique(c[(got == 0) | (got > K)])
-            place = np.searchsorted(own, wanted)
-            there = place < len(own)
-            there[there] = own[place[there]] == wanted[there]
-            place = place[there]
-            needed = np.isin(wanted[there], c[got == 0]) | (n[place].sum(axis=1) == 0)
-            place = place[needed]
-            rows.append((chunk, _packed(got), _rising(own[place]), _packed(n[place].reshape(-1)), _packed(held[place].view(np.int64))))
-        chunk, got, own_, n_, held_ = zip(*rows) if rows else ([],) * 5
-        return pa.table({"chunk": pa.array(chunk, pa.int64()), "part": pa.array([key[0].as_py()] * len(rows), pa.int32()), "r": pa.array(got, pa.binary()), "context": pa.array(own_, pa.binary()), "n": pa.array(n_, pa.binary()), "held": pa.array(held_, pa.binary())})
-
-    asked = _sent(encoded, told, parts, False).drop("r")
-    answers = model.pairs.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "chunk long, part int, r binary, context binary, n binary, held binary")
+            p = w.probability(t.token)[t.lower[level]]
+        total, n, held = t.sums(level, p)
+        names = t.names[level]
+        at = np.flatnonzero(salts(w, names[0]) > 1)  # those too that have no count here but elsewhere
+        made = {"part": pa.array([rows["part"][0].as_py()] * len(at), pa.int32()), "size": pa.array(np.full(len(at), len(names), dtype=np.int32))}
+        made |= {f"x{i}": pa.array(names[i][at] if i < len(names) else np.full(len(at), -1)) for i in range(order - 1)}
+        return pa.table(made | {"total": total[at]} | {f"n{r + 1}": n[at, r] for r in range(K)} | {"held": held[at]})
+
+    some = hot.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(partial, schema)
+    some = materialize(some, "katz-partial")
+    context = ["size", *[f"x{i}" for i in range(order - 1)]]
+    sums = [c for c in some.columns if c not in ("part", *context)]
+    return some.select("part", *context).join(some.groupBy(*context).agg(*[F.sum(c).alias(c) for c in sums]), context).select(*some.columns)
+
+
+def score(encoded: DataFrame, table: DataFrame, words: Words, order: int, discounts: list[np.ndarray], total: int) -> DataFrame:
+    """A row each text: ``key, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+    parts = max(LEAST_PARTS, -(-total // PARTITION_TOKENS))
+    told = encoded.sparkSession.sparkContext.broadcast((words, discounts))
+
+    def look_up(rows: pa.Table, given: pa.Table) -> pa.Table:
+        w, d = told.value
+        if not rows.num_rows:
+            return pa.table({"chunk": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "value": pa.array([], pa.binary()), "which": pa.array([], pa.binary())})
+        t, _ = _table(rows, 0, order)
+        log = np.log10(np.maximum(probabilities(t, w, d, _known(given, order)), 1e-300))
+        made = []
+        for asked in rows["asked"][0].as_py():  # few values occur, and often
+            value, which = np.unique(log[risen(asked).astype(np.int64)], return_inverse=True)
+            made.append((packed(value.view(np.uint64)), packed(which.astype(np.uint32))))
+        value, which = zip(*made)
+        return pa.table({"chunk": pa.array(rows["chunks"][0].as_py(), pa.int64()), "part": pa.array([rows["part"][0].as_py()] * len(made), pa.int32()), "value": pa.array(value, pa.binary()), "which": pa.array(which, pa.binary())})
+
+    known = spread_contexts(table, words, order, discounts)
+    answers = table.drop("of", "hot").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(look_up, "chunk long, part int, value binary, which binary")
     answers = materialize(answers, "katz-answers")
 
     def finish(chunk: pa.Table, got: pa.Table) -> pa.Table:
-        w = told.value
-        tokens, sizes, train = _chunk(chunk.to_batches()[0], 0)
-        p = pairs(tokens, sizes, w, parts)
-        by_part = {part: i for i, part in enumerate(got["part"].to_pylist())}
-        r = np.zeros(len(p.part), dtype=np.int64)
-        for part, lo, hi in p.cuts():
-            r[lo:hi] = _unpacked(got["r"][by_part[part]].as_py(), "i8")
-        own = [_risen(x) for x in got["context"].to_pylist()] + [np.array(sorted(frequent.value), dtype=np.int64)]
-        n = [_unpacked(x, "i8").reshape(-1, K) for x in got["n"].to_pylist()] + [np.array([frequent.value[c][0] for c in own[-1]]).reshape(-1, K)]
-        held = [_unpacked(x, "i8").view(np.float64) for x in got["held"].to_pylist()] + [np.array([frequent.value[c][1] for c in own[-1]])]
-        own, n, held = np.concatenate(own), np.concatenate(n), np.concatenate(held)
-        order = np.argsort(own, kind="stable")
-        order = order[np.append(own[order][1:] != own[order][:-1], True)] if len(order) else order  # of a frequent one, what it has in all comes last
-        own, n, held = own[order], n[order], held[order]
-        total = np.maximum(w.count(own), 1)
-        low = n @ np.arange(1, K + 1)
-        kept = ((n * discount[1 : K + 1]) @ np.arange(1, K + 1) + (total - low)) / total
-        plain = n.sum(axis=1) == 0  # nothing to discount: as if seen once more, with a token of any kind
-        kept = np.where(plain, total / (total + 1), kept)
-        weight = (1 - kept) / np.maximum(1 - held, 1e-300)
-        shrink = np.where(plain, total / (total + 1), 1.0)
-        place = np.minimum(np.searchsorted(own, p.context), max(len(own) - 1, 0))
-        known = own[place] == p.context if len(own) else np.zeros(len(p.context), dtype=bool)
-        pick = lambda x, other: np.where(known, x[place], other) if len(own) else np.full(len(p.context), other)
-        seen = r > 0
-        count = np.maximum(w.count(p.context), 1)
-        with np.errstate(divide="ignore"):
-            log = np.where(seen, np.log10(np.maximum(discount[np.minimum(r, K + 1)] * r, 1e-300) * pick(shrink, 1.0) / count), np.log10(np.maximum(pick(weight, 1.0), 1e-300)) + np.log10(w.probability(p.token)))
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        c = w.count(tokens)
+        w, _ = told.value
+        tokens, ids, sizes, train = _chunk(chunk, 0)
+        g = grams(tokens, ids, sizes, w, order, parts)
+        order_ = np.argsort(got["part"].to_numpy()) if got.num_rows else []
+        value, which = got["value"].to_pylist(), got["which"].to_pylist()
+        log = np.concatenate([np.zeros(0), *[unpacked(value[i], "u8").view(np.float64)[unpacked(which[i], "u4")] for i in order_]])
+        token = ids.astype(np.int64)[tokens]
+        each = np.log10(w.probability(token))
+        asked = g.which >= 0
+        each[asked] = log[g.which[asked]]
+        c = w.count(token)
         base = np.log10((c + 1) / (w.tokens + w.types + 1))
+        text = np.repeat(np.arange(len(sizes)), sizes)
         add = lambda x: np.bincount(text, weights=x, minlength=len(sizes))
         keys = chunk["keys"].combine_chunks().flatten()
-        return pa.table({"key": keys, "held_out": ~train, "n_tokens": sizes, "n_known": add(c > 0).astype(np.int64), "train_tokens": np.full(len(sizes), w.tokens, dtype=np.int64), "base_score": add(base), "score": add(log[p.which])})
+        return pa.table({"key": keys, "held_out": ~train, "n_tokens": sizes, "n_known": add(c > 0).astype(np.int64), "train_tokens": np.full(len(sizes), w.tokens, dtype=np.int64), "base_score": add(base), "score": add(each)})
 
     kind = encoded.schema["keys"].dataType.elementType.simpleString()
     schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return encoded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
 
 
-def _found(context: np.ndarray, token: np.ndarray, c: np.ndarray, t: np.ndarray, types: int) -> np.ndarray:
-    """Where each asked pair stands in the sorted pairs, or -1."""
-    if not len(context):
-        return np.full(len(c), -1)
-    if types < 1 << 31:
-        have, want = (context << 32) | token, (c << 32) | t
-        at = np.minimum(np.searchsorted(have, want), len(have) - 1)
-        return np.where(have[at] == want, at, -1)
-    index = {x: i for i, x in enumerate(zip(context.tolist(), token.tolist()))}
-    return np.array([index.get(x, -1) for x in zip(c.tolist(), t.tolist())])
-
+def score_texts(documents: DataFrame, trains: Column, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
+    """An n-gram model of the texts for which ``trains`` holds, and the log10 probability of every text under it.
 
-def score_texts(documents: DataFrame, trains: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A bigram model of the texts for which ``trains`` holds, and the log10 probability of every text under it.
+    Letters A-Z are lowered; a text's tokens are its words and one end; before the first there are as many
+    beginnings as a context has words. Discounts are Good and Turing's, for each order, from all training counts;
+    backoff weights make each context's probabilities sum to 1 exactly, over all training types and one
+    for every other word. A token whose n-gram training has not seen gets its context's weight times
+    what the context without its first word gives it, down to single words; a context that training has not seen
+    weighs 1. ``base_score`` is the add-one unigram model's. ``order`` is 2 or more.
 
-    Letters A-Z are lowered; a text's tokens are its words and one end. Discounts are Good and
-    Turing's, from all training counts; backoff weights make each context's probabilities sum to 1
-    exactly, over all training types and one for every other word. ``base_score`` is the add-one
-    unigram model's. A null or empty text is its end alone. Null or repeated keys are scored row by
-    row; a null ``trains`` counts as false. No training text: each token has the probability 1 of the
-    only type there is. Empty input: no rows.
+    A null or empty text is its end alone. Very long texts are chunks of their own, and are split a
+    piece at a time. Null or repeated keys are scored row by row; a null ``trains`` counts as false. No
+    training text: each token has the probability 1 of the only type there is. Empty input: no rows.
+    Other columns do not matter, whatever their names.
 
     Texts are read once; chunks keep their tokens as numbers, and what is shuffled is one entry for
-    each distinct word or pair of a chunk, so no word or pair is hot. A context frequent enough to
-    fill a partition of the pair table is spread over several.
+    each distinct word or n-gram of a chunk, so no word or n-gram is hot.
     """
+    if order < 2:
+        raise ValueError("order is 2 or more")
     local = local_tokens(documents, trains, key, text)
     total = local.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words = vocabulary(local)
-    encoded = encode(local, words)
+    encoded, words = encode(local)
     discard(local)
-    return score(encoded, fit(encoded, words, total))
+    table, discounts = fit(encoded, words, order, total)
+    return score(encoded, table, words, order, discounts, total)
 
 
 def digest(documents: DataFrame) -> DataFrame:

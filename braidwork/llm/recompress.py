@@ -11,9 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words
 from .common import discard, materialize
 from .exchange import distinct, gathered, names, packed, parts_for, unpacked
-from .words import chunks, mix, split
+from .words import mix, split
 
 WINDOW = 20
 #: Rounds that name pairs and runs; a round's symbols reach over twice the words or more, and ever fewer lie within a window.
@@ -139,7 +140,7 @@ def advance(s: State, answers: np.ndarray | None, k: int, which: np.ndarray | No
     A window that holds all that decided on such a symbol is equal to no other, and goes. Symbols in no
     window that is left go too, and those that no window can hold; what stands beside them is at an edge.
     """
-    words = int(s.ends[-1]) + 1
+    places = int(s.ends[-1]) + 1
     if made is None:  # the words themselves
         first, new, name, size, before, after = np.arange(len(s.name)), np.ones(len(s.name), dtype=bool), s.name, s.size, s.before, s.after
     else:
@@ -150,11 +151,11 @@ def advance(s: State, answers: np.ndarray | None, k: int, which: np.ndarray | No
     reach = before + size + after
     near = reach <= WINDOW
     once = np.flatnonzero((name == 0) & near)
-    count = lambda x: np.bincount(x, minlength=words + WINDOW)
+    count = lambda x: np.bincount(x, minlength=places + WINDOW)
     dead = np.cumsum(count(np.maximum((at + size + after)[once] - WINDOW, 0)) - count((at - before)[once] + 1))
     lives = dead[s.window] == 0
     window = s.window[lives]
-    best = np.zeros(words, dtype=np.uint64)
+    best = np.zeros(places, dtype=np.uint64)
     best[window] = s.best[lives]
     if k == 1 and len(window):  # the words themselves, for windows in which nothing wider is decided
         _anchored(best, s.at, s.size, s.before, s.after, s.name, np.ones(len(s.name), dtype=bool))
@@ -172,9 +173,11 @@ def advance(s: State, answers: np.ndarray | None, k: int, which: np.ndarray | No
 def _start(documents: DataFrame) -> DataFrame:
     """Chunks of documents: words by their place in the chunk's own vocabulary."""
 
+    most = words.CHUNK_WORDS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, words, ends in chunks(batches, 1):
-            vocabulary, ids = np.unique(words, return_inverse=True)
+        for b, found, ends in words.chunks(batches, 1, most=most):
+            vocabulary, ids = np.unique(found, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array([packed(b.column(0).to_numpy(zero_copy_only=False))], pa.binary()), pa.array([packed(np.diff(ends, prepend=0))], pa.binary()), pa.array([packed(vocabulary)], pa.binary()), pa.array([packed(ids.astype(np.uint32))], pa.binary()), pa.array([len(vocabulary)])], names=["docs", "ends", "vocabulary", "ids", "types"])
 
     made = documents.select("doc", "text").mapInArrow(run, "docs binary, ends binary, vocabulary binary, ids binary, types long")
@@ -191,15 +194,15 @@ def _total(rows: DataFrame, column: str) -> int:
 
 def _compressed(documents: DataFrame) -> DataFrame:
     """All chunks after the last round. Each round names what occurs, over all chunks, in one exchange."""
-    words = _start(documents)
-    parts = parts_for(_total(words, "types"))
+    started = _start(documents)
+    parts = parts_for(_total(started, "types"))
 
     def own(b: pa.RecordBatch | pa.Table, i: int) -> np.ndarray:
         """The vocabulary, and once more those words that the chunk has several times."""
         vocabulary, ids = unpacked(b["vocabulary"][i].as_py(), "u8"), unpacked(b["ids"][i].as_py(), "u4")
         return np.concatenate([vocabulary, vocabulary[np.bincount(ids, minlength=len(vocabulary)) > 1]])
 
-    answers = names(words, own, parts, "recompress-word-names")
+    answers = names(started, own, parts, "recompress-word-names")
 
     def begin(chunk: pa.Table, got: pa.Table) -> pa.Table:
         _, _, _, which = distinct(own(chunk, 0), parts)
@@ -216,8 +219,8 @@ def _compressed(documents: DataFrame) -> DataFrame:
         s = State(unpacked(chunk["docs"][0].as_py(), "i8"), ends, name, at, one, none, none, begins[:-1], window, np.zeros(len(window), dtype=np.uint64))
         return pa.Table.from_batches([advance(s, None, 0).row(chunk["chunk"][0].as_py())])
 
-    state = materialize(_joined(words, answers, begin, _SCHEMA), "recompress-state")
-    discard(words)
+    state = materialize(_joined(started, answers, begin, _SCHEMA), "recompress-state")
+    discard(started)
     discard(answers)
     for k in range(ROUNDS):
         state = _round(state, k)

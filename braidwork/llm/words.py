@@ -39,10 +39,10 @@ def hashes(text: bytes | None, lower: bool = False) -> np.ndarray:
     return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, dtype=np.uint64), *found])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch], text: int, lower: bool = False, most: int = CHUNK_WORDS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows without their text, the hashes of all their words in a row, and where each row's begin (one more: the end).
 
-    A chunk goes on over batches until it has CHUNK_WORDS.
+    A chunk goes on over batches until it has ``most`` words.
     """
     rows: list[pa.RecordBatch] = []
     words: list[np.ndarray] = []
@@ -60,7 +60,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int, lower: bool = False) ->
         for at, t in enumerate(b.column(text).cast(pa.large_binary())):
             words.append(hashes(t.as_py(), lower))
             held += len(words[-1])
-            if held >= CHUNK_WORDS:
+            if held >= most:
                 rows.append(rest.slice(first, at + 1 - first))
                 yield made()
                 first, held = at + 1, 0

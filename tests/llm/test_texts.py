@@ -103,48 +103,58 @@ def test_substring_dedup_keys(spark):
     assert recompress.remove_repeats(df.where("false")).count() == 0
 
 
-def test_katz_against_plain_python(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_against_plain_python(spark, monkeypatch, order):
     monkeypatch.setattr(words, "CHUNK_WORDS", 300)
-    monkeypatch.setattr(katz, "PARTITION_TOKENS", 700)  # frequent contexts are spread
+    monkeypatch.setattr(katz, "LEAST_PARTS", 4)
+    monkeypatch.setattr(katz, "PARTITION_TOKENS", 300)  # frequent words' contexts are spread
     draw = random.Random(3)
     rows = awkward(draw) + [(100 + i, " ".join(draw.choices(["the", "of", "a", "cat", "dog", "x", "y"], [9, 5, 4, 1, 1, 1, 1], k=40)), "s") for i in range(40)]
     up = {c: c + 32 for c in range(65, 91)}
     tokens = {i: [*((t or "").translate(up).encode().split()), None] for i, t, _ in rows}
     train = {i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2}
-    uni, bi = Counter(), Counter()
+    grams = lambda t, n: zip(*[[*["<s>"] * (n - 1 - k), *t[: len(t) - (n - 1 - k)]] if n - 1 - k <= len(t) else (["<s>"] * len(t)) for k in range(n)])
+    count = {n: Counter() for n in range(1, order + 1)}
     for i in train:
-        uni.update(tokens[i])
-        bi.update(zip(["<s>", *tokens[i]], tokens[i]))
-    n = sum(uni.values())
-    of = lambda c: katz.good_turing(np.array([Counter(c.values()).get(r, 0) for r in range(1, katz.K + 2)], float))
-    du, db = of(uni), of(bi)
-    d = lambda t, r: t[min(r, katz.K + 1)]
-    unknown = max(sum((1 - d(du, r)) * r for r in uni.values()) / n, 1 / (n + 1))
-    z = sum(d(du, r) * r for r in uni.values())
-    p = lambda w: (1 - unknown) * d(du, uni[w]) * uni[w] / z if w in uni else unknown
-    by = defaultdict(dict)
-    for (a, b), r in bi.items():
-        by[a][b] = r
-    back, scale = {}, {}
-    for a, l in by.items():
-        c = sum(l.values())
-        plain = all(r > katz.K for r in l.values())
-        kept = c / (c + 1) if plain else sum(d(db, r) * r for r in l.values()) / c
-        scale[a] = c / (c + 1) if plain else 1.0
-        back[a] = (1 - kept) / (1 - sum(map(p, l)))
-        whole = sum(scale[a] * d(db, r) * r / c for r in l.values()) + back[a] * (sum(p(w) for w in uni if w not in l) + unknown)
-        assert abs(whole - 1) < 1e-9
-    got = {r.doc_id: r for r in katz.digest(docs(spark, rows)).collect()}
+        for n in count:
+            count[n].update(grams(tokens[i], n))
+    total = sum(count[1].values())
+    uni = {w: r for (w,), r in count[1].items()}
+    discount = {n: katz.good_turing(np.array([Counter(count[n].values()).get(r, 0) for r in range(1, katz.K + 2)], float)) for n in count}
+    d = lambda n, r: discount[n][min(r, katz.K + 1)]
+    unknown = max(sum((1 - d(1, r)) * r for r in uni.values()) / total, 1 / (total + 1))
+    z = sum(d(1, r) * r for r in uni.values())
+    follow = defaultdict(dict)
+    for n in range(2, order + 1):
+        for g, r in count[n].items():
+            follow[g[:-1]][g[-1]] = r
+    weight = {}
+
+    def p(context, w):
+        if not context:
+            return (1 - unknown) * d(1, uni[w]) * uni[w] / z if w in uni else unknown
+        seen, n = follow.get(context), len(context) + 1
+        if not seen:
+            return p(context[1:], w)
+        c = sum(seen.values())
+        plain = all(r > katz.K for r in seen.values())
+        if w in seen:
+            return d(n, seen[w]) * seen[w] / (c + 1 if plain else c)
+        if context not in weight:
+            kept = c / (c + 1) if plain else sum(d(n, r) * r for r in seen.values()) / c
+            weight[context] = (1 - kept) / (1 - sum(p(context[1:], x) for x in seen))
+        return weight[context] * p(context[1:], w)
+
+    for context in follow:
+        assert abs(sum(p(context, w) for w in uni) + p(context, b"<none such>") - 1) < 1e-9
+    got = {r.key: r for r in katz.score_texts(docs(spark, rows), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, order=order).collect()}
     assert len(got) == len(rows)
     for i, t in tokens.items():
-        s = 0.0
-        for a, b in zip(["<s>", *t], t):
-            r = by.get(a, {}).get(b, 0)
-            s += math.log10(scale[a] * d(db, r) * r / sum(by[a].values())) if r else math.log10(back.get(a, 1.0)) + math.log10(p(b))
-        base = sum(math.log10((uni.get(w, 0) + 1) / (n + len(uni) + 1)) for w in t)
+        s = sum(math.log10(p(g[:-1], g[-1])) for g in grams(t, order))
+        base = sum(math.log10((uni.get(w, 0) + 1) / (total + len(uni) + 1)) for w in t)
         r = got[i]
         assert abs(r.score - s) < 1e-8 and abs(r.base_score - base) < 1e-8
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(t), sum(w in uni for w in t), n)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in train, len(t), sum(w in uni for w in t), total)
 
 
 def test_katz_edges(spark):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,6 +71,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives what a Python worker has freed back to the machine; workers live on from stage to stage."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of :func:`materialize` that nothing will read again."""
     for spark, path in [w for w in _written if any(w[1].rpartition("/")[2] in f for f in df.inputFiles()[:1])]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import materialize
+from .common import materialize, release
 from .words import mix
 
 #: Partitions at least, and keys of all chunks that one of more should get, about.
@@ -82,6 +82,7 @@ def names(rows: DataFrame, keys_of: Callable[[pa.RecordBatch, int], np.ndarray],
                     yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), b["chunk"].take(pa.array([i] * len(p))), pa.array(k, pa.binary()), pa.array(m, pa.binary())], names=["part", "chunk", "keys", "many"])
 
     def answer(t: pa.Table) -> pa.Table:
+        release()
         keys = [risen(x) for x in t["keys"].to_pylist()]
         many = np.concatenate([unpacked(x, "u1") for x in t["many"].to_pylist()])
         _, which = np.unique(np.concatenate(keys), return_inverse=True)

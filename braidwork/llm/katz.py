@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as texts_of
-from .common import discard, materialize
+from .common import discard, materialize, release
 from .exchange import cuts, distinct, gathered, packed, part_of, parts_for, rising, risen, unpacked
 
 #: Words of the longest n-grams that are counted.
 ORDER = 3
 #: Tokens that a partition of the n-gram table holds, about; n-grams after a word more frequent than that are spread over several.
-PARTITION_TOKENS, LEAST_PARTS = 2_000_000, 64
+PARTITION_TOKENS, LEAST_PARTS = 1_000_000, 64
 #: Counts above this are not discounted.
 K = 5
 #: Stands for the end of a text in the vocabulary: no word hashes to it but by a 2^-64 chance.
@@ -354,6 +354,7 @@ def fit(encoded: DataFrame, words: Words, order: int, total: int) -> tuple[DataF
                     yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), b["chunk"].take(pa.array([i] * len(p))), *[pa.array(x, pa.binary()) for x in (*c, r)]], names=["part", "chunk", *names, "r"])
 
     def merge(t: pa.Table) -> pa.Table:
+        release()
         columns = [np.concatenate([(unpacked(x, "u8") if j else risen(x)).astype(np.int64) for x in t[c].to_pylist()]) for j, c in enumerate(names)]
         r = [unpacked(x, "u4") for x in t["r"].to_pylist()]
         ends = np.cumsum([len(x) for x in r])
@@ -422,6 +423,7 @@ def score(encoded: DataFrame, table: DataFrame, words: Words, order: int, discou
     told = encoded.sparkSession.sparkContext.broadcast((words, discounts))
 
     def look_up(rows: pa.Table, given: pa.Table) -> pa.Table:
+        release()
         w, d = told.value
         if not rows.num_rows:
             return pa.table({"chunk": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "value": pa.array([], pa.binary()), "which": pa.array([], pa.binary())})
@@ -439,6 +441,7 @@ def score(encoded: DataFrame, table: DataFrame, words: Words, order: int, discou
     answers = materialize(answers, "katz-answers")
 
     def finish(chunk: pa.Table, got: pa.Table) -> pa.Table:
+        release()
         w, _ = told.value
         tokens, ids, sizes, train = _chunk(chunk, 0)
         g = grams(tokens, ids, sizes, w, order, parts)

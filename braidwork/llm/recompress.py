@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import discard, materialize
+from .common import discard, materialize, release
 from .exchange import distinct, gathered, names, packed, parts_for, unpacked
 from .words import mix, split
 
@@ -235,6 +235,7 @@ def _round(state: DataFrame, k: int) -> DataFrame:
         return made.key[made.new]
 
     def step(chunk: pa.Table, got: pa.Table) -> pa.Table:
+        release()
         s = State.of(chunk)
         made = compressed(s, k)
         _, _, _, which = distinct(made.key[made.new], parts)

@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Hashed features; weights are sent out sparse, at most so many.
 BUCKETS = 1 << 22
 #: Labelled rows that a fit sees at most, the least by a hash of doc_id: the documented bound of the sample.
@@ -98,6 +100,8 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, key: str = "doc
     def train(group: pa.Table) -> pa.Table:
         group = group.sort_by([("key", "ascending"), ("x", "ascending")])
         model = fit_ftrl([np.frombuffer(x, dtype=np.int32) for x in group["x"].to_pylist()], group["y"].to_numpy())
+        del group
+        release()
         return pa.table({"i": np.append(model.index, -1).astype(np.int32), "w": np.append(model.weight, model.bias).astype(np.float64)})
 
     made = rows.mapInArrow(featurise, f"key {documents.schema[key].dataType.simpleString()}, y double, x binary")

@@ -422,23 +422,33 @@ def score(encoded: DataFrame, table: DataFrame, words: Words, order: int, discou
     parts = max(LEAST_PARTS, -(-total // PARTITION_TOKENS))
     told = encoded.sparkSession.sparkContext.broadcast((words, discounts))
 
-    def look_up(rows: pa.Table, given: pa.Table) -> pa.Table:
+    def look_up(rows: pa.Table | pa.RecordBatch, known: dict[tuple, tuple], i: int = 0) -> pa.RecordBatch:
         release()
         w, d = told.value
-        if not rows.num_rows:
-            return pa.table({"chunk": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "value": pa.array([], pa.binary()), "which": pa.array([], pa.binary())})
-        t, _ = _table(rows, 0, order)
-        log = np.log10(np.maximum(probabilities(t, w, d, _known(given, order)), 1e-300))
+        t, _ = _table(rows, i, order)
+        log = np.log10(np.maximum(probabilities(t, w, d, known), 1e-300))
         made = []
-        for asked in rows["asked"][0].as_py():  # few values occur, and often
+        for asked in rows["asked"][i].as_py():  # few values occur, and often
             value, which = np.unique(log[risen(asked).astype(np.int64)], return_inverse=True)
             made.append((packed(value.view(np.uint64)), packed(which.astype(np.uint32))))
         value, which = zip(*made)
-        return pa.table({"chunk": pa.array(rows["chunks"][0].as_py(), pa.int64()), "part": pa.array([rows["part"][0].as_py()] * len(made), pa.int32()), "value": pa.array(value, pa.binary()), "which": pa.array(which, pa.binary())})
+        return pa.RecordBatch.from_arrays([pa.array(rows["chunks"][i].as_py(), pa.int64()), pa.array([rows["part"][i].as_py()] * len(made), pa.int32()), pa.array(value, pa.binary()), pa.array(which, pa.binary())], names=["chunk", "part", "value", "which"])
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield look_up(b, {}, i)
+
+    def together(rows: pa.Table, given: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([look_up(rows, _known(given, order))])
 
+    schema = "chunk long, part int, value binary, which binary"
     known = spread_contexts(table, words, order, discounts)
-    answers = table.drop("of", "hot").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(look_up, "chunk long, part int, value binary, which binary")
+    wanted = ["part", "chunks", "asked", *[f"c{i}" for i in range(order)], "r"]
+    answers = table.where("NOT hot").select(*wanted).mapInArrow(alone, schema)
+    answers = answers.unionByName(table.where("hot").select(*wanted).groupBy("part").cogroup(known.groupBy("part")).applyInArrow(together, schema))
     answers = materialize(answers, "katz-answers")
+    discard(table)
 
     def finish(chunk: pa.Table, got: pa.Table) -> pa.Table:
         release()

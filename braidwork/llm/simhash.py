@@ -295,8 +295,8 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i : i + words])) for i in range(len(found) - words + 1)), dtype=np.uint64, count=len(found) - words + 1))
 
 
-#: Distinct texts of a component that are compared in one task, on either side; and shingles counted at a time.
-VERIFY_ROWS, VERIFY_COLUMNS = 2048, 1024
+#: Distinct texts, and shingles of theirs, that are compared in one task on either side; and shingles counted at a time.
+VERIFY_ROWS, VERIFY_SHINGLES, VERIFY_COLUMNS = 2048, 1 << 20, 1024
 
 
 def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -392,6 +392,61 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
 
+def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, words).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["m", "shingles"])
+
+    return run
+
+
+def agreeing(asked: DataFrame, texts: Callable[[DataFrame], DataFrame], named: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``asked`` (src, dst) whose Jaccard similarity reaches ``similarity``: sketches rule most others out, shingles decide."""
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [(len(x), sketch(x)) for x in (shingle_set(t, words) for t in b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], names=["m", "size", "sketch"])
+
+    def of(ids: DataFrame) -> DataFrame:
+        return texts(materialize(named.join(ids, "m"), "pairs-wanted")).select("m", "text")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("src").alias("m")).union(pairs.select(F.col("dst").alias("m"))).distinct()
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1) for k in (3, 5))
+            size = b.column(2).to_numpy().astype(np.float64) + b.column(4).to_numpy()
+            # what similar sets differ in, at most
+            at = pa.array(np.flatnonzero(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * size + 1e-6))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["src", "dst"])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(both >= similarity * (len(x) + len(y) - both))
+            at = pa.array(np.flatnonzero(same))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["src", "dst"])
+
+    short = materialize(of(ends(asked)).mapInArrow(sketches, "m long, size int, sketch binary"), "pairs-sketches")
+    seen = asked.join(short.toDF("src", "a", "x"), "src").join(short.toDF("dst", "b", "y"), "dst").select("src", "dst", "a", "x", "b", "y")
+    left = materialize(seen.mapInArrow(open_, "src long, dst long"), "pairs-open")
+    discard(short)
+    held = materialize(of(ends(left)).mapInArrow(_sets(words), "m long, shingles binary"), "pairs-sets")
+    both = left.join(held.toDF("src", "x"), "src").join(held.toDF("dst", "y"), "dst").select("src", "dst", "x", "y")
+    near = materialize(both.mapInArrow(agree, "src long, dst long"), "pairs-near")
+    discard(held)
+    return near
+
+
 def prefix_links(texts: Callable[[DataFrame], DataFrame], named: DataFrame, words: int, similarity: float) -> DataFrame:
     """``src, dst``: links that join all ``m`` of ``named`` (m, part) of different parts whose similarity reaches ``similarity``.
 
@@ -452,59 +507,18 @@ def prefix_links(texts: Callable[[DataFrame], DataFrame], named: DataFrame, word
     few = few.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(pairs, "src long, dst long")
     asked = materialize(few.distinct(), "prefix-pairs")
     # groups of equal members are one; all pairs of a larger one are looked at, in blocks
-    many = materialize(made.join(hot.select("shingle"), "shingle").select("shingle", "m"), "prefix-many")
+    many = materialize(made.join(hot.select("shingle"), "shingle").select("shingle", "m", "size"), "prefix-many")
     discard(made)
-    lists = many.groupBy("shingle").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("m")).alias("x0"), F.bit_xor(F.xxhash64(F.lit("second"), "m")).alias("x1"))
-    lists = materialize(lists.groupBy("n", "x0", "x1").agg(F.min("shingle").alias("shingle")), "prefix-lists")
-    dealt = many.join(lists, "shingle").select("m", F.col("shingle").alias("root"), F.ceil(F.col("n") / VERIFY_ROWS).cast("int").alias("parts"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, words).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["m", "shingles"])
-
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = [shingle_set(t, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in held], pa.int32()), pa.array([sketch(x) for x in held], pa.binary())], names=["m", "size", "sketch"])
-
-    def of(ids: DataFrame) -> DataFrame:
-        return texts(materialize(named.join(ids, "m"), "prefix-wanted")).select("m", "text")
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("src").alias("m")).union(pairs.select(F.col("dst").alias("m"))).distinct()
-
-    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1) for k in (3, 5))
-            size = b.column(2).to_numpy().astype(np.float64) + b.column(4).to_numpy()
-            # what similar sets differ in, at most
-            at = pa.array(np.flatnonzero(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * size + 1e-6))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["src", "dst"])
+    lists = many.groupBy("shingle").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.bit_xor(F.xxhash64("m")).alias("x0"), F.bit_xor(F.xxhash64(F.lit("second"), "m")).alias("x1"))
+    lists = materialize(lists.groupBy("n", "shingles", "x0", "x1").agg(F.min("shingle").alias("shingle")), "prefix-lists")
+    blocks = F.greatest(F.ceil(F.col("n") / VERIFY_ROWS), F.ceil(F.col("shingles") / VERIFY_SHINGLES)).cast("int")
+    dealt = many.join(lists, "shingle").select("m", F.col("shingle").alias("root"), blocks.alias("parts"))
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            same = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(both >= similarity * (len(x) + len(y) - both))
-            at = pa.array(np.flatnonzero(same))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["src", "dst"])
-
-    short = materialize(of(ends(asked)).mapInArrow(sketches, "m long, size int, sketch binary"), "prefix-sketches")
-    seen = asked.join(short.toDF("src", "a", "x"), "src").join(short.toDF("dst", "b", "y"), "dst").select("src", "dst", "a", "x", "b", "y")
-    left = materialize(seen.mapInArrow(open_, "src long, dst long"), "prefix-open")
-    discard(short)
-    held = materialize(of(ends(left)).mapInArrow(sets, "m long, shingles binary"), "prefix-sets")
-    both = left.join(held.toDF("src", "x"), "src").join(held.toDF("dst", "y"), "dst").select("src", "dst", "x", "y")
-    near = materialize(both.mapInArrow(agree, "src long, dst long"), "prefix-near")
-    discard(held)
+    sets = _sets(words)
+    near = agreeing(asked, texts, named, words, similarity)
     if not lists.isEmpty():
-        held = materialize(of(dealt.select("m").distinct()).mapInArrow(sets, "m long, shingles binary"), "prefix-block-sets")
+        wanted = materialize(named.join(dealt.select("m").distinct(), "m"), "prefix-wanted")
+        held = materialize(texts(wanted).select("m", "text").mapInArrow(sets, "m long, shingles binary"), "prefix-block-sets")
         near = near.unionByName(materialize(_in_groups(dealt.join(held, "m"), similarity), "prefix-blocks"))
         discard(held)
     return near
@@ -515,17 +529,16 @@ def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int =
 
     Equal texts are a group; the least key stands for all. Texts are linked where the Jaccard similarity
     of their sets of word shingles, looked at exactly, is ``similarity`` or more. Candidates come
-    on two ways. First those where the SimHash of their distinct words differs in ``bits`` or fewer, which
-    unites dense groups at little cost: texts that share a component are looked at in tasks of bounded
-    size, which return a forest of links. Then, of texts not yet united, all that share a shingle
-    of their prefixes (:func:`prefix_links`), so that no pair is missed.
+    on two ways. First each text that the trie walk connects with others, by SimHash of distinct words
+    within ``bits``, is looked at beside the first of those, one pair a text, which unites dense groups
+    at little cost. Then, of texts not yet united, all that share a shingle of their prefixes
+    (:func:`prefix_links`), so that no pair is missed.
 
     Rows equal in key and text are one document and share its fate. Rows with a null key always stay.
     Null and empty texts are equal texts. A text of fewer words than a shingle is one shingle. Other
     columns pass through. Empty input: no rows.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(f"`{key}`").alias("key"), body.alias("text")).where("key IS NOT NULL")
     hashed = rows.select("key", *[h.alias(f"h{i}") for i, h in enumerate(text_key("text"))], "text")
     copies = materialize(hashed.drop("text"), "keep-copies")
@@ -540,19 +553,9 @@ def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int =
     groups = near_duplicates(rows.select(F.col("key").alias(key), F.col("text").alias(text)), None, bits, key, text)
     groups = groups.select(F.col(key).alias("key"), F.col("component_id").alias("root")).distinct()
     reps = materialize(firsts.join(groups, "key"), "keep-reps")
-    shared = materialize(reps.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "keep-shared")
-    members = reps.join(shared, "root").select("key", "h0", "h1", "m", "root", F.ceil(F.col("n") / VERIFY_ROWS).cast("int").alias("parts"))
-    members = materialize(members, "keep-members")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                made = [shingle_set(t, words).tobytes() for t in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(made, pa.binary())], names=["m", "root", "parts", "shingles"])
-
-    held = texts(members).select("m", "root", "parts", "text").mapInArrow(sets, f"m long, root {kind}, parts int, shingles binary")
-    found = materialize(_in_groups(held, similarity), "keep-links")
+    leaders = materialize(reps.groupBy("root").agg(F.min(F.struct("key", "m")).alias("l"), F.count("*").alias("n")).where("n > 1").select("root", F.col("l.m").alias("src")), "keep-leaders")
+    stars = materialize(reps.join(leaders, "root").where("m <> src").select("src", F.col("m").alias("dst")), "keep-stars")
+    found = agreeing(stars, texts, reps.select("key", "h0", "h1", "m"), words, similarity)
     member = materialize(connected_components(found), "keep-components")
     parts = firsts.join(member, F.col("m") == F.col("node"), "left").select("key", "h0", "h1", "m", F.coalesce("component", "m").alias("part"))
     parts = materialize(parts, "keep-parts")

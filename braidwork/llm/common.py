@@ -6,8 +6,11 @@ import atexit
 import ctypes
 import re
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ FALLBACK_CHECKPOINT_DIR = "file:///tmp/checkpoints"
 #: Bytes that go to Python at a time, about; texts are long, and a batch is held on both sides.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Links whose components one task works out.
+EDGES_PER_TASK = 1 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
@@ -73,8 +78,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def release() -> None:
     """Gives what a Python worker has freed back to the machine; workers live on from stage to stage."""
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     with suppress(AttributeError, OSError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
@@ -142,17 +145,66 @@ def running_total(df: DataFrame, group: list[str], order: list[str], bucket: Col
     return joined.select(*kept, (F.col("l._bw_inside") + F.col("r._bw_start")).alias(out))
 
 
+class Forest:
+    """Labels of rows; each is the least row linked so far. Equal labels in a run of rows are seen at once."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.renew()
+
+    def renew(self) -> None:
+        self.turns = np.concatenate([[0], np.cumsum(self.label[1:] != self.label[:-1])]) if len(self.label) else self.label
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        label = self.label
+        while True:
+            a, b = label[i], label[j]
+            open_ = a != b
+            if not open_.any():
+                break
+            i, j = i[open_], j[open_]
+            np.minimum.at(label, np.maximum(a[open_], b[open_]), np.minimum(a[open_], b[open_]))
+            while True:
+                up = label[label]
+                if (up == label).all():
+                    break
+                label = up
+        self.label = label
+        self.renew()
+
+    def one(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        """Whether all rows of both runs have one label."""
+        t = self.turns
+        return (t[a0] == t[a1 - 1]) & (t[b0] == t[b1 - 1]) & (self.label[a0] == self.label[b0])
+
+
+def _solved(edges: DataFrame) -> DataFrame:
+    """``node, component`` of edges that one task can hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            ends = np.concatenate([np.concatenate(x) for x in zip(*held)])
+            node, at = np.unique(ends, return_inverse=True)
+            forest = Forest(len(node))
+            forest.join(at[: len(at) // 2], at[len(at) // 2 :])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[forest.label])], names=["node", "component"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` of each node of ``edges`` (src, dst: long); the component is its least node.
 
-    Alternating large-star and small-star steps. Each minimum is aggregated map-side and written
-    before it is joined back, so that both sides of each join are plain exchanges and the runtime
-    can split a hub that holds a large share of the edges.
+    As many edges as one task can hold are solved there. More go through alternating large-star and
+    small-star steps. Each minimum is aggregated map-side and written before it is joined back, so that
+    both sides of each join are plain exchanges and the runtime can split a hub that holds a large
+    share of the edges.
     """
     high, low = F.greatest("src", "dst"), F.least("src", "dst")
     now = materialize(edges.where("src <> dst").select(high.alias("u"), low.alias("v")).distinct(), "cc-start")
     state = _fingerprint(now)
-    while state[0]:
+    while state[0] > EDGES_PER_TASK:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-large-min")
         big = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
@@ -161,9 +213,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
         state, before = _fingerprint(now), state
         if state == before:
-            break
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+            roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return _solved(now)
 
 
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:

@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import Forest, connected_components, materialize
 from .kdtree import usable
-from .simhash import _Forest
 
 #: Vectors that a cell should hold, and that one side of a block product holds at most, about.
 CELL_ROWS, BLOCK_ROWS = 2048, 2048
@@ -134,7 +133,7 @@ def _compared(placed: DataFrame, threshold: float) -> DataFrame:
         first = t["guest"].to_numpy(zero_copy_only=False) if mixed else t["i"].to_numpy() == a
         left = np.flatnonzero(first)
         right = left if not mixed and a == b else np.flatnonzero(~first)
-        n, forest = np.zeros(len(x), dtype=np.int64), _Forest(len(x))
+        n, forest = np.zeros(len(x), dtype=np.int64), Forest(len(x))
         for lo in range(0, len(left), 512):
             rows = left[lo : lo + 512]
             hit = (x[rows] @ x[right].T) / (norm[rows][:, None] * norm[right][None, :]) >= threshold

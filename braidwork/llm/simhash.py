@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize, text_key
+from .common import Forest, connected_components, discard, materialize, release, text_key
 
 #: A pair of nodes with at most so many pairs of leaves is compared leaf by leaf.
 LEAF_PAIRS = 256
@@ -137,39 +137,6 @@ def _prefix(x: np.ndarray) -> np.ndarray:
     return n - (x != 0)
 
 
-class _Forest:
-    """Labels of rows; each is the least row linked so far. Equal labels in a run of rows are seen at once."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-        self.renew()
-
-    def renew(self) -> None:
-        self.turns = np.concatenate([[0], np.cumsum(self.label[1:] != self.label[:-1])]) if len(self.label) else self.label
-
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        label = self.label
-        while True:
-            a, b = label[i], label[j]
-            open_ = a != b
-            if not open_.any():
-                break
-            i, j = i[open_], j[open_]
-            np.minimum.at(label, np.maximum(a[open_], b[open_]), np.minimum(a[open_], b[open_]))
-            while True:
-                up = label[label]
-                if (up == label).all():
-                    break
-                label = up
-        self.label = label
-        self.renew()
-
-    def one(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
-        """Whether all rows of both runs have one label."""
-        t = self.turns
-        return (t[a0] == t[a1 - 1]) & (t[b0] == t[b1 - 1]) & (self.label[a0] == self.label[b0])
-
-
 def group_links(group: np.ndarray, x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between fingerprints of one group: each to the least that it is connected with."""
     order = np.lexsort((x, group))
@@ -178,7 +145,7 @@ def group_links(group: np.ndarray, x: np.ndarray, bits: int) -> tuple[np.ndarray
     new[1:] = (group[1:] != group[:-1]) | (x[1:] != x[:-1])
     group, x = group[new], x[new]
     n = len(x)
-    forest = _Forest(n)
+    forest = Forest(n)
     near = np.flatnonzero((group[1:] == group[:-1]) & (np.bitwise_count(x[1:] ^ x[:-1]) <= bits))
     forest.join(near, near + 1)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, dtype=np.int64)
@@ -319,7 +286,7 @@ def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
         has = np.zeros((len(sets), VERIFY_COLUMNS), dtype=np.float32)
         has[owner[at], column[at] - lo] = 1
         both += has[left] @ has[right].T
-    forest = _Forest(len(sets))
+    forest = Forest(len(sets))
     for at in range(0, len(left), 256):
         rows = left[at : at + 256]
         part = both[at : at + 256].astype(np.float64)
@@ -402,8 +369,8 @@ def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def agreeing(asked: DataFrame, texts: Callable[[DataFrame], DataFrame], named: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs ``asked`` (src, dst) whose Jaccard similarity reaches ``similarity``: sketches rule most others out, shingles decide."""
+def agreeing(asked: DataFrame, texts: Callable[[DataFrame], DataFrame], named: DataFrame, words: int, similarity: float, likely: bool = False) -> DataFrame:
+    """Those of the pairs ``asked`` (src, dst) whose Jaccard similarity reaches ``similarity``: shingles decide, and where most pairs are not ``likely`` to, sketches rule them out before."""
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -411,7 +378,7 @@ def agreeing(asked: DataFrame, texts: Callable[[DataFrame], DataFrame], named: D
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], names=["m", "size", "sketch"])
 
     def of(ids: DataFrame) -> DataFrame:
-        return texts(materialize(named.join(ids, "m"), "pairs-wanted")).select("m", "text")
+        return texts(named.join(ids, "m")).select("m", "text")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("src").alias("m")).union(pairs.select(F.col("dst").alias("m"))).distinct()
@@ -436,10 +403,12 @@ def agreeing(asked: DataFrame, texts: Callable[[DataFrame], DataFrame], named: D
             at = pa.array(np.flatnonzero(same))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["src", "dst"])
 
-    short = materialize(of(ends(asked)).mapInArrow(sketches, "m long, size int, sketch binary"), "pairs-sketches")
-    seen = asked.join(short.toDF("src", "a", "x"), "src").join(short.toDF("dst", "b", "y"), "dst").select("src", "dst", "a", "x", "b", "y")
-    left = materialize(seen.mapInArrow(open_, "src long, dst long"), "pairs-open")
-    discard(short)
+    left = asked
+    if not likely:
+        short = materialize(of(ends(asked)).mapInArrow(sketches, "m long, size int, sketch binary"), "pairs-sketches")
+        seen = asked.join(short.toDF("src", "a", "x"), "src").join(short.toDF("dst", "b", "y"), "dst").select("src", "dst", "a", "x", "b", "y")
+        left = materialize(seen.mapInArrow(open_, "src long, dst long"), "pairs-open")
+        discard(short)
     held = materialize(of(ends(left)).mapInArrow(_sets(words), "m long, shingles binary"), "pairs-sets")
     both = left.join(held.toDF("src", "x"), "src").join(held.toDF("dst", "y"), "dst").select("src", "dst", "x", "y")
     near = materialize(both.mapInArrow(agree, "src long, dst long"), "pairs-near")
@@ -555,7 +524,7 @@ def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int =
     reps = materialize(firsts.join(groups, "key"), "keep-reps")
     leaders = materialize(reps.groupBy("root").agg(F.min(F.struct("key", "m")).alias("l"), F.count("*").alias("n")).where("n > 1").select("root", F.col("l.m").alias("src")), "keep-leaders")
     stars = materialize(reps.join(leaders, "root").where("m <> src").select("src", F.col("m").alias("dst")), "keep-stars")
-    found = agreeing(stars, texts, reps.select("key", "h0", "h1", "m"), words, similarity)
+    found = agreeing(stars, texts, reps.select("key", "h0", "h1", "m"), words, similarity, likely=True)
     member = materialize(connected_components(found), "keep-components")
     parts = firsts.join(member, F.col("m") == F.col("node"), "left").select("key", "h0", "h1", "m", F.coalesce("component", "m").alias("part"))
     parts = materialize(parts, "keep-parts")

@@ -13,7 +13,9 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, DOCS)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 1 << 20])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(common, "EDGES_PER_TASK", at_once)
     draw = random.Random(4)
     edges = [(draw.randint(0, 120), draw.randint(0, 120)) for _ in range(90)] + [(5, 5)] + [(1000, i) for i in range(200, 400)] + [(i, i + 1) for i in range(500, 560)]
     parent = {x: x for e in edges for x in e}

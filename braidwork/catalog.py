@@ -6,6 +6,7 @@ language or of the others; those of queries named whole_... are of all texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import kmers as K
 from .operators import counting, reads as R, segments
 from .operators.sets import COUNTER_RULES, KmerSet, Output, simple
-from .plans.expression import evaluate
+from .plans.expression import evaluate, parse_definition
 from .sources import readers, writers
 
 LONG_K, SET_K, SLICE_K, P = 21, 11, 15, 7
@@ -80,7 +81,7 @@ def _counted(k: int, select: str, **options) -> str:
     return f"WITH {_READS}, {_sql_counts(k, **options)} {select}"
 
 
-_SETS = f"{_READS}, {_sql_counts(SET_K, 'a0', where=chr(39).join(['lang = ', 'en', '']))}, a AS (SELECT kmer, least(cnt, 255) AS cnt FROM a0), {_sql_counts(SET_K, 'b0', where=chr(39).join(['lang <> ', 'en', '']))}, b AS (SELECT kmer, least(cnt, 255) AS cnt FROM b0)"
+_SETS = f"{_READS}, {_sql_counts(SET_K, 'a0', where=chr(39).join(['lang = ', 'en', '']))}, a AS MATERIALIZED (SELECT kmer, least(cnt, 255) AS cnt FROM a0), {_sql_counts(SET_K, 'b0', where=chr(39).join(['lang <> ', 'en', '']))}, b AS MATERIALIZED (SELECT kmer, least(cnt, 255) AS cnt FROM b0)"
 _RULE = {"min": "least(a.cnt, b.cnt)", "max": "greatest(a.cnt, b.cnt)", "sum": "a.cnt + b.cnt", "diff": "a.cnt - b.cnt", "left": "a.cnt", "right": "b.cnt"}
 
 
@@ -129,6 +130,66 @@ _UNCUT = "slices AS (SELECT read_id, seq FROM reads WHERE length(seq) > 0)"
 _CUT_SUPER = _SUPER.replace("super AS (SELECT", f"s4 AS (SELECT *, (row_number() OVER (PARTITION BY read_id, run, island ORDER BY pos) - 1) // {segments.MOST_WINDOWS} AS part FROM s2),\nsuper AS (SELECT").replace("FROM s2 GROUP BY read_id, run, island", "FROM s4 GROUP BY read_id, run, island, part")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder where the cluster shares files; on one machine, where nothing is shared, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    return f"{root.rstrip('/')}/braidwork/catalog-{uuid.uuid4().hex}"
+
+
+#: Reads that the text formats can hold as they are.
+_PLAIN = "A-Za-z.,"
+
+
+def _written_reads(spark: SparkSession, d: str, kind: str) -> str:
+    reads = _weighted(spark, d).where(F.col("seq").rlike(f"\\A[{_PLAIN}]+\\z"))
+    path = _folder(spark)
+    writers.write_reads(reads, path, kind)
+    return path
+
+
+def _written_text(spark: SparkSession, lines: list[str]) -> str:
+    path = _folder(spark)
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def _written_set(spark: SparkSession, d: str) -> KmerSet:
+    path = _folder(spark)
+    _set(spark, d, None).write(path, 5)
+    return KmerSet.read(spark, path, 2, 100)
+
+
+def _written_runs(spark: SparkSession) -> DataFrame:
+    path, runs = _folder(spark), _runs(spark)
+    writers.append_csv(runs.where("tool = 'a'"), path)
+    writers.append_csv(runs.where("tool = 'b'"), path)
+    return readers.decimal_comma_csv(spark, path, "tool string, n int, t long, k int, rep int, user_s double, cpu_pct double, max_rss_kb long")
+
+
+#: What the time command prints, as far as it matters: numbers in this order.
+_LOG = ["User time (seconds): 1.25", "System time (seconds): 0.50", "Percent of CPU this job got: 99%", "Elapsed (wall clock) time (h:mm:ss or m:ss): 0:01.77", "Average shared text size (kbytes): 0", "Average unshared data size (kbytes): 0", "Average stack size (kbytes): 0", "Average total size (kbytes): 0", "Maximum resident set size (kbytes): 4096", "Page size (bytes): 4096"]
+
+
+def _modes() -> list[tuple[str, float, float, bool]]:
+    def fits(mode: str, least: float, most: float) -> bool:
+        try:
+            R.check_mode(mode, least, most)
+        except ValueError:
+            return False
+        return True
+
+    return [(m, float(lo), float(hi), fits(m, lo, hi)) for m in ("normal", "trim", "mask") for lo, hi in ((2, 10), (0.25, 0.5))]
+
+
+def _defined(spark: SparkSession, d: str) -> DataFrame:
+    """A definition file that names two written sets, and what its expression makes of them."""
+    root = _folder(spark)
+    for name, kmers in zip("ab", _both(spark, d)):
+        kmers.write(f"{root}/{name}")
+    text = f"INPUT:\na = {root}/a\nb = {root}/b\nOUTPUT:\n{root}/made = a * max b\nOUTPUT_PARAMS:\n-ci2 -cs20\n"
+    return parse_definition(text).run(lambda path, **cut: KmerSet.read(spark, path, **cut)).df
+
+
 def _value(rows: str) -> str:
     return "(VALUES " + ", ".join(str(r) for r in RUNS) + ") r(tool, n, t, k, rep, user_s, cpu_pct, max_rss_kb) " + rows
 
@@ -247,4 +308,22 @@ def catalog() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
     add("benchmark_averages", lambda s, d: readers.averages(_runs(s)), "SELECT tool, n, t::BIGINT AS t, k, count(*) AS n_runs, avg(user_s)::DOUBLE AS avg_user_s, min(user_s)::DOUBLE AS min_user_s, max(user_s)::DOUBLE AS max_user_s, avg(cpu_pct)::DOUBLE AS avg_cpu_pct, min(cpu_pct)::DOUBLE AS min_cpu_pct, max(cpu_pct)::DOUBLE AS max_cpu_pct, avg(max_rss_kb)::DOUBLE AS avg_max_rss_kb, min(max_rss_kb)::BIGINT AS min_max_rss_kb, max(max_rss_kb)::BIGINT AS max_max_rss_kb FROM " + _value("GROUP BY tool, n, t, k"))
     add("benchmark_side_by_side", lambda s, d: readers.side_by_side(_runs(s).where("tool = 'b'").select("n", "t", "k", "rep", "user_s")), "SELECT n, t::BIGINT AS t, k, max(CASE WHEN rep = 1 THEN user_s END)::DOUBLE AS user_s_1, max(CASE WHEN rep = 2 THEN user_s END)::DOUBLE AS user_s_2, max(CASE WHEN rep = 3 THEN user_s END)::DOUBLE AS user_s_3 FROM " + _value("WHERE tool = 'b' GROUP BY n, t, k"))
     add("generated_reads", lambda s, d: readers.generated(s, 80, 1000, 0.4, None, 0.1).select("read_id", F.length("seq").cast("long").alias("n"), F.length(F.translate("seq", "ACGT", "")).cast("long").alias("foreign")), "SELECT i AS read_id, 80::BIGINT AS n, 0::BIGINT AS foreign FROM range(0, 1000) r(i)")
+    # files, written and read again
+    plain = f"{_READS}, {_SLICES}, plain AS (SELECT CAST(read_id AS VARCHAR) AS header, seq, list_reduce(list_transform(range(1, length(seq) + 1), lambda i: chr(CAST(33 + (read_id * 31 + i * 7) % 41 AS INTEGER))), lambda x, y: x || y) AS qual FROM slices WHERE regexp_full_match(seq, '[{_PLAIN}]+'))"
+    add("fasta_file", lambda s, d: readers.fasta(s, _written_reads(s, d, "fasta")).select("header", "seq"), f"WITH {plain} SELECT header, seq FROM plain")
+    add("fasta_file_one_line", lambda s, d: readers.fasta(s, _written_reads(s, d, "fasta"), multiline=False).select("header", "seq"), f"WITH {plain} SELECT header, seq FROM plain")
+    add("fastq_file", lambda s, d: readers.fastq(s, _written_reads(s, d, "fastq")).select("header", "seq", "qual"), f"WITH {plain} SELECT header, seq, qual FROM plain")
+    add("line_file", lambda s, d: readers.line_reads(s, _written_reads(s, d, "fasta")).select("seq"), f"WITH {plain} SELECT seq FROM plain")
+    add("written_set", lambda s, d: _written_set(s, d).df, _sql_whole(one("SELECT kmer, cnt FROM a WHERE cnt BETWEEN 2 AND 100")))
+    add("definition_file", _defined, one("SELECT a.kmer, least(greatest(a.cnt, b.cnt), 20) AS cnt FROM a JOIN b USING (kmer) WHERE greatest(a.cnt, b.cnt) >= 2"))
+    add("resource_log", lambda s, d: readers.resource_log(s, _written_text(s, _LOG)).select("user_s", "cpu_pct", "wall", "max_rss_kb"), "SELECT 1.25::DOUBLE AS user_s, 99.0::DOUBLE AS cpu_pct, '0:01.77' AS wall, 4096::BIGINT AS max_rss_kb")
+    add("decimal_comma_csv", lambda s, d: _written_runs(s), "SELECT tool, n, t::BIGINT AS t, k, rep, user_s::DOUBLE AS user_s, cpu_pct::DOUBLE AS cpu_pct, max_rss_kb::BIGINT AS max_rss_kb FROM " + _value(""))
+    add("numbered_fasta", lambda s, d: writers.fasta_count_lines(en(s, d).df, numbered=True), one("SELECT '>' || row_number() OVER (ORDER BY kmer) || chr(10) || kmer AS value FROM a"))
+    # small things
+    add("packed_words", lambda s, d: count(s, d, 60).select("kmer", K.unpacked(K.packed_words("kmer", 60), 60).alias("back"), F.get(K.packed_words("kmer", 60), F.lit(1)).alias("second")), _counted(60, "SELECT kmer, kmer AS back, " + " + ".join(f"(instr('ACGT', substr(kmer, {i + 1}, 1)) - 1)::BIGINT * {4 ** (59 - i)}" for i in range(31, 60)) + " AS second FROM counts"))
+    add("contains", lambda s, d: s.createDataFrame([(x, _set(s, d, None).contains(x)) for x in ("AAAAAAAAAAA", "ACGTACGTACG", "CCCCCCCCCCC")], "kmer string, held boolean"), _sql_whole(one("SELECT x.kmer, a.kmer IS NOT NULL AS held FROM (VALUES ('AAAAAAAAAAA'), ('ACGTACGTACG'), ('CCCCCCCCCCC')) x(kmer) LEFT JOIN a USING (kmer)")))
+    add("mode_check", lambda s, d: s.createDataFrame(_modes(), "mode string, least double, most double, fits boolean"), "SELECT mode, least::DOUBLE AS least, most::DOUBLE AS most, mode = 'normal' OR least >= 1 AS fits FROM (VALUES ('normal'), ('trim'), ('mask')) m(mode), (VALUES (2, 10), (0.25, 0.5)) l(least, most)")
+    norms = "list_min([" + ", ".join(f"least({_sql_norm(x)}, {_sql_norm(_RC.format(x))})" for x in (f"substr(kmer, {i + 1}, {P})" for i in range(SET_K - P + 1))) + "])"
+    add("kmer_signature", lambda s, d: en(s, d).df.select("kmer", K.signature("kmer", P).alias("signature")), one(f"SELECT kmer, CAST({norms} AS BIGINT) AS signature FROM a"))
+    add("statistics_super_kmers", lambda s, d: counting.statistics(counting.count_all(_slices(s, d), LONG_K), _slices(s, d), 2, 50, segments.super_kmers(_slices(s, d), LONG_K, P)), f"WITH {_CUT_SUPER}, {_sql_counts(LONG_K).replace('FROM reads', 'FROM slices')} SELECT count_if(cnt < 2)::BIGINT AS n_below_min, count_if(cnt > 50)::BIGINT AS n_above_max, count(*) AS n_unique, count_if(cnt BETWEEN 2 AND 50)::BIGINT AS n_unique_counted, coalesce(sum(cnt), 0)::BIGINT AS n_total, (SELECT count(*) FROM slices) AS n_reads, (SELECT count(*) FROM super) AS n_super_kmers FROM counts")
     return q

@@ -45,10 +45,21 @@ def is_kmer(kmer: str | Column) -> Column:
 
 
 def packed(kmer: str | Column) -> Column:
-    """The k-mer as a number to base 4, A to T as 0 to 3; for k to 31 in a long."""
+    """The k-mer as a number to base 4, A to T as 0 to 3; for k to 31 in a long (longer ones: :func:`packed_words`)."""
     return F.conv(F.translate(_col(kmer), "ACGT", "0123"), 4, 10).cast("long")
 
 
+def packed_words(kmer: str | Column, k: int) -> Column:
+    """A k-mer of any length as longs of 31 symbols each, the last one of what is left."""
+    return F.array(*[packed(F.substring(_col(kmer), at + 1, min(31, k - at))) for at in range(0, k, 31)])
+
+
+def unpacked(words: str | Column, k: int) -> Column:
+    """The k-mer that :func:`packed_words` has packed."""
+    part = lambda i, n: F.translate(F.lpad(F.conv(F.get(_col(words), F.lit(i)).cast("string"), 10, 4), n, "0"), "0123", "ACGT")
+    return F.concat(*[part(i, min(31, k - at)) for i, at in enumerate(range(0, k, 31))])
+
+
 def symbol(kmer: str | Column, at: int) -> Column:
     """The symbol at a place from 0."""
     return F.substring(_col(kmer), at + 1, 1)

@@ -80,8 +80,8 @@ def count_weighted(reads: DataFrame, k: int, both_strands: bool = True) -> DataF
     return made.groupBy("kmer").agg(F.sum("w").alias("cnt"))
 
 
-def statistics(counts: DataFrame, reads: DataFrame, ci: int = 2, cx: int = 1_000_000_000) -> DataFrame:
-    """One row about an unfiltered count: k-mers below ``ci``, above ``cx``, distinct, distinct and kept, all, and reads."""
+def statistics(counts: DataFrame, reads: DataFrame, ci: int = 2, cx: int = 1_000_000_000, super_kmers: DataFrame | None = None) -> DataFrame:
+    """One row about an unfiltered count: k-mers below ``ci``, above ``cx``, distinct, distinct and kept, all, and reads; and the super-k-mers, if given."""
     one = counts.agg(
         F.count_if(F.col("cnt") < ci).alias("n_below_min"),
         F.count_if(F.col("cnt") > cx).alias("n_above_max"),
@@ -89,4 +89,5 @@ def statistics(counts: DataFrame, reads: DataFrame, ci: int = 2, cx: int = 1_000
         F.count_if(F.col("cnt").between(ci, cx)).alias("n_unique_counted"),
         F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("n_total"),
     )
-    return one.crossJoin(reads.agg(F.count("*").alias("n_reads")))  # one row each
+    one = one.crossJoin(reads.agg(F.count("*").alias("n_reads")))  # one row each
+    return one if super_kmers is None else one.crossJoin(super_kmers.agg(F.count("*").alias("n_super_kmers")))

@@ -9,44 +9,45 @@ from .counting import positioned_kmers
 from .sets import KmerSet
 
 
+def _looked_up(reads: DataFrame, kmers: KmerSet) -> DataFrame:
+    """``read_id, pos, cnt`` of every window. Those that are no k-mer stay out of the join, where they would be one key."""
+    windows = positioned_kmers(reads, kmers.k, kmers.both_strands)
+    found = windows.where("kmer IS NOT NULL").join(kmers.df.select("kmer", "cnt"), "kmer", "left").select("read_id", "pos", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+    return found.unionByName(windows.where("kmer IS NULL").select("read_id", "pos", F.lit(0).cast("long").alias("cnt")))
+
+
 def counters(reads: DataFrame, kmers: KmerSet) -> DataFrame:
     """``read_id, counters``: the counter of each window in order; 0 where it is no k-mer or the set has it not.
 
     A read shorter than k has none. Windows are looked up in canonical form if the set has both strands.
     """
-    windows = positioned_kmers(reads, kmers.k, kmers.both_strands)
-    found = windows.join(kmers.df.select("kmer", "cnt"), "kmer", "left").select("read_id", "pos", F.coalesce("cnt", F.lit(0)).alias("cnt"))
-    lists = found.groupBy("read_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cnt"))), lambda x: x["cnt"]).alias("counters"))
+    lists = _looked_up(reads, kmers).groupBy("read_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cnt"))), lambda x: x["cnt"]).alias("counters"))
     empty = F.array().cast("array<bigint>")
     return reads.select("read_id").join(lists, "read_id", "left").select("read_id", F.coalesce("counters", empty).alias("counters"))
 
 
-def _seen(reads: DataFrame, kmers: KmerSet) -> DataFrame:
-    return reads.join(counters(reads, kmers), "read_id")
-
-
 def filter_reads(reads: DataFrame, kmers: KmerSet, least: float = 2, most: float = 1_000_000_000) -> DataFrame:
     """Reads with ``least`` to ``most`` windows whose k-mer is in the set; fractions are of all its windows, cut to a whole number."""
     windows = F.greatest(F.length("seq") - kmers.k + 1, F.lit(0))
     limit = lambda x: F.lit(x) if isinstance(x, int) else F.floor(windows * F.lit(x)).cast("long")
-    valid = F.size(F.filter("counters", lambda x: x > 0))
-    return _seen(reads, kmers).where((valid >= limit(least)) & (valid <= limit(most))).drop("counters")
+    seen = reads.join(valid_windows(reads, kmers), "read_id")
+    return seen.where((F.col("n_valid") >= limit(least)) & (F.col("n_valid") <= limit(most))).drop("n_valid")
 
 
 def trim_reads(reads: DataFrame, kmers: KmerSet, least: int = 2) -> DataFrame:
     """Reads up to before the last symbol of their first window below ``least``; those that begin with one, or are shorter than k, go."""
-    first_bad = F.array_position(F.transform("counters", lambda x: x < least), F.lit(True))  # from 1; 0: none
-    length = F.when(first_bad == 0, F.length("seq")).otherwise(kmers.k + first_bad - 2)
-    kept = _seen(reads, kmers).where((F.size("counters") > 0) & (first_bad != 1))
+    bad = _looked_up(reads, kmers).where(F.col("cnt") < least).groupBy("read_id").agg(F.min("pos").alias("_bad"))
+    length = F.when(F.col("_bad").isNull(), F.length("seq")).otherwise(kmers.k + F.col("_bad") - 1)
+    kept = reads.where(F.length("seq") >= kmers.k).join(bad, "read_id", "left").where("_bad IS NULL OR _bad > 0")
     cut = lambda c: F.substr(c, F.lit(1), length.cast("int")).alias(c)
     return kept.select(*[cut(c) if c in ("seq", "qual") else c for c in reads.columns])
 
 
 def mask_reads(reads: DataFrame, kmers: KmerSet, least: int = 2) -> DataFrame:
     """All reads, with N for each symbol that a window below ``least`` covers."""
-    seen, k = _seen(reads, kmers), kmers.k
-    at = F.filter(F.transform("counters", lambda x, i: F.when(x < least, i)), lambda i: i.isNotNull())
-    seen = seen.withColumn("_p", at)
+    k = kmers.k
+    bad = _looked_up(reads, kmers).where(F.col("cnt") < least).groupBy("read_id").agg(F.array_sort(F.collect_list("pos")).alias("_p"))
+    seen = reads.join(bad, "read_id", "left").withColumn("_p", F.coalesce("_p", F.array().cast("array<int>")))
     # maximal covered runs [lo, hi)
     seen = seen.withColumn("_lo", F.expr(f"filter(_p, (x, i) -> i = 0 OR _p[i - 1] + {k} < x)"))
     seen = seen.withColumn("_hi", F.expr(f"transform(filter(_p, (x, i) -> i = size(_p) - 1 OR _p[i + 1] > x + {k}), x -> x + {k})"))
@@ -59,8 +60,10 @@ def mask_reads(reads: DataFrame, kmers: KmerSet, least: int = 2) -> DataFrame:
 
 
 def valid_windows(reads: DataFrame, kmers: KmerSet) -> DataFrame:
-    """``read_id, n_valid``."""
-    return counters(reads, kmers).select("read_id", F.size(F.filter("counters", lambda x: x > 0)).cast("long").alias("n_valid"))
+    """``read_id, n_valid``. Only windows that the set has come out of the join; they are counted map-side."""
+    windows = positioned_kmers(reads, kmers.k, kmers.both_strands).where("kmer IS NOT NULL")
+    hits = windows.join(kmers.df.where("cnt > 0").select("kmer"), "kmer").groupBy("read_id").agg(F.count("*").alias("n_valid"))
+    return reads.select("read_id").join(hits, "read_id", "left").select("read_id", F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
 
 
 def check_mode(mode: str, least: float, most: float) -> None:

@@ -48,8 +48,14 @@ class KmerSet:
 
     def write(self, path: str, partitions: int | None = None, mode: str = "errorifexists") -> None:
         """Parquet in k-mer order, and what describes the set beside it, as JSON."""
-        df = self.df.repartitionByRange(partitions, "kmer") if partitions else self.df.repartitionByRange("kmer")
+        # dealing out by range looks at its input twice, so what was counted is written first
+        spark, whole = self.df.sparkSession, f"{path}/unsorted"
+        self.df.write.mode(mode).parquet(whole)
+        held = spark.read.schema(self.df.schema).parquet(whole)
+        df = held.repartitionByRange(partitions, "kmer") if partitions else held.repartitionByRange("kmer")
         df.sortWithinPartitions("kmer").write.mode(mode).parquet(f"{path}/kmers")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(whole)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         meta = {k: v for k, v in asdict(replace(self, df=None)).items() if k != "df"} | {"total_kmers": self.df.sparkSession.read.parquet(f"{path}/kmers").count()}
         self.df.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/meta")
 

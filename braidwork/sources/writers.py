@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.counting import thresholds
@@ -25,9 +25,15 @@ def dump(counts: DataFrame, path: str, mode: str = "errorifexists", **options) -
 
 
 def fasta_count_lines(counts: DataFrame, numbered: bool = False) -> DataFrame:
-    """``value``: k-mers as FASTA records, headed by their counts or, ``numbered``, by numbers of their own."""
-    head = F.monotonically_increasing_id() if numbered else F.col("cnt")
-    return counts.select(F.format_string(">%d\n%s", head, F.col("kmer")).alias("value"))
+    """``value``: k-mers as FASTA records, headed by their counts or, ``numbered``, by 1, 2, 3 and so on in k-mer order."""
+    if not numbered:
+        return counts.select(F.format_string(">%d\n%s", F.col("cnt"), F.col("kmer")).alias("value"))
+    rows = counts.select("kmer").orderBy("kmer").select("kmer", F.monotonically_increasing_id().alias("_id"))
+    rows = rows.select("kmer", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_at"))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_part").select(F.format_string(">%d\n%s", F.col("_start") + F.col("_at") + 1, F.col("kmer")).alias("value"))
 
 
 def histogram_lines(histogram: DataFrame) -> DataFrame:

@@ -102,3 +102,12 @@ def test_functions(spark):
 def test_k_is_checked(spark):
     with pytest.raises(ValueError):
         counting.count_all(reads(spark, ["A"]), 0)
+
+
+def test_packed_words(spark):
+    rows = [("ACGT" * 20,), ("T" * 80,), ("A" * 80,)]
+    df = spark.createDataFrame(rows, "kmer string")
+    for k in (1, 30, 31, 32, 62, 63, 80):
+        cut = df.selectExpr(f"substr(kmer, 1, {k}) AS kmer")
+        got = cut.select("kmer", K.packed_words("kmer", k).alias("w")).select("kmer", "w", K.unpacked("w", k).alias("back")).collect()
+        assert all(r.kmer == r.back and len(r.w) == -(-k // 31) for r in got)

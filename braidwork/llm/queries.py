@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op3_top_k": kdtree.SQL, "op5_mixing": mixing.SQL, "op9_embedding_dedup": embed_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op3_top_k": kdtree.SQL, "op4_sharding": sharding.SQL, "op5_mixing": mixing.SQL, "op6_substring_dedup": recompress.SQL, "op9_embedding_dedup": embed_dedup.SQL}

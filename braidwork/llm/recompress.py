@@ -440,3 +440,21 @@ def digest(documents: DataFrame) -> DataFrame:
     """Per document: its words, those removed, and a checksum of those kept."""
     out = remove_repeats(documents.select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Rows with several documents of one id are not told apart here; the tables have none.
+SQL = f"""
+WITH word AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents)
+), wide AS (
+  SELECT doc_id, pos, word, string_agg(word, ' ') OVER w AS words, count(*) OVER w AS n FROM word WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)
+), ranked AS (
+  SELECT doc_id, pos, word, CASE WHEN n = {WINDOW} AND row_number() OVER (PARTITION BY words, n ORDER BY doc_id, pos) > 1 THEN 1 ELSE 0 END AS late FROM wide
+), marked AS (
+  SELECT doc_id, pos, word, max(late) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM ranked
+), made AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0), '') AS kept FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN made USING (doc_id)
+"""

@@ -14,10 +14,12 @@ from .kdtree import usable
 
 #: Vectors that a cell should hold, and that one side of a block product holds at most, about.
 CELL_ROWS, BLOCK_ROWS = 2048, 2048
-#: Centres over all labels at most; what one task compares a vector with.
+#: Centres of a label at most; what a vector is compared with to be placed. Cells of a label larger than that times CELL_ROWS grow.
 MAX_CENTRES = 4096
-#: Distinct vectors that the centres are fitted on, about: the documented bound of the sample.
-SAMPLE_ROWS = 20_000
+#: Distinct vectors that a centre is fitted on, about: with MAX_CENTRES the documented bound of the sample of a label.
+SAMPLE_ROWS = 32
+#: Distinct vectors of a label that one task places.
+SLICE_ROWS = 16384
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -59,57 +61,39 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _fit(classes: DataFrame) -> dict[tuple, np.ndarray]:
-    """Centres of the labels that are worth more than one cell; the largest labels first."""
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS).orderBy(F.desc("n"), "label", "dim").limit(MAX_CENTRES // 2).collect()
-    total = sum(r.n for r in sizes)
-    if not total:
-        return {}
-    share = min(1.0, MAX_CENTRES * CELL_ROWS / (2 * total))
-    ks = {(r.label, r.dim): max(2, int(share * r.n) // CELL_ROWS) for r in sizes}
-    wanted = classes.sparkSession.createDataFrame([(label, dim) for label, dim in ks], classes.select("label", "dim").schema)  # at most MAX_CENTRES / 2
-    drawn = classes.where(F.shiftrightunsigned(F.xxhash64("cid"), 11) * F.lit(2.0**-53) < SAMPLE_ROWS / total)
-
-    def train(key: tuple, group: pa.Table) -> pa.Table:
-        label, dim = (x.as_py() for x in key)
-        c = spherical_kmeans(_unit(_vectors(group["v"], group.num_rows)), ks[label, dim])
-        return pa.table({"label": pa.array([label] * len(c), group["label"].type), "dim": pa.array([dim] * len(c), pa.int32()), "c": pa.array(c.tolist(), pa.list_(pa.float64()))})
-
-    label_type = classes.schema["label"].dataType.simpleString()
-    fitted = drawn.join(F.broadcast(wanted), ["label", "dim"]).groupBy("label", "dim").applyInArrow(train, f"label {label_type}, dim int, c array<double>").collect()  # at most MAX_CENTRES
-    out: dict[tuple, list] = {}
-    for r in fitted:
-        out.setdefault((r.label, r.dim), []).append(r.c)
-    return {k: np.array(v) for k, v in out.items()}
-
-
 def _placed(classes: DataFrame, threshold: float) -> DataFrame:
-    """Classes in their home cells and, as guests, in the cells that they must be compared with."""
-    told = classes.sparkSession.sparkContext.broadcast(_fit(classes))  # at most MAX_CENTRES vectors
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            label, dim = b.column(0).to_pylist(), b.column(1).to_numpy()
-            groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(label, dim.tolist())):
-                groups.setdefault(key, []).append(i)
-            take, cell, guest = [], [], []
-            for key, at in groups.items():
-                at = np.array(at)
-                centres = told.value.get(key)
-                if centres is None:
-                    home, row, other = np.zeros(len(at), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-                else:
-                    home, row, other = cells(_unit(_vectors(b.column(4).take(pa.array(at)), len(at))), centres, threshold)
-                take += [at, at[row]]
-                cell += [home, other]
-                guest += [np.zeros(len(at), dtype=bool), np.ones(len(row), dtype=bool)]
-            if take:
-                rows = b.take(pa.array(np.concatenate(take)))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(guest))], names=[*b.schema.names, "cell", "guest"])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.select("label", "dim", "cid", "mult", "v").schema.fields)
-    return classes.select("label", "dim", "cid", "mult", "v").mapInArrow(run, f"{fields}, cell int, guest boolean")
+    """Classes in their home cells and, as guests, in the cells that they must be compared with.
+
+    Every label of two classes or more has two centres at least, fitted on a sample of bounded size in a task
+    of its own. The classes of a label are dealt out in slices, each of which gets the label's centres.
+    """
+    where = ["label", "dim"]
+    kind = classes.schema["label"].dataType.simpleString()
+    k = F.least(F.greatest(F.expr(f"n DIV {CELL_ROWS}"), F.lit(2)), F.lit(MAX_CENTRES), F.col("n"))
+    sizes = classes.groupBy(*where).agg(F.count("*").alias("n")).withColumn("k", k.cast("int"))
+    sizes = materialize(sizes.withColumn("slices", F.ceil(F.col("n") / SLICE_ROWS).cast("int")), "embed-labels")
+    share = F.col("k") * SAMPLE_ROWS / F.col("n")
+    drawn = classes.select(*where, "cid", "v").join(sizes.select(*where, "k", share.alias("share")), where)
+    drawn = drawn.where(F.shiftrightunsigned(F.xxhash64("cid"), 11) * F.lit(2.0**-53) < F.col("share")).select(*where, "k", "v")
+
+    def train(group: pa.Table) -> pa.Table:
+        c = spherical_kmeans(_unit(_vectors(group["v"], group.num_rows)), group["k"][0].as_py())
+        return pa.table({"label": group["label"][:1], "dim": group["dim"][:1], "centres": pa.array([c.reshape(-1).tolist()], pa.list_(pa.float64()))})
+
+    centres = materialize(drawn.groupBy(*where).applyInArrow(train, f"label {kind}, dim int, centres array<double>"), "embed-centres")
+    dealt = centres.join(sizes.select(*where, "slices"), where).select(*where, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "centres")
+    rows = classes.join(sizes.select(*where, "slices"), where).select(*where, F.pmod(F.xxhash64("cid"), F.col("slices")).cast("int").alias("slice"), "cid", "mult", "v")
+
+    def place(group: pa.Table, told: pa.Table) -> pa.Table:
+        n, dim = group.num_rows, group["dim"][0].as_py() if group.num_rows else 0
+        home, row, other = np.zeros(n, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if n and told.num_rows:  # else the sample has missed a label of few classes: one cell
+            home, row, other = cells(_unit(_vectors(group["v"], n)), np.array(told["centres"][0].as_py()).reshape(-1, dim), threshold)
+        rows = group.take(pa.array(np.concatenate([np.arange(n), row]))).drop_columns(["slice"])
+        return rows.append_column("cell", pa.array(np.concatenate([home, other]).astype(np.int32))).append_column("guest", pa.array(np.arange(n + len(row)) >= n))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "slice")
+    return rows.groupBy(*where, "slice").cogroup(dealt.groupBy(*where, "slice")).applyInArrow(place, f"{schema}, cell int, guest boolean")
 
 
 def _compared(placed: DataFrame, threshold: float) -> DataFrame:
@@ -153,7 +137,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     """``key, n_links, component_id, kept`` of each row: rows of one label are linked at cosine ``threshold`` or more.
 
     Equal vectors of a label are one class from the start, whatever their number. Centres are fitted on a
-    bounded sample for each large label; each class is placed in its nearest centre's cell and, where the
+    bounded sample for each label; each class is placed in its nearest centre's cell and, where the
     geometry allows a partner in another cell, compared there too, so that no link is lost. A cell is
     compared in products of blocks of bounded size; tasks return how many vectors each class is linked
     with and a forest of links, never the pairs. The row with a component's least key is kept.

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import Forest, connected_components, discard, materialize, release, text_key
 
-#: A pair of nodes with at most so many pairs of leaves is compared leaf by leaf.
-LEAF_PAIRS = 256
+#: A pair of nodes with at most so many pairs of leaves is compared leaf by leaf: a leaf with a leaf.
+LEAF_PAIRS = 1
 #: Pairs of nodes walked at a time, and pairs of leaves compared at a time; bound the memory.
 BATCH = 1 << 16
 #: Fingerprints that share a block's value and are joined in one group; larger ones are split.

@@ -92,6 +92,36 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs(spark, rows).where("false")).count() == 0
 
 
+def test_simhash_query_against_plain_python(spark):
+    import xxhash
+
+    draw = random.Random(12)
+    vocabulary = ["".join(draw.choices("abcdé", k=draw.randint(1, 5))) for _ in range(200)]
+    rows = [(i, " ".join(draw.choices(vocabulary, k=draw.choice([0, 1, 2, 3, 4, 5, 60, 300])))) for i in range(120)]
+    for i in range(120, 200):
+        words = (rows[draw.randrange(120)][1] or "").split()
+        if len(words) > 50:
+            words[draw.randrange(len(words))] = "Other"
+        rows.append((i, draw.choice([" ", "\n\t"]).join(words)))
+    rows += [(300, None), (301, " "), (302, "A B c D e"), (303, "a b C d E"), (304, "w " * 30_000), (304, "w " * 30_000)]
+
+    def plain(t):
+        w = (t or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+        shingles = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+        h = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+        return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+    fps = [plain(t) for _, t in rows]
+    least = [i for i, _ in rows]
+    while True:
+        now = [min(least[j] for j in range(len(rows)) if (fps[i] ^ fps[j]).bit_count() <= 4) for i in range(len(rows))]
+        if now == least:
+            break
+        least = now
+    got = sorted(tuple(r) for r in simhash.digest(docs(spark, rows)).collect())
+    assert got == sorted((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, least))
+
+
 def test_large_groups_are_split_without_loss(spark, monkeypatch):
     draw = random.Random(2)
     base = draw.getrandbits(64)

@@ -85,8 +85,9 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, key: str = "doc
     """A model from at most TRAIN_ROWS of the labelled rows for which ``usable`` (of the key) holds.
 
     Features are made where the documents are; one task of an executor fits. Rows with a null key
-    or label teach nothing; of several labels of one key the highest counts. No labelled row: no
-    weights.
+    or label teach nothing; of several labels of one key the highest counts. Null and empty texts have no
+    features; of a very long one all words count. Rows that repeat teach once each. No labelled row: no
+    weights. Other columns of either table do not matter.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & usable).groupBy(key).agg(F.max(label).cast("double").alias("_bw_y"))
     sample = known.orderBy(F.xxhash64(key), key).limit(TRAIN_ROWS)  # bounded by TRAIN_ROWS
@@ -111,7 +112,11 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, key: str = "doc
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``df`` with ``out``: the probability that the whole text is toxic. Null counts as the empty text."""
+    """``df`` with ``out``: the probability that the whole text is toxic.
+
+    Null counts as the empty text; very long texts are scored whole; rows that repeat are each scored
+    alike. Other columns pass through; one named like ``out`` is replaced. Empty input: no rows.
+    """
     told = df.sparkSession.sparkContext.broadcast(model)
     names = [c for c in df.columns if c != out]
 
@@ -141,7 +146,11 @@ def in_remainder(key: str, modulus: int, remainder: int) -> Column:
 
 
 def reject_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``documents`` without those scored at THRESHOLD or more; all columns as they were."""
+    """``documents`` without those scored at THRESHOLD or more; all columns as they were.
+
+    Null and empty texts score as the bias does and stay unless that alone is toxic; rows that repeat share
+    a fate, whatever their keys, null ones too. Empty input: no rows.
+    """
     model = fit(documents, labels, ~in_remainder("doc_id", 3, 1))
     return score(documents, model, out="_bw_toxic").where(F.col("_bw_toxic") < THRESHOLD).drop("_bw_toxic")
 

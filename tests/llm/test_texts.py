@@ -358,3 +358,40 @@ def test_recompressed_symbols_are_consistent(seed):
             s = recompress.State(s.docs, s.ends, key, first, made.size, made.before, made.after, begins, s.window, s.best)
         seen.append(inside)
     assert seen[0] == seen[1] == seen[2] and any(k == 2 for k, *_ in seen[0]) and max(c for _, _, c, _ in seen[0]) >= 4
+
+
+def test_ftrl_against_plain_python():
+    draw = np.random.default_rng(3)
+    rows = [np.unique(draw.integers(0, 40, 12)).astype(np.int32) for _ in range(60)]
+    labels = np.array([float(1 in r or 7 in r) for r in rows])
+    alpha, beta, l1, l2, bias = 0.5, 1.0, 0.3, 0.1, -1
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        held = 0.0 if i == bias else l1
+        return 0.0 if abs(z[i]) <= held else -(z[i] - math.copysign(held, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(4):
+        for k in order.permutation(len(rows)):
+            at = [*rows[k].tolist(), bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[k]
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    model = toxicity.fit_ftrl(rows, labels, alpha, beta, l1, l2)
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    assert model.index.tolist() == sorted(want) and 0 < len(want) < 40
+    assert np.allclose(model.weight, [want[i] for i in sorted(want)], rtol=1e-5) and abs(model.bias - weight(bias)) < 1e-9
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_both_encoders_give_the_same_ids(seed):
+    file, ranks = packing.default_tokenizer()
+    draw = random.Random(seed)
+    point = lambda: chr(next(c for c in iter(lambda: draw.randrange(1, 0x110000 if draw.random() < 0.3 else 0x3000), None) if not 0xD800 <= c < 0xE000))
+    texts = ["".join(point() for _ in range(draw.randint(1, 80))) for _ in range(300)]
+    texts += [draw.choice("a1 \n\t.é中'") * draw.randint(1, 3000) for _ in range(20)] + ["".join(draw.choices(["don't", "'LL", " ", "  ", "\n\n", "12345", "ß", "中文", "العربية", "\u00a0", "\u2028", "x" * 50, "<|", "|>"], k=40)) for _ in range(200)]
+    for t in texts:
+        assert packing.encode(t, file, ranks) == packing.encode(t, file), repr(t)

@@ -66,6 +66,14 @@ def distinct(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.n
     return part[order], key[order], times[order], back[which]
 
 
+def asked_of(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first three of :func:`distinct`, which cost less than the last."""
+    key, times = np.unique(keys, return_counts=True)
+    part = part_of(key, parts)
+    order = np.argsort(part, kind="stable")
+    return part[order], key[order], times[order]
+
+
 def names(rows: DataFrame, keys_of: Callable[[pa.RecordBatch, int], np.ndarray], parts: int, table: str) -> DataFrame:
     """``chunk, part, names``: a number for each distinct key of each chunk, by part and in order, as :func:`distinct` has them.
 
@@ -75,7 +83,7 @@ def names(rows: DataFrame, keys_of: Callable[[pa.RecordBatch, int], np.ndarray],
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                part, key, times, _ = distinct(keys_of(b, i), parts)
+                part, key, times = asked_of(keys_of(b, i), parts)
                 sent = [(p, rising(key[lo:hi]), packed((times[lo:hi] > 1).astype(np.uint8))) for p, lo, hi in cuts(part)]
                 if sent:
                     p, k, m = zip(*sent)

@@ -286,6 +286,21 @@ def _digests(words: list[bytes], at: list[int], n: list[int]) -> np.ndarray:
 OPEN, SINGLE = 0, 1
 
 
+def _meets_itself(words: list[bytes], at: int, n: int) -> bool:
+    """Whether two of ``n`` windows (RUN at most) from ``at`` on are equal.
+
+    Whichever they are, the later one holds the words from the last window's first to the one after the
+    first window; so these must stand some words earlier as well, which few runs pass.
+    """
+    lo, hi = at + n - 1, at + WINDOW + 1
+    if words[lo] not in words[at:lo]:
+        return False
+    shared = words[lo:hi]
+    if not any(words[lo - d : hi - d] == shared for d in range(1, n)):
+        return False
+    return len({tuple(words[i : i + WINDOW]) for i in range(at, at + n)}) < n
+
+
 def _met(documents: DataFrame, lists: DataFrame, step, schema: str) -> DataFrame:
     """``step`` of (doc, words, at, n, name) for each row of the documents that ``lists`` has runs of."""
 
@@ -312,19 +327,7 @@ def _found(documents: DataFrame, lists: DataFrame) -> DataFrame:
 
     def step(doc: int, words: list[bytes], at: np.ndarray, n: np.ndarray, name: np.ndarray) -> tuple:
         span = _digests(words, at.tolist(), (n + WINDOW - 1).tolist())
-        number = {}
-        ids = np.array([number.setdefault(w, len(number)) for w in words])
-        itself = np.zeros(len(at), dtype=np.int32)
-        order = np.argsort(ids, kind="stable")
-        close = np.zeros(len(ids) + 1, dtype=np.int64)  # words that come again within fewer than RUN words
-        close[1:][order[1:][(ids[order[1:]] == ids[order[:-1]]) & (np.diff(order) < RUN)]] = 1
-        close = np.cumsum(close)
-        for d in range(1, RUN) if (close[WINDOW:] - close[:-WINDOW] == WINDOW).any() else ():  # windows d apart are equal where WINDOW words in a row equal those d on
-            same = np.append(0, np.cumsum(ids[d:] != ids[:-d])) if len(ids) > d else np.zeros(1, dtype=np.int64)
-            for j in range(RUN - d):
-                some = np.flatnonzero((n > j + d) & (itself == OPEN))
-                lo = at[some] + j
-                itself[some[same[np.minimum(lo + WINDOW, len(same) - 1)] == same[np.minimum(lo, len(same) - 1)]]] = SINGLE
+        itself = np.array([SINGLE if _meets_itself(words, a, c) else OPEN for a, c in zip(at.tolist(), n.tolist())], dtype=np.int32)
         return name, span[:, 0], span[:, 1], np.full(len(at), doc), at, n.astype(np.int32), itself
 
     return _met(documents, lists, step, "name long, span0 long, span1 long, doc long, at long, n int, state int")
@@ -414,7 +417,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                made = [_kept(t, s or []) for t, s in zip(part.column(where).to_pylist(), part.column(len(names)).to_pylist())]
+                made = [_kept(t, s or []) for t, s in zip(part.column(where).cast(pa.large_binary()).to_pylist(), part.column(len(names)).to_pylist())]
                 columns = list(part.columns[: len(names)])
                 columns[where] = pa.array([m[0] for m in made], columns[where].type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], names=[*names, "n_words", "n_removed"])
@@ -423,17 +426,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return met.mapInArrow(run, f"{fields}, n_words long, n_removed long")
 
 
-def _kept(t: str | None, spans: list[dict]) -> tuple[str | None, int, int]:
+def _kept(t: bytes | None, spans: list[dict]) -> tuple[bytes | None, int, int]:
     if t is None:
         return None, 0, 0
     words = split(t)
+    if not spans:
+        return b" ".join(words), len(words), 0
     mark = np.zeros(len(words) + 1, dtype=np.int64)
     for s in spans:
         mark[s["at"]] += 1
         mark[s["at"] + s["n"] + WINDOW - 1] -= 1
     gone = np.cumsum(mark[:-1]) > 0
-    left = b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if gone.any() else b" ".join(words)
-    return left.decode("utf-8", "surrogatepass"), len(words), int(gone.sum())
+    return b" ".join(w for w, g in zip(words, gone.tolist()) if not g), len(words), int(gone.sum())
 
 
 def digest(documents: DataFrame) -> DataFrame:

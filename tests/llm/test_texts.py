@@ -395,3 +395,18 @@ def test_both_encoders_give_the_same_ids(seed):
     texts += [draw.choice("a1 \n\t.é中'") * draw.randint(1, 3000) for _ in range(20)] + ["".join(draw.choices(["don't", "'LL", " ", "  ", "\n\n", "12345", "ß", "中文", "العربية", "\u00a0", "\u2028", "x" * 50, "<|", "|>"], k=40)) for _ in range(200)]
     for t in texts:
         assert packing.encode(t, file, ranks) == packing.encode(t, file), repr(t)
+
+
+def test_runs_that_meet_themselves():
+    rng, seen = random.Random(1), [0, 0]
+    for _ in range(3000):
+        n, period, letters = rng.randint(1, recompress.RUN), rng.randint(1, 25), rng.choice([1, 2, 3, 9])
+        base = [bytes([97 + rng.randrange(letters)]) for _ in range(period)]
+        held = [base[i % period] for i in range(60)]
+        if rng.random() < 0.5:
+            held[rng.randrange(60)] = b"z"
+        at = rng.randint(0, 20)
+        expected = len({tuple(held[i : i + recompress.WINDOW]) for i in range(at, at + n)}) < n
+        assert recompress._meets_itself(held, at, n) == expected
+        seen[expected] += 1
+    assert min(seen) > 100

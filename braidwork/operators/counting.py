@@ -62,6 +62,30 @@ def thresholds(counts: DataFrame, ci: int = 1, cx: int | None = None, cs: int |
     return kept if cs is None else kept.withColumn("cnt", F.least("cnt", F.lit(cs).cast("long")))
 
 
+def _times(left: str, right: str, by: int) -> Column:
+    """Each number of ``left`` times the one of ``right`` that is ``by`` places on; null where there is none."""
+    return F.transform(left, lambda x, i: x * F.get(right, i + by))
+
+
+def _window_products(df: DataFrame, column: str, k: int) -> DataFrame:
+    """``df`` with the products of k neighbours in place of the numbers in ``column``; null where fewer follow.
+
+    Products of 1, 2, 4, ... neighbours are made of two of the half, and those whose widths add up to k are multiplied.
+    """
+    kept = [c for c in df.columns if c != column]
+    product, done, wide, width = None, 0, column, 1
+    while True:
+        if k & width:
+            if product is not None:
+                df = df.withColumn(f"_product{width}", _times(product, wide, done))
+            product, done = wide if product is None else f"_product{width}", done + width
+        width *= 2
+        if width > k:
+            return df.select(*kept, F.col(product).alias(column))
+        df = df.withColumn(f"_wide{width}", _times(wide, wide, width // 2))
+        wide = f"_wide{width}"
+
+
 def count_weighted(reads: DataFrame, k: int, both_strands: bool = True) -> DataFrame:
     """``kmer, cnt`` (double): for each occurrence the probability that all of its bases are right, summed."""
     _check_k(k)
@@ -70,13 +94,13 @@ def count_weighted(reads: DataFrame, k: int, both_strands: bool = True) -> DataF
     cut = whole.select("run", "qual", F.explode(F.sequence(F.lit(0), F.length("run") - k, F.lit(PIECE))).alias("at"))
     width = F.lit(PIECE + k - 1)
     cut = cut.select(F.substr("run", F.col("at") + 1, width).alias("piece"), F.substr("qual", F.col("at") + 1, width).alias("q"))
-    cut = cut.select("piece", F.reverse(F.translate("piece", "ACGT", "TGCA")).alias("back"), F.transform(F.filter(F.split("q", ""), lambda x: x != ""), base_probability).alias("p"))
+    cut = cut.select("piece", F.transform(F.filter(F.split("q", ""), lambda x: x != ""), base_probability).alias("p"))
+    cut = _window_products(cut, "p", k)
     size = F.length("piece")
-    opened = cut.select("*", F.explode(F.sequence(F.lit(1), size - k + 1)).alias("i"))
-    forward = F.substr("piece", F.col("i"), F.lit(k))
-    kmer = F.least(forward, F.substr("back", size - F.col("i") - k + 2, F.lit(k))) if both_strands else forward
-    weight = F.aggregate(F.slice("p", F.col("i"), F.lit(k)), F.lit(1.0), lambda a, x: a * x)
-    made = opened.select(kmer.alias("kmer"), weight.alias("w")).where(~F.col("kmer").rlike("[^ACGT]"))
+    opened = cut.select("piece", F.reverse(F.translate("piece", "ACGT", "TGCA")).alias("back"), F.posexplode("p").alias("i", "w")).where("w IS NOT NULL")
+    forward = F.substr("piece", F.col("i") + 1, F.lit(k))
+    kmer = F.least(forward, F.substr("back", size - F.col("i") - k + 1, F.lit(k))) if both_strands else forward
+    made = opened.select(kmer.alias("kmer"), "w").where(~F.col("kmer").rlike("[^ACGT]"))
     return made.groupBy("kmer").agg(F.sum("w").alias("cnt"))
 
 

@@ -313,6 +313,7 @@ def catalog() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
     add("fasta_file", lambda s, d: readers.fasta(s, _written_reads(s, d, "fasta")).select("header", "seq"), f"WITH {plain} SELECT header, seq FROM plain")
     add("fasta_file_one_line", lambda s, d: readers.fasta(s, _written_reads(s, d, "fasta"), multiline=False).select("header", "seq"), f"WITH {plain} SELECT header, seq FROM plain")
     add("fastq_file", lambda s, d: readers.fastq(s, _written_reads(s, d, "fastq")).select("header", "seq", "qual"), f"WITH {plain} SELECT header, seq, qual FROM plain")
+    add("fastq_file_split", lambda s, d: readers.fastq(s, _written_reads(s, d, "fastq"), multiline=False).select("header", "seq", "qual"), f"WITH {plain} SELECT header, seq, qual FROM plain")
     add("line_file", lambda s, d: readers.line_reads(s, _written_reads(s, d, "fasta")).select("seq"), f"WITH {plain} SELECT seq FROM plain")
     add("written_set", lambda s, d: _written_set(s, d).df, _sql_whole(one("SELECT kmer, cnt FROM a WHERE cnt BETWEEN 2 AND 100")))
     add("definition_file", _defined, one("SELECT a.kmer, least(greatest(a.cnt, b.cnt), 20) AS cnt FROM a JOIN b USING (kmer) WHERE greatest(a.cnt, b.cnt) >= 2"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,31 +45,121 @@ def line_reads(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     return _numbered(rows.select(F.lit(None).cast("string").alias("header"), F.rtrim("value").alias("seq"), F.lit(None).cast("string").alias("qual"))).select("read_id", "header", "seq", "qual")
 
 
-def fastq(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """Reads of FASTQ files; sequences and qualities may have several lines.
+_RECORD = "header string, seq string, qual string"
+_FRAGMENT = "path string, start long, synced boolean, before array<string>, after array<string>"
 
-    A quality line may begin like a header, so only from a file's start is it sure what a line is:
-    a file is one task, and lines flow through it one batch at a time. Many files are many tasks.
+
+def _record_batch(made: list[tuple[str, str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*made)], names=["header", "seq", "qual"])
+
+
+def _in_batches(found: Iterable[tuple[str, str, str]], size: int = 4096) -> Iterator[pa.RecordBatch]:
+    rest = iter(found)
+    while made := list(islice(rest, size)):
+        yield _record_batch(made)
+
+
+def fastq(spark: SparkSession, paths: str | Iterable[str], multiline: bool = True) -> DataFrame:
+    """Reads of FASTQ files.
+
+    ``multiline``: sequences and qualities may have several lines. A quality line may begin like a header,
+    so only from a file's start is it sure what a line is: a file is one task and is held there whole,
+    2 GB at most. Else each record has four lines, which can be told apart from anywhere in a file, and
+    files of any size split into many tasks; records that lie across splits are put together by file.
+    Lines that do not come in fours are an error then, but for blank ones between records.
     """
+    if not multiline:
+        return _split_fastq(spark, file_list(spark, paths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: list[tuple[str, str, str]] = []
-        for record in records(line for b in batches for text in b.column(0).to_pylist() for line in text.split("\n")):
-            made.append(record)
-            if len(made) == 4096:
-                yield _batch(made)
-                made = []
-        if made:
-            yield _batch(made)
-
-    def _batch(made: list[tuple[str, str, str]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*made)], names=["header", "seq", "qual"])
+        yield from _in_batches(records(line for b in batches for text in b.column(0).to_pylist() for line in text.split("\n")))
 
     whole = spark.read.text(file_list(spark, paths), wholetext=True)
-    found = whole.select("value").mapInArrow(run, "header string, seq string, qual string")
+    found = whole.select("value").mapInArrow(run, _RECORD)
     return _numbered(found).select("read_id", "header", "seq", "qual")
 
 
+class _Split:
+    """The lines of one split of a file, which come in order: whole records, and what its ends hold of others."""
+
+    def __init__(self, path: str, start: int):
+        self.path, self.start, self.synced = path, start, start == 0
+        self.before: list[str] = []
+        self.held: list[str] = []
+
+    def add(self, lines: list[str]) -> Iterator[tuple[str, str, str]]:
+        self.held += lines
+        if not self.synced:
+            # A quality line may begin with @ too, but two lines after it there is a sequence, not a line with +.
+            at = next((i for i in range(len(self.held) - 2) if self.held[i].startswith("@") and self.held[i + 2].startswith("+")), None)
+            if at is None:
+                keep = max(0, len(self.held) - 2)
+                self.before += self.held[:keep]
+                self.held = self.held[keep:]
+                return
+            self.before += self.held[:at]
+            self.held, self.synced = self.held[at:], True
+        at = 0
+        while at < len(self.held):
+            if not self.held[at]:
+                at += 1
+                continue
+            if at + 4 > len(self.held):
+                break
+            header, seq, plus, qual = self.held[at : at + 4]
+            if not header.startswith("@") or not plus.startswith("+"):
+                raise ValueError(f"{self.path}: records are not of four lines each near {header!r}; read it with multiline=True")
+            yield header[1:], seq.strip(), qual
+            at += 4
+        self.held = self.held[at:]
+
+    def ends(self) -> tuple[str, int, bool, list[str], list[str]]:
+        return (self.path, self.start, True, self.before, self.held) if self.synced else (self.path, self.start, False, self.before + self.held, [])
+
+
+def _of_splits(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple]:
+    """Whole records of all splits of a task, or else the ends of its splits."""
+    now = None
+    for b in batches:
+        paths, starts, lines = (b.column(i).to_pylist() for i in range(3))
+        for (path, start), group in groupby(range(b.num_rows), key=lambda i: (paths[i], starts[i])):
+            if now is None or (now.path, now.start) != (path, start):
+                if now and not whole:
+                    yield now.ends()
+                now = _Split(path, start)
+            for record in now.add([lines[i].rstrip("\r") for i in group]):
+                if whole:
+                    yield record
+    if now and not whole:
+        yield now.ends()
+
+
+def _split_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Two scans, both split: one for the records within a split, one for the few lines at the ends of each."""
+    lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_batches(_of_splits(batches, whole=True))
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, start, synced, before, after in _of_splits(batches, whole=False):
+            strings = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start]), pa.array([synced]), pa.array([before], strings), pa.array([after], strings)], names=["path", "start", "synced", "before", "after"])
+
+    def stitched(ends: pa.Table) -> pa.Table:
+        made, held = [], []
+        for end in sorted(ends.to_pylist(), key=lambda e: e["start"]):
+            held += end["before"]
+            if end["synced"]:
+                made += records(held)
+                held = end["after"]
+        made += records(held)
+        return pa.Table.from_batches([_record_batch(made)] if made else [], pa.schema([(c, pa.string()) for c in ("header", "seq", "qual")]))
+
+    across = lines.mapInArrow(edges, _FRAGMENT).groupBy("path").applyInArrow(stitched, _RECORD)
+    return _numbered(lines.mapInArrow(inside, _RECORD).unionByName(across)).select("read_id", "header", "seq", "qual")
+
+
 def records(lines: Iterable[str]) -> Iterator[tuple[str, str, str]]:
     """(header, sequence, quality) of the lines of a FASTQ file. A quality ends where it is as long as its sequence."""
     rest = iter(lines)

@@ -1,5 +1,6 @@
 import bz2
 import gzip
+import random
 
 import pytest
 
@@ -36,6 +37,35 @@ def test_fastq(spark, tmp_path):
     assert got == [("one", "ACGT", "@III"), ("two more", "ACGT", "I@+I"), ("three", "", "")]
 
 
+@pytest.mark.parametrize(("size", "count", "newline"), [(7, 9, "\n"), (60, 40, "\r\n"), (333, 60, "\n"), (1 << 20, 60, "\r\n")])
+def test_split_fastq(spark, tmp_path, size, count, newline):
+    rng = random.Random(size)
+    reads = []
+    for i in range(count):
+        n = rng.choice([0, 1, 5, 30, 200])
+        reads.append((f"r{i} @+", "".join(rng.choices("ACGTN", k=n)), "".join(rng.choices("@+IIx", k=n))))
+    for name, part in (("a", reads[: count // 2]), ("b", reads[count // 2 :]), ("c", [])):
+        text = "".join(newline.join(("@" + h, s, "+" + rng.choice(["", h]), q)) + newline for h, s, q in part)
+        (tmp_path / f"{name}.fq").write_bytes(text.encode())
+    paths = [str(tmp_path / f"{name}.fq") for name in "abc"]
+    before = {key: spark.conf.get(key) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = readers.fastq(spark, paths, multiline=False)
+        assert sorted((r.header, r.seq, r.qual) for r in got.collect()) == sorted(reads)
+        assert got.select("read_id").distinct().count() == len(reads)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_split_fastq_of_other_lines(spark, tmp_path):
+    (tmp_path / "a.fq").write_text("@one\nAC\nGT\n+\nII\nII\n")
+    with pytest.raises(Exception, match="four lines"):
+        readers.fastq(spark, str(tmp_path / "a.fq"), multiline=False).collect()
+
+
 def test_round_trips(spark, tmp_path):
     (tmp_path / "a.fq").write_text(FASTQ)
     reads = readers.fastq(spark, str(tmp_path / "a.fq"))

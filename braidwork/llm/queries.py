@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embed_dedup, katz, kdtree, line_dedup, mixing, packing, recompress, sharding, simhash, toxicity
+from . import embed_dedup, katz, kdtree, line_dedup, mixing, packing, quality, recompress, resample, sharding, simhash, toxicity, whitening
 from .common import table
 
 
@@ -18,8 +18,11 @@ def queries() -> dict:
         "op8_simhash_dedup": lambda spark, d: simhash.digest(table(spark, d, "documents")),
         "op9_embedding_dedup": lambda spark, d: embed_dedup.digest(table(spark, d, "embeddings")),
         "op10_packing": lambda spark, d: packing.digest(table(spark, d, "documents")),
+        "op11_whitening": lambda spark, d: whitening.digest(table(spark, d, "embeddings")),
+        "op12_quality_rules": lambda spark, d: quality.digest(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op13_resampling": lambda spark, d: resample.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op3_top_k": kdtree.SQL, "op4_sharding": sharding.SQL, "op5_mixing": mixing.SQL, "op6_substring_dedup": recompress.SQL, "op9_embedding_dedup": embed_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op3_top_k": kdtree.SQL, "op4_sharding": sharding.SQL, "op5_mixing": mixing.SQL, "op6_substring_dedup": recompress.SQL, "op9_embedding_dedup": embed_dedup.SQL, "op13_resampling": resample.SQL}

@@ -60,7 +60,7 @@ _NIBBLES = [(lambda c: [c := c >> 1 ^ (0xEDB88320 if c & 1 else 0) for _ in rang
 _STEP = "xor({table}[CAST(({x}) & 15 AS INTEGER) + 1], ({x}) >> 4)"
 
 
-def _crc_sql(text: str) -> str:
+def crc_sql(text: str) -> str:
     table = "[" + ", ".join(f"{n}::BIGINT" for n in _NIBBLES) + "]"
     step = lambda x: _STEP.format(table=table, x=x)
     bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
@@ -70,7 +70,7 @@ def _crc_sql(text: str) -> str:
 #: Rows equal in doc_id, size and checksum may change places; the tables have none.
 SQL = f"""
 WITH doc AS (
-  SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents
+  SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size, {crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents
 ), drawn AS (
   SELECT *, md5(concat_ws('-', 17, coalesce(CAST(doc_id AS VARCHAR), 'null'), size, text_crc32)) AS draw, count(*) OVER () AS total FROM doc
 ), ranked AS (

@@ -25,7 +25,7 @@ def test_stages(spark):
 
 def test_names():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(queries.oracle_sql()) <= set(names)
 
 
 def test_stages_take_awkward_rows(spark):

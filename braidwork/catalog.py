@@ -6,6 +6,8 @@ language or of the others; those of queries named whole_... are of all texts.
 
 from __future__ import annotations
 
+import atexit
+import re
 import uuid
 from collections.abc import Callable
 
@@ -19,12 +21,8 @@ from .plans.expression import evaluate, parse_definition
 from .sources import readers, writers
 
 LONG_K, SET_K, SLICE_K, P = 21, 11, 15, 7
-#: A few runs of the benchmark, as rows (tool, n, t, k, rep, user_s, cpu_pct, max_rss_kb).
-RUNS = [("a", 40, 40, 5, 1, 0.5, 99.0, 1500), ("a", 40, 40, 5, 2, 0.25, 98.0, 1516), ("a", 40, 40, 5, 3, 0.75, 97.0, 1532), ("b", 40, 40, 5, 1, 1.5, 180.0, 24000), ("b", 40, 40, 5, 2, 2.0, 190.0, 24016), ("b", 40, 40, 5, 3, 1.0, 185.0, 24032), ("b", 80, 80, 10, 1, 4.0, 200.0, 36000), ("b", 80, 80, 10, 2, 4.5, 201.0, 36032)]
-
-
 def _reads(spark: SparkSession, d: str) -> DataFrame:
-    return readers.from_text(spark.read.parquet(f"{d}/documents.parquet"), extra=("lang",))
+    return readers.from_text(readers.spread(spark.read.parquet(f"{d}/documents.parquet"), "doc_id"), extra=("lang",))
 
 
 def _slices(spark: SparkSession, d: str) -> DataFrame:
@@ -49,8 +47,12 @@ def _weighted(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     return cut.withColumn("qual", qual)
 
 
-def _runs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RUNS, "tool string, n int, t long, k int, rep int, user_s double, cpu_pct double, max_rss_kb long")
+#: Measured runs, made of line items; their numbers are quarters and halves, whose sums are exact.
+_RUN_SQL = "SELECT l_returnflag AS tool, CAST(l_linenumber AS INT) AS n, CAST(l_orderkey % 5 AS BIGINT) AS t, CAST(l_partkey % 3 AS INT) AS k, CAST(l_suppkey % 3 + 1 AS INT) AS rep, CAST((l_orderkey % 1000) * 0.25 AS DOUBLE) AS user_s, CAST((l_partkey % 400) * 0.5 AS DOUBLE) AS cpu_pct, CAST(l_orderkey + l_suppkey AS BIGINT) AS max_rss_kb FROM {0}"
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(_RUN_SQL.format("{items}"), items=spark.read.parquet(f"{d}/lineitem.parquet"))
 
 
 # SQL
@@ -81,7 +83,11 @@ def _counted(k: int, select: str, **options) -> str:
     return f"WITH {_READS}, {_sql_counts(k, **options)} {select}"
 
 
-_SETS = f"{_READS}, {_sql_counts(SET_K, 'a0', where=chr(39).join(['lang = ', 'en', '']))}, a AS MATERIALIZED (SELECT kmer, least(cnt, 255) AS cnt FROM a0), {_sql_counts(SET_K, 'b0', where=chr(39).join(['lang <> ', 'en', '']))}, b AS MATERIALIZED (SELECT kmer, least(cnt, 255) AS cnt FROM b0)"
+def _sets_sql(k: int) -> str:
+    return f"{_READS}, {_sql_counts(k, 'a0', where=chr(39).join(['lang = ', 'en', '']))}, a AS MATERIALIZED (SELECT kmer, least(cnt, 255) AS cnt FROM a0), {_sql_counts(k, 'b0', where=chr(39).join(['lang <> ', 'en', '']))}, b AS MATERIALIZED (SELECT kmer, least(cnt, 255) AS cnt FROM b0)"
+
+
+_SETS = _sets_sql(SET_K)
 _RULE = {"min": "least(a.cnt, b.cnt)", "max": "greatest(a.cnt, b.cnt)", "sum": "a.cnt + b.cnt", "diff": "a.cnt - b.cnt", "left": "a.cnt", "right": "b.cnt"}
 
 
@@ -131,54 +137,89 @@ _CUT_SUPER = _SUPER.replace("super AS (SELECT", f"s4 AS (SELECT *, (row_number()
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder where the cluster shares files; on one machine, where nothing is shared, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/braidwork/catalog-{uuid.uuid4().hex}"
+    """A new folder where the cluster shares files, deleted when the driver ends; only on one machine, where nothing is shared, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(root or 'file:///tmp/checkpoints').rstrip('/')}/braidwork/catalog-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_drop_all)
+    _written.append((spark, path))
+    return path
 
 
-#: Reads that the text formats can hold as they are.
-_PLAIN = "A-Za-z.,"
+_written: list[tuple[SparkSession, str]] = []
 
 
-def _written_reads(spark: SparkSession, d: str, kind: str) -> str:
-    reads = _weighted(spark, d).where(F.col("seq").rlike(f"\\A[{_PLAIN}]+\\z"))
-    path = _folder(spark)
-    writers.write_reads(reads, path, kind)
-    return path
+def _drop_all() -> None:
+    for spark, path in _written:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session may have ended already
+            return
+
 
+def _plain(spark: SparkSession, d: str) -> DataFrame:
+    """Reads as the text formats can hold them: line ends and the signs that begin records become full stops."""
+    return _weighted(spark, d).withColumn("seq", F.regexp_replace("seq", r"[\s>@+]", "."))
 
-def _written_text(spark: SparkSession, lines: list[str]) -> str:
+
+def _written_reads(spark: SparkSession, d: str, kind: str) -> str:
     path = _folder(spark)
-    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    writers.write_reads(_plain(spark, d), path, kind)
     return path
 
 
 def _written_set(spark: SparkSession, d: str) -> KmerSet:
     path = _folder(spark)
-    _set(spark, d, None).write(path, 5)
+    _set(spark, d, None).write(path, 4)
     return KmerSet.read(spark, path, 2, 100)
 
 
-def _written_runs(spark: SparkSession) -> DataFrame:
-    path, runs = _folder(spark), _runs(spark)
-    writers.append_csv(runs.where("tool = 'a'"), path)
-    writers.append_csv(runs.where("tool = 'b'"), path)
-    return readers.decimal_comma_csv(spark, path, "tool string, n int, t long, k int, rep int, user_s double, cpu_pct double, max_rss_kb long")
+_RUN_COLUMNS = "tool string, n int, t long, k int, rep int, user_s double, cpu_pct double, max_rss_kb long"
+
+
+def _written_runs(spark: SparkSession, d: str) -> DataFrame:
+    path, runs = _folder(spark), _runs(spark, d)
+    writers.append_csv(runs.where("tool = 'A'"), path)
+    writers.append_csv(runs.where("tool <> 'A'"), path)
+    return readers.decimal_comma_csv(spark, path, _RUN_COLUMNS)
+
+
+#: What the time command prints, as far as it matters: a name and a number a line, in this order; the numbers come of a nation's key.
+_LOG = [("User time (seconds)", "{k} * 0.25"), ("System time (seconds)", "0.5"), ("Percent of CPU this job got", "concat({k} + 90, '%')"), ("Elapsed (wall clock) time (h:mm:ss or m:ss)", "concat('0:', {k} + 10, '.77')"), ("Average shared text size (kbytes)", "0"), ("Average unshared data size (kbytes)", "0"), ("Average stack size (kbytes)", "0"), ("Average total size (kbytes)", "0"), ("Maximum resident set size (kbytes)", "{k} * 1000 + 4096"), ("Page size (bytes)", "4096")]
 
 
-#: What the time command prints, as far as it matters: numbers in this order.
-_LOG = ["User time (seconds): 1.25", "System time (seconds): 0.50", "Percent of CPU this job got: 99%", "Elapsed (wall clock) time (h:mm:ss or m:ss): 0:01.77", "Average shared text size (kbytes): 0", "Average unshared data size (kbytes): 0", "Average stack size (kbytes): 0", "Average total size (kbytes): 0", "Maximum resident set size (kbytes): 4096", "Page size (bytes): 4096"]
+def _logs(spark: SparkSession, d: str) -> DataFrame:
+    """A log for each nation, written as a file of its own."""
+    path, lines = _folder(spark), ", ".join(f"concat('{name}: ', {value.format(k='n_nationkey')})" for name, value in _LOG)
+    logs = spark.read.parquet(f"{d}/nation.parquet").selectExpr("n_nationkey AS of", f"concat_ws('\n', {lines}) AS value")
+    logs.write.partitionBy("of").text(path)
+    return readers.resource_log(spark, f"{path}/*")
 
 
-def _modes() -> list[tuple[str, float, float, bool]]:
+_MODES = "CASE {0} % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'trim' ELSE 'mask' END"
+
+
+def _modes(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the modes and thresholds that documents ask for go together; each combination is checked once."""
+    asked = spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", f"{_MODES.format('doc_id')} AS mode", "CAST(IF(doc_id % 2 = 0, 2, 0.25) AS DOUBLE) AS least", "CAST(IF(doc_id % 2 = 0, 10, 0.5) AS DOUBLE) AS most")
+
     def fits(mode: str, least: float, most: float) -> bool:
         try:
-            R.check_mode(mode, least, most)
+            R.check_mode(mode, *(int(x) if x == int(x) else x for x in (least, most)))
         except ValueError:
             return False
         return True
 
-    return [(m, float(lo), float(hi), fits(m, lo, hi)) for m in ("normal", "trim", "mask") for lo, hi in ((2, 10), (0.25, 0.5))]
+    rules = [(*r, fits(*r)) for r in asked.select("mode", "least", "most").distinct().collect()]  # six at most
+    return asked.join(F.broadcast(spark.createDataFrame(rules, "mode string, least double, most double, fits boolean")), ["mode", "least", "most"]).select("doc_id", "mode", "least", "most", "fits")
+
+
+def _generated(spark: SparkSession, d: str) -> DataFrame:
+    """As many random reads as there are documents."""
+    return readers.generated(spark, 80, spark.read.parquet(f"{d}/documents.parquet").count(), 0.4, None, 0.1)
 
 
 def _defined(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +232,7 @@ def _defined(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _value(rows: str) -> str:
-    return "(VALUES " + ", ".join(str(r) for r in RUNS) + ") r(tool, n, t, k, rep, user_s, cpu_pct, max_rss_kb) " + rows
+    return f"({_RUN_SQL.format('lineitem')}) r {rows}"
 
 
 def _sql_whole(sql: str) -> str:
@@ -270,7 +311,8 @@ def catalog() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
         "SELECT 'less', a.kmer, a.cnt - coalesce(b.cnt, 0) FROM a LEFT JOIN b USING (kmer) WHERE a.cnt > coalesce(b.cnt, 0)",
         "SELECT 'other', b.kmer, b.cnt FROM b LEFT JOIN a USING (kmer) WHERE a.cnt IS NULL AND b.cnt <= 3",
     ])
-    add("simple_outputs", lambda s, d: simple(*_both(s, d), outputs), one(simple_sql))
+    few = lambda s, d: (_set(s, d, True, 7), _set(s, d, False, 7))  # noqa: E731  of fewer k-mers, as all outputs together are many rows
+    add("simple_outputs", lambda s, d: simple(*few(s, d), outputs), f"WITH {_sets_sql(7)} {simple_sql}")
     expression_sql = "SELECT u.kmer, least(CASE WHEN b.cnt IS NULL THEN u.cnt ELSE u.cnt - b.cnt END, 255) AS cnt FROM (SELECT kmer, least(sum(cnt), 255)::BIGINT AS cnt FROM (SELECT * FROM a UNION ALL SELECT a.kmer, b.cnt FROM a JOIN b USING (kmer)) GROUP BY kmer) u LEFT JOIN b USING (kmer) WHERE b.cnt IS NULL OR u.cnt > b.cnt"
     add("expression", lambda s, d: (p := _both(s, d)) and evaluate("(a + sum a * right b) ~ b", {"a": p[0], "b": p[1]}).df, one(expression_sql))
     # reads
@@ -303,13 +345,13 @@ def catalog() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
     add("uncut_super_kmers", lambda s, d: segments.super_kmers(_reads(s, d), LONG_K, P), f"WITH {_CUT_SUPER} SELECT read_id, start, len, signature FROM super".replace(_SLICES, _UNCUT))
     add("uncut_signature_statistics", lambda s, d: segments.signature_statistics(_reads(s, d), LONG_K, P), uncut("signature_statistics"))
     # functions
-    add("base_probability", lambda s, d: s.range(0, 42).select(F.col("id").alias("q"), F.round(K.base_probability(F.char(F.col("id") + 33)), 12).alias("p")), "SELECT q, round(greatest(0.25, 1 - pow(10, -q / 10.0)), 12) AS p FROM range(0, 42) r(q)")
+    add("base_probability", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.round(K.base_probability(F.char(F.col("doc_id") % 42 + 33)), 12).alias("p")), "SELECT doc_id, round(greatest(0.25, 1 - pow(10, -(doc_id % 42) / 10.0)), 12) AS p FROM documents")
     # benchmark
-    add("benchmark_averages", lambda s, d: readers.averages(_runs(s)), "SELECT tool, n, t::BIGINT AS t, k, count(*) AS n_runs, avg(user_s)::DOUBLE AS avg_user_s, min(user_s)::DOUBLE AS min_user_s, max(user_s)::DOUBLE AS max_user_s, avg(cpu_pct)::DOUBLE AS avg_cpu_pct, min(cpu_pct)::DOUBLE AS min_cpu_pct, max(cpu_pct)::DOUBLE AS max_cpu_pct, avg(max_rss_kb)::DOUBLE AS avg_max_rss_kb, min(max_rss_kb)::BIGINT AS min_max_rss_kb, max(max_rss_kb)::BIGINT AS max_max_rss_kb FROM " + _value("GROUP BY tool, n, t, k"))
-    add("benchmark_side_by_side", lambda s, d: readers.side_by_side(_runs(s).where("tool = 'b'").select("n", "t", "k", "rep", "user_s")), "SELECT n, t::BIGINT AS t, k, max(CASE WHEN rep = 1 THEN user_s END)::DOUBLE AS user_s_1, max(CASE WHEN rep = 2 THEN user_s END)::DOUBLE AS user_s_2, max(CASE WHEN rep = 3 THEN user_s END)::DOUBLE AS user_s_3 FROM " + _value("WHERE tool = 'b' GROUP BY n, t, k"))
-    add("generated_reads", lambda s, d: readers.generated(s, 80, 1000, 0.4, None, 0.1).select("read_id", F.length("seq").cast("long").alias("n"), F.length(F.translate("seq", "ACGT", "")).cast("long").alias("foreign")), "SELECT i AS read_id, 80::BIGINT AS n, 0::BIGINT AS foreign FROM range(0, 1000) r(i)")
+    add("benchmark_averages", lambda s, d: readers.averages(_runs(s, d)), "SELECT tool, n, t::BIGINT AS t, k, count(*) AS n_runs, avg(user_s)::DOUBLE AS avg_user_s, min(user_s)::DOUBLE AS min_user_s, max(user_s)::DOUBLE AS max_user_s, avg(cpu_pct)::DOUBLE AS avg_cpu_pct, min(cpu_pct)::DOUBLE AS min_cpu_pct, max(cpu_pct)::DOUBLE AS max_cpu_pct, avg(max_rss_kb)::DOUBLE AS avg_max_rss_kb, min(max_rss_kb)::BIGINT AS min_max_rss_kb, max(max_rss_kb)::BIGINT AS max_max_rss_kb FROM " + _value("GROUP BY tool, n, t, k"))
+    add("benchmark_side_by_side", lambda s, d: readers.side_by_side(_runs(s, d).where("tool = 'N'").groupBy("n", "t", "k", "rep").agg(F.max("user_s").alias("user_s"))), "SELECT n, t::BIGINT AS t, k, max(CASE WHEN rep = 1 THEN user_s END)::DOUBLE AS user_s_1, max(CASE WHEN rep = 2 THEN user_s END)::DOUBLE AS user_s_2, max(CASE WHEN rep = 3 THEN user_s END)::DOUBLE AS user_s_3 FROM " + _value("WHERE tool = 'N' GROUP BY n, t, k"))
+    add("generated_reads", lambda s, d: _generated(s, d).select("read_id", F.length("seq").cast("long").alias("n"), F.length(F.translate("seq", "ACGT", "")).cast("long").alias("not_symbols")), "SELECT row_number() OVER () - 1 AS read_id, 80::BIGINT AS n, 0::BIGINT AS not_symbols FROM documents")
     # files, written and read again
-    plain = f"{_READS}, {_SLICES}, plain AS (SELECT CAST(read_id AS VARCHAR) AS header, seq, list_reduce(list_transform(range(1, length(seq) + 1), lambda i: chr(CAST(33 + (read_id * 31 + i * 7) % 41 AS INTEGER))), lambda x, y: x || y) AS qual FROM slices WHERE regexp_full_match(seq, '[{_PLAIN}]+'))"
+    plain = f"{_READS}, {_SLICES}, plain AS (SELECT CAST(read_id AS VARCHAR) AS header, regexp_replace(seq, '[\\s>@+]', '.', 'g') AS seq, list_reduce(list_transform(range(1, length(seq) + 1), lambda i: chr(CAST(33 + (read_id * 31 + i * 7) % 41 AS INTEGER))), lambda x, y: x || y) AS qual FROM slices)"
     add("fasta_file", lambda s, d: readers.fasta(s, _written_reads(s, d, "fasta")).select("header", "seq"), f"WITH {plain} SELECT header, seq FROM plain")
     add("fasta_file_one_line", lambda s, d: readers.fasta(s, _written_reads(s, d, "fasta"), multiline=False).select("header", "seq"), f"WITH {plain} SELECT header, seq FROM plain")
     add("fastq_file", lambda s, d: readers.fastq(s, _written_reads(s, d, "fastq")).select("header", "seq", "qual"), f"WITH {plain} SELECT header, seq, qual FROM plain")
@@ -317,14 +359,18 @@ def catalog() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
     add("line_file", lambda s, d: readers.line_reads(s, _written_reads(s, d, "fasta")).select("seq"), f"WITH {plain} SELECT seq FROM plain")
     add("written_set", lambda s, d: _written_set(s, d).df, _sql_whole(one("SELECT kmer, cnt FROM a WHERE cnt BETWEEN 2 AND 100")))
     add("definition_file", _defined, one("SELECT a.kmer, least(greatest(a.cnt, b.cnt), 20) AS cnt FROM a JOIN b USING (kmer) WHERE greatest(a.cnt, b.cnt) >= 2"))
-    add("resource_log", lambda s, d: readers.resource_log(s, _written_text(s, _LOG)).select("user_s", "cpu_pct", "wall", "max_rss_kb"), "SELECT 1.25::DOUBLE AS user_s, 99.0::DOUBLE AS cpu_pct, '0:01.77' AS wall, 4096::BIGINT AS max_rss_kb")
-    add("decimal_comma_csv", lambda s, d: _written_runs(s), "SELECT tool, n, t::BIGINT AS t, k, rep, user_s::DOUBLE AS user_s, cpu_pct::DOUBLE AS cpu_pct, max_rss_kb::BIGINT AS max_rss_kb FROM " + _value(""))
+    add("resource_log", lambda s, d: _logs(s, d).select("user_s", "cpu_pct", "wall", "max_rss_kb"), "SELECT n_nationkey * 0.25::DOUBLE AS user_s, (n_nationkey + 90)::DOUBLE AS cpu_pct, '0:' || (n_nationkey + 10) || '.77' AS wall, (n_nationkey * 1000 + 4096)::BIGINT AS max_rss_kb FROM nation")
+    add("decimal_comma_csv", lambda s, d: _written_runs(s, d), "SELECT tool, n, t::BIGINT AS t, k, rep, user_s::DOUBLE AS user_s, cpu_pct::DOUBLE AS cpu_pct, max_rss_kb::BIGINT AS max_rss_kb FROM " + _value(""))
     add("numbered_fasta", lambda s, d: writers.fasta_count_lines(en(s, d).df, numbered=True), one("SELECT '>' || row_number() OVER (ORDER BY kmer) || chr(10) || kmer AS value FROM a"))
     # small things
     add("packed_words", lambda s, d: count(s, d, 60).select("kmer", K.unpacked(K.packed_words("kmer", 60), 60).alias("back"), F.get(K.packed_words("kmer", 60), F.lit(1)).alias("second")), _counted(60, "SELECT kmer, kmer AS back, " + " + ".join(f"(instr('ACGT', substr(kmer, {i + 1}, 1)) - 1)::BIGINT * {4 ** (59 - i)}" for i in range(31, 60)) + " AS second FROM counts"))
-    add("contains", lambda s, d: s.createDataFrame([(x, _set(s, d, None).contains(x)) for x in ("AAAAAAAAAAA", "ACGTACGTACG", "CCCCCCCCCCC")], "kmer string, held boolean"), _sql_whole(one("SELECT x.kmer, a.kmer IS NOT NULL AS held FROM (VALUES ('AAAAAAAAAAA'), ('ACGTACGTACG'), ('CCCCCCCCCCC')) x(kmer) LEFT JOIN a USING (kmer)")))
-    add("mode_check", lambda s, d: s.createDataFrame(_modes(), "mode string, least double, most double, fits boolean"), "SELECT mode, least::DOUBLE AS least, most::DOUBLE AS most, mode = 'normal' OR least >= 1 AS fits FROM (VALUES ('normal'), ('trim'), ('mask')) m(mode), (VALUES (2, 10), (0.25, 0.5)) l(least, most)")
+    asked = lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.substring(F.regexp_replace(F.translate(F.lower("text"), readers.LETTERS, readers.SYMBOLS), "[^ACGT]", ""), 1, SET_K).alias("kmer"))
+    add("contains", lambda s, d: _set(s, d, None).lookup_all(asked(s, d)).select("doc_id", "kmer", "cnt", (F.col("cnt") > 0).alias("held")), _sql_whole(one(f"SELECT x.doc_id, x.kmer, coalesce(a.cnt, 0) AS cnt, a.kmer IS NOT NULL AS held FROM (SELECT read_id AS doc_id, substr(regexp_replace(seq, '[^ACGT]', '', 'g'), 1, {SET_K}) AS kmer FROM reads) x LEFT JOIN a USING (kmer)")))
+    add("mode_check", _modes, f"SELECT doc_id, mode, least, most, mode = 'normal' OR least >= 1 AS fits FROM (SELECT doc_id, {_MODES.format('doc_id')} AS mode, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0.25 END::DOUBLE AS least, CASE WHEN doc_id % 2 = 0 THEN 10 ELSE 0.5 END::DOUBLE AS most FROM documents)")
     norms = "list_min([" + ", ".join(f"least({_sql_norm(x)}, {_sql_norm(_RC.format(x))})" for x in (f"substr(kmer, {i + 1}, {P})" for i in range(SET_K - P + 1))) + "])"
     add("kmer_signature", lambda s, d: en(s, d).df.select("kmer", K.signature("kmer", P).alias("signature")), one(f"SELECT kmer, CAST({norms} AS BIGINT) AS signature FROM a"))
+    add("whole_kmer_signature", lambda s, d: _set(s, d, None).df.select("kmer", K.signature("kmer", P).alias("signature")), _sql_whole(q["kmer_signature"][1]))
+    add("whole_numbered_fasta", lambda s, d: writers.fasta_count_lines(_set(s, d, None).df, numbered=True), _sql_whole(q["numbered_fasta"][1]))
+    add("uncut_statistics_super_kmers", lambda s, d: counting.statistics(counting.count_all(_reads(s, d), LONG_K), _reads(s, d), 2, 50, segments.super_kmers(_reads(s, d), LONG_K, P)), f"WITH {_CUT_SUPER}, {_sql_counts(LONG_K)} SELECT count_if(cnt < 2)::BIGINT AS n_below_min, count_if(cnt > 50)::BIGINT AS n_above_max, count(*) AS n_unique, count_if(cnt BETWEEN 2 AND 50)::BIGINT AS n_unique_counted, coalesce(sum(cnt), 0)::BIGINT AS n_total, (SELECT count(*) FROM reads) AS n_reads, (SELECT count(*) FROM super) AS n_super_kmers FROM counts".replace(_SLICES, _UNCUT))
     add("statistics_super_kmers", lambda s, d: counting.statistics(counting.count_all(_slices(s, d), LONG_K), _slices(s, d), 2, 50, segments.super_kmers(_slices(s, d), LONG_K, P)), f"WITH {_CUT_SUPER}, {_sql_counts(LONG_K).replace('FROM reads', 'FROM slices')} SELECT count_if(cnt < 2)::BIGINT AS n_below_min, count_if(cnt > 50)::BIGINT AS n_above_max, count(*) AS n_unique, count_if(cnt BETWEEN 2 AND 50)::BIGINT AS n_unique_counted, coalesce(sum(cnt), 0)::BIGINT AS n_total, (SELECT count(*) FROM slices) AS n_reads, (SELECT count(*) FROM super) AS n_super_kmers FROM counts")
     return q

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .windows import WORD, word_sizes
+
 #: Symbol orders by which the lesser of a k-mer and its reverse complement may be chosen.
 ORDERS = {"ACGT": None, "ACTG": "ACTG", "CATG": "CATG"}
 #: P-mers that are no signature start with ACA, end in TGT or TT and any symbol, or hold AA after their first.
@@ -95,3 +99,28 @@ def register(spark: SparkSession) -> None:
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION revcomp(x STRING) RETURNS STRING RETURN {rc}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION canonical_kmer(x STRING) RETURNS STRING RETURN least(x, {rc})")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION packed_kmer(x STRING) RETURNS BIGINT RETURN CAST(conv(translate(x, 'ACGT', '0123'), 4, 10) AS BIGINT)")
+
+
+def word_names(k: int) -> list[str]:
+    """The columns of a packed k-mer: longs of 31 symbols each, the last one of what is left."""
+    return [f"w{i}" for i in range(len(word_sizes(k)))]
+
+
+def packed_columns(kmer: str | Column, k: int) -> list[Column]:
+    """The words of a k-mer given as text, under their names."""
+    return [packed(F.substring(_col(kmer), 1 + WORD * i, m)).alias(n) for i, (n, m) in enumerate(zip(word_names(k), word_sizes(k)))]
+
+
+def _quads(n: int) -> Column:
+    """All runs of n symbols, in order."""
+    return F.lit(["".join(x) for x in product("ACGT", repeat=n)])
+
+
+def spelled(k: int) -> Column:
+    """The text of the packed k-mer in a row's columns, four symbols at a time from a table."""
+    parts = []
+    for name, m in zip(word_names(k), word_sizes(k)):
+        if m % 4:
+            parts.append(F.get(_quads(m % 4), F.shiftright(name, 2 * (m - m % 4)).cast("int")))
+        parts += [F.get(_quads(4), F.shiftright(name, 2 * at).bitwiseAND(255).cast("int")) for at in range(m - m % 4 - 4, -1, -4)]
+    return F.concat(*parts)

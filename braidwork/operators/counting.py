@@ -1,16 +1,25 @@
-"""K-mers of reads, and their counts."""
+"""K-mers of reads, and their counts. K-mers travel packed, two bits a symbol; text is made last."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import base_probability, clean, lesser
+from ..functions import windows as W
+from ..functions.kmers import spelled, word_names
+from . import bins
 
-#: Windows cut from one piece of a read. Taking a substring costs time in proportion to where it starts,
-#: so long reads are cut into pieces first, and each piece into its windows.
-PIECE = 128
 K_MAX = 256
+#: K-mers of so many symbols are counted where they are found.
+SMALL_K = 12
+#: Windows whose equal k-mers are put together before they leave a task.
+TALLY = 1 << 20
+#: A task that finds fewer repeats than one in so many windows no longer looks for them; the shuffle's own aggregate does.
+WORTH = 10
 
 
 def _check_k(k: int) -> None:
@@ -18,42 +27,78 @@ def _check_k(k: int) -> None:
         raise ValueError(f"k is 1 to {K_MAX}")
 
 
-def _pieces(df: DataFrame, keep: list[str], run: Column, k: int) -> DataFrame:
-    """``keep``, ``piece`` and ``piece_at``: pieces of PIECE windows that overlap by k - 1, at 0, PIECE, ..."""
-    whole = df.select(*keep, run.alias("_run")).where(F.length("_run") >= k)
-    starts = F.explode(F.sequence(F.lit(0), F.length("_run") - k, F.lit(PIECE)))
-    cut = whole.select(*keep, "_run", starts.alias("piece_at"))
-    return cut.select(*keep, "piece_at", F.substr("_run", F.col("piece_at") + 1, F.lit(PIECE + k - 1)).alias("piece"))
+def schema_of(k: int, rest: str) -> str:
+    return ", ".join([*(f"{w} long" for w in word_names(k)), rest])
+
+
+def as_batch(words: list[np.ndarray], rest: dict[str, pa.Array]) -> pa.RecordBatch:
+    names = [f"w{i}" for i in range(len(words))]
+    return pa.RecordBatch.from_arrays([*(pa.array(w.view(np.int64)) for w in words), *rest.values()], names=[*names, *rest])
+
+
+def tallies(found: Iterator[tuple[list[np.ndarray], np.ndarray | None]], out: str, most: int = TALLY) -> Iterator[pa.RecordBatch]:
+    """Batches of k-mers and their weights (None: 1 each), equal ones of about ``most`` windows put together while that pays."""
+    held: list[tuple[list[np.ndarray], np.ndarray | None]] = []
+    size, worth = 0, True
 
+    def made() -> pa.RecordBatch:
+        nonlocal worth
+        words = [np.concatenate(w) for w in zip(*(h[0] for h in held))] if len(held) > 1 else held[0][0]
+        weight = None if held[0][1] is None else np.concatenate([h[1] for h in held])
+        n = len(words[0])
+        if worth:
+            words, weight = W.tallied(words, weight)
+            worth = len(words[0]) < n - n // WORTH
+        return as_batch(words, {out: pa.array(np.ones(n, dtype=np.int64) if weight is None else weight)})
 
-def _windows_of_piece(pieces: DataFrame, keep: list[str], k: int, both_strands: bool, order: str) -> DataFrame:
-    """``keep``, ``pos`` (in the run) and ``kmer``. The reverse complement is taken once for a piece, not for each window."""
-    back = F.reverse(F.translate("piece", "ACGT", "TGCA"))
-    turned = pieces.select(*keep, "piece_at", "piece", *([back.alias("back")] if both_strands else []))
-    size = F.length("piece")
-    opened = turned.select("*", F.explode(F.sequence(F.lit(1), size - k + 1)).alias("i"))
-    forward = F.substr("piece", F.col("i"), F.lit(k))
-    kmer = lesser(forward, F.substr("back", size - F.col("i") - k + 2, F.lit(k)), order) if both_strands else forward
-    return opened.select(*keep, (F.col("piece_at") + F.col("i") - 1).alias("pos"), kmer.alias("kmer"))
+    for words, weight in found:
+        if not len(words[0]):
+            continue
+        held.append((words, weight))
+        size += len(words[0])
+        if size >= most:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
 
 
-def kmers(reads: DataFrame, k: int, both_strands: bool = True, order: str = "ACGT", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` and ``kmer`` of each window of k symbols; windows over anything else are left out."""
+def packed_kmers(reads: DataFrame, k: int, both_strands: bool = True, order: str = "ACGT") -> DataFrame:
+    """Packed k-mers with ``n``: how many of a task's windows hold it. A k-mer may have several rows; windows over anything else than symbols have none."""
     _check_k(k)
-    runs = reads.select(*keep, F.explode(F.split(clean("seq"), "[^ACGT]+")).alias("run"))
-    return _windows_of_piece(_pieces(runs, list(keep), F.col("run"), k), list(keep), k, both_strands, order).select(*keep, "kmer")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[list[np.ndarray], None]]:
+            for b in batches:
+                for _, code in W.Reads(b.column(0)).blocks(k):
+                    at = W.sound(code, k)
+                    words = W.canonical_words(code, k, order)[0] if both_strands else W.forward(code, k)
+                    yield [w[at] for w in words], None
 
-def positioned_kmers(reads: DataFrame, k: int, both_strands: bool = True, order: str = "ACGT", keep: tuple[str, ...] = ("read_id",)) -> DataFrame:
-    """``keep``, ``pos`` from 0 and ``kmer`` of each window; null where it holds anything but symbols."""
+        yield from tallies(found(), "n")
+
+    return reads.select("seq").mapInArrow(run, schema_of(k, "n long"))
+
+
+def count_packed(reads: DataFrame, k: int, both_strands: bool = True, order: str = "ACGT") -> DataFrame:
+    """The words of every k-mer and ``cnt``, before any threshold.
+
+    There are few short k-mers, so each task counts them first and longs are shuffled. Longer ones travel in runs, by bins.
+    """
     _check_k(k)
-    all_ = _windows_of_piece(_pieces(reads.select(*keep, clean("seq").alias("run")), list(keep), F.col("run"), k), list(keep), k, both_strands, order)
-    return all_.select(*keep, "pos", F.when(~F.col("kmer").rlike("[^ACGT]"), F.col("kmer")).alias("kmer"))
+    if k > SMALL_K and order == "ACGT":
+        return bins.counted(reads, k, both_strands=both_strands)
+    return packed_kmers(reads, k, both_strands, order).groupBy(*word_names(k)).agg(F.sum("n").alias("cnt"))
+
+
+def in_text(counts: DataFrame, k: int) -> DataFrame:
+    """Packed counts as ``kmer, cnt``."""
+    return counts.select(spelled(k).alias("kmer"), "cnt")
 
 
 def count_all(reads: DataFrame, k: int, both_strands: bool = True, order: str = "ACGT") -> DataFrame:
-    """``kmer, cnt`` of every k-mer, before any threshold. One shuffle, of map-side counts."""
-    return kmers(reads, k, both_strands, order).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    """``kmer, cnt`` of every k-mer, before any threshold."""
+    return in_text(count_packed(reads, k, both_strands, order), k)
 
 
 def thresholds(counts: DataFrame, ci: int = 1, cx: int | None = None, cs: int | None = None) -> DataFrame:
@@ -62,22 +107,51 @@ def thresholds(counts: DataFrame, ci: int = 1, cx: int | None = None, cs: int |
     return kept if cs is None else kept.withColumn("cnt", F.least("cnt", F.lit(cs).cast("long")))
 
 
-def count_weighted(reads: DataFrame, k: int, both_strands: bool = True) -> DataFrame:
-    """``kmer, cnt`` (double): for each occurrence the probability that all of its bases are right, summed."""
+#: Of each quality symbol the probability that its base is right: a quarter at the least.
+_RIGHT = np.array([max(0.25, 1 - 10.0 ** (-(q - 33) / 10.0)) for q in range(128)])
+
+
+def weighted_packed(reads: DataFrame, k: int, both_strands: bool = True) -> DataFrame:
+    """Packed k-mers and ``cnt`` (double): for each occurrence the probability that all of its bases are right, summed.
+
+    A read whose quality is shorter than itself counts for nothing.
+    """
     _check_k(k)
-    bases = reads.select(clean("seq").alias("run"), F.col("qual"))
-    whole = bases.where((F.length("run") >= k) & (F.length("qual") >= F.length("run")))
-    cut = whole.select("run", "qual", F.explode(F.sequence(F.lit(0), F.length("run") - k, F.lit(PIECE))).alias("at"))
-    width = F.lit(PIECE + k - 1)
-    cut = cut.select(F.substr("run", F.col("at") + 1, width).alias("piece"), F.substr("qual", F.col("at") + 1, width).alias("q"))
-    cut = cut.select("piece", F.reverse(F.translate("piece", "ACGT", "TGCA")).alias("back"), F.transform(F.filter(F.split("q", ""), lambda x: x != ""), base_probability).alias("p"))
-    size = F.length("piece")
-    opened = cut.select("*", F.explode(F.sequence(F.lit(1), size - k + 1)).alias("i"))
-    forward = F.substr("piece", F.col("i"), F.lit(k))
-    kmer = F.least(forward, F.substr("back", size - F.col("i") - k + 2, F.lit(k))) if both_strands else forward
-    weight = F.aggregate(F.slice("p", F.col("i"), F.lit(k)), F.lit(1.0), lambda a, x: a * x)
-    made = opened.select(kmer.alias("kmer"), weight.alias("w")).where(~F.col("kmer").rlike("[^ACGT]"))
-    return made.groupBy("kmer").agg(F.sum("w").alias("cnt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+            for b in batches:
+                reads = W.Reads(b.column(0))
+                quality, ends = W.text_bytes(b.column(1))
+                enough = np.diff(ends) >= reads.sizes
+                # the quality of each place, in step with the symbols; 1 between reads
+                right = np.ones(len(reads.code))
+                for_read = np.repeat(np.arange(len(reads.sizes)), reads.sizes * enough)
+                step = np.arange(len(for_read)) - np.repeat(np.cumsum(reads.sizes * enough) - reads.sizes * enough, reads.sizes * enough)
+                right[reads.starts[for_read] + step] = _RIGHT[np.minimum(quality[ends[for_read] + step], 127)]
+                bad = reads.starts[~enough]
+                code = reads.code.copy() if len(bad) else reads.code
+                for at, size in zip(bad.tolist(), reads.sizes[~enough].tolist()):
+                    code[at : at + size] = W.FOREIGN
+                for at in range(0, len(code) - k + 1, W.BLOCK):
+                    part = code[at : at + W.BLOCK + k - 1]
+                    n = len(part) - k + 1
+                    product = np.ones(n)
+                    for i in range(k):
+                        product *= right[at + i : at + i + n]
+                    whole = W.sound(part, k)
+                    words = W.canonical_words(part, k)[0] if both_strands else W.forward(part, k)
+                    yield [w[whole] for w in words], product[whole]
+
+        yield from tallies(found(), "n")
+
+    made = reads.select("seq", "qual").mapInArrow(run, schema_of(k, "n double"))
+    return made.groupBy(*word_names(k)).agg(F.sum("n").alias("cnt"))
+
+
+def count_weighted(reads: DataFrame, k: int, both_strands: bool = True) -> DataFrame:
+    """``kmer, cnt`` of :func:`weighted_packed`."""
+    return in_text(weighted_packed(reads, k, both_strands), k)
 
 
 def statistics(counts: DataFrame, reads: DataFrame, ci: int = 2, cx: int = 1_000_000_000, super_kmers: DataFrame | None = None) -> DataFrame:

@@ -1,19 +1,120 @@
-"""Reads seen through a set of k-mers: counters of their windows, and filtering by them."""
+"""Reads seen through a set of k-mers: counters of their windows, and filtering by them.
+
+Reads are cut into pieces that overlap, and pieces are dealt out to buckets. A bucket asks for each of its distinct
+k-mers once, in one join with the set, and gets those that the set has. It then sums each piece up: its valid windows,
+its first bad one, its masked symbols. What pieces say of a read is put together by sums, minima and order.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .counting import positioned_kmers
+from ..functions import windows as W
+from .counting import as_batch, schema_of
 from .sets import KmerSet
 
+#: Symbols of a piece, and of all pieces of a bucket, about.
+PIECE, BUCKET = 1 << 16, 4_000_000
+
+
+def _cut(reads: DataFrame, k: int) -> DataFrame:
+    """``read_id, piece, lead, own, text``: pieces of PIECE symbols of their own after ``lead`` symbols of the one before, and with those that their last windows need.
+
+    A window is its first symbol's piece's. Those that begin in ``lead`` may reach into the piece.
+    """
 
-def _looked_up(reads: DataFrame, kmers: KmerSet) -> DataFrame:
-    """``read_id, pos, cnt`` of every window. Those that are no k-mer stay out of the join, where they would be one key."""
-    windows = positioned_kmers(reads, kmers.k, kmers.both_strands)
-    found = windows.where("kmer IS NOT NULL").join(kmers.df.select("kmer", "cnt"), "kmer", "left").select("read_id", "pos", F.coalesce("cnt", F.lit(0)).alias("cnt"))
-    return found.unionByName(windows.where("kmer IS NULL").select("read_id", "pos", F.lit(0).cast("long").alias("cnt")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, pieces, leads, owns, texts = [], [], [], [], []
+            for i, seq in enumerate(b.column(1).to_pylist()):
+                seq = seq or ""
+                for n, at in enumerate(range(0, max(len(seq), 1), PIECE)):
+                    begin = max(0, at - k + 1)
+                    ids.append(i)
+                    pieces.append(n)
+                    leads.append(at - begin)
+                    owns.append(min(PIECE, len(seq) - at))
+                    texts.append(seq[begin : at + PIECE + k - 1])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(pieces, pa.int32()), pa.array(leads, pa.int32()), pa.array(owns, pa.int32()), pa.array(texts, pa.string())], names=["read_id", "piece", "lead", "own", "text"])
+
+    return reads.select("read_id", "seq").mapInArrow(run, "read_id long, piece int, lead int, own int, text string")
+
+
+def _distinct(code: np.ndarray, k: int, both: bool) -> list[np.ndarray]:
+    held = []
+    for at in range(0, len(code) - k + 1, W.BLOCK):
+        part = code[at : at + W.BLOCK + k - 1]
+        words = W.canonical_words(part, k)[0] if both else W.forward(part, k)
+        sound = W.sound(part, k)
+        held.append(W.tallied([w[sound] for w in words])[0])
+    return W.tallied([np.concatenate(w) for w in zip(*held)])[0] if held else [np.zeros(0, dtype=np.uint64) for _ in W.word_sizes(k)]
+
+
+def _found(code: np.ndarray, k: int, both: bool, known: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """The counter of the window at each place; 0 where it is no k-mer or is not known."""
+    out = np.zeros(max(0, len(code) - k + 1), dtype=counts.dtype)
+    if not len(counts):
+        return out
+    key = W.mixed(known)
+    order = np.argsort(key)
+    key, known, counts = key[order], [w[order] for w in known], counts[order]
+    most = int(np.unique(key, return_counts=True)[1].max())  # k-mers that share a hash
+    for at in range(0, len(out), W.BLOCK):
+        part = code[at : at + W.BLOCK + k - 1]
+        words = W.canonical_words(part, k)[0] if both else W.forward(part, k)
+        sound = W.sound(part, k)
+        words = [w[sound] for w in words]
+        first = np.searchsorted(key, W.mixed(words))
+        for step in range(most):
+            there = np.minimum(first + step, len(key) - 1)
+            same = np.ones(len(sound), dtype=bool)
+            for w, x in zip(words, known):
+                same &= x[there] == w
+            out[at + sound[same]] = counts[there[same]]
+    return out
+
+
+_Summary = Callable[[W.Reads, np.ndarray, pa.Table], dict[str, pa.Array]]
+
+
+def _summed(reads: DataFrame, kmers: KmerSet, summary: _Summary, columns: str) -> tuple[DataFrame, bool]:
+    """``read_id, piece`` and what ``summary`` says of each piece, given its bucket's symbols and the counter at each place; and whether every read is one piece."""
+    k, both, words = kmers.k, kmers.both_strands, kmers.words
+    size = reads.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("all"), F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("most")).first()
+    buckets = max(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size.all // BUCKET))
+    dealt = _cut(reads, k).withColumn("bucket", F.pmod(F.xxhash64("read_id", "piece"), F.lit(buckets)).cast("int"))
+
+    def ask(group: pa.Table) -> pa.Table:
+        r = W.Reads(group["text"].combine_chunks())
+        wanted = _distinct(r.code, k, both)
+        return pa.Table.from_batches([as_batch(wanted, {"bucket": pa.array(np.full(len(wanted[0]), group["bucket"][0].as_py(), dtype=np.int32))})])
+
+    kind = "double" if kmers.weighted else "long"
+    asked = dealt.groupBy("bucket").applyInArrow(ask, schema_of(k, "bucket int"))
+    answers = asked.join(kmers.rows, words).select("bucket", *words, F.col("cnt").cast(kind).alias("cnt"))
+
+    def tell(group: pa.Table, found: pa.Table) -> pa.Table:
+        r = W.Reads(group["text"].combine_chunks() if group.num_rows else pa.array([], pa.string()))
+        known = [found[w].to_numpy().view(np.uint64) for w in words]
+        at = _found(r.code, k, both, known, found["cnt"].to_numpy())
+        return pa.table({"read_id": group["read_id"], "piece": group["piece"], **summary(r, at, group)})
+
+    made = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(tell, f"read_id long, piece int, {columns}")
+    return made, size.most <= PIECE
+
+
+def _own_windows(r: W.Reads, k: int, group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, pos in its read, place) of the windows that begin in each piece's own symbols."""
+    lead, own = group["lead"].to_numpy().astype(np.int64), group["own"].to_numpy().astype(np.int64)
+    n = np.maximum(np.minimum(own, r.sizes - lead - k + 1), 0)
+    piece = np.repeat(np.arange(len(n)), n)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return piece, group["piece"].to_numpy().astype(np.int64)[piece] * PIECE + step, r.starts[piece] + lead[piece] + step
 
 
 def counters(reads: DataFrame, kmers: KmerSet) -> DataFrame:
@@ -21,9 +122,30 @@ def counters(reads: DataFrame, kmers: KmerSet) -> DataFrame:
 
     A read shorter than k has none. Windows are looked up in canonical form if the set has both strands.
     """
-    lists = _looked_up(reads, kmers).groupBy("read_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cnt"))), lambda x: x["cnt"]).alias("counters"))
-    empty = F.array().cast("array<bigint>")
-    return reads.select("read_id").join(lists, "read_id", "left").select("read_id", F.coalesce("counters", empty).alias("counters"))
+    k = kmers.k
+
+    def summary(r: W.Reads, at: np.ndarray, group: pa.Table) -> dict[str, pa.Array]:
+        piece, _, place = _own_windows(r, k, group)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(piece, minlength=group.num_rows))]).astype(np.int32)
+        return {"counters": pa.ListArray.from_arrays(ends, pa.array(at[place]))}
+
+    made, whole = _summed(reads, kmers, summary, f"counters array<{'double' if kmers.weighted else 'long'}>")
+    if whole:
+        return made.select("read_id", "counters")
+    parts = F.array_sort(F.collect_list(F.struct("piece", "counters")))
+    return made.groupBy("read_id").agg(F.flatten(F.transform(parts, lambda x: x["counters"])).alias("counters"))
+
+
+def valid_windows(reads: DataFrame, kmers: KmerSet) -> DataFrame:
+    """``read_id, n_valid``: windows whose k-mer the set has."""
+    k = kmers.k
+
+    def summary(r: W.Reads, at: np.ndarray, group: pa.Table) -> dict[str, pa.Array]:
+        piece, _, place = _own_windows(r, k, group)
+        return {"n_valid": pa.array(np.bincount(piece[at[place] > 0], minlength=group.num_rows).astype(np.int64))}
+
+    made, whole = _summed(reads, kmers, summary, "n_valid long")
+    return made.select("read_id", "n_valid") if whole else made.groupBy("read_id").agg(F.sum("n_valid").alias("n_valid"))
 
 
 def filter_reads(reads: DataFrame, kmers: KmerSet, least: float = 2, most: float = 1_000_000_000) -> DataFrame:
@@ -36,9 +158,20 @@ def filter_reads(reads: DataFrame, kmers: KmerSet, least: float = 2, most: float
 
 def trim_reads(reads: DataFrame, kmers: KmerSet, least: int = 2) -> DataFrame:
     """Reads up to before the last symbol of their first window below ``least``; those that begin with one, or are shorter than k, go."""
-    bad = _looked_up(reads, kmers).where(F.col("cnt") < least).groupBy("read_id").agg(F.min("pos").alias("_bad"))
+    k = kmers.k
+
+    def summary(r: W.Reads, at: np.ndarray, group: pa.Table) -> dict[str, pa.Array]:
+        piece, pos, place = _own_windows(r, k, group)
+        bad = np.flatnonzero(at[place] < least)
+        which, first = np.unique(piece[bad], return_index=True)
+        out = np.full(group.num_rows, -1, dtype=np.int64)
+        out[which] = pos[bad[first]]
+        return {"bad": pa.array(out, mask=out < 0)}
+
+    made, whole = _summed(reads, kmers, summary, "bad long")
+    bad = made.select("read_id", F.col("bad").alias("_bad")) if whole else made.groupBy("read_id").agg(F.min("bad").alias("_bad"))
     length = F.when(F.col("_bad").isNull(), F.length("seq")).otherwise(kmers.k + F.col("_bad") - 1)
-    kept = reads.where(F.length("seq") >= kmers.k).join(bad, "read_id", "left").where("_bad IS NULL OR _bad > 0")
+    kept = reads.where(F.length("seq") >= kmers.k).join(bad, "read_id").where("_bad IS NULL OR _bad > 0")
     cut = lambda c: F.substr(c, F.lit(1), length.cast("int")).alias(c)
     return kept.select(*[cut(c) if c in ("seq", "qual") else c for c in reads.columns])
 
@@ -46,24 +179,36 @@ def trim_reads(reads: DataFrame, kmers: KmerSet, least: int = 2) -> DataFrame:
 def mask_reads(reads: DataFrame, kmers: KmerSet, least: int = 2) -> DataFrame:
     """All reads, with N for each symbol that a window below ``least`` covers."""
     k = kmers.k
-    bad = _looked_up(reads, kmers).where(F.col("cnt") < least).groupBy("read_id").agg(F.array_sort(F.collect_list("pos")).alias("_p"))
-    seen = reads.join(bad, "read_id", "left").withColumn("_p", F.coalesce("_p", F.array().cast("array<int>")))
-    # maximal covered runs [lo, hi)
-    seen = seen.withColumn("_lo", F.expr(f"filter(_p, (x, i) -> i = 0 OR _p[i - 1] + {k} < x)"))
-    seen = seen.withColumn("_hi", F.expr(f"transform(filter(_p, (x, i) -> i = size(_p) - 1 OR _p[i + 1] > x + {k}), x -> x + {k})"))
-    pieces = F.expr(
-        "transform(sequence(0, size(_lo)), i -> concat("
-        "substr(seq, IF(i = 0, 0, _hi[i - 1]) + 1, IF(i = size(_lo), length(seq), _lo[i]) - IF(i = 0, 0, _hi[i - 1])), "
-        "IF(i = size(_lo), '', repeat('N', CAST(_hi[i] - _lo[i] AS INT)))))"
-    )
-    return seen.select(*[F.array_join(pieces, "").alias("seq") if c == "seq" else c for c in reads.columns])
-
 
-def valid_windows(reads: DataFrame, kmers: KmerSet) -> DataFrame:
-    """``read_id, n_valid``. Only windows that the set has come out of the join; they are counted map-side."""
-    windows = positioned_kmers(reads, kmers.k, kmers.both_strands).where("kmer IS NOT NULL")
-    hits = windows.join(kmers.df.where("cnt > 0").select("kmer"), "kmer").groupBy("read_id").agg(F.count("*").alias("n_valid"))
-    return reads.select("read_id").join(hits, "read_id", "left").select("read_id", F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
+    def summary(r: W.Reads, at: np.ndarray, group: pa.Table) -> dict[str, pa.Array]:
+        # windows of all pieces, those that begin in what leads too
+        inside = np.zeros(len(r.code) + 1, dtype=bool)
+        n = np.maximum(r.sizes - k + 1, 0)
+        inside[np.repeat(r.starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = True
+        bad = np.flatnonzero(inside[: len(at)] & (at < least))
+        cover = np.zeros(len(r.code) + 1, dtype=np.int64)
+        cover[bad] += 1
+        np.subtract.at(cover, bad + k, 1)
+        covered = np.cumsum(cover) > 0
+        out = []
+        for text, start, lead, own in zip(group["text"].to_pylist(), r.starts.tolist(), group["lead"].to_pylist(), group["own"].to_pylist()):
+            hit, part = covered[start + lead : start + lead + own], text[lead : lead + own]
+            if hit.any():
+                if part.isascii():
+                    symbols = np.frombuffer(part.encode(), dtype=np.uint8).copy()
+                    symbols[hit] = ord("N")
+                    part = symbols.tobytes().decode()
+                else:
+                    part = "".join("N" if h else c for c, h in zip(part, hit))
+            out.append(part)
+        return {"masked": pa.array(out, pa.string())}
+
+    made, whole = _summed(reads, kmers, summary, "masked string")
+    if not whole:
+        parts = F.array_sort(F.collect_list(F.struct("piece", "masked")))
+        made = made.groupBy("read_id").agg(F.array_join(F.transform(parts, lambda x: x["masked"]), "").alias("masked"))
+    seen = reads.join(made.select("read_id", F.col("masked").alias("_masked")), "read_id")
+    return seen.select(*[F.when(F.col("seq").isNotNull(), F.col("_masked")).alias("seq") if c == "seq" else c for c in reads.columns])
 
 
 def check_mode(mode: str, least: float, most: float) -> None:
@@ -79,5 +224,3 @@ def filtered(reads: DataFrame, kmers: KmerSet, mode: str = "normal", least: floa
     if mode not in modes:
         raise ValueError(f"a mode is one of {', '.join(modes)}")
     return modes[mode]()
-
-

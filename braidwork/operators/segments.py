@@ -1,52 +1,78 @@
-"""Signatures along reads, and the runs of k-mers that share one."""
+"""Signatures along reads, and the runs of k-mers that share one. All of a read's are found in one go over it, without a shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kmers import clean, norm
-from .counting import _pieces, _windows_of_piece
+from ..functions import windows as W
+from ..functions.kmers import clean
+from . import bins
+from .counting import in_text
 
 #: Windows of a segment at most.
 MOST_WINDOWS = 256
 
 
-def read_signatures(reads: DataFrame, k: int, p: int) -> DataFrame:
-    """``read_id, run, pos, signature``: of each window of each run of symbols of a read; ``pos`` is in the read.
-
-    A p-mer's norm is taken once and the least over a window by a frame of rows, never by windows times p-mers.
-    """
+def _check(k: int, p: int) -> None:
     if not 5 <= p <= 11 or p > k:
         raise ValueError("p is 5 to 11, and at most k")
-    whole = reads.select("read_id", clean("seq").alias("seq"))
-    p_mers = _windows_of_piece(_pieces(whole, ["read_id"], F.col("seq"), p), ["read_id"], p, False, "ACGT")
-    # runs of p-mers without a foreign symbol
-    valid = p_mers.where(~F.col("kmer").rlike("[^ACGT]")).select("read_id", "pos", norm("kmer").alias("norm"))
-    by_pos = Window.partitionBy("read_id").orderBy("pos")
-    valid = valid.withColumn("run", F.col("pos") - F.row_number().over(by_pos))
-    frame = Window.partitionBy("read_id", "run").orderBy("pos").rowsBetween(0, k - p)
-    seen = valid.withColumn("signature", F.min("norm").over(frame)).withColumn("n", F.count("*").over(frame))
-    return seen.where(F.col("n") == k - p + 1).select("read_id", "run", "pos", "signature")
+
+
+def read_signatures(reads: DataFrame, k: int, p: int) -> DataFrame:
+    """``read_id, run, pos, signature``: of each window of each run of symbols of a read; ``pos`` is in the read, ``run`` is where the run's windows begin."""
+    _check(k, p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            reads, last, begun = W.Reads(b.column(1)), -2, 0
+            for at, code in reads.blocks(k):
+                place, signature = W.signatures(code, k, p)
+                if not len(place):
+                    continue
+                place = place + at
+                new = np.concatenate([[place[0] != last + 1], place[1:] != place[:-1] + 1])
+                first = np.maximum.accumulate(np.where(new, place, begun))
+                last, begun = int(place[-1]), int(first[-1])
+                read = reads.read_of(place)
+                home = reads.starts[read]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(read)), pa.array((first - home).astype(np.int32)), pa.array((place - home).astype(np.int32)), pa.array(signature)], names=["read_id", "run", "pos", "signature"])
+
+    return reads.select("read_id", "seq").mapInArrow(run, "read_id long, run int, pos int, signature long")
 
 
 def super_kmers(reads: DataFrame, k: int, p: int, capped: bool = True) -> DataFrame:
     """``read_id, start, len, signature``: maximal runs of windows with one signature, cut every 256 windows if ``capped``."""
-    by_pos = Window.partitionBy("read_id", "run").orderBy("pos")
-    marked = read_signatures(reads, k, p).withColumn("new", F.coalesce((F.col("signature") != F.lag("signature").over(by_pos)).cast("int"), F.lit(1)))
-    islands = marked.withColumn("island", F.sum("new").over(by_pos))
-    if capped:
-        place = F.row_number().over(Window.partitionBy("read_id", "run", "island").orderBy("pos"))
-        islands = islands.withColumn("part", F.floor((place - 1) / MOST_WINDOWS))
-    else:
-        islands = islands.withColumn("part", F.lit(0))
-    made = islands.groupBy("read_id", "run", "island", "part").agg(F.min("pos").alias("start"), (F.count("*") + k - 1).alias("len"), F.first("signature").alias("signature"))
-    return made.select("read_id", F.col("start").cast("int").alias("start"), F.col("len").cast("int").alias("len"), "signature")
+    _check(k, p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            reads = W.Reads(b.column(1))
+            for found in W.runs(reads, k, p):
+                place, n, signature = W.cut(*found, MOST_WINDOWS) if capped else found
+                read = reads.read_of(place)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(read)), pa.array((place - reads.starts[read]).astype(np.int32)), pa.array((n + k - 1).astype(np.int32)), pa.array(signature)], names=["read_id", "start", "len", "signature"])
+
+    return reads.select("read_id", "seq").mapInArrow(run, "read_id long, start int, len int, signature long")
 
 
 def signature_statistics(reads: DataFrame, k: int, p: int) -> DataFrame:
-    """``signature, n_kmers`` over all reads, not a sample of them."""
-    return super_kmers(reads, k, p, capped=False).groupBy("signature").agg(F.sum(F.col("len") - k + 1).cast("long").alias("n_kmers"))
+    """``signature, n_kmers`` over all reads, not a sample of them. Each task adds up its own first."""
+    _check(k, p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4**p + 1, dtype=np.int64)
+        for b in batches:
+            for _, n, signature in W.runs(W.Reads(b.column(0)), k, p):
+                np.add.at(total, signature, n)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["signature", "n"])
+
+    return reads.select("seq").mapInArrow(run, "signature long, n long").groupBy("signature").agg(F.sum("n").alias("n_kmers"))
 
 
 def super_kmer_sequences(reads: DataFrame, k: int, p: int) -> DataFrame:
@@ -56,11 +82,6 @@ def super_kmer_sequences(reads: DataFrame, k: int, p: int) -> DataFrame:
 
 
 def count_by_signature(reads: DataFrame, k: int, p: int, both_strands: bool = True) -> DataFrame:
-    """The same counts as a plain count, by way of super-k-mers dealt out by signature.
-
-    One shuffle of symbols, k - 1 of them extra for each super-k-mer, instead of one of k-mers. A k-mer
-    and its reverse complement have the same signature, so all of a k-mer's occurrences meet.
-    """
-    dealt = super_kmer_sequences(reads, k, p).repartition("signature")
-    pieces = _pieces(dealt, ["signature"], F.col("seq"), k)
-    return _windows_of_piece(pieces, ["signature"], k, both_strands, "ACGT").groupBy("signature", "kmer").agg(F.count("*").alias("cnt")).select("kmer", "cnt")
+    """The same counts as a plain count, by way of bins of signatures of about equal weight (:mod:`.bins`)."""
+    _check(k, p)
+    return in_text(bins.counted(reads, k, p, both_strands), k)

@@ -6,15 +6,13 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from ..operators.sets import COUNTER_RULES, KmerSet
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..operators.sets import COUNTER_RULES, KmerSet, Limits, combined, grouped, limits_of
 
 _TOKEN = re.compile(r"\s*(?:(?P<name>\w+)|(?P<sign>[-+~*()])|(?P<bad>\S))")
-_OPERATIONS: dict[str, Callable] = {
-    "+": lambda a, b, rule: a.union(b, rule or "sum"),
-    "-": lambda a, b, rule: a.kmers_subtract(b),
-    "~": lambda a, b, rule: a.counters_subtract(b, rule or "diff"),
-    "*": lambda a, b, rule: a.intersect(b, rule or "min"),
-}
+_OPERATIONS = {"+": "union", "-": "kmers_subtract", "~": "counters_subtract", "*": "intersect"}
 
 
 @dataclass(frozen=True)
@@ -28,9 +26,22 @@ class Node:
     name: str = ""
 
     def evaluate(self, sets: dict[str, KmerSet]) -> KmerSet:
+        """All sets are grouped by k-mer in one shuffle, their counters side by side; the tree is one expression of these, each node within its limits."""
         if not self.sign:
             return sets[self.name]
-        return _OPERATIONS[self.sign](self.left.evaluate(sets), self.right.evaluate(sets), self.rule)
+        used = {n: sets[n] for n in sorted(self.names())}
+        at = {n: F.col(f"_bw_{i}") for i, n in enumerate(used)}
+        count, limits = self._counter(used, at)
+        first = next(iter(used.values()))
+        rows = grouped({f"_bw_{i}": s for i, s in enumerate(used.values())}).select(*first.words, count.alias("cnt")).where("cnt IS NOT NULL")
+        return KmerSet(rows, first.k, any(s.both_strands for s in used.values()), limits.ci, limits.cx, limits.size)
+
+    def _counter(self, sets: dict[str, KmerSet], at: dict[str, Column]) -> tuple[Column, KmerSet | Limits]:
+        if not self.sign:
+            return at[self.name], sets[self.name]
+        (l, a), (r, b) = self.left._counter(sets, at), self.right._counter(sets, at)  # noqa: E741
+        limits = limits_of(a, b)
+        return limits.of(combined(_OPERATIONS[self.sign], self.rule, l, r)), limits
 
     def names(self) -> set[str]:
         return self.left.names() | self.right.names() if self.sign else {self.name}

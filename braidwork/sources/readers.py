@@ -186,6 +186,12 @@ def from_text(df: DataFrame, key: str = "doc_id", text: str = "text", extra: tup
     return df.select(F.col(key).alias("read_id"), F.lit(None).cast("string").alias("header"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"), *extra)
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """A table of fewer files than the session has cores, dealt out by a column, so that all of them work on it; one of more files as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), by) if len(df.inputFiles()) < cores else df
+
+
 def slices(reads: DataFrame, size: int = 100) -> DataFrame:
     """Reads cut into reads of ``size`` symbols; the last may be shorter. They are known by read and number."""
     cut = reads.where(F.length("seq") > 0).select("read_id", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / size).cast("int"))).alias("slice"))
@@ -212,7 +218,14 @@ def generated(spark: SparkSession, n: int, t: int, pa_: float | None = None, pc:
         u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id"), i), 11) * F.lit(2.0**-53)
         return F.when(u < bounds[0], "A").when(u < bounds[1], "C").when(u < bounds[2], "G").otherwise("T")
 
-    seq = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), at), "") if n > 0 else F.lit("")
+    def sixteen(i: int) -> Column:
+        """A hash's sixteen digits as symbols, each as likely as the others."""
+        return F.translate(F.lpad(F.hex(F.xxhash64(F.lit(seed), F.col("id"), F.lit(i))), 16, "0"), "0123456789ABCDEF", "ACGTACGTACGTACGT")
+
+    if n > 0 and all(p is None for p in given):
+        seq = F.substring(F.concat(*[sixteen(i) for i in range(-(-n // 16))]), 1, n)
+    else:
+        seq = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), at), "") if n > 0 else F.lit("")
     return spark.range(t).select(F.col("id").alias("read_id"), F.lit(None).cast("string").alias("header"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.counting import kmers, thresholds
+from ..functions.kmers import spelled, word_names
+from ..operators.counting import packed_kmers, thresholds
 
 
 def streamed_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -17,7 +18,7 @@ def streamed_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def count_stream(reads: DataFrame, k: int, both_strands: bool = True) -> DataFrame:
     """``kmer, cnt`` so far; only k-mers of new reads change."""
-    return kmers(reads, k, both_strands).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    return packed_kmers(reads, k, both_strands).groupBy(*word_names(k)).agg(F.sum("n").alias("cnt")).select(spelled(k).alias("kmer"), "cnt")
 
 
 def write_counts(counts: DataFrame, path: str, checkpoint: str, ci: int = 2, cx: int | None = None, cs: int | None = None) -> StreamingQuery:

@@ -104,7 +104,7 @@ def _sql_left(rule: str) -> str:
     return _sql_pair("left", f"CASE WHEN b.kmer IS NULL THEN a.cnt ELSE {_RULE[rule]} END")
 
 
-_SLICES = "slices AS (SELECT read_id * 100000 + s AS read_id, substr(seq, s * 100 + 1, 100) AS seq FROM (SELECT read_id, seq, unnest(range(0, (length(seq) - 1) // 100 + 1)) AS s FROM reads WHERE length(seq) > 0))"
+_SLICES = "slices AS (SELECT read_id * 2147483648 + s AS read_id, substr(seq, s * 100 + 1, 100) AS seq FROM (SELECT read_id, seq, unnest(range(0, (length(seq) - 1) // 100 + 1)) AS s FROM reads WHERE length(seq) > 0))"
 _KEPT = f"{_READS}, {_sql_counts(SLICE_K, 'c0', where=chr(39).join(['lang = ', 'en', '']))}, kept AS (SELECT kmer, least(cnt, 255) AS cnt FROM c0 WHERE cnt >= 2), {_SLICES}"
 _WINDOWS = f"""{_KEPT}, place AS (SELECT read_id, unnest(range(0, length(seq) - {SLICE_K} + 1)) AS pos, seq FROM slices WHERE length(seq) >= {SLICE_K}),
 w AS (SELECT read_id, pos, CASE WHEN regexp_matches(f, '[^ACGT]') THEN NULL ELSE {_sql_lesser("f")} END AS kmer FROM (SELECT read_id, pos, substr(seq, pos + 1, {SLICE_K}) AS f FROM place)),

@@ -192,11 +192,18 @@ def spread(df: DataFrame, by: str) -> DataFrame:
     return df.repartition(max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), by) if len(df.inputFiles()) < cores else df
 
 
+#: Slices that are first cut out together: taking a part of a text costs time in proportion to where it starts.
+_TOGETHER = 256
+
+
 def slices(reads: DataFrame, size: int = 100) -> DataFrame:
-    """Reads cut into reads of ``size`` symbols; the last may be shorter. They are known by read and number."""
-    cut = reads.where(F.length("seq") > 0).select("read_id", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / size).cast("int"))).alias("slice"))
-    part = F.substr("seq", F.col("slice") * size + 1, F.lit(size))
-    return cut.select((F.col("read_id") * 100_000 + F.col("slice")).alias("read_id"), F.lit(None).cast("string").alias("header"), part.alias("seq"), F.lit(None).cast("string").alias("qual"))
+    """Reads cut into reads of ``size`` symbols; the last may be shorter. A slice's read_id is its read's, moved up by 31 bits, and its number: no text has more."""
+    parts = lambda of, width: F.explode(F.sequence(F.lit(0), F.floor((F.length(of) - 1) / width).cast("int")))
+    wide = reads.where(F.length("seq") > 0).select("read_id", "seq", parts("seq", size * _TOGETHER).alias("part"))
+    wide = wide.select("read_id", "part", F.substr("seq", F.col("part") * (size * _TOGETHER) + 1, F.lit(size * _TOGETHER)).alias("seq"))
+    cut = wide.select("read_id", "part", "seq", parts("seq", size).alias("slice"))
+    name = F.shiftleft("read_id", 31) + F.col("part").cast("long") * _TOGETHER + F.col("slice")
+    return cut.select(name.alias("read_id"), F.lit(None).cast("string").alias("header"), F.substr("seq", F.col("slice") * size + 1, F.lit(size)).alias("seq"), F.lit(None).cast("string").alias("qual"))
 
 
 def generated(spark: SparkSession, n: int, t: int, pa_: float | None = None, pc: float | None = None, pg: float | None = None, pt: float | None = None, seed: int = 0) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -228,8 +229,8 @@ def test_top_k_few_and_large(spark):
 @pytest.mark.parametrize("small", [False, True])
 def test_embedding_dedup(spark, monkeypatch, small):
     if small:
-        monkeypatch.setattr(embed_dedup, "CELL_ROWS", 8)
-        monkeypatch.setattr(embed_dedup, "BLOCK_ROWS", 4)
+        for name, size in (("CELL_BYTES", 300), ("BLOCK_BYTES", 200), ("HELD_BYTES", 100), ("STRIP_ROWS", 2)):
+            monkeypatch.setattr(embed_dedup, name, size)
     rows, df = vectors(spark)
     usable = [v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v) and lab is not None for _, v, lab, _ in rows]
     n = len(rows)
@@ -252,8 +253,39 @@ def test_cells_lose_no_partner():
     x = draw.normal(size=(1500, 5))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     centres = embed_dedup.spherical_kmeans(x, 12)
-    home, row, cell = embed_dedup.cells(x, centres, 0.93)
-    at = {(i, c) for i, c in enumerate(home.tolist())} | set(zip(row.tolist(), cell.tolist()))
+    home, cosine = embed_dedup.nearest(x, centres)
+    least = np.array([cosine[home == c].min() if (home == c).any() else 1.0 for c in range(12)])
+    met = set(zip(*(v.tolist() for v in embed_dedup.meeting(centres, least, 0.93))))
     i, j = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
-    assert all((a, max(home[a], home[b])) in at and (b, max(home[a], home[b])) in at for a, b in zip(i.tolist(), j.tolist()))
-    assert len(row) < 6 * len(x)
+    assert all((min(a, b), max(a, b)) in met for a, b in zip(home[i].tolist(), home[j].tolist()))
+    far = np.eye(40)  # cells of one vector each, at right angles
+    assert len(embed_dedup.meeting(far, np.ones(40), 0.93)[0]) == 40
+
+
+def test_fit_of_many_centres_is_bounded(monkeypatch):
+    """What the products of vectors and centres take at a time does not grow with both."""
+    monkeypatch.setattr(embed_dedup, "HELD_BYTES", 1 << 20)
+    x = np.random.default_rng(2).normal(size=(8192, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    centres = embed_dedup.spherical_kmeans(x, 512, rounds=2)
+    home, _ = embed_dedup.nearest(x, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20 and (home == (x @ centres.T).argmax(axis=1)).mean() > 0.999
+
+
+def test_top_k_of_whole_numbers_beyond_doubles(spark):
+    """Scores between 2^52 and 2^63 are exact, and a tree finds them."""
+    draw = random.Random(4)
+    rows = [(i, [float(draw.randint(-(1 << 20), 1 << 20)) for _ in range(3)]) for i in range(400)]
+    rows += [(400, [float(1 << 30), 1.0, 0.0]), (401, [float(1 << 30), 1.0, 0.0]), (402, [1e300, -1e300, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, kdtree.top_k(df, F.col("vec_id") % 100 == 0).collect()))
+    whole = [(i, [int(np.floor(256 * c)) if abs(c) < 1e200 else int(256 * c) for c in v]) for i, v in rows]
+    want = []
+    for i, q in whole:
+        if i % 100 == 0:
+            best = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, p)))), j) for j, p in whole if j != i)[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)

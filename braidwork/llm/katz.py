@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import words as texts_of
 from .common import discard, materialize, release
-from .exchange import cuts, distinct, gathered, packed, part_of, parts_for, rising, risen, unpacked
+from .exchange import cuts, gathered, packed, part_of, parts_for, rising, risen, unpacked
 
 #: Words of the longest n-grams that are counted.
 ORDER = 3
@@ -20,7 +20,7 @@ ORDER = 3
 PARTITION_TOKENS, LEAST_PARTS = 1_000_000, 64
 #: Counts above this are not discounted.
 K = 5
-#: Stands for the end of a text in the vocabulary: no word hashes to it but by a 2^-64 chance.
+#: Stands for the end of a text in the vocabulary: no word hashes to it, and to a second half of zero, but by a 2^-128 chance.
 END = np.uint64(0xE0D0E0D0E0D0E0D0)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -28,30 +28,54 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 # Texts as numbers
 
 
+def _numbered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): where each distinct pair of halves is found, in order, and which one each pair is. Words mostly differ in the first half already."""
+    _, first, which = np.unique(a, return_index=True, return_inverse=True)
+    if (b[first][which] == b).all():
+        return first, which
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    which = np.empty(len(a), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def _dealt(a: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, order, back) of a vocabulary in order: by part and then as it is; ``back`` leads from its order to that."""
+    part = part_of(a, parts)
+    order = np.argsort(part, kind="stable")
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return part[order], order, back
+
+
 def local_tokens(documents: DataFrame, trains: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a chunk of documents: tokens by their place in the chunk's own vocabulary, and the counts of its training tokens."""
 
     most = texts_of.CHUNK_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, words, ends in texts_of.chunks(batches, 1, lower=True, most=most):
+        for b, words, ends in texts_of.chunks(batches, 1, lower=True, most=most, wide=True):
             size = np.diff(ends)
             stops = np.cumsum(size + 1)  # with one end a text
-            tokens = np.full(int(stops[-1]), END, dtype=np.uint64)
+            tokens = np.zeros((int(stops[-1]), 2), dtype=np.uint64)
+            tokens[stops - 1, 0] = END
             inner = np.ones(len(tokens), dtype=bool)
             inner[stops - 1] = False
             tokens[inner] = words
             train = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            vocabulary, ids = np.unique(tokens, return_inverse=True)
+            first, ids = _numbered(tokens[:, 0], tokens[:, 1])
+            vocabulary, second = tokens[first, 0], tokens[first, 1]
             counts = np.bincount(ids, weights=np.repeat(train, size + 1), minlength=len(vocabulary)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
                 pa.array([packed(ids.astype(np.uint32))], pa.binary()), pa.array([packed(size.astype(np.uint32) + 1)], pa.binary()), pa.array([packed(train)], pa.binary()),
-                pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([packed(vocabulary)], pa.binary()), pa.array([packed(counts.astype(np.uint32))], pa.binary()), pa.array([len(tokens)]), pa.array([len(vocabulary)]),
-            ], names=["tokens", "sizes", "train", "keys", "vocabulary", "counts", "n", "types"])
+                pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([packed(vocabulary)], pa.binary()), pa.array([second.tobytes()], pa.binary()), pa.array([packed(counts.astype(np.uint32))], pa.binary()), pa.array([len(tokens)]), pa.array([len(vocabulary)]),
+            ], names=["tokens", "sizes", "train", "keys", "vocabulary", "second", "counts", "n", "types"])
 
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(trains, F.lit(False)).alias("train"))
-    made = rows.mapInArrow(run, f"tokens binary, sizes binary, train binary, keys array<{kind}>, vocabulary binary, counts binary, n long, types long")
+    made = rows.mapInArrow(run, f"tokens binary, sizes binary, train binary, keys array<{kind}>, vocabulary binary, second binary, counts binary, n long, types long")
     return materialize(made.withColumn("chunk", F.monotonically_increasing_id()), "katz-local")
 
 
@@ -121,25 +145,25 @@ def encode(local: DataFrame) -> tuple[DataFrame, Words]:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                hashes, c = unpacked(b["vocabulary"][i].as_py(), "u8"), unpacked(b["counts"][i].as_py(), "u4")
-                part, key, _, which = distinct(hashes, parts)
-                dealt = np.empty_like(c)
-                dealt[which] = c
-                rows = [(p, rising(key[lo:hi]), packed(dealt[lo:hi])) for p, lo, hi in cuts(part)]
-                p, k, c = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), b["chunk"].take(pa.array([i] * len(p))), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["part", "chunk", "keys", "c"])
+                a, c = unpacked(b["vocabulary"][i].as_py(), "u8"), unpacked(b["counts"][i].as_py(), "u4")
+                part, order, _ = _dealt(a, parts)
+                a, c, second = a[order], c[order], np.frombuffer(b["second"][i].as_py(), dtype=np.uint64)[order]
+                rows = [(p, rising(a[lo:hi]), second[lo:hi].tobytes(), packed(c[lo:hi])) for p, lo, hi in cuts(part)]
+                p, k, s, c = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), b["chunk"].take(pa.array([i] * len(p))), *(pa.array(x, pa.binary()) for x in (k, s, c))], names=["part", "chunk", "keys", "seconds", "c"])
 
     def merge(t: pa.Table) -> pa.Table:
         keys = [risen(x) for x in t["keys"].to_pylist()]
         c = np.concatenate([unpacked(x, "u4") for x in t["c"].to_pylist()])
-        key, which = np.unique(np.concatenate(keys), return_inverse=True)
+        a, second = np.concatenate(keys), np.frombuffer(b"".join(t["seconds"].to_pylist()), dtype=np.uint64)
+        first, which = _numbered(a, second)
         count = np.bincount(which, weights=c).astype(np.int64)
         value, n = np.unique(count, return_counts=True)
-        ends = int(np.bincount(which, weights=c * 1.0)[np.flatnonzero(key == END)].sum())
+        ends = int(count[(a[first] == END) & (second[first] == 0)].sum())
         asked = [packed(x.astype(np.uint32)) for x in np.split(which, np.cumsum([len(k) for k in keys])[:-1])]
         return pa.table({"part": t["part"][:1], "chunks": pa.array([t["chunk"].to_pylist()], pa.list_(pa.int64())), "asked": pa.array([asked], pa.list_(pa.binary())), "counts": pa.array([packed(count)], pa.binary()), "value": pa.array([value.tolist()], pa.list_(pa.int64())), "types": pa.array([n.tolist()], pa.list_(pa.int64())), "ends": pa.array([ends])})
 
-    asked = local.select("chunk", "vocabulary", "counts").mapInArrow(ask, "part int, chunk long, keys binary, c binary")
+    asked = local.select("chunk", "vocabulary", "second", "counts").mapInArrow(ask, "part int, chunk long, keys binary, seconds binary, c binary")
     table = asked.groupBy("part").applyInArrow(merge, "part int, chunks array<long>, asked array<binary>, counts binary, value array<long>, types array<long>, ends long")
     table = materialize(table, "katz-types")
     per = table.select("part", F.inline(F.arrays_zip("value", "types"))).where("value > 0")
@@ -172,7 +196,7 @@ def encode(local: DataFrame) -> tuple[DataFrame, Words]:
     kind = local.schema["keys"].dataType.simpleString()
 
     def finish(chunk: pa.Table, got: pa.Table) -> pa.Table:
-        _, _, _, which = distinct(unpacked(chunk["vocabulary"][0].as_py(), "u8"), parts)
+        _, _, which = _dealt(unpacked(chunk["vocabulary"][0].as_py(), "u8"), parts)
         ids, rank = np.unique(gathered(got, "ids", "u8")[which], return_inverse=True)
         tokens = rank.astype(np.uint32)[unpacked(chunk["tokens"][0].as_py(), "u4")]
         return pa.table({"chunk": chunk["chunk"], "tokens": pa.array([packed(tokens)], pa.binary()), "ids": pa.array([rising(ids)], pa.binary()), "sizes": chunk["sizes"], "train": chunk["train"], "keys": chunk["keys"]})

@@ -39,8 +39,21 @@ def hashes(text: bytes | None, lower: bool = False) -> np.ndarray:
     return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, dtype=np.uint64), *found])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int, lower: bool = False, most: int = CHUNK_WORDS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows without their text, the hashes of all their words in a row, and where each row's begin (one more: the end).
+def wide_hashes(text: bytes | None, lower: bool = False) -> np.ndarray:
+    """Two columns, the halves of XXH3's 128 bits of each word of a text, which is split a piece at a time."""
+    found, at, n = [np.zeros((0, 2), dtype=np.uint64)], 0, len(text or b"")
+    while at < n:
+        cut = _WHITE.search(text, at + PIECE_BYTES) if at + PIECE_BYTES < n else None
+        end = cut.start() if cut else n
+        piece = text[at:end] if at or end < n else text
+        words = (piece.lower() if lower else piece).split()
+        found.append(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype=np.uint64).reshape(-1, 2))
+        at = end
+    return found[1] if len(found) == 2 else np.concatenate(found)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: int, lower: bool = False, most: int = CHUNK_WORDS, wide: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows without their text, the hashes of all their words in a row (``wide``: of 128 bits), and where each row's begin (one more: the end).
 
     A chunk goes on over batches until it has ``most`` words.
     """
@@ -58,7 +71,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int, lower: bool = False, mo
         rest = b.select([i for i in range(b.num_columns) if i != text])
         first = 0
         for at, t in enumerate(b.column(text).cast(pa.large_binary())):
-            words.append(hashes(t.as_py(), lower))
+            words.append((wide_hashes if wide else hashes)(t.as_py(), lower))
             held += len(words[-1])
             if held >= most:
                 rows.append(rest.slice(first, at + 1 - first))

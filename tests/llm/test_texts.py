@@ -410,3 +410,18 @@ def test_runs_that_meet_themselves():
         assert recompress._meets_itself(held, at, n) == expected
         seen[expected] += 1
     assert min(seen) > 100
+
+
+def test_words_of_one_64_bit_hash_are_two_words(spark):
+    """Two words with the same XXH64: the held-out one is not known."""
+    rows = [(0, "dxwtjawdkhf(+0=b q", "s"), (1, "toxicologyreport", "s"), (2, "q", "s")]
+    got = {r.key: r for r in katz.score_texts(docs(spark, rows), F.col("doc_id") != 0).collect()}
+    assert got[0].n_known == 2 and got[1].n_known == 2  # q and the end; the word and the end
+
+
+def test_words_that_share_half_a_hash(spark):
+    a, b = np.array([5, 5, 7, 5, 7], dtype=np.uint64), np.array([1, 2, 0, 1, 0], dtype=np.uint64)
+    first, which = katz._numbered(a, b)
+    assert list(zip(a[first].tolist(), b[first].tolist())) == [(5, 1), (5, 2), (7, 0)] and which.tolist() == [0, 1, 2, 0, 2]
+    first, which = katz._numbered(a, a)
+    assert a[first].tolist() == [5, 7] and which.tolist() == [0, 0, 1, 0, 1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 from itertools import groupby, islice
 
 import pyarrow as pa
@@ -15,12 +16,42 @@ LETTERS, SYMBOLS = "abcdefghijklmnopqrstuvwxyz \n", "ACGTACGTACGTACGTACGTACGTAC"
 
 
 def file_list(spark: SparkSession, paths: str | Iterable[str]) -> list[str]:
-    """Paths as they are given: several, several with commas between, or ``@`` and a file with one a line."""
+    """Paths as they are given: several, several with commas between, or a file with one a line: after ``@``, or one whose first line is no record but the path of a file.
+
+    Paths in a list may be given from the list's own folder.
+    """
     if not isinstance(paths, str):
         return list(paths)
-    if paths.startswith("@"):
-        return [r.value.strip() for r in spark.read.text(paths[1:]).collect() if r.value.strip()]
-    return [p for p in paths.split(",") if p]
+    named = [p for p in paths.removeprefix("@").split(",") if p]
+    if paths.startswith("@") or len(named) == 1 and (first := _first_lines(spark, named[0], 1)) and first[0][:1] not in (">", "@") and _beside(spark, named[0], first[0]):
+        return [_beside(spark, named[0], line.strip()) or line.strip() for line in (r.value for r in spark.read.text(named[0]).collect()) if line.strip()]
+    return named
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
+    """Of one file; none of a folder, a pattern or what is not there."""
+    fs, at = _file(spark, path)
+    if not fs.exists(at) or not fs.isFile(at):
+        return []
+    return [r.value for r in spark.read.text(path).limit(n).collect()]
+
+
+def _beside(spark: SparkSession, listed: str, name: str) -> str | None:
+    """A path that a list names, as it is or from the list's folder; none if neither is there."""
+    name = name.strip()
+    if not name or any(c in name for c in "*?{}[]"):
+        return None
+    for path in (name, f"{listed.rpartition('/')[0]}/{name}"):
+        with suppress(Exception):  # a line of some other text may be no path at all
+            fs, at = _file(spark, path)
+            if fs.exists(at):
+                return path
+    return None
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -59,15 +90,31 @@ def _in_batches(found: Iterable[tuple[str, str, str]], size: int = 4096) -> Iter
         yield _record_batch(made)
 
 
-def fastq(spark: SparkSession, paths: str | Iterable[str], multiline: bool = True) -> DataFrame:
+#: Lines of a FASTQ file that are looked at to tell how its records lie.
+_LOOKED_AT = 4000
+
+
+def _by_fours(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether the first file's first records have four lines each. Files that only a pattern names are taken to."""
+    lines = [line.rstrip("\r") for line in _first_lines(spark, paths[0], _LOOKED_AT) if line.strip("\r")] if paths else []
+    fours = [lines[i : i + 4] for i in range(0, len(lines) - 3, 4)]
+    whole = len(lines) >= _LOOKED_AT - 3 or len(lines) % 4 == 0
+    return whole and all(f[0].startswith("@") and f[2].startswith("+") and len(f[1].strip()) == len(f[3]) for f in fours)
+
+
+def fastq(spark: SparkSession, paths: str | Iterable[str], multiline: bool | None = None) -> DataFrame:
     """Reads of FASTQ files.
 
     ``multiline``: sequences and qualities may have several lines. A quality line may begin like a header,
     so only from a file's start is it sure what a line is: a file is one task and is held there whole,
-    2 GB at most. Else each record has four lines, which can be told apart from anywhere in a file, and
+    2 GB at most. Else (False) each record has four lines, which can be told apart from anywhere in a file, and
     files of any size split into many tasks; records that lie across splits are put together by file.
-    Lines that do not come in fours are an error then, but for blank ones between records.
+    Lines that do not come in fours are an error then, but for blank ones between records. Not said: as
+    the first file's first records are.
     """
+    if multiline is None:
+        paths = file_list(spark, paths)
+        multiline = not _by_fours(spark, paths)
     if not multiline:
         return _split_fastq(spark, file_list(spark, paths))
 

@@ -19,6 +19,7 @@ from .operators import counting, reads as R, segments
 from .operators.sets import COUNTER_RULES, KmerSet, Output, simple
 from .plans.expression import evaluate, parse_definition
 from .sources import readers, writers
+from .streaming.counting import count_stream, frequent_stream, latest, streamed_lines, write_changes, write_frequent
 
 LONG_K, SET_K, SLICE_K, P = 21, 11, 15, 7
 def _reads(spark: SparkSession, d: str) -> DataFrame:
@@ -165,12 +166,52 @@ def _plain(spark: SparkSession, d: str) -> DataFrame:
     return _weighted(spark, d).withColumn("seq", F.regexp_replace("seq", r"[\s>@+]", "."))
 
 
-def _written_reads(spark: SparkSession, d: str, kind: str) -> str:
+def _written_reads(spark: SparkSession, d: str, kind: str, **options: str) -> str:
     path = _folder(spark)
-    writers.write_reads(_plain(spark, d), path, kind)
+    writers.write_reads(_plain(spark, d), path, kind, **options)
     return path
 
 
+def _listed(spark: SparkSession, d: str) -> str:
+    """A list of the files of reads, itself a file."""
+    reads, path = _written_reads(spark, d, "fasta"), _folder(spark)
+    names = spark.read.text(reads).select(F.col("_metadata.file_path").alias("value")).distinct()
+    names.coalesce(1).write.text(path)  # a row a file
+    return spark.read.text(path).inputFiles()[0]
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    """K-mers of reads in files, each sent out once by a stream that goes over them a file at a time."""
+    reads, out, state = _written_reads(spark, d, "fasta"), _folder(spark), _folder(spark)
+    lines = streamed_lines(spark, reads, files=4)
+    write_frequent(frequent_stream(lines, 7), out, state).awaitTermination()
+    return spark.read.schema("kmer string, cnt long").parquet(out).select("kmer")
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    """Counts as a stream keeps them, which writes what each batch has changed."""
+    reads, out, state = _written_reads(spark, d, "fasta"), _folder(spark), _folder(spark)
+    write_changes(count_stream(streamed_lines(spark, reads, files=4), 7), out, state, ci=1).awaitTermination()
+    return latest(spark, out)
+
+
+def _stored_pair(spark: SparkSession, d: str) -> tuple[KmerSet, KmerSet]:
+    made = []
+    for kmers in _both(spark, d):
+        path = _folder(spark)
+        kmers.write(path, 8)
+        made.append(KmerSet.read(spark, path))
+    return made[0], made[1]
+
+
+def _by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """A set as a view, and the functions that SQL has of this package."""
+    K.register(spark)
+    name = f"kmers_{uuid.uuid4().hex}"
+    _set(spark, d, None).create_view(name)
+    return spark.sql(f"SELECT kmer, revcomp(kmer) AS rc, canonical_kmer(revcomp(kmer)) AS own, packed_kmer(kmer) AS packed FROM {name} WHERE cnt >= 2")
+
+
 def _written_set(spark: SparkSession, d: str) -> KmerSet:
     path = _folder(spark)
     _set(spark, d, None).write(path, 4)
@@ -357,6 +398,15 @@ def catalog() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
     add("fastq_file", lambda s, d: readers.fastq(s, _written_reads(s, d, "fastq")).select("header", "seq", "qual"), f"WITH {plain} SELECT header, seq, qual FROM plain")
     add("fastq_file_split", lambda s, d: readers.fastq(s, _written_reads(s, d, "fastq"), multiline=False).select("header", "seq", "qual"), f"WITH {plain} SELECT header, seq, qual FROM plain")
     add("line_file", lambda s, d: readers.line_reads(s, _written_reads(s, d, "fasta")).select("seq"), f"WITH {plain} SELECT seq FROM plain")
+    for codec in ("gzip", "bzip2"):
+        add(f"fasta_file_{codec}", lambda s, d, c=codec: readers.fasta(s, _written_reads(s, d, "fasta", compression=c)).select("header", "seq"), f"WITH {plain} SELECT header, seq FROM plain")
+    add("fasta_file_list", lambda s, d: readers.fasta(s, _listed(s, d)).select("header", "seq"), f"WITH {plain} SELECT header, seq FROM plain")
+    add("fastq_file_whole", lambda s, d: readers.fastq(s, _written_reads(s, d, "fastq"), multiline=True).select("header", "seq", "qual"), f"WITH {plain} SELECT header, seq, qual FROM plain")
+    of_plain = lambda select: f"WITH {plain}, {_sql_counts(7).replace('FROM reads', 'FROM plain')} {select}"
+    add("streamed_frequent", _streamed, of_plain("SELECT kmer FROM counts WHERE cnt >= 2"))
+    add("streamed_changes", _changes, of_plain("SELECT kmer, cnt FROM counts"))
+    add("sql_functions", _by_sql, _sql_whole(one(f"SELECT kmer, {_RC.format('kmer')} AS rc, kmer AS own, " + " + ".join(f"(instr('ACGT', substr(kmer, {i + 1}, 1)) - 1)::BIGINT * {4 ** (SET_K - 1 - i)}" for i in range(SET_K)) + " AS packed FROM a WHERE cnt >= 2")))
+    add("stored_intersect", lambda s, d: (p := _stored_pair(s, d))[0].intersect(p[1], "sum").df, one(_sql_pair("inner", _RULE["sum"])))
     add("written_set", lambda s, d: _written_set(s, d).df, _sql_whole(one("SELECT kmer, cnt FROM a WHERE cnt BETWEEN 2 AND 100")))
     add("definition_file", _defined, one("SELECT a.kmer, least(greatest(a.cnt, b.cnt), 20) AS cnt FROM a JOIN b USING (kmer) WHERE greatest(a.cnt, b.cnt) >= 2"))
     add("resource_log", lambda s, d: _logs(s, d).select("user_s", "cpu_pct", "wall", "max_rss_kb"), "SELECT n_nationkey * 0.25::DOUBLE AS user_s, (n_nationkey + 90)::DOUBLE AS cpu_pct, '0:' || (n_nationkey + 10) || '.77' AS wall, (n_nationkey * 1000 + 4096)::BIGINT AS max_rss_kb FROM nation")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.counting import thresholds
 
 
-def _write(lines: DataFrame, path: str, mode: str) -> None:
-    lines.write.mode(mode).text(path)
+def _write(lines: DataFrame, path: str, mode: str, compression: str = "none") -> None:
+    lines.write.mode(mode).option("compression", compression).text(path)
 
 
 def dump_lines(counts: DataFrame, ci: int = 1, cx: int | None = None, separator: str = "\t", weighted: bool = False, in_order: bool = False) -> DataFrame:
@@ -55,8 +55,9 @@ def read_lines(reads: DataFrame, kind: str = "fastq") -> DataFrame:
     return reads.select(F.concat(F.lit("@"), header, F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.coalesce(F.col("qual"), lost.cast("string"))).alias("value"))
 
 
-def write_reads(reads: DataFrame, path: str, kind: str = "fastq", mode: str = "errorifexists") -> None:
-    _write(read_lines(reads, kind), path, mode)
+def write_reads(reads: DataFrame, path: str, kind: str = "fastq", mode: str = "errorifexists", compression: str = "none") -> None:
+    """Text files; ``compression`` may be gzip or bzip2."""
+    _write(read_lines(reads, kind), path, mode, compression)
 
 
 def summary_json(statistics: DataFrame) -> DataFrame:

@@ -14,9 +14,10 @@ from ..functions.kmers import spelled, word_names
 from ..operators.counting import packed_kmers, schema_of, thresholds
 
 
-def streamed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of files that appear in a folder, a line each; headers are passed over."""
-    lines = spark.readStream.text(path).where("value <> '' AND NOT startswith(value, '>')")
+def streamed_lines(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Reads of files that appear in a folder, a line each; headers are passed over. A batch takes so many files at most (not said: all that are there)."""
+    source = spark.readStream if files is None else spark.readStream.option("maxFilesPerTrigger", files)
+    lines = source.text(path).where("value <> '' AND NOT startswith(value, '>')")
     return lines.select(F.lit(None).cast("long").alias("read_id"), F.rtrim("value").alias("seq"))
 
 

@@ -90,6 +90,20 @@ def discard(df: DataFrame) -> None:
         _written.remove((spark, path))
 
 
+def written() -> int:
+    """How many tables of :func:`materialize` there are; for :func:`discard_since`."""
+    return len(_written)
+
+
+def discard_since(mark: int, keep: DataFrame) -> None:
+    """Deletes the tables written since ``mark`` but for ``keep``, which nothing else of them is needed for."""
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()}
+    for spark, path in _written[mark:]:
+        if path.rpartition("/")[2] not in kept:
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

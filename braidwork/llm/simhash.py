@@ -232,7 +232,18 @@ def _split(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, shared: np.ndarray) ->
     return lo
 
 
-def near_duplicates(df: DataFrame, words: int | None = 4, bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+#: Copies of a fingerprint at most where the walk only looks for candidates.
+MOST_COPIES = 64
+
+
+def affordable(n: int, bits: int, copies: int) -> int:
+    """``bits``, or as many fewer as it takes for n fingerprints to go to ``copies`` groups each at most."""
+    while bits and math.comb(blocks_for(n, bits), bits) > copies:
+        bits -= 1
+    return bits
+
+
+def near_duplicates(df: DataFrame, words: int | None = 4, bits: int = 4, key: str = "doc_id", text: str = "text", copies: int | None = None) -> DataFrame:
     """``key, fp, component_id`` of each row: rows are linked where fingerprints differ in ``bits`` or fewer.
 
     A fingerprint is the SimHash of the lower-cased text's word shingles, repeats included, by
@@ -241,11 +252,13 @@ def near_duplicates(df: DataFrame, words: int | None = 4, bits: int = 4, key: st
     one row; the distinct ones are joined by the trie walk of :func:`links`, which unites rows as it
     goes and skips nodes already united, so a dense group costs no pair of its members a row.
     component_id is the least key reachable; null keys count as none (all null: null). Rows that
-    repeat are each returned. Empty input: no rows. Other columns do not matter.
+    repeat are each returned; very long texts are read whole. Empty input: no rows. Other columns do not matter.
+    ``copies``, for a search of candidates only: ``bits`` is lowered where a fingerprint would go to more groups.
     """
     prints = materialize(with_fingerprints(df, words, text, key), "simhash-fp")
     classes = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")), "simhash-classes")
-    found = materialize(links(classes.select("fp"), classes.count(), bits), "simhash-links")
+    n = classes.count()
+    found = materialize(links(classes.select("fp"), n, bits if copies is None else affordable(n, bits, copies)), "simhash-links")
     member = connected_components(found)
     rooted = classes.join(member, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-rooted")
@@ -499,7 +512,7 @@ def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int =
     Equal texts are a group; the least key stands for all. Texts are linked where the Jaccard similarity
     of their sets of word shingles, looked at exactly, is ``similarity`` or more. Candidates come
     on two ways. First each text that the trie walk connects with others, by SimHash of distinct words
-    within ``bits``, is looked at beside the first of those, one pair a text, which unites dense groups
+    within ``bits`` (fewer where that would copy fingerprints more than MOST_COPIES times), is looked at beside the first of those, one pair a text, which unites dense groups
     at little cost. Then, of texts not yet united, all that share a shingle of their prefixes
     (:func:`prefix_links`), so that no pair is missed.
 
@@ -519,7 +532,7 @@ def keep_one(df: DataFrame, words: int = 5, similarity: float = 0.8, bits: int =
         found = hashed.join(of, ["key", "h0", "h1"])
         return found.dropDuplicates([c for c in ("m", "root") if c in of.columns]) if repeated else found
 
-    groups = near_duplicates(rows.select(F.col("key").alias(key), F.col("text").alias(text)), None, bits, key, text)
+    groups = near_duplicates(rows.select(F.col("key").alias(key), F.col("text").alias(text)), None, bits, key, text, MOST_COPIES)
     groups = groups.select(F.col(key).alias("key"), F.col("component_id").alias("root")).distinct()
     reps = materialize(firsts.join(groups, "key"), "keep-reps")
     leaders = materialize(reps.groupBy("root").agg(F.min(F.struct("key", "m")).alias("l"), F.count("*").alias("n")).where("n > 1").select("root", F.col("l.m").alias("src")), "keep-leaders")

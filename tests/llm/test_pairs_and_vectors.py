@@ -289,3 +289,10 @@ def test_top_k_of_whole_numbers_beyond_doubles(spark):
             best = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q, p)))), j) for j, p in whole if j != i)[:5]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     assert got == sorted(want)
+
+
+def test_candidates_cost_few_copies():
+    assert simhash.affordable(10**5, 7, 64) == 7 and simhash.affordable(10**9, 7, 64) < 7
+    for n in (10, 10**6, 10**9, 10**12):
+        bits = simhash.affordable(n, 7, 64)
+        assert len(simhash._masks(simhash.blocks_for(n, bits), bits)) <= 64 and bits > 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,6 +82,17 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 5.0, bet
     return Model(kept.astype(np.int32), at(kept).astype(np.float32), float(at(np.array([BUCKETS]))[0]))
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The numbers that each binary value holds, where they lie."""
+    out = []
+    for chunk in column.chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            data = np.frombuffer(chunk.buffers()[2] or b"", dtype=np.uint8)
+            out += [data[a:b].view(np.int32) for a, b in zip(ends.tolist(), ends[1:].tolist())]
+    return out
+
+
 def fit(documents: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from at most TRAIN_ROWS of the labelled rows for which ``usable`` (of the key) holds.
 
@@ -99,9 +111,11 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, key: str = "doc
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["key", "y", "x"])
 
     def train(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("key", "ascending"), ("x", "ascending")])
-        model = fit_ftrl([np.frombuffer(x, dtype=np.int32) for x in group["x"].to_pylist()], group["y"].to_numpy())
-        del group
+        keys, rows = group["key"].to_pylist(), _views(group["x"])  # no copy is made of what is large
+        times = Counter(keys)
+        order = sorted(range(len(rows)), key=lambda i: (keys[i], rows[i].tobytes() if times[keys[i]] > 1 else b""))
+        model = fit_ftrl([rows[i] for i in order], group["y"].to_numpy()[order])
+        del group, rows
         release()
         return pa.table({"i": np.append(model.index, -1).astype(np.int32), "w": np.append(model.weight, model.bias).astype(np.float64)})
 

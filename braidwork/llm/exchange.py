@@ -1,24 +1,32 @@
 """Chunks of a corpus ask a table that lies in partitions: numbers go out sorted and packed, answers come back in order.
 
-A chunk sends a message to each partition that has any of its distinct keys. So messages are chunks
-times partitions at most, and never more than the keys; a key reaches its partition once from each chunk,
-however common it is.
+A chunk sends a message to each partition that has any of its distinct keys, and a key reaches its
+partition once from each chunk, however common it is. That makes chunks times partitions messages, which
+grow as the square of the corpus. So where partitions are many, a message goes to a region of them
+instead, as many regions as there are partitions in each. There the messages of a block of chunks become
+one to each partition, the keys they share once only, and what is answered to a block is dealt out to
+its chunks in the same place. Messages then grow as the power 1.5, and each stays hundreds of keys long.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import discard, materialize, release
 from .words import mix
 
 #: Partitions at least, and keys of all chunks that one of more should get, about.
 LEAST_PARTS, PART_KEYS = 64, 2_000_000
+#: Partitions up to which chunks write to them straight.
+STRAIGHT_PARTS = 512
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -74,35 +82,139 @@ def asked_of(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.n
     return part[order], key[order], times[order]
 
 
+def width_for(parts: int) -> int:
+    """Partitions of a region; 1: no regions."""
+    return 1 if parts <= STRAIGHT_PARTS else isqrt(parts)
+
+
+@dataclass(frozen=True)
+class Form:
+    """What a message holds: ``fields`` of bytes, for distinct keys of one or more columns and a number for each.
+
+    ``opened`` gives the keys' columns and the numbers of one message, ``shut`` is its inverse; ``distinct``
+    gives where each distinct key is found, in order, and which one each key is; ``part`` is the keys' partition.
+    """
+
+    fields: list[str]
+    opened: Callable[..., tuple[list[np.ndarray], np.ndarray]]
+    shut: Callable[[list[np.ndarray], np.ndarray], tuple[bytes, ...]]
+    distinct: Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]
+    part: Callable[[list[np.ndarray]], np.ndarray]
+
+    @property
+    def schema(self) -> str:
+        return "part int, chunk long, " + ", ".join(f"{f} binary" for f in self.fields)
+
+    def messages(self, chunk: int, region: np.ndarray, columns: list[np.ndarray], number: np.ndarray) -> pa.RecordBatch | None:
+        """One to each region, or to each partition; keys are given by it and then in order."""
+        sent = [(p, *self.shut([c[lo:hi] for c in columns], number[lo:hi])) for p, lo, hi in cuts(region)]
+        if not sent:
+            return None
+        p, *fields = zip(*sent)
+        return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array([chunk] * len(p), pa.int64()), *[pa.array(f, pa.binary()) for f in fields]], names=["part", "chunk", *self.fields])
+
+    def all(self, t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Keys and numbers of all messages one after another, and where each message ends."""
+        held = [self.opened(*row) for row in zip(*[t[f].to_pylist() for f in self.fields])]
+        columns = [np.concatenate(c) for c in zip(*[k for k, _ in held])]
+        return columns, np.concatenate([n for _, n in held]), np.cumsum([len(n) for _, n in held])
+
+    def met(self, t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(columns, numbers, part, which, ends): the distinct keys of all messages, by partition and then in order, their numbers summed up; which one each key is; where each message ends."""
+        columns, number, ends = self.all(t)
+        first, which = self.distinct(columns)
+        columns = [c[first] for c in columns]
+        part = self.part(columns)
+        order = np.argsort(part, kind="stable")
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        total = np.bincount(which, weights=number, minlength=len(first))
+        return [c[order] for c in columns], total[order], part[order], back[which], ends
+
+
+def _blocks(asked: DataFrame, width: int) -> DataFrame:
+    """With ``block``: as many blocks of chunks as a region has partitions, so that a block has about as many keys for a region as a partition has in all."""
+    return asked.withColumn("block", F.pmod(F.xxhash64("chunk"), F.lit(width)))
+
+
+def folded(asked: DataFrame, form: Form, width: int) -> DataFrame:
+    """From messages of chunks to regions, those of blocks to partitions; ``chunk`` is the block."""
+
+    def fold(t: pa.Table) -> pa.Table:
+        release()
+        columns, number, part, _, _ = form.met(t)
+        return pa.Table.from_batches([form.messages(t["block"][0].as_py(), part, columns, number)])
+
+    return _blocks(asked, width).groupBy("part", "block").applyInArrow(fold, form.schema)
+
+
+def unfolded(asked: DataFrame, answers: DataFrame, form: Form, width: int, read: Callable[[pa.Table], np.ndarray], write: Callable[[np.ndarray], tuple[bytes, ...]]) -> DataFrame:
+    """What was answered to blocks by partitions, as answers to chunks by regions, each in the order of the chunk's message.
+
+    ``read`` makes one array of all that a block was answered, by partition; ``write`` makes the fields of an answer.
+    """
+    fields = [c for c in answers.columns if c not in ("chunk", "part")]
+
+    def deal(t: pa.Table, got: pa.Table) -> pa.Table:
+        release()
+        _, _, _, which, ends = form.met(t)
+        made = zip(*[write(x) for x in np.split(read(got)[which], ends[:-1])])
+        return pa.table({"chunk": t["chunk"].combine_chunks(), "part": t["part"].combine_chunks(), **{f: pa.array(x, pa.binary()) for f, x in zip(fields, made)}})
+
+    back = answers.withColumnRenamed("chunk", "block").withColumn("region", F.expr(f"cast(part div {width} as int)"))
+    both = _blocks(asked, width).groupBy("part", "block").cogroup(back.groupBy("region", "block"))
+    return both.applyInArrow(deal, "chunk long, part int, " + ", ".join(f"{f} binary" for f in fields))
+
+
+def _name_form(parts: int) -> Form:
+    """Keys, and whether each occurs more than once."""
+
+    def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(columns[0], return_index=True, return_inverse=True)[1:]
+
+    return Form(
+        ["keys", "many"],
+        lambda keys, many: ([risen(keys)], 1.0 + unpacked(many, "u1")),
+        lambda columns, times: (rising(columns[0]), packed((times > 1).astype(np.uint8))),
+        distinct,
+        lambda columns: part_of(columns[0], parts),
+    )
+
+
 def names(rows: DataFrame, keys_of: Callable[[pa.RecordBatch, int], np.ndarray], parts: int, table: str) -> DataFrame:
-    """``chunk, part, names``: a number for each distinct key of each chunk, by part and in order, as :func:`distinct` has them.
+    """``chunk, part, names``: a number for each distinct key of each chunk, by part (or region) and in order, as :func:`distinct` has them.
 
     The same key gets the same number everywhere, from 1 on; one that occurs once in all gets 0.
     """
+    form, width = _name_form(parts), width_for(parts)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 part, key, times = asked_of(keys_of(b, i), parts)
-                sent = [(p, rising(key[lo:hi]), packed((times[lo:hi] > 1).astype(np.uint8))) for p, lo, hi in cuts(part)]
-                if sent:
-                    p, k, m = zip(*sent)
-                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), b["chunk"].take(pa.array([i] * len(p))), pa.array(k, pa.binary()), pa.array(m, pa.binary())], names=["part", "chunk", "keys", "many"])
+                if (sent := form.messages(b["chunk"][i].as_py(), part // width, [key], times)) is not None:
+                    yield sent
 
     def answer(t: pa.Table) -> pa.Table:
         release()
-        keys = [risen(x) for x in t["keys"].to_pylist()]
-        many = np.concatenate([unpacked(x, "u1") for x in t["many"].to_pylist()])
-        _, which = np.unique(np.concatenate(keys), return_inverse=True)
-        repeated = np.bincount(which, weights=1.0 + many) > 1
+        (keys,), many, ends = form.all(t)
+        _, which = np.unique(keys, return_inverse=True)
+        repeated = np.bincount(which, weights=many) > 1
         part = t["part"][0].as_py()
         number = np.where(repeated, np.cumsum(repeated) * parts - part, 0).astype(np.uint64)[which]
-        ends = np.cumsum([len(k) for k in keys])
         made = [packed(x) for x in np.split(number, ends[:-1])]
         return pa.table({"chunk": t["chunk"].combine_chunks(), "part": t["part"].combine_chunks(), "names": pa.array(made, pa.binary())})
 
-    asked = rows.mapInArrow(ask, "part int, chunk long, keys binary, many binary")
-    return materialize(asked.groupBy("part").applyInArrow(answer, "chunk long, part int, names binary"), table)
+    asked = rows.mapInArrow(ask, form.schema)
+    if width > 1:
+        asked = materialize(asked, f"{table}-asked")
+    met = asked if width == 1 else folded(asked, form, width)
+    answers = met.groupBy("part").applyInArrow(answer, "chunk long, part int, names binary")
+    if width == 1:
+        return materialize(answers, table)
+    answers = materialize(unfolded(asked, answers, form, width, lambda got: gathered(got, "names", "u8"), lambda x: (packed(x),)), table)
+    discard(asked)
+    return answers
 
 
 def gathered(answers: pa.Table, column: str, kind: str) -> np.ndarray:

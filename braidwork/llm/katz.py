@@ -7,12 +7,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as texts_of
 from .common import discard, materialize, release
-from .exchange import cuts, gathered, packed, part_of, parts_for, rising, risen, unpacked
+from .exchange import Form, folded, gathered, packed, part_of, parts_for, rising, risen, unfolded, unpacked, width_for
 
 #: Words of the longest n-grams that are counted.
 ORDER = 3
@@ -141,30 +142,35 @@ def encode(local: DataFrame) -> tuple[DataFrame, Words]:
     """
     total = local.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
     parts = parts_for(total)
+    width = width_for(parts)
+    form = Form(
+        ["keys", "seconds", "c"],
+        lambda keys, seconds, c: ([risen(keys), np.frombuffer(seconds, dtype=np.uint64)], unpacked(c, "u4")),
+        lambda columns, c: (rising(columns[0]), columns[1].tobytes(), packed(c.astype(np.uint32))),
+        lambda columns: _numbered(*columns),
+        lambda columns: part_of(columns[0], parts),
+    )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 a, c = unpacked(b["vocabulary"][i].as_py(), "u8"), unpacked(b["counts"][i].as_py(), "u4")
                 part, order, _ = _dealt(a, parts)
-                a, c, second = a[order], c[order], np.frombuffer(b["second"][i].as_py(), dtype=np.uint64)[order]
-                rows = [(p, rising(a[lo:hi]), second[lo:hi].tobytes(), packed(c[lo:hi])) for p, lo, hi in cuts(part)]
-                p, k, s, c = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), b["chunk"].take(pa.array([i] * len(p))), *(pa.array(x, pa.binary()) for x in (k, s, c))], names=["part", "chunk", "keys", "seconds", "c"])
+                yield form.messages(b["chunk"][i].as_py(), part // width, [a[order], np.frombuffer(b["second"][i].as_py(), dtype=np.uint64)[order]], c[order])
 
     def merge(t: pa.Table) -> pa.Table:
-        keys = [risen(x) for x in t["keys"].to_pylist()]
-        c = np.concatenate([unpacked(x, "u4") for x in t["c"].to_pylist()])
-        a, second = np.concatenate(keys), np.frombuffer(b"".join(t["seconds"].to_pylist()), dtype=np.uint64)
+        (a, second), c, sizes = form.all(t)
         first, which = _numbered(a, second)
         count = np.bincount(which, weights=c).astype(np.int64)
         value, n = np.unique(count, return_counts=True)
         ends = int(count[(a[first] == END) & (second[first] == 0)].sum())
-        asked = [packed(x.astype(np.uint32)) for x in np.split(which, np.cumsum([len(k) for k in keys])[:-1])]
+        asked = [packed(x.astype(np.uint32)) for x in np.split(which, sizes[:-1])]
         return pa.table({"part": t["part"][:1], "chunks": pa.array([t["chunk"].to_pylist()], pa.list_(pa.int64())), "asked": pa.array([asked], pa.list_(pa.binary())), "counts": pa.array([packed(count)], pa.binary()), "value": pa.array([value.tolist()], pa.list_(pa.int64())), "types": pa.array([n.tolist()], pa.list_(pa.int64())), "ends": pa.array([ends])})
 
-    asked = local.select("chunk", "vocabulary", "second", "counts").mapInArrow(ask, "part int, chunk long, keys binary, seconds binary, c binary")
-    table = asked.groupBy("part").applyInArrow(merge, "part int, chunks array<long>, asked array<binary>, counts binary, value array<long>, types array<long>, ends long")
+    asked = local.select("chunk", "vocabulary", "second", "counts").mapInArrow(ask, form.schema)
+    if width > 1:
+        asked = materialize(asked, "katz-asked-words")
+    table = (asked if width == 1 else folded(asked, form, width)).groupBy("part").applyInArrow(merge, "part int, chunks array<long>, asked array<binary>, counts binary, value array<long>, types array<long>, ends long")
     table = materialize(table, "katz-types")
     per = table.select("part", F.inline(F.arrays_zip("value", "types"))).where("value > 0")
     of = sorted(((r.value, r.n) for r in per.groupBy("value").agg(F.sum("types").alias("n")).collect()), reverse=True)  # at most sqrt(2 tokens) rows
@@ -191,8 +197,12 @@ def encode(local: DataFrame) -> tuple[DataFrame, Words]:
                     yield pa.RecordBatch.from_arrays([pa.array([chunk]), b["part"].slice(i, 1), pa.array([packed(ids[unpacked(want, "u4")])], pa.binary())], names=["chunk", "part", "ids"])
 
     answers = table.join(starts, "part", "left").select("part", "chunks", "asked", "counts", "before").mapInArrow(answer, "chunk long, part int, ids binary")
+    if width > 1:
+        answers = unfolded(asked, answers, form, width, lambda got: gathered(got, "ids", "u8"), lambda x: (packed(x),))
     answers = materialize(answers, "katz-ids")
     discard(table)
+    if width > 1:
+        discard(asked)
     kind = local.schema["keys"].dataType.simpleString()
 
     def finish(chunk: pa.Table, got: pa.Table) -> pa.Table:
@@ -225,6 +235,13 @@ def salts(words: Words, last: np.ndarray) -> np.ndarray:
     return 1 + words.count(last) // words.spread
 
 
+def _part(columns: list[np.ndarray], words: Words, parts: int) -> np.ndarray:
+    """Where n-grams are: with all others whose contexts end in the same word, or if that word is frequent, spread by token."""
+    last, token = columns[0], columns[-1]
+    spread = ((token.astype(np.uint64) * _SPREAD) >> np.uint64(33)).astype(np.int64) % salts(words, last)
+    return part_of((last.astype(np.uint64) << np.uint64(20)) + spread.astype(np.uint64), parts)
+
+
 def grams(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, words: Words, order: int, parts: int) -> Grams:
     ids = np.append(ids.astype(np.int64), words.types + 1)
     begin, n, v = len(ids) - 1, len(tokens), len(ids)
@@ -245,9 +262,7 @@ def grams(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, words: Words,
     _, first, inverse = np.unique(key[asks], return_index=True, return_inverse=True)
     first = np.flatnonzero(asks)[first]
     columns = [ids[c[first]] for c in columns]
-    last, token = columns[0], columns[-1]
-    spread = ((token.astype(np.uint64) * _SPREAD) >> np.uint64(33)).astype(np.int64) % salts(words, last)
-    part = part_of((last.astype(np.uint64) << np.uint64(20)) + spread.astype(np.uint64), parts)
+    part = _part(columns, words, parts)
     by_part = np.argsort(part.astype(np.int32), kind="stable")
     back = np.empty_like(by_part)
     back[by_part] = np.arange(len(by_part))
@@ -354,8 +369,19 @@ def _table(b: pa.RecordBatch | pa.Table, i: int, order: int) -> tuple[Table, lis
     return Table.of(columns, unpacked(b["r"][i].as_py(), "i8")), columns
 
 
-def fit(encoded: DataFrame, words: Words, order: int, total: int) -> tuple[DataFrame, list[np.ndarray]]:
-    """The table of n-grams, one row a partition, with what each chunk has asked it; and the discounts of each order.
+def _gram_form(told: Broadcast, order: int, parts: int) -> Form:
+    """N-grams with their counts in training; ``told`` has the unigram model."""
+    return Form(
+        [*[f"c{i}" for i in range(order)], "r"],
+        lambda c, *rest: ([risen(c).astype(np.int64), *[unpacked(x, "u8").astype(np.int64) for x in rest[:-1]]], unpacked(rest[-1], "u4")),
+        lambda columns, r: (*[packed(c.astype(np.uint64)) if j else rising(c) for j, c in enumerate(columns)], packed(r.astype(np.uint32))),
+        _sorted_rows,
+        lambda columns: _part(columns, told.value, parts),
+    )
+
+
+def fit(encoded: DataFrame, words: Words, order: int, total: int) -> tuple[DataFrame, list[np.ndarray], tuple[DataFrame, Form] | None]:
+    """The table of n-grams, one row a partition, with what each chunk (or block) has asked it; the discounts of each order; and where chunks have asked regions, what they have asked.
 
     All n-grams whose contexts end in one word are in one partition, so that each order is there
     with all lower ones down to pairs, and what they come down to are single words, whose ids tell
@@ -364,6 +390,7 @@ def fit(encoded: DataFrame, words: Words, order: int, total: int) -> tuple[DataF
     parts = max(LEAST_PARTS, -(-total // PARTITION_TOKENS))
     told = encoded.sparkSession.sparkContext.broadcast(words)
     names = [f"c{i}" for i in range(order)]
+    form, width = _gram_form(told, order, parts), width_for(parts)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -371,19 +398,15 @@ def fit(encoded: DataFrame, words: Words, order: int, total: int) -> tuple[DataF
                 tokens, ids, sizes, train = _chunk(b, i)
                 g = grams(tokens, ids, sizes, told.value, order, parts)
                 asks = g.which >= 0
-                r = np.bincount(g.which[asks], weights=np.repeat(train, sizes)[asks], minlength=len(g.part)).astype(np.uint32)
-                rows = [(p, *[rising(c[lo:hi]) if not j else packed(c[lo:hi].astype(np.uint64)) for j, c in enumerate(g.columns)], packed(r[lo:hi])) for p, lo, hi in cuts(g.part)]
-                if rows:
-                    p, *c, r = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), b["chunk"].take(pa.array([i] * len(p))), *[pa.array(x, pa.binary()) for x in (*c, r)]], names=["part", "chunk", *names, "r"])
+                r = np.bincount(g.which[asks], weights=np.repeat(train, sizes)[asks], minlength=len(g.part))
+                if (sent := form.messages(b["chunk"][i].as_py(), g.part // width, g.columns, r)) is not None:
+                    yield sent
 
     def merge(t: pa.Table) -> pa.Table:
         release()
-        columns = [np.concatenate([(unpacked(x, "u8") if j else risen(x)).astype(np.int64) for x in t[c].to_pylist()]) for j, c in enumerate(names)]
-        r = [unpacked(x, "u4") for x in t["r"].to_pylist()]
-        ends = np.cumsum([len(x) for x in r])
+        columns, r, ends = form.all(t)
         first, which = _sorted_rows(columns)
-        count = np.bincount(which, weights=np.concatenate(r), minlength=len(first)).astype(np.int64)
+        count = np.bincount(which, weights=r, minlength=len(first)).astype(np.int64)
         asked = [rising(x) for x in np.split(which, ends[:-1])]
         columns = [c[first] for c in columns]
         of = Table.of(columns, count).counts_of_counts()
@@ -392,11 +415,13 @@ def fit(encoded: DataFrame, words: Words, order: int, total: int) -> tuple[DataF
         return pa.table(made | {"r": pa.array([packed(count)], pa.binary()), "of": pa.array([of], pa.list_(pa.list_(pa.int64()))), "hot": pa.array([bool((salts(told.value, np.unique(columns[0])) > 1).any())])})
 
     binary = ", ".join(f"{c} binary" for c in (*names, "r"))
-    asked = encoded.select("chunk", "tokens", "ids", "sizes", "train").mapInArrow(ask, f"part int, chunk long, {binary}")
-    table = materialize(asked.groupBy("part").applyInArrow(merge, f"part int, chunks array<long>, asked array<binary>, {binary}, of array<array<long>>, hot boolean"), "katz-table")
+    asked = encoded.select("chunk", "tokens", "ids", "sizes", "train").mapInArrow(ask, form.schema)
+    if width > 1:
+        asked = materialize(asked, "katz-asked")
+    table = materialize((asked if width == 1 else folded(asked, form, width)).groupBy("part").applyInArrow(merge, f"part int, chunks array<long>, asked array<binary>, {binary}, of array<array<long>>, hot boolean"), "katz-table")
     of = table.select(F.posexplode("of").alias("level", "n")).groupBy("level").agg(*[F.sum(F.get("n", F.lit(r))).alias(f"n{r}") for r in range(K + 1)]).collect()  # a row an order
     by_level = {x.level: np.array([x[f"n{r}"] or 0 for r in range(K + 1)], dtype=np.float64) for x in of}
-    return table, [good_turing(by_level.get(level, np.zeros(K + 1))) for level in range(order - 1)]
+    return table, [good_turing(by_level.get(level, np.zeros(K + 1))) for level in range(order - 1)], (asked, form) if width > 1 else None
 
 
 def _known(t: pa.Table, order: int) -> dict[tuple, tuple]:
@@ -441,7 +466,20 @@ def _one_order(hot: DataFrame, known: DataFrame, told, level: int, order: int, s
     return some.select("part", *context).join(some.groupBy(*context).agg(*[F.sum(c).alias(c) for c in sums]), context).select(*some.columns)
 
 
-def score(encoded: DataFrame, table: DataFrame, words: Words, order: int, discounts: list[np.ndarray], total: int) -> DataFrame:
+def _few(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers of which few values occur, and often."""
+    value, which = np.unique(x, return_inverse=True)
+    return packed(value.view(np.uint64)), packed(which.astype(np.uint32))
+
+
+def _logs(got: pa.Table) -> np.ndarray:
+    """All that was answered, by partition."""
+    order = np.argsort(got["part"].to_numpy()) if got.num_rows else []
+    value, which = got["value"].to_pylist(), got["which"].to_pylist()
+    return np.concatenate([np.zeros(0), *[unpacked(value[i], "u8").view(np.float64)[unpacked(which[i], "u4")] for i in order]])
+
+
+def score(encoded: DataFrame, table: DataFrame, words: Words, order: int, discounts: list[np.ndarray], total: int, asked: tuple[DataFrame, Form] | None) -> DataFrame:
     """A row each text: ``key, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     parts = max(LEAST_PARTS, -(-total // PARTITION_TOKENS))
     told = encoded.sparkSession.sparkContext.broadcast((words, discounts))
@@ -451,10 +489,7 @@ def score(encoded: DataFrame, table: DataFrame, words: Words, order: int, discou
         w, d = told.value
         t, _ = _table(rows, i, order)
         log = np.log10(np.maximum(probabilities(t, w, d, known), 1e-300))
-        made = []
-        for asked in rows["asked"][i].as_py():  # few values occur, and often
-            value, which = np.unique(log[risen(asked).astype(np.int64)], return_inverse=True)
-            made.append((packed(value.view(np.uint64)), packed(which.astype(np.uint32))))
+        made = [_few(log[risen(x).astype(np.int64)]) for x in rows["asked"][i].as_py()]
         value, which = zip(*made)
         return pa.RecordBatch.from_arrays([pa.array(rows["chunks"][i].as_py(), pa.int64()), pa.array([rows["part"][i].as_py()] * len(made), pa.int32()), pa.array(value, pa.binary()), pa.array(which, pa.binary())], names=["chunk", "part", "value", "which"])
 
@@ -471,21 +506,23 @@ def score(encoded: DataFrame, table: DataFrame, words: Words, order: int, discou
     wanted = ["part", "chunks", "asked", *[f"c{i}" for i in range(order)], "r"]
     answers = table.where("NOT hot").select(*wanted).mapInArrow(alone, schema)
     answers = answers.unionByName(table.where("hot").select(*wanted).groupBy("part").cogroup(known.groupBy("part")).applyInArrow(together, schema))
+    if asked:
+        answers = unfolded(asked[0], answers, asked[1], width_for(parts), _logs, _few)
     answers = materialize(answers, "katz-answers")
     discard(table)
+    if asked:
+        discard(asked[0])
 
     def finish(chunk: pa.Table, got: pa.Table) -> pa.Table:
         release()
         w, _ = told.value
         tokens, ids, sizes, train = _chunk(chunk, 0)
         g = grams(tokens, ids, sizes, w, order, parts)
-        order_ = np.argsort(got["part"].to_numpy()) if got.num_rows else []
-        value, which = got["value"].to_pylist(), got["which"].to_pylist()
-        log = np.concatenate([np.zeros(0), *[unpacked(value[i], "u8").view(np.float64)[unpacked(which[i], "u4")] for i in order_]])
+        log = _logs(got)
         token = ids.astype(np.int64)[tokens]
         each = np.log10(w.probability(token))
-        asked = g.which >= 0
-        each[asked] = log[g.which[asked]]
+        asks = g.which >= 0
+        each[asks] = log[g.which[asks]]
         c = w.count(token)
         base = np.log10((c + 1) / (w.tokens + w.types + 1))
         text = np.repeat(np.arange(len(sizes)), sizes)
@@ -522,8 +559,8 @@ def score_texts(documents: DataFrame, trains: Column, key: str = "doc_id", text:
     total = local.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     encoded, words = encode(local)
     discard(local)
-    table, discounts = fit(encoded, words, order, total)
-    return score(encoded, table, words, order, discounts, total)
+    table, discounts, asked = fit(encoded, words, order, total)
+    return score(encoded, table, words, order, discounts, total, asked)
 
 
 def digest(documents: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from braidwork.llm import katz, line_dedup, mixing, packing, recompress, sharding, toxicity, words
+from braidwork.llm import exchange, katz, line_dedup, mixing, packing, recompress, sharding, toxicity, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -79,9 +79,10 @@ def repeats(rows, n=20):
     return want
 
 
-@pytest.mark.parametrize("chunk", [50, 500_000])
-def test_substring_dedup(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "straight"), [(50, 512), (500_000, 512), (50, 1)])
+def test_substring_dedup(spark, monkeypatch, chunk, straight):
     monkeypatch.setattr(words, "CHUNK_WORDS", chunk)
+    monkeypatch.setattr(exchange, "STRAIGHT_PARTS", straight)  # by regions and blocks
     monkeypatch.setattr(words, "PIECE_BYTES", 500)
     rows = awkward(random.Random(2))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in recompress.digest(docs(spark, rows)).collect()}
@@ -103,8 +104,9 @@ def test_substring_dedup_keys(spark):
     assert recompress.remove_repeats(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("order", [2, 3, 4])
-def test_katz_against_plain_python(spark, monkeypatch, order):
+@pytest.mark.parametrize(("order", "straight"), [(2, 512), (3, 512), (4, 512), (3, 1)])
+def test_katz_against_plain_python(spark, monkeypatch, order, straight):
+    monkeypatch.setattr(exchange, "STRAIGHT_PARTS", straight)  # by regions and blocks
     monkeypatch.setattr(words, "CHUNK_WORDS", 300)
     monkeypatch.setattr(katz, "LEAST_PARTS", 4)
     monkeypatch.setattr(katz, "PARTITION_TOKENS", 300)  # frequent words' contexts are spread

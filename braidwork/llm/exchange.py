@@ -115,9 +115,13 @@ class Form:
 
     def all(self, t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Keys and numbers of all messages one after another, and where each message ends."""
-        held = [self.opened(*row) for row in zip(*[t[f].to_pylist() for f in self.fields])]
-        columns = [np.concatenate(c) for c in zip(*[k for k, _ in held])]
-        return columns, np.concatenate([n for _, n in held]), np.cumsum([len(n) for _, n in held])
+        keys, numbers = zip(*(self.opened(*(x.as_py() for x in row)) for row in zip(*(t[f] for f in self.fields))))
+        held = [list(c) for c in zip(*keys)]
+        del keys
+        columns = []
+        while held:  # a column's pieces go when it is whole
+            columns.append(np.concatenate(held.pop(0)))
+        return columns, np.concatenate(numbers), np.cumsum([len(n) for n in numbers])
 
     def met(self, t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(columns, numbers, part, which, ends): the distinct keys of all messages, by partition and then in order, their numbers summed up; which one each key is; where each message ends."""

@@ -73,6 +73,7 @@ def local_tokens(documents: DataFrame, trains: Column, key: str = "doc_id", text
                 pa.array([packed(ids.astype(np.uint32))], pa.binary()), pa.array([packed(size.astype(np.uint32) + 1)], pa.binary()), pa.array([packed(train)], pa.binary()),
                 pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([packed(vocabulary)], pa.binary()), pa.array([second.tobytes()], pa.binary()), pa.array([packed(counts.astype(np.uint32))], pa.binary()), pa.array([len(tokens)]), pa.array([len(vocabulary)]),
             ], names=["tokens", "sizes", "train", "keys", "vocabulary", "second", "counts", "n", "types"])
+        release()
 
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(trains, F.lit(False)).alias("train"))
@@ -157,8 +158,10 @@ def encode(local: DataFrame) -> tuple[DataFrame, Words]:
                 a, c = unpacked(b["vocabulary"][i].as_py(), "u8"), unpacked(b["counts"][i].as_py(), "u4")
                 part, order, _ = _dealt(a, parts)
                 yield form.messages(b["chunk"][i].as_py(), part // width, [a[order], np.frombuffer(b["second"][i].as_py(), dtype=np.uint64)[order]], c[order])
+        release()
 
     def merge(t: pa.Table) -> pa.Table:
+        release()
         (a, second), c, sizes = form.all(t)
         first, which = _numbered(a, second)
         count = np.bincount(which, weights=c).astype(np.int64)
@@ -401,6 +404,8 @@ def fit(encoded: DataFrame, words: Words, order: int, total: int) -> tuple[DataF
                 r = np.bincount(g.which[asks], weights=np.repeat(train, sizes)[asks], minlength=len(g.part))
                 if (sent := form.messages(b["chunk"][i].as_py(), g.part // width, g.columns, r)) is not None:
                     yield sent
+                del tokens, ids, sizes, train, g, asks, r, sent
+        release()
 
     def merge(t: pa.Table) -> pa.Table:
         release()
@@ -410,6 +415,7 @@ def fit(encoded: DataFrame, words: Words, order: int, total: int) -> tuple[DataF
         asked = [rising(x) for x in np.split(which, ends[:-1])]
         columns = [c[first] for c in columns]
         of = Table.of(columns, count).counts_of_counts()
+        del which, r
         made = {"part": t["part"][:1], "chunks": pa.array([t["chunk"].to_pylist()], pa.list_(pa.int64())), "asked": pa.array([asked], pa.list_(pa.binary()))}
         made |= {c: pa.array([packed(x.astype(np.uint64)) if j else rising(x)], pa.binary()) for j, (c, x) in enumerate(zip(names, columns))}
         return pa.table(made | {"r": pa.array([packed(count)], pa.binary()), "of": pa.array([of], pa.list_(pa.list_(pa.int64()))), "hot": pa.array([bool((salts(told.value, np.unique(columns[0])) > 1).any())])})
@@ -489,6 +495,8 @@ def score(encoded: DataFrame, table: DataFrame, words: Words, order: int, discou
         w, d = told.value
         t, _ = _table(rows, i, order)
         log = np.log10(np.maximum(probabilities(t, w, d, known), 1e-300))
+        del t
+        release()
         made = [_few(log[risen(x).astype(np.int64)]) for x in rows["asked"][i].as_py()]
         value, which = zip(*made)
         return pa.RecordBatch.from_arrays([pa.array(rows["chunks"][i].as_py(), pa.int64()), pa.array([rows["part"][i].as_py()] * len(made), pa.int32()), pa.array(value, pa.binary()), pa.array(which, pa.binary())], names=["chunk", "part", "value", "which"])
@@ -497,6 +505,7 @@ def score(encoded: DataFrame, table: DataFrame, words: Words, order: int, discou
         for b in batches:
             for i in range(b.num_rows):
                 yield look_up(b, {}, i)
+        release()
 
     def together(rows: pa.Table, given: pa.Table) -> pa.Table:
         return pa.Table.from_batches([look_up(rows, _known(given, order))])

@@ -30,6 +30,8 @@ class KmerSet:
     max_count: int = (1 << 32) - 1
     counter_size: int = 4
     weighted: bool = False
+    #: K-mers at most, about; None: not known. It decides about sizes of groups only.
+    about: int | None = None
 
     def __post_init__(self) -> None:
         if "kmer" in self.rows.columns:
@@ -51,8 +53,8 @@ class KmerSet:
         """K-mers seen ``ci`` to ``cx`` times; counters end at ``cs``."""
         if k > 9:
             cx, cs = min(cx, (1 << 32) - 1), min(cs, (1 << 32) - 1)
-        rows = counting.thresholds(counting.count_packed(reads, k, both_strands, order), ci, cx, cs)
-        return cls(rows, k, both_strands, ci, cx, _bytes(min(cx, cs)))
+        found, about = counting.count_sized(reads, k, both_strands, order)
+        return cls(counting.thresholds(found, ci, cx, cs), k, both_strands, ci, cx, _bytes(min(cx, cs)), about=about)
 
     @classmethod
     def count_weighted(cls, reads: DataFrame, k: int = 25, ci: float = 2, cx: float = 1e9, both_strands: bool = True) -> KmerSet:
@@ -83,12 +85,12 @@ class KmerSet:
     def read(cls, spark: SparkSession, path: str, ci: int | None = None, cx: int | None = None) -> KmerSet:
         """A written set; thresholds, if given, reach the scan."""
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        meta.pop("total_kmers")
+        about = meta.pop("total_kmers")
         n, words = meta.pop("buckets"), word_names(meta["k"])
         name, by = f"braidwork_{uuid.uuid4().hex}", ", ".join(words)
         columns = ", ".join([*(f"{w} BIGINT" for w in words), f"cnt {'DOUBLE' if meta['weighted'] else 'BIGINT'}"])
         spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n} BUCKETS LOCATION '{path}/kmers'")
-        found = cls(spark.table(name), **meta)
+        found = cls(spark.table(name), **meta, about=about)
         return found if ci is None and cx is None else found.with_cutoffs(ci or found.min_count, cx or found.max_count)
 
     # One set

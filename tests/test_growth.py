@@ -7,8 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import __spark_entry__ as entry
 from braidwork.functions import windows as W
-from braidwork.operators import bins, reads as R
+from braidwork.operators import bins, counting, reads as R, segments
 from braidwork.operators.sets import KmerSet
 from braidwork.sources import readers
 
@@ -80,3 +81,43 @@ def test_short_reads_take_no_join(spark, monkeypatch, k):
     long = {x.read_id: x.seq for x in R.mask_reads(r, s, 2).collect()}
     monkeypatch.setattr(R, "PIECE", 1 << 16)
     assert long == {x.read_id: x.seq for x in R.mask_reads(r, s, 2).collect()}
+
+
+def test_runs_stay_runs_where_bins_are_many(spark, monkeypatch):
+    """The more bins, the more signatures are too heavy for one; their windows go on in runs, by wider signatures, and only repeats are opened."""
+    draw = random.Random(8)
+    words = ["".join(draw.choices("ACGT", [4, 3, 2, 1], k=draw.randint(3, 9))) for _ in range(3000)]
+    seqs = ["".join(draw.choices(words, k=160))[:800] for _ in range(100)] + ["AC" * 400] * 20
+    draw.shuffle(seqs)
+    monkeypatch.setattr(bins, "BIN_WINDOWS", 500)
+    reads = frame(spark, seqs).coalesce(2)
+    told = bins.survey(reads, 21)
+    windows = sum(max(0, len(s) - 20) for s in seqs)
+    assert told.n >= 100 and (told.of < 0).sum() >= 20 and len(told.opened)
+    rows = bins.dealt(reads, 21, told).collect()
+    assert sum(len(r.kmers) // 8 for r in rows) < windows / 50
+    assert sum(len(r.runs) + len(r.sizes) for r in rows) < 4 * windows
+    assert sum(r.reads for r in rows) == 120
+    assert {x.kmer: x.cnt for x in counting.count_all(reads, 21).collect()} == brute.count(seqs, 21)
+
+
+def test_rows_of_several_parts_leave_together(spark, monkeypatch):
+    """A task sends each bin a row for all its parts up to HELD_WINDOWS, not one for each part."""
+    draw = random.Random(9)
+    seqs = ["".join(draw.choices("ACGT", k=400)) for _ in range(40)]
+    monkeypatch.setattr(W.parts, "__defaults__", (0, 1000))
+    reads = frame(spark, seqs).coalesce(1)
+    told = bins.survey(reads, 15)
+    assert len(bins.dealt(reads, 15, told).collect()) <= told.n
+
+
+def test_statistics_of_a_run_read_once(spark):
+    """The one row equals that of counts, reads and super-k-mers made one by one; texts are made reads once."""
+    draw = random.Random(10)
+    seqs = ["".join(draw.choices("ACGTN", [9, 9, 9, 9, 1], k=n)) for n in (0, 1, 20, 21, 300, 700)] + ["A" * 900, "A" * 900, None, "acgt" * 30]
+    reads = frame(spark, seqs)
+    apart = counting.statistics(counting.count_all(reads, 21), reads, 2, 50, segments.super_kmers(reads, 21, 7))
+    assert segments.run_statistics(reads, 21, 7, 2, 50).first().asDict() == apart.first().asDict()
+    assert set(segments.run_statistics(reads.where("false"), 21, 7).first()) == {0}
+    made = entry.queries()["statistics_super_kmers"](spark, "/root/testdata/sf0.001")
+    assert made._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1

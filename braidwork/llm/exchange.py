@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from math import isqrt
 
 import numpy as np
@@ -29,15 +30,29 @@ LEAST_PARTS, PART_KEYS = 64, 2_000_000
 STRAIGHT_PARTS = 512
 
 
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each for a process: messages are small and many, and making these costs more than using them."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def packed(x: np.ndarray) -> bytes:
-    """Whole numbers, byte plane by byte plane: the high planes of small numbers are zero and cost nothing."""
+    """Whole numbers, byte plane by byte plane; a byte in front tells how many planes there are, those above are zero."""
     x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+    highest = int(x.view(f"u{x.itemsize}").max()) if len(x) else 0
+    planes = -(-highest.bit_length() // 8) if len(x) else 0
+    if not planes and len(x):
+        planes = 1  # it tells the length
+    return bytes([planes]) + _zstd()[0].compress(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :planes].T.tobytes())
 
 
 def unpacked(b: bytes, kind: str) -> np.ndarray:
-    raw, width = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8), np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(kind).reshape(-1)
+    planes, raw, kind = b[0], np.frombuffer(_zstd()[1].decompress(memoryview(b)[1:]), dtype=np.uint8), np.dtype(kind)
+    if not planes:
+        return np.zeros(0, dtype=kind)
+    out = np.zeros((len(raw) // planes, kind.itemsize), dtype=np.uint8)
+    out[:, :planes] = raw.reshape(planes, len(out)).T
+    return out.view(kind).reshape(-1)
 
 
 def rising(x: np.ndarray) -> bytes:

@@ -176,7 +176,7 @@ def _start(documents: DataFrame) -> DataFrame:
     most = words.CHUNK_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, found, ends in words.chunks(batches, 1, most=most):
+        for b, found, ends in words.numbered_chunks(batches, 1, most):
             vocabulary, ids = np.unique(found, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array([packed(b.column(0).to_numpy(zero_copy_only=False))], pa.binary()), pa.array([packed(np.diff(ends, prepend=0))], pa.binary()), pa.array([packed(vocabulary)], pa.binary()), pa.array([packed(ids.astype(np.uint32))], pa.binary()), pa.array([len(vocabulary)])], names=["docs", "ends", "vocabulary", "ids", "types"])
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Words that a chunk holds, about (a longer text is a chunk of its own), and bytes that are split at a time.
@@ -52,11 +53,76 @@ def wide_hashes(text: bytes | None, lower: bool = False) -> np.ndarray:
     return found[1] if len(found) == 2 else np.concatenate(found)
 
 
+#: Words of more bytes are numbered one by one.
+_LONG = 64
+_IS_WHITE = np.zeros(256, dtype=bool)
+_IS_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: The lowest 0 to 8 bytes of a number.
+_LOWEST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
+def _numbers(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word of texts in a row, eight bytes at a time for all words at once, and how many words end before each of ``ends``."""
+    held = np.append(data, np.zeros(8, dtype=np.uint8))
+    inside = ~_IS_WHITE[data]
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[ends] = True
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:-1]
+    stops[:-1] &= ~inside[1:] | edge[1:-1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=held, strides=(1,))
+    size = last - first
+    made = mix((eight[first] & _LOWEST[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for at in range(8, _LONG, 8):
+        more = np.flatnonzero(size > at)
+        if not len(more):
+            break
+        made[more] = mix(made[more] * np.uint64(0x9E3779B97F4A7C15) + (eight[first[more] + at] & _LOWEST[np.minimum(size[more] - at, 8)]))
+    for i in np.flatnonzero(size > _LONG).tolist():
+        made[i] = xxhash.xxh64_intdigest(data[first[i] : last[i]])
+    return made, np.searchsorted(last, ends, side="right")
+
+
+def numbers(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For each text numbers of its words: equal words have equal ones, others hardly ever. About PIECE_BYTES are looked at at a time."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE_BYTES, side="right")) - 1)
+        whole = b"".join(texts.slice(at, end - at).to_pylist())
+        if end == at + 1 and len(whole) > PIECE_BYTES:
+            found, begun = [np.zeros(0, dtype=np.uint64)], 0
+            while begun < len(whole):
+                cut = _WHITE.search(whole, begun + PIECE_BYTES)
+                stop = cut.start() if cut else len(whole)
+                piece = np.frombuffer(whole, dtype=np.uint8, count=stop - begun, offset=begun)
+                found.append(_numbers(piece, np.array([len(piece)]))[0])
+                begun = stop
+            yield np.concatenate(found)
+        else:
+            made, upto = _numbers(np.frombuffer(whole, dtype=np.uint8), ends[at + 1 : end + 1] - ends[at])
+            yield from np.split(made, upto[:-1])
+        at = end
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: int, lower: bool = False, most: int = CHUNK_WORDS, wide: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows without their text, the hashes of all their words in a row (``wide``: of 128 bits), and where each row's begin (one more: the end).
 
     A chunk goes on over batches until it has ``most`` words.
     """
+    one = wide_hashes if wide else hashes
+    return _chunks(batches, text, most, lambda texts: (one(t.as_py(), lower) for t in texts.cast(pa.large_binary())))
+
+
+def numbered_chunks(batches: Iterator[pa.RecordBatch], text: int, most: int = CHUNK_WORDS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """:func:`chunks` with :func:`numbers` for hashes."""
+    return _chunks(batches, text, most, numbers)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], text: int, most: int, of: Callable[[pa.Array], Iterator[np.ndarray]]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     rows: list[pa.RecordBatch] = []
     words: list[np.ndarray] = []
     held = 0
@@ -70,8 +136,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int, lower: bool = False, mo
             continue
         rest = b.select([i for i in range(b.num_columns) if i != text])
         first = 0
-        for at, t in enumerate(b.column(text).cast(pa.large_binary())):
-            words.append((wide_hashes if wide else hashes)(t.as_py(), lower))
+        for at, made_of in enumerate(of(b.column(text))):
+            words.append(made_of)
             held += len(words[-1])
             if held >= most:
                 rows.append(rest.slice(first, at + 1 - first))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -427,3 +428,26 @@ def test_words_that_share_half_a_hash(spark):
     assert list(zip(a[first].tolist(), b[first].tolist())) == [(5, 1), (5, 2), (7, 0)] and which.tolist() == [0, 1, 2, 0, 2]
     first, which = katz._numbered(a, a)
     assert a[first].tolist() == [5, 7] and which.tolist() == [0, 0, 1, 0, 1]
+
+
+def test_words_are_numbered_all_at_once(monkeypatch):
+    """Equal words have one number and others another, whatever their length, neighbours, text or piece; white characters are those six."""
+    draw = random.Random(11)
+    parts = ["a", "b", "é", " ", "\x00", "\t", "\n", "\x0b", "\x1c", "\x85", "xyzxyzxyz", "q" * 64, "q" * 70, "w" * 65]
+    texts = [None, "", " ", "a", "a b", " a", "b "] + ["".join(draw.choices(parts, k=draw.randint(0, 200))) for _ in range(200)] + ["x" * 300 + " y" * 500, None, ""]
+    number, word = {}, {}
+    for size in (1 << 20, 500, 7):
+        monkeypatch.setattr(words, "PIECE_BYTES", size)
+        found = list(words.numbers(pa.array(texts).slice(1)))
+        assert [len(x) for x in found] == [len(words.split(t)) for t in texts[1:]]
+        for t, x in zip(texts[1:], found):
+            for w, n in zip(words.split(t), x.tolist()):
+                assert number.setdefault(w, n) == n and word.setdefault(n, w) == w
+
+
+def test_packed_numbers_hold_no_empty_planes():
+    """Only bytes that numbers have are packed: one in eight, where all are small."""
+    for x in ([], [0, 0], [1, 0, 255], [-5, 2**62]):
+        assert exchange.unpacked(exchange.packed(np.array(x, dtype=np.int64)), "i8").tolist() == x
+    small = exchange.packed(np.arange(200, dtype=np.uint64))
+    assert small[0] == 1 and len(exchange._zstd()[1].decompress(small[1:])) == 200

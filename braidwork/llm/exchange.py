@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release
+from .common import materialize, release
 from .words import mix
 
 #: Partitions at least, and keys of all chunks that one of more should get, about.
@@ -79,22 +79,9 @@ def cuts(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(part[lo]), int(lo), int(hi)
 
 
-def distinct(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(part, key, times, which): the distinct keys by part and then in order, how often each occurs, and which one each of ``keys`` is."""
-    key, which, times = np.unique(keys, return_inverse=True, return_counts=True)
-    part = part_of(key, parts)
-    order = np.argsort(part, kind="stable")
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    return part[order], key[order], times[order], back[which]
-
-
-def asked_of(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first three of :func:`distinct`, which cost less than the last."""
-    key, times = np.unique(keys, return_counts=True)
-    part = part_of(key, parts)
-    order = np.argsort(part, kind="stable")
-    return part[order], key[order], times[order]
+def part_in_order(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Partitions that are ranges of numbers, for keys that are spread evenly over 64 bits: sorted keys lie by partition."""
+    return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 def width_for(parts: int) -> int:
@@ -193,26 +180,51 @@ def _name_form(parts: int) -> Form:
 
     return Form(
         ["keys", "many"],
-        lambda keys, many: ([risen(keys)], 1.0 + unpacked(many, "u1")),
-        lambda columns, times: (rising(columns[0]), packed((times > 1).astype(np.uint8))),
+        lambda keys, many: ([np.cumsum(_plain(keys), dtype=np.uint64)], 1.0 + np.frombuffer(many, dtype=np.uint8)),
+        lambda columns, times: (_planes(np.diff(columns[0], prepend=np.uint64(0))), (times > 1).astype(np.uint8).tobytes()),
         distinct,
-        lambda columns: part_of(columns[0], parts),
+        lambda columns: part_in_order(columns[0], parts),
     )
 
 
-def names(rows: DataFrame, keys_of: Callable[[pa.RecordBatch, int], np.ndarray], parts: int, table: str) -> DataFrame:
-    """``chunk, part, names``: a number for each distinct key of each chunk, by part (or region) and in order, as :func:`distinct` has them.
+def _planes(x: np.ndarray) -> bytes:
+    """The lower bytes of 64-bit numbers, as many as the highest needs, whose count stands in front; nothing is compressed."""
+    n = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([n]) + x.view(np.uint8).reshape(len(x), 8)[:, :n].tobytes()
+
+
+def _plain(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(b, dtype=np.uint8, offset=1).reshape(-1, b[0])
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, : b[0]] = raw
+    return out.view(np.uint64).reshape(-1)
+
+
+#: The column of what a chunk asks: its messages, by partition (or region).
+ASKED = "asked array<struct<part: int, keys: binary, many: binary>>"
+
 
-    The same key gets the same number everywhere, from 1 on; one that occurs once in all gets 0.
+def asked(keys: np.ndarray, parts: int, width: int) -> tuple[pa.Array, np.ndarray]:
+    """What a chunk asks of ``parts`` partitions in regions of ``width``, as one value of the column ASKED; and which of its distinct keys, in order, each of ``keys`` is.
+
+    Keys are spread evenly over 64 bits.
     """
-    form, width = _name_form(parts), width_for(parts)
+    key, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+    sent = _name_form(parts).messages(0, part_in_order(key, parts) // width, [key], times)
+    kinds = pa.struct([("part", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())])
+    if sent is None:
+        return pa.array([[]], pa.list_(kinds)), which
+    rows = pa.StructArray.from_arrays([sent[f.name] for f in kinds], fields=list(kinds))
+    return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), which
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                part, key, times = asked_of(keys_of(b, i), parts)
-                if (sent := form.messages(b["chunk"][i].as_py(), part // width, [key], times)) is not None:
-                    yield sent
+
+def names(rows: DataFrame, parts: int, width: int, table: str) -> DataFrame:
+    """``chunk, part, names``: a number for each distinct key of each chunk, by part (or region) and in order.
+
+    ``rows`` is a table of ``chunk`` and what it asks (:func:`asked`, of as many ``parts``). The same key
+    gets the same number everywhere, from 1 on; one that occurs once in all gets 0.
+    """
+    form = _name_form(parts)
 
     def answer(t: pa.Table) -> pa.Table:
         release()
@@ -224,16 +236,12 @@ def names(rows: DataFrame, keys_of: Callable[[pa.RecordBatch, int], np.ndarray],
         made = [packed(x) for x in np.split(number, ends[:-1])]
         return pa.table({"chunk": t["chunk"].combine_chunks(), "part": t["part"].combine_chunks(), "names": pa.array(made, pa.binary())})
 
-    asked = rows.mapInArrow(ask, form.schema)
-    if width > 1:
-        asked = materialize(asked, f"{table}-asked")
-    met = asked if width == 1 else folded(asked, form, width)
+    sent = rows.select("chunk", F.explode("asked").alias("m")).select("m.part", "chunk", "m.keys", "m.many")
+    met = sent if width == 1 else folded(sent, form, width)
     answers = met.groupBy("part").applyInArrow(answer, "chunk long, part int, names binary")
-    if width == 1:
-        return materialize(answers, table)
-    answers = materialize(unfolded(asked, answers, form, width, lambda got: gathered(got, "names", "u8"), lambda x: (packed(x),)), table)
-    discard(asked)
-    return answers
+    if width > 1:
+        answers = unfolded(sent, answers, form, width, lambda got: gathered(got, "names", "u8"), lambda x: (packed(x),))
+    return materialize(answers, table)
 
 
 def gathered(answers: pa.Table, column: str, kind: str) -> np.ndarray:

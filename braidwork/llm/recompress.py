@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .common import discard, materialize, release
-from .exchange import distinct, gathered, names, packed, parts_for, unpacked
+from .exchange import ASKED, asked, gathered, names, packed, parts_for, unpacked, width_for
 from .words import mix, split
 
 WINDOW = 20
@@ -24,9 +25,12 @@ RUN = 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Words before or after a symbol that put its reach beyond any window.
 _FAR = 4 * WINDOW
-#: A chunk between rounds, in columns of packed numbers.
-_STATE = {"docs": "i8", "ends": "i8", "name": "u8", "at": "i8", "size": "u1", "before": "u1", "after": "u1", "begins": "?", "window": "i8", "best": "u8"}
-_SCHEMA = "chunk long, symbols long, " + ", ".join(f"{c} binary" for c in _STATE)
+#: Chunks that a worker steps on with before it gives freed memory back, which must then be mapped anew.
+_GIVE_BACK = 16
+_steps = count()
+#: A chunk between rounds, in columns of packed numbers, and what it asks.
+_STATE = {"docs": "i8", "ends": "i8", "name": "u8", "at": "i8", "size": "u1", "before": "u1", "after": "u1", "begins": "?", "window": "i8", "best": "u8", "new": "?"}
+_SCHEMA = "chunk long, symbols long, " + ", ".join(f"{c} binary" for c in _STATE) + f", {ASKED}"
 
 
 @dataclass
@@ -36,7 +40,8 @@ class State:
     A symbol stands for ``size`` words from ``at`` on (counted through the chunk); ``before`` and ``after``
     are the further words that decided on it. ``begins`` marks the first symbol of a segment. ``window``
     are first words of windows, rising, and ``best`` the anchor of each. Row r of the chunk has the words
-    from ends[r] to ends[r + 1].
+    from ends[r] to ends[r + 1]. ``new`` are symbols that wait for a name: theirs is, so far, the place of
+    their key among the distinct ones that the chunk asks, in order.
     """
 
     docs: np.ndarray
@@ -49,12 +54,13 @@ class State:
     begins: np.ndarray
     window: np.ndarray
     best: np.ndarray
+    new: np.ndarray | None = None
 
-    def row(self, chunk: int) -> pa.RecordBatch:
+    def row(self, chunk: int, sent: pa.Array) -> pa.RecordBatch:
         held = {c: getattr(self, c) for c in _STATE}
         for c in ("at", "window", "ends"):
             held[c] = np.diff(held[c], prepend=0)
-        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(self.name)]), *[pa.array([packed(held[c].astype(kind))], pa.binary()) for c, kind in _STATE.items()]], names=["chunk", "symbols", *_STATE])
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(self.name)]), *[pa.array([packed(held[c].astype(kind))], pa.binary()) for c, kind in _STATE.items()], sent], names=["chunk", "symbols", *_STATE, "asked"])
 
     @staticmethod
     def of(b: pa.RecordBatch | pa.Table, i: int = 0) -> State:
@@ -134,118 +140,153 @@ def _anchored(best: np.ndarray, at: np.ndarray, size: np.ndarray, before: np.nda
     np.maximum(best, held, out=best)
 
 
-def advance(s: State, answers: np.ndarray | None, k: int, which: np.ndarray | None = None, made: Made | None = None) -> State:
-    """The chunk after round k, now that its symbols have names; a symbol named 0 occurs once in all texts.
+def _within(window: np.ndarray, lo: np.ndarray, reach: np.ndarray, places: int) -> np.ndarray:
+    """Whether one of the windows holds all of ``reach`` (WINDOW at most) words from ``lo`` on."""
+    upto = np.concatenate([[0], np.cumsum(np.bincount(window, minlength=places))])
+    return upto[lo + 1] > upto[np.maximum(lo + reach - WINDOW, 0)]
 
-    A window that holds all that decided on such a symbol is equal to no other, and goes. Symbols in no
-    window that is left go too, and those that no window can hold; what stands beside them is at an edge.
+
+def waiting(s: State, k: int) -> tuple[State, np.ndarray]:
+    """The symbols that round k makes, and the keys of the new ones, which wait for names.
+
+    A symbol is kept if a window that is left holds all that decided on it. In an equal window it is
+    decided alike and kept as well, so no other symbol need be named: what stands beside one is at an edge.
+    """
+    made, places = compressed(s, k), int(s.ends[-1]) + 1
+    reach = made.before + made.size + made.after
+    place = np.flatnonzero(reach <= WINDOW)
+    lo = s.at[made.first[place]] - made.before[place]
+    place = place[_within(s.window, lo, reach[place], places)]
+    first, new = made.first[place], made.new[place]
+    begins = np.ones(len(place), dtype=bool)
+    begins[1:] = (np.diff(place) > 1) | s.begins[first[1:]]
+    best = s.best
+    if k == 0 and len(s.window):  # the words themselves are anchors where nothing wider is decided in a window
+        lo = s.at[first[new]] - made.before[place[new]]
+        times = lambda x: np.bincount(x, minlength=places + 1)
+        wider = np.cumsum(times(np.maximum(lo + reach[place[new]] - WINDOW, 0)) - times(lo + 1))
+        bare = np.flatnonzero(wider[s.window] == 0)
+        words_of = np.searchsorted(s.at, s.window[bare])[:, None] + np.arange(WINDOW)
+        best = best.copy()
+        best[bare] = np.max((np.uint64(1) << np.uint64(58)) | (mix(s.name[words_of]) >> np.uint64(6)), axis=1)
+    return State(s.docs, s.ends, s.name[first], s.at[first], made.size[place], made.before[place], made.after[place], begins, s.window, best, new), made.key[place[new]]
+
+
+def advance(s: State, answers: np.ndarray, anchors: bool = True) -> State:
+    """The chunk now that its symbols have names; a symbol named 0 occurs once in all texts.
+
+    A window that holds all that decided on such a symbol is equal to no other, and goes, as do symbols
+    that no window holds any more; what stands beside them is at an edge.
     """
     places = int(s.ends[-1]) + 1
-    if made is None:  # the words themselves
-        first, new, name, size, before, after = np.arange(len(s.name)), np.ones(len(s.name), dtype=bool), s.name, s.size, s.before, s.after
-    else:
-        first, new, size, before, after = made.first, made.new, made.size, made.before, made.after
-        name = s.name[first].copy()
-        name[new] = answers[which]
-    at = s.at[first]
-    reach = before + size + after
-    near = reach <= WINDOW
-    once = np.flatnonzero((name == 0) & near)
-    count = lambda x: np.bincount(x, minlength=places + WINDOW)
-    dead = np.cumsum(count(np.maximum((at + size + after)[once] - WINDOW, 0)) - count((at - before)[once] + 1))
+    name = s.name.copy()
+    name[s.new] = answers[s.name[s.new].astype(np.int64)]
+    lo, reach = s.at - s.before, s.before + s.size + s.after
+    once = np.flatnonzero(name == 0)
+    times = lambda x: np.bincount(x, minlength=places + 1)
+    dead = np.cumsum(times(np.maximum((lo + reach)[once] - WINDOW, 0)) - times(lo[once] + 1))
     lives = dead[s.window] == 0
     window = s.window[lives]
     best = np.zeros(places, dtype=np.uint64)
     best[window] = s.best[lives]
-    if k == 1 and len(window):  # the words themselves, for windows in which nothing wider is decided
-        _anchored(best, s.at, s.size, s.before, s.after, s.name, np.ones(len(s.name), dtype=bool))
-    if k and len(window):
-        _anchored(best, at, size, before, after, name, new & (name != 0))
-    covered = np.cumsum(count(window) - count(window + WINDOW)) > 0
-    covered = np.concatenate([[0], np.cumsum(covered)])
-    keep = (covered[at + size] - covered[at] == size) & (name != 0) & near
-    place = np.flatnonzero(keep)
+    if anchors and len(window):
+        _anchored(best, s.at, s.size, s.before, s.after, name, s.new & (name != 0))
+    place = np.flatnonzero((name != 0) & _within(window, lo, reach, places))
     begins = np.ones(len(place), dtype=bool)
-    begins[1:] = (np.diff(place) > 1) | s.begins[first[place[1:]]]
-    return State(s.docs, s.ends, name[place], at[place], size[place], before[place], after[place], begins, window, best[window])
+    begins[1:] = (np.diff(place) > 1) | s.begins[place[1:]]
+    return State(s.docs, s.ends, name[place], s.at[place], s.size[place], s.before[place], s.after[place], begins, window, best[window])
 
 
-def _start(documents: DataFrame) -> DataFrame:
-    """Chunks of documents: words by their place in the chunk's own vocabulary."""
+def _start(documents: DataFrame, parts: tuple[int, int]) -> DataFrame:
+    """Chunks of documents: words by their place in the chunk's own vocabulary, which is what it asks."""
 
     most = words.CHUNK_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, found, ends in words.numbered_chunks(batches, 1, most):
-            vocabulary, ids = np.unique(found, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array([packed(b.column(0).to_numpy(zero_copy_only=False))], pa.binary()), pa.array([packed(np.diff(ends, prepend=0))], pa.binary()), pa.array([packed(vocabulary)], pa.binary()), pa.array([packed(ids.astype(np.uint32))], pa.binary()), pa.array([len(vocabulary)])], names=["docs", "ends", "vocabulary", "ids", "types"])
+            sent, ids = asked(found, *parts)
+            held = [packed(b.column(0).to_numpy(zero_copy_only=False)), packed(np.diff(ends, prepend=0)), packed(ids.astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in held], pa.array([len(ids)]), sent], names=["docs", "ends", "ids", "words", "asked"])
 
-    made = documents.select("doc", "text").mapInArrow(run, "docs binary, ends binary, vocabulary binary, ids binary, types long")
+    made = documents.select("doc", "text").mapInArrow(run, f"docs binary, ends binary, ids binary, words long, {ASKED}")
     return materialize(made.withColumn("chunk", F.monotonically_increasing_id()), "recompress-words")
 
 
 def _joined(rows: DataFrame, answers: DataFrame, step, schema: str) -> DataFrame:
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(step, schema)
+    return rows.drop("asked").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(step, schema)
 
 
 def _total(rows: DataFrame, column: str) -> int:
     return rows.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0]
 
 
-def _compressed(documents: DataFrame) -> DataFrame:
-    """All chunks after the last round. Each round names what occurs, over all chunks, in one exchange."""
-    started = _start(documents)
-    parts = parts_for(_total(started, "types"))
+def _parts(keys: int) -> tuple[int, int]:
+    """Partitions, and how many of them a region has."""
+    parts = parts_for(keys)
+    return parts, width_for(parts)
 
-    def own(b: pa.RecordBatch | pa.Table, i: int) -> np.ndarray:
-        """The vocabulary, and once more those words that the chunk has several times."""
-        vocabulary, ids = unpacked(b["vocabulary"][i].as_py(), "u8"), unpacked(b["ids"][i].as_py(), "u4")
-        return np.concatenate([vocabulary, vocabulary[np.bincount(ids, minlength=len(vocabulary)) > 1]])
 
-    answers = names(started, own, parts, "recompress-word-names")
+def _lists(documents: DataFrame) -> DataFrame:
+    """``doc, runs`` (at, n, name) of the documents that have windows left after the last round.
+
+    Each round names what occurs, over all chunks, in one exchange. Who names symbols makes the next ones
+    at once and asks for their names, so partitions are counted by what was known a step before: bytes of
+    text (about one in 18 is a distinct word of a chunk), words, and then the symbols of the round before.
+    """
+    parts = _parts(_total(documents.select(F.octet_length("text").alias("bytes")), "bytes") // 18)
+    state = _start(documents, parts)
+    answers = names(state, *parts, "recompress-word-names")
+    parts = _parts(_total(state, "words") // 3)
 
     def begin(chunk: pa.Table, got: pa.Table) -> pa.Table:
-        _, _, _, which = distinct(own(chunk, 0), parts)
+        _stepped()
         ids = unpacked(chunk["ids"][0].as_py(), "u4")
         ends = np.cumsum(unpacked(chunk["ends"][0].as_py(), "i8"))
-        name = gathered(got, "names", "u8")[which][ids]
         n = len(ids)
         begins = np.zeros(n + 1, dtype=bool)
         begins[ends] = True
-        stop = np.repeat(ends[1:], np.diff(ends))
         at = np.arange(n)
-        window = at[at + WINDOW <= stop]
+        window = at[at + WINDOW <= np.repeat(ends[1:], np.diff(ends))]
         none, one = np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64)
-        s = State(unpacked(chunk["docs"][0].as_py(), "i8"), ends, name, at, one, none, none, begins[:-1], window, np.zeros(len(window), dtype=np.uint64))
-        return pa.Table.from_batches([advance(s, None, 0).row(chunk["chunk"][0].as_py())])
+        s = State(unpacked(chunk["docs"][0].as_py(), "i8"), ends, ids.astype(np.uint64), at, one, none, none, begins[:-1], window, np.zeros(len(window), dtype=np.uint64), one.astype(bool))
+        return _asking(advance(s, gathered(got, "names", "u8"), anchors=False), 0, chunk, parts)
 
-    state = materialize(_joined(started, answers, begin, _SCHEMA), "recompress-state")
-    discard(started)
-    discard(answers)
+    state = _after(state, answers, begin, _SCHEMA, "recompress-state")
     for k in range(ROUNDS):
-        state = _round(state, k)
+        answers = names(state, *parts, f"recompress-names-{k}")
+        parts = _parts(_total(state, "symbols") // 3)
+        state = _after(state, answers, _step(k, parts), *((_SCHEMA, "recompress-state") if k + 1 < ROUNDS else (_LISTS, "recompress-lists")))
     return state
 
 
-def _round(state: DataFrame, k: int) -> DataFrame:
-    parts = parts_for(_total(state, "symbols") // 3)
+def _after(rows: DataFrame, answers: DataFrame, step, schema: str, table: str) -> DataFrame:
+    made = materialize(_joined(rows, answers, step, schema), table)
+    discard(rows)
+    discard(answers)
+    return made
 
-    def keys(b: pa.RecordBatch, i: int) -> np.ndarray:
-        made = compressed(State.of(b, i), k)
-        return made.key[made.new]
 
-    def step(chunk: pa.Table, got: pa.Table) -> pa.Table:
+def _stepped() -> None:
+    if next(_steps) % _GIVE_BACK == 0:
         release()
-        s = State.of(chunk)
-        made = compressed(s, k)
-        _, _, _, which = distinct(made.key[made.new], parts)
-        return pa.Table.from_batches([advance(s, gathered(got, "names", "u8"), k + 1, which, made).row(chunk["chunk"][0].as_py())])
-
-    answers = names(state, keys, parts, f"recompress-names-{k}")
-    after = materialize(_joined(state, answers, step, _SCHEMA), "recompress-state")
-    discard(state)
-    discard(answers)
-    return after
+
+
+def _asking(s: State, k: int, chunk: pa.Table, parts: tuple[int, int]) -> pa.Table:
+    s, keys = waiting(s, k)
+    sent, which = asked(keys, *parts)
+    s.name[s.new] = which
+    return pa.Table.from_batches([s.row(chunk["chunk"][0].as_py(), sent)])
+
+
+def _step(k: int, parts: tuple[int, int]):
+    """Names the symbols of round k, and makes the next, or after the last round lists the runs of windows."""
+
+    def step(chunk: pa.Table, got: pa.Table) -> pa.Table:
+        _stepped()
+        s = advance(State.of(chunk), gathered(got, "names", "u8"))
+        return _asking(s, k + 1, chunk, parts) if k + 1 < ROUNDS else pa.Table.from_batches([listed(s)])
+
+    return step
 
 
 def runs(s: State) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -259,21 +300,15 @@ def runs(s: State) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return row[first], s.window[first] - s.ends[row[first]], np.diff(np.append(first, len(new))), s.best[first]
 
 
-def _runs(state: DataFrame) -> DataFrame:
-    """``doc, runs`` (at, n, name) of the documents that have windows left."""
+_LISTS = "doc long, runs array<struct<at: long, n: long, name: long>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                s = State.of(b, i)
-                if not len(s.window):
-                    continue
-                row, at, n, name = runs(s)
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]])
-                rows = pa.StructArray.from_arrays([pa.array(at), pa.array(n.astype(np.int64)), pa.array(name.view(np.int64))], names=["at", "n", "name"])
-                yield pa.RecordBatch.from_arrays([pa.array(s.docs[row[cut[:-1]]]), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), rows)], names=["doc", "runs"])
 
-    return state.mapInArrow(run, "doc long, runs array<struct<at: long, n: long, name: long>>")
+def listed(s: State) -> pa.RecordBatch:
+    """A row for each document of the chunk that has windows left."""
+    row, at, n, name = runs(s)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]]) if len(row) else np.zeros(1, dtype=np.int64)
+    rows = pa.StructArray.from_arrays([pa.array(at), pa.array(n.astype(np.int64)), pa.array(name.view(np.int64))], names=["at", "n", "name"])
+    return pa.RecordBatch.from_arrays([pa.array(s.docs[row[cut[:-1]]]), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), rows)], names=["doc", "runs"])
 
 
 def _digests(words: list[bytes], at: list[int], n: list[int]) -> np.ndarray:
@@ -341,9 +376,7 @@ def _spans(documents: DataFrame) -> DataFrame:
     window by window, as are runs that meet themselves. All is aggregated map-side, so that a common
     passage is one row from each task.
     """
-    state = _compressed(documents)
-    lists = materialize(_runs(state), "recompress-lists")
-    discard(state)
+    lists = _lists(documents)
     found = materialize(_found(documents, lists), "recompress-found")
     discard(lists)
     place = F.struct("doc", "at")

@@ -451,3 +451,35 @@ def test_packed_numbers_hold_no_empty_planes():
         assert exchange.unpacked(exchange.packed(np.array(x, dtype=np.int64)), "i8").tolist() == x
     small = exchange.packed(np.arange(200, dtype=np.uint64))
     assert small[0] == 1 and len(exchange._zstd()[1].decompress(small[1:])) == 200
+
+
+def test_only_symbols_within_windows_that_are_left_are_named():
+    """Of 60 words the first 20 are a window that is left, so keys come from those alone, and are the same wherever the window stands."""
+    draw = np.random.default_rng(3)
+    shared, asked = draw.integers(1, 9, 20).astype(np.uint64), []
+    for before in (0, 40):
+        t = draw.integers(1, 9, 60).astype(np.uint64)
+        t[before : before + 20] = shared
+        n, none, every = 60, np.zeros(60, dtype=np.int64), np.ones(60, dtype=bool)
+        s = recompress.State(np.zeros(1, dtype=np.int64), np.array([0, n]), t, np.arange(n), none + 1, none, none, np.arange(n) == 0, np.array([before]), np.zeros(1, dtype=np.uint64), every)
+        s = recompress.advance(s, np.append(np.uint64(0), np.arange(1, 9, dtype=np.uint64)), anchors=False)
+        assert s.at.tolist() == list(range(before, before + 20)) and s.name.tolist() == shared.tolist()
+        s, keys = recompress.waiting(s, 0)
+        assert len(keys) == s.new.sum() and len(keys)
+        asked.append((keys.tolist(), (s.at - before).tolist()))
+    assert asked[0] == asked[1]
+
+
+@pytest.mark.parametrize(("parts", "width"), [(64, 1), (600, 24)])
+def test_what_a_chunk_asks_lies_in_order(parts, width):
+    keys = words.mix(np.random.default_rng(4).integers(0, 3000, 5000).astype(np.uint64))
+    sent, which = exchange.asked(keys, parts, width)
+    sent = sent[0].as_py()
+    form = exchange._name_form(parts)
+    key, many, ends = form.all(pa.table({f: pa.array([m[f] for m in sent], pa.binary()) for f in form.fields}))
+    assert (key[0][which] == keys).all() and (np.diff(key[0]) > 0).all()
+    assert ((many > 1) == (np.bincount(which) > 1)).all()
+    regions = [m["part"] for m in sent]
+    assert regions == sorted(set(regions)) and (np.repeat(regions, np.diff(ends, prepend=0)) == exchange.part_in_order(key[0], parts) // width).all()
+    assert np.bincount(regions).max() == 1 and max(np.diff(ends, prepend=0)) < 3 * 3000 * width / parts + 20
+    assert exchange.asked(keys[:0], parts, width)[0].to_pylist() == [[]]

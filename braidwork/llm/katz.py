@@ -19,6 +19,8 @@ from .exchange import Form, folded, gathered, packed, part_of, parts_for, rising
 ORDER = 3
 #: Tokens that a partition of the n-gram table holds, about; n-grams after a word more frequent than that are spread over several.
 PARTITION_TOKENS, LEAST_PARTS = 1_000_000, 64
+#: N-grams that are sorted or worked on at a time, about: what a task holds beside a partition's own numbers does not grow with the partition.
+RUN_GRAMS = 1 << 17
 #: Counts above this are not discounted.
 K = 5
 #: Stands for the end of a text in the vocabulary: no word hashes to it, and to a second half of zero, but by a 2^-128 chance.
@@ -278,8 +280,42 @@ def _chunk(b: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, np.ndarray
     return unpacked(b["tokens"][i].as_py(), "u4").astype(np.int64), risen(b["ids"][i].as_py()), unpacked(b["sizes"][i].as_py(), "u4").astype(np.int64), unpacked(b["train"][i].as_py(), "?")
 
 
+def _pieces(columns: list[np.ndarray], at: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Rows (``at``: of these) in pieces of about RUN_GRAMS, in the columns' order; equal rows are in one piece. A value that would fill a piece is cut by the next column."""
+    if not columns:
+        yield at
+        return
+    c = columns[0] if at is None else columns[0][at]
+    if len(c) <= 2 * RUN_GRAMS:
+        yield np.arange(len(c)) if at is None else at
+        return
+    begins = np.sort(c)[::RUN_GRAMS]
+    heavy = np.unique(begins[1:][begins[1:] == begins[:-1]])
+    begins = np.unique(np.concatenate([begins, heavy + 1]))
+    for i, alone in enumerate(np.isin(begins, heavy)):
+        inside = c >= begins[i]
+        if i + 1 < len(begins):
+            inside &= c < begins[i + 1]
+        piece = np.flatnonzero(inside) if at is None else at[inside]
+        del inside
+        if alone:
+            yield from _pieces(columns[1:], piece)
+        elif len(piece):
+            yield piece
+
+
 def _sorted_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(first, which): where each distinct row of the columns is found, in order, and which one each row is."""
+    found, which, n = [np.zeros(0, dtype=np.int64)], np.empty(len(columns[0]), dtype=np.int64), 0
+    for at in _pieces(columns):
+        first, inside = _sorted_piece([c[at] for c in columns])
+        which[at] = inside + n
+        found.append(at[first])
+        n += len(first)
+    return np.concatenate(found), which
+
+
+def _sorted_piece(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, span = np.zeros(len(columns[0]), dtype=np.int64), 1
     for c in columns:
         width = int(c.max(initial=0)) + 1
@@ -294,9 +330,20 @@ def _sorted_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return first, which
 
 
+def _runs(last: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of n-grams in order: about RUN_GRAMS, or all whose contexts end in one word. The tables of runs need nothing of each other."""
+    at = 0
+    while at < len(last):
+        word = last[min(at + RUN_GRAMS, len(last)) - 1]
+        begin, end = int(np.searchsorted(last, word)), int(np.searchsorted(last, word, side="right"))
+        end = end if end <= at + RUN_GRAMS or begin == at else begin
+        yield at, end
+        at = end
+
+
 @dataclass
 class Table:
-    """A partition's n-grams of all orders down to pairs, from its longest ones; the first entries are of ``order``.
+    """A run of n-grams of all orders down to pairs, from its longest ones; the first entries are of ``order``.
 
     For each order: ``context`` numbers the contexts in order, ``r`` are counts in training, ``lower``
     leads to the n-gram without its first word, and for pairs to ``token``. ``names`` are the contexts'
@@ -337,11 +384,13 @@ class Table:
         """Of each context: its tokens, how many of its n-grams have each count up to K, and the probability that the next lower order gives to what it has seen."""
         context, r = self.context[level], self.r[level]
         many = len(self.names[level][0])
-        n = np.stack([np.bincount(context, weights=r == c, minlength=many) for c in range(1, K + 1)], axis=1)
+        n = np.empty((many, K))
+        for c in range(K):
+            n[:, c] = np.bincount(context[r == c + 1], minlength=many)
         return np.bincount(context, weights=r, minlength=many), n, np.bincount(context, weights=np.where(r > 0, p, 0.0), minlength=many)
 
 
-def probabilities(t: Table, words: Words, discounts: list[np.ndarray], known: dict[tuple, tuple], until: int = 0) -> np.ndarray:
+def probabilities(t: Table, words: Words, discounts: list[np.ndarray], known: Known, until: int = 0) -> np.ndarray:
     """Of the n-grams of the order at ``until`` (0: the longest): the discounted share of those seen in training, and else the context's weight times what the next lower order gives.
 
     A context's weight is what its discounts have freed over what the lower order gives to all that it has not
@@ -352,13 +401,13 @@ def probabilities(t: Table, words: Words, discounts: list[np.ndarray], known: di
         p = p[t.lower[level]]
         total, n, held = t.sums(level, p)
         names = t.names[level]
-        for i in np.flatnonzero(salts(words, names[0]) > 1):
-            if (other := known.get(tuple(int(c[i]) for c in names))) is not None:
-                total[i], n[i], held[i] = other
+        if len(names) in known:
+            at, sums = _spread_sums(names, np.flatnonzero(salts(words, names[0]) > 1), *known[len(names)])
+            total[at], n[at], held[at] = sums[:, 0], sums[:, 1:-1], sums[:, -1]
         d = discounts[level]
         low = n @ np.arange(1, K + 1)
-        kept = ((n * d[1 : K + 1]) @ np.arange(1, K + 1) + (total - low)) / np.maximum(total, 1)
-        plain = n.sum(axis=1) == 0  # nothing to discount: as if seen once more, with a token of any kind
+        kept = (n @ (d[1 : K + 1] * np.arange(1, K + 1)) + (total - low)) / np.maximum(total, 1)
+        plain = low == 0  # nothing to discount: as if seen once more, with a token of any kind
         kept = np.where(plain, total / (total + 1), kept)
         shrink = np.where(plain, total / (total + 1), 1.0) / np.maximum(total, 1)
         weight = np.where(total > 0, (1 - kept) / np.maximum(1 - held, 1e-300), 1.0)
@@ -367,16 +416,31 @@ def probabilities(t: Table, words: Words, discounts: list[np.ndarray], known: di
     return p
 
 
-def _table(b: pa.RecordBatch | pa.Table, i: int, order: int) -> tuple[Table, list]:
-    columns = [risen(b["c0"][i].as_py()).astype(np.int64), *[unpacked(b[f"c{j}"][i].as_py(), "u8").astype(np.int64) for j in range(1, order)]]
-    return Table.of(columns, unpacked(b["r"][i].as_py(), "i8")), columns
+def log_probabilities(columns: list[np.ndarray], r: np.ndarray, words: Words, discounts: list[np.ndarray], known: Known) -> np.ndarray:
+    """Of a partition's longest n-grams, run by run."""
+    log = np.empty(len(r))
+    for lo, hi in _runs(columns[0]):
+        log[lo:hi] = np.log10(np.maximum(probabilities(Table.of([c[lo:hi] for c in columns], r[lo:hi]), words, discounts, known), 1e-300))
+    return log
+
+
+def _id_kind(words: Words) -> type:
+    """What holds all ids, and one more than the beginning's."""
+    return np.uint32 if words.types + 2 < 1 << 32 else np.int64
+
+
+def _table(b: pa.RecordBatch | pa.Table, i: int, order: int, words: Words) -> tuple[list[np.ndarray], np.ndarray]:
+    """A partition's n-grams of the longest order, and their counts in training."""
+    kind = _id_kind(words)
+    return [(unpacked(b[f"c{j}"][i].as_py(), "u8") if j else risen(b["c0"][i].as_py())).astype(kind) for j in range(order)], unpacked(b["r"][i].as_py(), "i8")
 
 
 def _gram_form(told: Broadcast, order: int, parts: int) -> Form:
     """N-grams with their counts in training; ``told`` has the unigram model."""
+    kind = _id_kind(told.value)
     return Form(
         [*[f"c{i}" for i in range(order)], "r"],
-        lambda c, *rest: ([risen(c).astype(np.int64), *[unpacked(x, "u8").astype(np.int64) for x in rest[:-1]]], unpacked(rest[-1], "u4")),
+        lambda c, *rest: ([risen(c).astype(kind), *[unpacked(x, "u8").astype(kind) for x in rest[:-1]]], unpacked(rest[-1], "u4")),
         lambda columns, r: (*[packed(c.astype(np.uint64)) if j else rising(c) for j, c in enumerate(columns)], packed(r.astype(np.uint32))),
         _sorted_rows,
         lambda columns: _part(columns, told.value, parts),
@@ -411,11 +475,12 @@ def fit(encoded: DataFrame, words: Words, order: int, total: int) -> tuple[DataF
         release()
         columns, r, ends = form.all(t)
         first, which = _sorted_rows(columns)
+        columns = [c[first] for c in columns]
         count = np.bincount(which, weights=r, minlength=len(first)).astype(np.int64)
+        del first, r
         asked = [rising(x) for x in np.split(which, ends[:-1])]
-        columns = [c[first] for c in columns]
-        of = Table.of(columns, count).counts_of_counts()
-        del which, r
+        del which
+        of = sum(np.array(Table.of([c[lo:hi] for c in columns], count[lo:hi]).counts_of_counts()) for lo, hi in _runs(columns[0])).tolist()
         made = {"part": t["part"][:1], "chunks": pa.array([t["chunk"].to_pylist()], pa.list_(pa.int64())), "asked": pa.array([asked], pa.list_(pa.binary()))}
         made |= {c: pa.array([packed(x.astype(np.uint64)) if j else rising(x)], pa.binary()) for j, (c, x) in enumerate(zip(names, columns))}
         return pa.table(made | {"r": pa.array([packed(count)], pa.binary()), "of": pa.array([of], pa.list_(pa.list_(pa.int64()))), "hot": pa.array([bool((salts(told.value, np.unique(columns[0])) > 1).any())])})
@@ -430,12 +495,32 @@ def fit(encoded: DataFrame, words: Words, order: int, total: int) -> tuple[DataF
     return table, [good_turing(by_level.get(level, np.zeros(K + 1))) for level in range(order - 1)], (asked, form) if width > 1 else None
 
 
-def _known(t: pa.Table, order: int) -> dict[tuple, tuple]:
+#: By how many words a context has: those contexts' words, in order of the last one, and their sums (tokens, n-grams of each count up to K, held).
+Known = dict[int, tuple[list[np.ndarray], np.ndarray]]
+
+
+def _known(t: pa.Table, order: int) -> Known:
     """Sums of contexts that the exchange has brought to a partition."""
-    names = [t[f"x{i}"].to_numpy() for i in range(order - 1)]
-    total, n, held = t["total"].to_numpy(), [t[f"n{r}"].to_numpy() for r in range(1, K + 1)], t["held"].to_numpy()
-    size = t["size"].to_numpy()
-    return {tuple(int(c[i]) for c in names[: size[i]]): (total[i], np.array([x[i] for x in n]), held[i]) for i in range(t.num_rows)}
+    names, size = [t[f"x{i}"].to_numpy() for i in range(order - 1)], t["size"].to_numpy()
+    sums = np.stack([t[c].to_numpy() for c in ("total", *[f"n{r}" for r in range(1, K + 1)], "held")], axis=1)
+    made = {}
+    for many in np.unique(size).tolist():
+        at = np.flatnonzero(size == many)
+        at = at[np.argsort(names[0][at], kind="stable")]
+        made[many] = [c[at] for c in names[:many]], sums[at]
+    return made
+
+
+def _spread_sums(names: list[np.ndarray], at: np.ndarray, known: list[np.ndarray], sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the contexts ``at`` that are known, and their sums."""
+    if not len(at):
+        return at, sums[:0]
+    lo, hi = np.searchsorted(known[0], names[0][at[0]]), np.searchsorted(known[0], names[0][at[-1]], side="right")
+    first, which = _sorted_rows([np.append(k[lo:hi], c[at]) for k, c in zip(known, names)])
+    found = np.full(len(first), -1)
+    found[which[: hi - lo]] = np.arange(lo, hi)
+    found = found[which[hi - lo :]]
+    return at[found >= 0], sums[found[found >= 0]]
 
 
 def spread_contexts(table: DataFrame, words: Words, order: int, discounts: list[np.ndarray]) -> DataFrame:
@@ -443,7 +528,7 @@ def spread_contexts(table: DataFrame, words: Words, order: int, discounts: list[
     told = table.sparkSession.sparkContext.broadcast((words, discounts))
     sums = ["total double", *[f"n{r} double" for r in range(1, K + 1)], "held double"]
     schema = ", ".join(["part int", "size int", *[f"x{i} long" for i in range(order - 1)], *sums])
-    known = table.sparkSession.createDataFrame([], schema)
+    known = table.sparkSession.range(0, 0, 1, 1).select(*[F.lit(None).cast(kind).alias(c) for c, kind in (x.split() for x in schema.split(", "))])
     hot = table.where("hot").select("part", *[f"c{i}" for i in range(order)], "r")
     for level in range(order - 2, -1, -1):
         known = known.unionByName(materialize(_one_order(hot, known, told, level, order, schema), "katz-spread"))
@@ -451,19 +536,23 @@ def spread_contexts(table: DataFrame, words: Words, order: int, discounts: list[
 
 
 def _one_order(hot: DataFrame, known: DataFrame, told, level: int, order: int, schema: str) -> DataFrame:
+    columns_of = known.columns
+
     def partial(rows: pa.Table, given: pa.Table) -> pa.Table:
         w, discounts = told.value
-        t, _ = _table(rows, 0, order)
-        if level + 1 < len(t.r):
-            p = probabilities(t, w, discounts, _known(given, order), level + 1)[t.lower[level]]
-        else:
-            p = w.probability(t.token)[t.lower[level]]
-        total, n, held = t.sums(level, p)
-        names = t.names[level]
-        at = np.flatnonzero(salts(w, names[0]) > 1)  # those too that have no count here but elsewhere
-        made = {"part": pa.array([rows["part"][0].as_py()] * len(at), pa.int32()), "size": pa.array(np.full(len(at), len(names), dtype=np.int32))}
-        made |= {f"x{i}": pa.array(names[i][at] if i < len(names) else np.full(len(at), -1)) for i in range(order - 1)}
-        return pa.table(made | {"total": total[at]} | {f"n{r + 1}": n[at, r] for r in range(K)} | {"held": held[at]})
+        columns, counts = _table(rows, 0, order, w)
+        spread = salts(w, columns[0]) > 1
+        columns, counts, known = [c[spread] for c in columns], counts[spread], _known(given, order)
+        made = []
+        for lo, hi in _runs(columns[0]):
+            t = Table.of([c[lo:hi] for c in columns], counts[lo:hi])
+            p = probabilities(t, w, discounts, known, level + 1)[t.lower[level]]
+            total, n, held = t.sums(level, p)  # of those contexts too that have no count here but elsewhere
+            names = [c.astype(np.int64) for c in t.names[level]]
+            x = [names[i] if i < len(names) else np.full(len(total), -1) for i in range(order - 1)]
+            of = [np.full(len(total), rows["part"][0].as_py(), dtype=np.int32), np.full(len(total), len(names), dtype=np.int32)]
+            made.append(pa.table([pa.array(c) for c in (*of, *x, total, *n.T, held)], names=columns_of))
+        return pa.concat_tables(made)
 
     some = hot.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(partial, schema)
     some = materialize(some, "katz-partial")
@@ -490,12 +579,12 @@ def score(encoded: DataFrame, table: DataFrame, words: Words, order: int, discou
     parts = max(LEAST_PARTS, -(-total // PARTITION_TOKENS))
     told = encoded.sparkSession.sparkContext.broadcast((words, discounts))
 
-    def look_up(rows: pa.Table | pa.RecordBatch, known: dict[tuple, tuple], i: int = 0) -> pa.RecordBatch:
+    def look_up(rows: pa.Table | pa.RecordBatch, known: Known, i: int = 0) -> pa.RecordBatch:
         release()
         w, d = told.value
-        t, _ = _table(rows, i, order)
-        log = np.log10(np.maximum(probabilities(t, w, d, known), 1e-300))
-        del t
+        columns, r = _table(rows, i, order, w)
+        log = log_probabilities(columns, r, w, d, known)
+        del columns, r
         release()
         made = [_few(log[risen(x).astype(np.int64)]) for x in rows["asked"][i].as_py()]
         value, which = zip(*made)

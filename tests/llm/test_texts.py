@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -415,6 +416,46 @@ def test_runs_that_meet_themselves():
     assert min(seen) > 100
 
 
+def most_bytes(f):
+    """What ``f`` has returned, and the bytes that it held at most."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_katz_sorts_a_partition_in_bounded_pieces():
+    """One word has half of the rows, and one of its pairs a quarter. Of each row 16 bytes are returned."""
+    rng, n = np.random.default_rng(1), 1 << 21
+    columns = [np.where(rng.random(n) < 0.5, 7, rng.integers(0, 5000, n)), np.where(rng.random(n) < 0.5, 3, rng.integers(0, 300, n)), rng.integers(0, 4, n)]
+    (first, which), held = most_bytes(lambda: katz._sorted_rows(columns))
+    rows = np.stack(columns, axis=1)
+    assert (rows[first][which] == rows).all() and (np.diff((columns[0][first] * 300 + columns[1][first]) * 4 + columns[2][first]) > 0).all()
+    assert (np.bincount(which) > 0).all() and held < 40 * n
+
+
+def test_katz_partition_by_runs(monkeypatch):
+    """Runs of n-grams give what the whole partition gives, with contexts known from elsewhere, and in less memory."""
+    rng = np.random.default_rng(2)
+    model = katz.Words(np.array([500, 9, 2, 1]), np.array([0, 2, 300, 600]), 900, 5000, 50, spread=100)
+    discounts = [np.array([1, 0.4, 0.6, 0.7, 0.8, 0.9, 1.0])] * 2
+    rows = np.unique(np.stack([rng.integers(0, 902, 4000) * (rng.random(4000) < 0.7), rng.integers(0, 40, 4000), rng.integers(0, 901, 4000)], axis=1), axis=0)
+    columns, r = list(rows.T.astype(np.uint32)), rng.integers(0, 8, len(rows))
+    given = [(1, 0, -1, 700.0, 9.0, 8.0, 7.0, 6.0, 5.0, 0.25)] + [(2, 0, i, 60.0 + i, 9.0, 4.0, 2.0, 1.0, 1.0, 0.125) for i in range(39, 0, -1)]
+    names = ["size", "x0", "x1", "total", *[f"n{i}" for i in range(1, katz.K + 1)], "held"]
+    known = katz._known(pa.table([pa.array(c) for c in zip(*given)], names=names), 3)
+    whole = np.log10(katz.probabilities(katz.Table.of(columns, r), model, discounts, known))
+    assert not np.allclose(whole, np.log10(katz.probabilities(katz.Table.of(columns, r), model, discounts, {})))
+    monkeypatch.setattr(katz, "RUN_GRAMS", 16)
+    assert len(list(katz._runs(columns[0]))) > 50
+    assert np.allclose(katz.log_probabilities(columns, r, model, discounts, known), whole, rtol=0, atol=1e-12)
+    monkeypatch.undo()
+    n = 1 << 20
+    columns, r = [np.sort(rng.integers(0, 900, n)).astype(np.uint32), np.arange(n, dtype=np.uint32) % 900, rng.integers(0, 900, n).astype(np.uint32)], np.ones(n, dtype=np.int64)
+    assert most_bytes(lambda: katz.log_probabilities(columns, r, model, discounts, {}))[1] < 60 * n
+
+
 def test_words_of_one_64_bit_hash_are_two_words(spark):
     """Two words with the same XXH64: the held-out one is not known."""
     rows = [(0, "dxwtjawdkhf(+0=b q", "s"), (1, "toxicologyreport", "s"), (2, "q", "s")]

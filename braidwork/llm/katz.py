@@ -80,7 +80,7 @@ def local_tokens(documents: DataFrame, trains: Column, key: str = "doc_id", text
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(trains, F.lit(False)).alias("train"))
     made = rows.mapInArrow(run, f"tokens binary, sizes binary, train binary, keys array<{kind}>, vocabulary binary, second binary, counts binary, n long, types long")
-    return materialize(made.withColumn("chunk", F.monotonically_increasing_id()), "katz-local")
+    return materialize(made.withColumn("chunk", F.monotonically_increasing_id()), "katz-local", large=True)
 
 
 @dataclass
@@ -174,9 +174,9 @@ def encode(local: DataFrame) -> tuple[DataFrame, Words]:
 
     asked = local.select("chunk", "vocabulary", "second", "counts").mapInArrow(ask, form.schema)
     if width > 1:
-        asked = materialize(asked, "katz-asked-words")
+        asked = materialize(asked, "katz-asked-words", large=True)
     table = (asked if width == 1 else folded(asked, form, width)).groupBy("part").applyInArrow(merge, "part int, chunks array<long>, asked array<binary>, counts binary, value array<long>, types array<long>, ends long")
-    table = materialize(table, "katz-types")
+    table = materialize(table, "katz-types", large=True)
     per = table.select("part", F.inline(F.arrays_zip("value", "types"))).where("value > 0")
     of = sorted(((r.value, r.n) for r in per.groupBy("value").agg(F.sum("types").alias("n")).collect()), reverse=True)  # at most sqrt(2 tokens) rows
     counts, sizes = np.array([c for c, _ in of], dtype=np.int64), np.array([n for _, n in of], dtype=np.int64)
@@ -204,7 +204,7 @@ def encode(local: DataFrame) -> tuple[DataFrame, Words]:
     answers = table.join(starts, "part", "left").select("part", "chunks", "asked", "counts", "before").mapInArrow(answer, "chunk long, part int, ids binary")
     if width > 1:
         answers = unfolded(asked, answers, form, width, lambda got: gathered(got, "ids", "u8"), lambda x: (packed(x),))
-    answers = materialize(answers, "katz-ids")
+    answers = materialize(answers, "katz-ids", large=True)
     discard(table)
     if width > 1:
         discard(asked)
@@ -218,7 +218,7 @@ def encode(local: DataFrame) -> tuple[DataFrame, Words]:
 
     rows = local.select("chunk", "tokens", "vocabulary", "sizes", "train", "keys")
     encoded = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"chunk long, tokens binary, ids binary, sizes binary, train binary, keys {kind}")
-    encoded = materialize(encoded, "katz-tokens")
+    encoded = materialize(encoded, "katz-tokens", large=True)
     discard(answers)
     return encoded, words
 
@@ -488,8 +488,8 @@ def fit(encoded: DataFrame, words: Words, order: int, total: int) -> tuple[DataF
     binary = ", ".join(f"{c} binary" for c in (*names, "r"))
     asked = encoded.select("chunk", "tokens", "ids", "sizes", "train").mapInArrow(ask, form.schema)
     if width > 1:
-        asked = materialize(asked, "katz-asked")
-    table = materialize((asked if width == 1 else folded(asked, form, width)).groupBy("part").applyInArrow(merge, f"part int, chunks array<long>, asked array<binary>, {binary}, of array<array<long>>, hot boolean"), "katz-table")
+        asked = materialize(asked, "katz-asked", large=True)
+    table = materialize((asked if width == 1 else folded(asked, form, width)).groupBy("part").applyInArrow(merge, f"part int, chunks array<long>, asked array<binary>, {binary}, of array<array<long>>, hot boolean"), "katz-table", large=True)
     of = table.select(F.posexplode("of").alias("level", "n")).groupBy("level").agg(*[F.sum(F.get("n", F.lit(r))).alias(f"n{r}") for r in range(K + 1)]).collect()  # a row an order
     by_level = {x.level: np.array([x[f"n{r}"] or 0 for r in range(K + 1)], dtype=np.float64) for x in of}
     return table, [good_turing(by_level.get(level, np.zeros(K + 1))) for level in range(order - 1)], (asked, form) if width > 1 else None
@@ -606,7 +606,7 @@ def score(encoded: DataFrame, table: DataFrame, words: Words, order: int, discou
     answers = answers.unionByName(table.where("hot").select(*wanted).groupBy("part").cogroup(known.groupBy("part")).applyInArrow(together, schema))
     if asked:
         answers = unfolded(asked[0], answers, asked[1], width_for(parts), _logs, _few)
-    answers = materialize(answers, "katz-answers")
+    answers = materialize(answers, "katz-answers", large=True)
     discard(table)
     if asked:
         discard(asked[0])

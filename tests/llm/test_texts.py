@@ -7,10 +7,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from braidwork.llm import exchange, katz, line_dedup, mixing, packing, recompress, sharding, toxicity, words
+from braidwork.llm.common import discard, materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -456,6 +458,21 @@ def test_katz_partition_by_runs(monkeypatch):
     assert most_bytes(lambda: katz.log_probabilities(columns, r, model, discounts, {}))[1] < 60 * n
 
 
+def test_large_rows_lie_in_small_pages(spark):
+    """60 rows of 200 KB: a reader that skips to the last ones needs a page or two of them, not 12 MB."""
+    rows = spark.range(0, 60, 1, 1).select("id", F.expr("unhex(repeat(lpad(hex(id), 2, '0'), 200000))").alias("b"))
+    kept = materialize(rows, "large-rows", large=True)
+    assert [(r.id, r.b) for r in kept.orderBy("id").collect()] == [(i, bytes([i]) * 200_000) for i in range(60)]
+    (path,) = kept.inputFiles()
+    footer = pq.ParquetFile(path.removeprefix("file:")).metadata
+    columns = [footer.row_group(g).column(1) for g in range(footer.num_row_groups)]
+    assert {c.compression for c in columns} == {"UNCOMPRESSED"}
+    headers = sum(c.total_uncompressed_size for c in columns) - 60 * 200_004
+    one = materialize(rows, "large-rows-one-page").inputFiles()[0]
+    assert headers > 5 * (pq.ParquetFile(one.removeprefix("file:")).metadata.row_group(0).column(1).total_uncompressed_size - 60 * 200_004)  # a header for each page
+    discard(kept)
+
+
 def test_words_of_one_64_bit_hash_are_two_words(spark):
     """Two words with the same XXH64: the held-out one is not known."""
     rows = [(0, "dxwtjawdkhf(+0=b q", "s"), (1, "toxicologyreport", "s"), (2, "q", "s")]
